@@ -111,9 +111,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     return (np.frombuffer(found[0]["weight"], np.float32), found[0]["intercept"]) if found else None
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame:
-    """``docs(doc_id, text, ...)`` as (doc_id, score)."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (doc_id, if not given) of ``docs`` and a column ``score`` of their ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats
+    keep = keep or ["doc_id"]
+    schema = docs.select(*keep).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,9 +126,9 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None) -> DataFrame
                     weight, intercept = shared.value
                     index, at = features(part.column("text"))
                     score = 1 / (1 + np.exp(-np.clip(intercept + sums(weight[index], at), -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(score)], schema.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
