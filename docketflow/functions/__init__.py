@@ -1 +1 @@
-
+"""Column expressions: text predicates, keys and times."""

@@ -1 +1 @@
-
+"""Relational operators over docket tables."""

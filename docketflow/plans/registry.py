@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from docketflow.plans import queries_events, queries_ingest, queries_scoring
+from docketflow.plans.queries_events import flagship  # noqa: F401
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+_MODULES = (queries_ingest, queries_events, queries_scoring)
+QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
+ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

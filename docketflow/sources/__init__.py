@@ -1 +1 @@
-
+"""Tables the engine reads."""
