@@ -57,22 +57,33 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def fit(index: np.ndarray, offsets: np.ndarray, label: np.ndarray, rounds: int = 60, penalty: float = 3e-3) -> tuple[np.ndarray, float]:
-    """(weight of each bucket with its ratio multiplied in, intercept)."""
-    n = np.diff(offsets)
-    toxic = np.repeat(label, n).astype(bool)
-    p, q = (np.bincount(index[side], minlength=BUCKETS) for side in (toxic, ~toxic))
+def fit(parts: list[np.ndarray], ends: list[np.ndarray], label: np.ndarray, rounds: int = 60, penalty: float = 3e-3) -> tuple[np.ndarray, float]:
+    """(weight of each bucket with its ratio multiplied in, intercept) of feature arrays, each with its row offsets.
+
+    Arrays are cut to the strongest buckets one by one, so that only those stand in memory together.
+    """
+    first = np.cumsum([0, *(len(e) - 1 for e in ends)])
+    p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for index, at, i, j in zip(parts, ends, first[:-1], first[1:], strict=True):
+        toxic = np.repeat(label[i:j] > 0, np.diff(at))
+        p += np.bincount(index[toxic], minlength=BUCKETS)
+        q += np.bincount(index[~toxic], minlength=BUCKETS)
     ratio = np.log((p + 1.0) / (label.sum() + 2.0)) - np.log((q + 1.0) / ((1 - label).sum() + 2.0))
     ratio[p + q < 8] = 0.0
     strong = np.argsort(-np.abs(ratio) * np.sqrt(p + q), kind="stable")[: BUCKETS // 8]
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[strong] = np.arange(len(strong))
-    column = place[index]
-    keep = column >= 0
-    row = np.repeat(np.arange(len(n)), n)[keep]
-    column = column[keep]
-    value = ratio[strong][column]
-    ends = np.searchsorted(row, np.arange(len(n) + 1))
+    columns, sizes = [], []
+    for k, at in enumerate(ends):
+        found = place[parts[k]]
+        parts[k] = found[:0]
+        keep = np.concatenate(([0], np.cumsum(found >= 0)))
+        columns.append(found[found >= 0])
+        sizes.append(np.diff(keep[at]))
+    column, n = np.concatenate(columns), np.concatenate(sizes)
+    row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    value = ratio[strong].astype(np.float32)[column]
+    ends = np.concatenate(([0], np.cumsum(n)))
     weight, intercept = np.zeros(len(strong)), 0.0
     m, v, mb, vb = np.zeros(len(strong)), np.zeros(len(strong)), 0.0, 0.0
     for step in range(1, rounds + 1):
@@ -90,15 +101,15 @@ def fit(index: np.ndarray, offsets: np.ndarray, label: np.ndarray, rounds: int =
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index, n, label = [], [], []
+    parts, ends, label = [], [], []
     for batch in batches:
         for part in chunks(batch):
             i, at = features(part.column("text"))
-            index.append(i)
-            n.append(np.diff(at))
+            parts.append(i)
+            ends.append(at)
             label.append(np.asarray(part.column("toxic")).astype(float))
-    if index and 0 < (y := np.concatenate(label)).sum() < len(y):
-        weight, intercept = fit(np.concatenate(index), np.concatenate(([0], np.cumsum(np.concatenate(n)))), y)
+    if parts and 0 < (y := np.concatenate(label)).sum() < len(y):
+        weight, intercept = fit(parts, ends, y)
         yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([intercept])], ["weight", "intercept"])
 
 
