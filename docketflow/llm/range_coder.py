@@ -15,8 +15,8 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids in a block at most, and blocks coded side by side.
-BLOCK, LANES = 4096, 1024
-_SLOTS = 4096
+BLOCK, LANES = 4096, 2048
+_SLOTS = 2048
 _BITS = 12
 _ONE = 1 << _BITS
 _U = np.uint64
@@ -26,19 +26,18 @@ _x = np.arange(_ONE) + 0.5
 _STRETCH = np.round(np.log(_x / (_ONE - _x)) * 256).astype(np.int64)
 _SQUASH = np.clip(np.round(_ONE / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, _ONE - 1).astype(np.int64)
 _STEPS = np.where(np.arange(16)[None, :] > np.arange(16)[:, None], _ONE - 16 + np.arange(16), np.arange(16)).astype(np.int16)
-#: First row of each nibble's distributions: 1 + 16 + 256 + 1024 of them, the last by a hash.
+#: First row of each nibble's distributions: 1 + 16 + 256 + 512 of them, the last by a hash.
 _LEVEL = (0, 1, 17, 273)
-_DISTRIBUTIONS = 273 + 1024
+_DISTRIBUTIONS = 273 + 512
 
 
 class Model:
     """State of ``n`` lanes."""
 
     def __init__(self, n: int):
-        self.guess = np.zeros((2, n * _SLOTS), np.int32)
-        self.trust = np.zeros((2, n * _SLOTS), np.int8)
+        self.guess = np.zeros((2, n * _SLOTS), np.int32)  # eight times the id and how far it is trusted, 0 to 7
         self.cdf = np.tile((np.arange(16) * (_ONE // 16)).astype(np.int16), (n * _DISTRIBUTIONS, 1))
-        self.chance = np.full((4, n, 16), _ONE // 2, np.int64)
+        self.chance = np.full((4, n * 16), _ONE // 2, np.int64)
         self.weight = np.full((2, 2, n), 1 << 15, np.int64)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.lane = np.arange(n)
@@ -47,18 +46,20 @@ class Model:
         """Of the first ``m`` lanes: the two predicted ids and the sizes of their intervals."""
         a, b, lane = self.last[:m], self.before[:m], self.lane[:m]
         self.slot = [lane * _SLOTS + (((a * 40503 + b * 30011) >> 3) & (_SLOTS - 1)), lane * _SLOTS + ((a * 40503 >> 2) & (_SLOTS - 1))]
-        self.ids = [self.guess[o][self.slot[o]] for o in (0, 1)]
-        trust = [self.trust[o][self.slot[o]].astype(np.int64) for o in (0, 1)]
+        cells = [self.guess[o].take(self.slot[o]) for o in (0, 1)]
+        self.ids, trust = [c >> 3 for c in cells], [c & 7 for c in cells]
+        self.trust = trust
         agree = self.ids[0] == self.ids[1]
-        self.context = [(trust[0], trust[1] + 8 * agree), (trust[1], np.minimum(trust[0], 7))]
+        base = lane * 16
+        self.context = [(base + trust[0], base + trust[1] + 8 * agree), (base + trust[1], base + trust[0])]
         self.inputs, self.p = [], []
         for d in (0, 1):
-            st = [_STRETCH[self.chance[2 * d + i][lane, self.context[d][i]]] for i in (0, 1)]
+            st = [_STRETCH.take(self.chance[2 * d + i].take(self.context[d][i])) for i in (0, 1)]
             dot = (self.weight[d, 0, :m] * st[0] + self.weight[d, 1, :m] * st[1]) >> 16
             self.inputs.append(st)
-            self.p.append(_SQUASH[np.clip(dot, -2047, 2047) + 2047])
-        f2 = np.clip(self.p[0], 1, _ONE - 3)
-        f1 = np.clip(((_ONE - f2) * self.p[1]) >> _BITS, 1, _ONE - f2 - 1)
+            self.p.append(_SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2047))
+        f2 = np.minimum(self.p[0], _ONE - 3)
+        f1 = np.maximum(((_ONE - f2) * self.p[1]) >> _BITS, 1)
         return self.ids[0], self.ids[1], f2, f1
 
     def learn(self, m: int, ids: np.ndarray) -> None:
@@ -71,17 +72,16 @@ class Model:
             for i in (0, 1):
                 self.weight[d, i][who] += (self.inputs[d][i][live] * err) >> 10
                 c = self.context[d][i][live]
-                now = self.chance[2 * d + i][who, c]
-                self.chance[2 * d + i][who, c] = np.clip(now + ((on - now) >> 4), 16, _ONE - 17)
+                now = self.chance[2 * d + i].take(c)
+                self.chance[2 * d + i][c] = np.maximum(np.minimum(now + ((on - now) >> 4), _ONE - 17), 16)
         for o in (0, 1):
-            slot, trust = self.slot[o], self.trust[o][self.slot[o]]
-            fresh = ~hit[o] & (trust <= 1)
-            self.trust[o][slot] = np.where(hit[o], np.minimum(trust + 1, 7), np.where(fresh, 1, trust >> 1))
-            self.guess[o][slot] = np.where(fresh, ids, self.ids[o])
+            trust = self.trust[o]
+            kept = (self.ids[o] << 3) + np.where(hit[o], np.minimum(trust + 1, 7), trust >> 1)
+            self.guess[o][self.slot[o]] = np.where(~hit[o] & (trust <= 1), (ids << 3) + 1, kept)
         self.before[:m], self.last[:m] = self.last[:m].copy(), ids
 
     def rows(self, lanes: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
-        return lanes * _DISTRIBUTIONS + _LEVEL[level] + (prefix if level < 3 else (prefix * 2654435761 >> 7) & 1023)
+        return lanes * _DISTRIBUTIONS + _LEVEL[level] + (prefix if level < 3 else (prefix * 2654435761 >> 7) & 511)
 
     def adapt(self, rows: np.ndarray, cdf: np.ndarray, nibble: np.ndarray) -> None:
         self.cdf[rows] = cdf + ((_STEPS[nibble] - cdf) >> 4)
@@ -147,13 +147,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     for g in range(0, len(order), LANES):
         group = order[g : g + LANES]
         sizes = np.array([len(blocks[i]) for i in group])
-        grid = np.zeros((int(sizes.max(initial=0)), len(group)), np.int64)
+        grid = np.zeros((int(sizes.max(initial=0)), len(group)), np.int32)
         for k, i in enumerate(group):
             grid[: sizes[k], k] = blocks[i]
         model, coder = Model(len(group)), Coder(len(group))
         active = np.searchsorted(-sizes, -np.arange(len(grid)), "left")
         for t, m in enumerate(active.tolist()):
-            ids = grid[t, :m]
+            ids = grid[t, :m].astype(np.int64)
             c2, c1, f2, f1 = model.predict(m)
             hit2 = ids == c2
             hit1 = ~hit2 & (ids == c1)
@@ -165,7 +165,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
             for level in range(4):
                 nibble = (word >> (12 - 4 * level)) & 15
                 rows = model.rows(who, level, word >> (16 - 4 * level))
-                cdf = model.cdf[rows]
+                cdf = model.cdf.take(rows, axis=0)
                 k = np.arange(len(who))
                 begin = cdf[k, nibble].astype(np.int64)
                 end = np.where(nibble < 15, cdf[k, np.minimum(nibble + 1, 15)], _ONE)
@@ -203,7 +203,7 @@ def decode(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
             word = np.zeros(len(who), np.int64)
             for level in range(4):
                 rows = model.rows(who, level, word)
-                cdf = model.cdf[rows]
+                cdf = model.cdf.take(rows, axis=0)
                 v = coder.value(who)
                 nibble = (cdf <= v[:, None]).sum(axis=1) - 1
                 k = np.arange(len(who))

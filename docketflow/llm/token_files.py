@@ -60,7 +60,9 @@ class LibraryEncoder:
         found, place = [self.find(t) for t in texts], self.place
         fresh = list({p: None for pieces in found for p in pieces if p not in place})
         if fresh:
-            lists = [e.ids for e in self.model.encode_batch_fast(fresh, add_special_tokens=False)]
+            lists = []
+            for i in range(0, len(fresh), 4096):  # the library's results are large objects
+                lists += [e.ids for e in self.model.encode_batch_fast(fresh[i : i + 4096], add_special_tokens=False)]
             place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
             self.ids = np.concatenate((self.ids, np.array([i for x in lists for i in x], np.int32)))
             self.counts = np.concatenate((self.counts, np.array([len(x) for x in lists], np.int64)))
