@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketflow.llm import range_coder
-from docketflow.llm.bpe import MEMORY
 from docketflow.llm.range_coder import BLOCK, LANES
 from docketflow.llm.shared import chunks, new_path, ranges, table
 
+#: Distinct pieces a worker remembers before it starts anew.
+MEMORY = 150_000
 _FILE = "part int, block long, first long, n_ids int, payload binary, crc long, runs array<struct<ordinal:long,doc_id:long,n:int>>"
 
 
@@ -118,8 +119,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, end: int
                     ordinal += 1
                 if len(runs) > LANES:
                     ids = np.concatenate(held)
-                    yield _rows(part, block, ids[: LANES * BLOCK], runs[:LANES])
-                    block, held, runs = block + LANES, [ids[LANES * BLOCK :]], runs[LANES:]
+                    held = [ids[LANES * BLOCK :].copy()]
+                    ids = ids[: LANES * BLOCK]
+                    yield _rows(part, block, ids, runs[:LANES])
+                    block, runs = block + LANES, runs[LANES:]
         ids = np.concatenate(held) if held else np.zeros(0, np.int32)
         while len(ids):
             n = min(LANES * BLOCK, len(ids))
