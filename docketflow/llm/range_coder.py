@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids in a block at most, and blocks coded side by side.
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 1792
 _SLOTS = 2048
 _BITS = 12
 _ONE = 1 << _BITS
