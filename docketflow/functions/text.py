@@ -5,15 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The words the gates look for.
-HEARING = r"(?i)\b(hearing|conference|sentencing|trial|arraignment|minute entry|proceedings held|oral argument|status)\b"
-DEADLINE = r"(?i)\b(due|deadline|deadlines|set/reset|response|extension|brief)\b"
-PRIMARY = r"(?i)^\s*(indictment|complaint|information|superseding indictment|petition)\b"
-DISPOSITION_NOT = r"(?i)\b(motion|proposed|transcript|notice of)\b"
-DISPOSITION = r"(?i)\b(judgment|dismissed|plea agreement|verdict|order granting|order denying)\b"
-REFERENCES = r"(?i)(?:granting|denying|re|to docket entry|as to)\s+([0-9]+)\b"
-NEEDS_NO = r"(?i)\btranscript\b"
-NEEDS_YES = r"(?i)\b(order|notice of hearing|set/reset)\b"
+# The patterns of the gates.  Matching is Unicode-aware, as the entries are.
+HEARING = (
+    r"(?iU)\b(hearing|sentenc\w*|arraignment|argu\w*|conference|trial|proceedings?|set\s*for|reset\s*for|scheduled\s*for|set/reset|"
+    r"notice\s*of\s*hearing|notice\s*of\s*rescheduling|change\s*of\s*plea|initial\s*appearance|status|telephonic|videoconference|video conference|zoom|"
+    r"mandates?|calendared|continued\s*to|continue\s*to|continued\s*until|vacated)\b"
+)
+DEADLINE = (
+    r"(?iU)\b(due\s*by|due\s*on|due\s*no\s*later\s*than|shall\s*(?:file|respond|reply|submit|serve)|response\s*(?:is\s*)?due|reply\s*(?:is\s*)?due|"
+    r"opposition\s*(?:is\s*)?due|brief\s*(?:is\s*)?due|appendix\s*(?:is\s*)?due|answer\s*(?:is\s*)?due|notice\s*(?:is\s*)?due|report\s*(?:is\s*)?due|"
+    r"memo(?:randum)?\s*(?:is\s*)?due|material\s*(?:is\s*)?due|briefing\s*schedules?|briefing\s*orders?|scheduling\s*orders?|deadlines?|"
+    r"motions?\b[^.\n]{0,80}\b(?:to|for)\s*(?:extend|extension)|extensions?\s*(?:of|granted|denied)|rehearing|mandates?|presentenc\w*|psr|cipa|jencks|"
+    r"notice\s+of\s+appeal|disclosures?|discovery\s+(?:cutoff|cut-off|close|closes)|motions?\s+in\s+limine|class\s*cert(?:ification)?|"
+    r"(?:joint\s+)?status\s+reports?|mediations?|pretrial\s+orders?|claim\s+construction|markman|stipulations?|stipulated|so\s*ordered|"
+    r"file\s*(?:a|its|their)\s*(?:response|reply|opposition|brief|memorandum|answer|supplemental))\b"
+)
+DEADLINE_FORMS = (
+    r"(?imdU)\bdue\s+(?:by\s+|on\s+|within\s+|no\s+later\s+than\s+)?(?:\d{1,2}[/-]\d|\d{4}\b|\d{1,2}\s+(?:business\s+)?days\b|"
+    r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec))|\[service\s+date:|^\s*(?:\d+\s+)?"
+    r"(?:(?:petitioner|respondent|appellant|appellee|cross-?appell\w+|opening|answering|amended|corrected|supplemental|first|second|third|final|joint)\s+)*"
+    r"(?:response|opposition|reply|sur-?reply|brief|proposed\s+order|notice\s+of\s+compliance)\b"
+)
+PRIMARY = (
+    r"(?iU)^\s*(?:\d+\s+)?(?:[A-Z]+\s+)?(?:(?:SUPERSEDING|AMENDED|FIRST\sAMENDED|SECOND\sAMENDED|THIRD\sAMENDED|FOURTH\sAMENDED|CORRECTED|REDACTED|SEALED|UNSEALED)\s+)?"
+    r"(?:INDICTMENT|INFORMATION|COMPLAINT|PETITION\sFOR\sWRIT|PETITION)\b"
+)
+DISPOSITION_HEAD = (
+    r"(?iU)^\s*(?:\d+\s+)?(?:JUDGMENT|FINAL\sJUDGMENT|VERDICT\sFORM|VERDICT|ORDER\sOF\sDISMISSAL|ORDER\sGRANTING\sMOTION\sTO\sDISMISS|STIPULATION\sOF\sDISMISSAL|"
+    r"STIPULATED\sDISMISSAL|NOTICE\sOF\sVOLUNTARY\sDISMISSAL|PLEA\sAGREEMENT|(?:FACTUAL\s+)?PROFFER\s+STATEMENT|"
+    r"(?:AMENDED\s+)?REPORT\s+AND\s+RECOMMENDATIONS?\s+ON\s+(?:PLEA\s+OF\s+GUILTY|CHANGE\s+OF\s+PLEA)|SENTENCING\sJUDGMENT|SENTENCE|"
+    r"SETTLEMENT\sAGREEMENT|MEMORANDUM\sOPINION|MEMORANDUM\sORDER|OPINION\sAND\sORDER|OPINION)\b"
+)
+DISPOSITION_WORDS = (
+    r"(?iU)\b(?:sentencing|mistrials?|acquit(?:tals?|ted)|forfeitures?|nolle\s+prosequi|nolle\s+prossed|pled\s+guilty|pleads?\s+guilty|plea\s+of\s+guilty|"
+    r"(?:report\s+and\s+recommendations?|r&r)\s+on\s+(?:plea\s+of\s+guilty|change\s+of\s+plea)|class\s+certification|remand(?:ed)?|entry\s+of\s+default|tros?|"
+    r"temporary\s+restraining\s+orders?|injunctions?|judg(?:e)?ments?|decrees?|dismiss(?:al|als|ed)|mandates?|affirm(?:s|ed|ance|ances)?|reversed|vacated)\b"
+)
+DISPOSITION_NOT = r"(?iU)\bconferences?\b"
+RULING_HEAD = (
+    r"(?iU)^\s*(?:\d+\s+)?(?:(?:PAPERLESS|TEXT[\s-]?ONLY|TEXT|AMENDED|FINAL|PRELIMINARY|STIPULATED|CONSENT|DEFAULT|CORRECTED|REDACTED|SEALED|UNSEALED|"
+    r"SUPERSEDING|INTERIM|TEMPORARY|PERMANENT)\s+)*(?:ORDER|JUDGMENT|JUDGEMENT|VERDICT|OPINION|MEMORANDUM\s+OPINION|MEMORANDUM\s+ORDER|MINUTE\s+ENTRY|"
+    r"MINUTE\s+ORDER|ELECTRONIC\s+CLERK['’]?S\s+NOTES|CLERK['’]?S\s+NOTES|PLEA\s+AGREEMENT|SETTLEMENT\s+AGREEMENT|DECREE|INJUNCTION|MANDATE|NOLLE\s+(?:PROSEQUI|PROSSED))\b"
+)
+RULING_NOT = (
+    r"(?iU)\b(?:motion\s+hearing\s+(?:re:?|held|on)|order\s+(?:re(?:garding|\s+\d+)?|on)\s+(?:joint\s+)?stipulation|"
+    r"(?:order\s+|paperless\s+order\s+)?setting\s+(?:case|trial|sentencing|hearing|status|motion|briefing)|motion\s+(?:to|for)\s+continu|"
+    r"continu(?:e|ing|ed|ance)\s+(?:sentencing|hearing|trial)|notice\s+of\s+(?:sentencing|hearing)\s+date)"
+)
+REFERENCES = r"(?iU)\b(?:granting|denying|grants|denies|granted|denied|ruling\s+on|see|re|response\s+to)\s+(?:in\s+part\s+)?(?:\[)?(\d{1,4})(?:\])?\b"
+ENTERED = r"(?iU)[\(\[]Entered:[^\)\]]*[\)\]]"
+TRANSCRIPT = (
+    r"(?iU)\btranscript\s+order\b|\border\s+for\s+transcript\b|\btranscript\s+of\s+[^.\n]*?\bproceedings?\b|"
+    r"\b(?:official|corrected|amended|redacted|rough)\s+transcript\b|\bnotice\s+of\s+filing\s+of\s+(?:official\s+)?transcript\b|\btranscript\s+filed\b"
+)
+SETS_DATES = (
+    r"(?iU)\bgranting\b[^.]{0,80}?\bMotion\s+(?:for\s+Hearing|for\s+Continuance|for\s+Status\s+Conference|to\s+(?:Continue|Reschedule|Vacate|Set|Schedule|Adjourn))|"
+    r"\bscheduling\s+order\b|\b(?:setting|re-?setting|amend(?:ing|ed)|modif(?:ying|ied)|adopting)\b[^.]{0,40}?\b(?:trial\s+date|(?:briefing|hearing|pretrial|case)\s+schedul)|"
+    r"\bstipulation\b[^.]{0,80}?\b(?:trial\s+date|(?:briefing|hearing)\s+schedul|scheduling)|\btrial\s+date\s+and\s+(?:briefing|hearing|pretrial)\s+schedul"
+)
+ORDER = r"(?iU)\border\b|\bendors(?:ed|ement)\b"
+DETAIL = r"(?iU)\b(\d{1,2}:\d{2}\s*(AM|PM)?|courtroom|judge|via\s+(zoom|teleconf|video))"
+PAGE_STAMP = (
+    r"(?iU)Case\s+\d+:\d+-[a-z]+-\d+(?:-\w+)?\s+Document\s+\d+(?:-\d+)?(?:\s+Filed\s+\d+/\d+/\d+)?(?:\s+Page\s+\d+\s+of\s+\d+)?(?:\s+Page\s*ID:?\s*\#?:?\s*\d+)?"
+)
 MONEY = r"\$[0-9,]+(?:\.[0-9]{2})?"
 
 
@@ -31,7 +85,7 @@ def is_hearing(text: Column) -> Column:
 
 
 def is_deadline(text: Column) -> Column:
-    return F.coalesce(text.rlike(DEADLINE), F.lit(False))
+    return F.coalesce(text.rlike(DEADLINE) | text.rlike(DEADLINE_FORMS), F.lit(False))
 
 
 def is_primary(head: Column) -> Column:
@@ -39,12 +93,24 @@ def is_primary(head: Column) -> Column:
 
 
 def is_disposition(head: Column) -> Column:
-    return F.coalesce(~head.rlike(DISPOSITION_NOT) & head.rlike(DISPOSITION), F.lit(False))
+    """Any entry whose outcome changes where a case stands."""
+    return F.coalesce(~head.rlike(DISPOSITION_NOT) & (head.rlike(DISPOSITION_HEAD) | head.rlike(DISPOSITION_WORDS)), F.lit(False))
+
+
+def is_ruling(head: Column) -> Column:
+    """The disposing document itself: no motion, schedule or notice about one."""
+    said = head.rlike(DISPOSITION_HEAD) | (head.rlike(RULING_HEAD) & head.rlike(DISPOSITION_WORDS))
+    return F.coalesce(~head.rlike(DISPOSITION_NOT) & ~head.rlike(RULING_NOT) & said, F.lit(False))
+
+
+def notice(description: Column, short: Column) -> Column:
+    """Both descriptions without the clerk's stamp of entry."""
+    return F.regexp_replace(F.concat(F.coalesce(description, F.lit("")), F.lit(" "), F.coalesce(short, F.lit(""))), ENTERED, "")
 
 
 def needs_attachment(text: Column) -> Column:
-    """A cascade: transcripts never, orders and schedules always, others when they say little."""
-    return F.when(text.rlike(NEEDS_NO), False).when(text.rlike(NEEDS_YES), True).when(F.length(text) > 30, False).otherwise(True)
+    """A cascade over a notice: transcripts never, schedules and orders always, others unless they give the details."""
+    return F.when(text.rlike(TRANSCRIPT), False).when(text.rlike(SETS_DATES) | text.rlike(ORDER), True).otherwise(~text.rlike(DETAIL))
 
 
 def fetchable(sealed: Column, text: Column, available: Column) -> Column:
@@ -57,10 +123,11 @@ def references(text: Column) -> Column:
 
 
 def usable(text: Column) -> Column:
-    """Long enough and made of letters for the most part."""
+    """Long enough, also without page stamps, and made of letters for the most part."""
     letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
     solid = F.length(F.regexp_replace(text, r"\s", ""))
-    return F.coalesce((F.length(text) >= 100) & (letters >= 0.4 * solid), F.lit(False))
+    body = F.regexp_replace(F.regexp_replace(text, PAGE_STAMP, ""), r"^\s+|\s+$", "")
+    return F.coalesce((F.length(text) >= 100) & (letters >= 0.4 * solid) & (F.length(body) >= 100), F.lit(False))
 
 
 def normal_text(text: Column) -> Column:

@@ -12,14 +12,31 @@ query = Register()
 QUERIES, ORACLE = query.queries, query.oracle
 
 _FP = "sha1(concat(coalesce(description,''),'|',coalesce(short_description,''),'|',cast(date_filed AS string)))"
-_RE = {k: getattr(T, k).replace("(?i)", "").replace("'", "''") for k in ("HEARING", "DEADLINE", "PRIMARY", "DISPOSITION", "DISPOSITION_NOT", "NEEDS_NO", "NEEDS_YES", "REFERENCES")}
-_HIT = "regexp_matches({0}, '{1}', 'i')"
+_NAMES = (
+    "HEARING", "DEADLINE", "DEADLINE_FORMS", "PRIMARY", "DISPOSITION_HEAD", "DISPOSITION_WORDS", "DISPOSITION_NOT", "RULING_HEAD", "RULING_NOT", "REFERENCES", "ENTERED",
+    "TRANSCRIPT", "SETS_DATES", "ORDER", "DETAIL", "PAGE_STAMP",
+)
+# The oracle's regular expressions know the flags i and m alone.
+_RE = {k: getattr(T, k).replace("(?iU)", "(?i)").replace("(?imdU)", "(?im)").replace("'", "''") for k in _NAMES}
 
 
 def _hit(c, name):
-    return _HIT.format(c, _RE[name])
+    return f"regexp_matches({c}, '{_RE[name]}')"
+
+
+def _due(c):
+    return f"({_hit(c, 'DEADLINE')} OR {_hit(c, 'DEADLINE_FORMS')})"
+
+
+def _disposition(c):
+    return f"(NOT {_hit(c, 'DISPOSITION_NOT')} AND ({_hit(c, 'DISPOSITION_HEAD')} OR {_hit(c, 'DISPOSITION_WORDS')}))"
+
+
+def _ruling(c):
+    return f"(NOT {_hit(c, 'DISPOSITION_NOT')} AND NOT {_hit(c, 'RULING_NOT')} AND ({_hit(c, 'DISPOSITION_HEAD')} OR ({_hit(c, 'RULING_HEAD')} AND {_hit(c, 'DISPOSITION_WORDS')})))"
 
 
+_NOTICE = f"regexp_replace(coalesce(description, '') || ' ' || coalesce(short_description, ''), '{_RE['ENTERED']}', '', 'g')"
 _TEXT = "concat_ws(' | ', nullif(trim(description), ''), nullif(trim(short_description), ''))"
 
 
@@ -47,21 +64,21 @@ def case_aggregates(d, e):
     return d.join(by_docket, "docket_id", "left").groupBy("case_id").agg(F.min("f").cast("string").alias("first_filed"), F.max("m").cast("string").alias("last_filing"))
 
 
-@query("entries_v", f"SELECT entry_id, {_TEXT} AS body, coalesce({_hit(_TEXT, 'HEARING')}, false) AS hearing, coalesce({_hit(_TEXT, 'DEADLINE')}, false) AS deadline FROM entries_v WHERE {_hit(_TEXT, 'HEARING')} OR {_hit(_TEXT, 'DEADLINE')}")
+@query("entries_v", f"SELECT entry_id, {_TEXT} AS body, coalesce({_hit(_TEXT, 'HEARING')}, false) AS hearing, coalesce({_due(_TEXT)}, false) AS deadline FROM entries_v WHERE {_hit(_TEXT, 'HEARING')} OR {_due(_TEXT)}")
 def extractable_entries(e):
     e = e.withColumn("body", _body(e))
     return e.select("entry_id", "body", T.is_hearing(F.col("body")).alias("hearing"), T.is_deadline(F.col("body")).alias("deadline")).where("hearing OR deadline")
 
 
-@query("entries_v", f"SELECT {_hit('description', 'PRIMARY')} AS is_primary, NOT {_hit('description', 'DISPOSITION_NOT')} AND {_hit('description', 'DISPOSITION')} AS disposition, count(*) AS n FROM entries_v GROUP BY ALL")
+@query("entries_v", f"SELECT {_hit('description', 'PRIMARY')} AS is_primary, {_disposition('description')} AS disposition, {_ruling('description')} AS ruling, count(*) AS n FROM entries_v GROUP BY ALL")
 def classified_entries(e):
     c = F.col("description")
-    return e.groupBy(T.is_primary(c).alias("is_primary"), T.is_disposition(c).alias("disposition")).agg(F.count("*").alias("n"))
+    return e.groupBy(T.is_primary(c).alias("is_primary"), T.is_disposition(c).alias("disposition"), T.is_ruling(c).alias("ruling")).agg(F.count("*").alias("n"))
 
 
-@query("entries_v docs_v", f"SELECT e.entry_id, d.doc_id FROM entries_v e JOIN docs_v d ON e.entry_id = d.entry_id WHERE CASE WHEN {_hit('e.description', 'NEEDS_NO')} THEN false WHEN {_hit('e.description', 'NEEDS_YES')} THEN true WHEN length(e.description) > 30 THEN false ELSE true END AND CASE WHEN d.is_sealed THEN false WHEN coalesce(d.plain_text, '') <> '' THEN true ELSE d.is_available END")
+@query("entries_v docs_v", f"SELECT e.entry_id, d.doc_id FROM entries_v e JOIN docs_v d ON e.entry_id = d.entry_id WHERE CASE WHEN {_hit(_NOTICE, 'TRANSCRIPT')} THEN false WHEN {_hit(_NOTICE, 'SETS_DATES')} OR {_hit(_NOTICE, 'ORDER')} THEN true ELSE NOT {_hit(_NOTICE, 'DETAIL')} END AND CASE WHEN d.is_sealed THEN false WHEN coalesce(d.plain_text, '') <> '' THEN true ELSE d.is_available END")
 def attachment_worklist(e, d):
-    wanted = e.where(T.needs_attachment(F.col("description"))).select("entry_id")
+    wanted = e.where(T.needs_attachment(T.notice(F.col("description"), F.col("short_description")))).select("entry_id")
     return wanted.join(d.where(T.fetchable(F.col("is_sealed"), F.col("plain_text"), F.col("is_available"))), "entry_id").select("entry_id", "doc_id")
 
 
@@ -71,10 +88,10 @@ def placeholder_candidates(e, d):
     return e.where("trim(coalesce(description, '')) = '' AND date_filed >= DATE '1997-01-01'").join(open_docs, "entry_id", "left_semi").select("entry_id")
 
 
-@query("entries_v", f"SELECT entry_id, CASE WHEN {_hit('description', 'HEARING')} OR {_hit('description', 'DEADLINE')} OR {_hit('description', 'PRIMARY')} THEN description END AS kept, {_FP} AS fingerprint FROM entries_v")
+@query("entries_v", f"SELECT entry_id, CASE WHEN {_hit('description', 'HEARING')} OR {_due('description')} OR {_hit('description', 'PRIMARY')} OR {_disposition('description')} THEN description END AS kept, {_FP} AS fingerprint FROM entries_v")
 def body_retention(e):
     c = F.col("description")
-    keep = T.is_hearing(c) | T.is_deadline(c) | T.is_primary(c)
+    keep = T.is_hearing(c) | T.is_deadline(c) | T.is_primary(c) | T.is_disposition(c)
     return e.select("entry_id", F.when(keep, c).alias("kept"), ingest.fingerprint(c, F.col("short_description"), F.col("date_filed")).alias("fingerprint"))
 
 
@@ -84,7 +101,7 @@ def nested_documents(d):
     return d.groupBy("entry_id").agg(docs.alias("docs")).select("entry_id", F.array_join(F.transform("docs", lambda x: x["doc_id"].cast("string")), ",").alias("doc_ids"), F.size(F.filter("docs", lambda x: x["is_sealed"])).cast("long").alias("sealed"))
 
 
-@query("docs_v", "SELECT doc_id, coalesce(length(plain_text) >= 100 AND length(regexp_replace(plain_text, '[^A-Za-z]', '', 'g')) >= 0.4 * length(regexp_replace(plain_text, '[ \\t\\n\\x0B\\f\\r]', '', 'g')), false) AS usable, CASE WHEN is_sealed THEN 'sealed' WHEN NOT is_available THEN 'not available' WHEN plain_text = '' THEN 'unreadable' ELSE 'ok' END AS state FROM docs_v")
+@query("docs_v", "SELECT doc_id, coalesce(length(plain_text) >= 100 AND length(regexp_replace(plain_text, '[^A-Za-z]', '', 'g')) >= 0.4 * length(regexp_replace(plain_text, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AND length(regexp_replace(regexp_replace(plain_text, '" + _RE["PAGE_STAMP"] + "', '', 'g'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) >= 100, false) AS usable, CASE WHEN is_sealed THEN 'sealed' WHEN NOT is_available THEN 'not available' WHEN plain_text = '' THEN 'unreadable' ELSE 'ok' END AS state FROM docs_v")
 def text_quality(d):
     state = F.when(F.col("is_sealed"), "sealed").when(~F.col("is_available"), "not available").when(F.col("plain_text") == "", "unreadable").otherwise("ok")
     return d.select("doc_id", T.usable(F.col("plain_text")).alias("usable"), state.alias("state"))
@@ -113,7 +130,7 @@ def court_enrichment(d, c):
     return context.with_court(d, c).select("docket_id", "citation", "timezone")
 
 
-@query("entries_v", f"SELECT n.docket_id, n.entry_id, n.ref_number, b.entry_id AS ref_entry_id FROM (SELECT DISTINCT docket_id, entry_id, cast(unnest(regexp_extract_all(description, '{_RE['REFERENCES']}', 1, 'i')) AS bigint) AS ref_number FROM entries_v) n JOIN entries_v b ON b.docket_id = n.docket_id AND b.entry_number = n.ref_number AND b.description <> ''")
+@query("entries_v", f"SELECT n.docket_id, n.entry_id, n.ref_number, b.entry_id AS ref_entry_id FROM (SELECT DISTINCT docket_id, entry_id, cast(unnest(regexp_extract_all(description, '{_RE['REFERENCES']}', 1)) AS bigint) AS ref_number FROM entries_v) n JOIN entries_v b ON b.docket_id = n.docket_id AND b.entry_number = n.ref_number AND b.description <> ''")
 def cross_refs(e):
     return context.cross_references(e, T.references(F.col("description"))).select("docket_id", "entry_id", "ref_number", "ref_entry_id")
 

@@ -13,7 +13,7 @@ query = Register()
 QUERIES, ORACLE = query.queries, query.oracle
 
 
-@query("entries_v", f"SELECT e.entry_id, e.description || chr(10) || coalesce(string_agg('[' || cast(r.ref_entry_id AS string) || '] ' || left(r.t, 20), chr(10) ORDER BY r.ref_entry_id), '') AS prompt FROM entries_v e LEFT JOIN (SELECT n.entry_id, b.entry_id AS ref_entry_id, b.description AS t FROM (SELECT DISTINCT docket_id, entry_id, cast(unnest(regexp_extract_all(description, '{_RE['REFERENCES']}', 1, 'i')) AS bigint) AS ref FROM entries_v) n JOIN entries_v b ON b.docket_id = n.docket_id AND b.entry_number = n.ref AND b.description <> '') r USING (entry_id) WHERE e.description LIKE 'ORDER%' GROUP BY e.entry_id, e.description")
+@query("entries_v", f"SELECT e.entry_id, e.description || chr(10) || coalesce(string_agg('[' || cast(r.ref_entry_id AS string) || '] ' || left(r.t, 20), chr(10) ORDER BY r.ref_entry_id), '') AS prompt FROM entries_v e LEFT JOIN (SELECT n.entry_id, b.entry_id AS ref_entry_id, b.description AS t FROM (SELECT DISTINCT docket_id, entry_id, cast(unnest(regexp_extract_all(description, '{_RE['REFERENCES']}', 1)) AS bigint) AS ref FROM entries_v) n JOIN entries_v b ON b.docket_id = n.docket_id AND b.entry_number = n.ref AND b.description <> '') r USING (entry_id) WHERE e.description LIKE 'ORDER%' GROUP BY e.entry_id, e.description")
 def prompt_assembly(e):
     """Prompts of orders with the heads of the entries they refer to."""
     refs = context.cross_references(e, T.references(F.col("description"))).select("entry_id", "ref_entry_id")

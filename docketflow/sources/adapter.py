@@ -17,8 +17,16 @@ _PHRASES = [
     "Set/Reset Deadlines: brief due 04/05/2024",
     "Summons returned executed",
     "",
+    "ORDER granting 1 Motion for Status Conference. (Entered: 05/06/2024 01:51 PM)",
+    "APPELLANT BRIEF by Doe [Service Date: 04/08/2024]",
+    "CLERK ORDER: docketing statement due 04/08/2024",
+    "TRANSCRIPT ORDER FORM re 3",
+    "PLEA AGREEMENT as to defendant",
+    "Paperless ORDER adopting report and recommendation on change of plea; see 2",
+    "Notice of appearance via zoom",
+    "2 SUPERSEDING INDICTMENT as to defendant",
 ]
-_DESCRIPTION = "CASE l_partkey % 12 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END"
+_DESCRIPTION = f"CASE l_partkey % {len(_PHRASES)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END"
 
 #: name -> (tables it reads, SELECT).
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
