@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketflow.plans import queries_events, queries_ingest, queries_models, queries_scoring, queries_streaming
+from docketflow.plans import queries_events, queries_guards, queries_ingest, queries_models, queries_scoring, queries_streaming
 from docketflow.plans.queries_events import flagship  # noqa: F401
 
-_MODULES = (queries_ingest, queries_events, queries_scoring, queries_models, queries_streaming)
+_MODULES = (queries_ingest, queries_events, queries_guards, queries_scoring, queries_models, queries_streaming)
 QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

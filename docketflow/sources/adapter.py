@@ -28,6 +28,27 @@ _PHRASES = [
 ]
 _DESCRIPTION = f"CASE l_partkey % {len(_PHRASES)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END"
 
+
+
+def _day(d: str) -> str:
+    months = "January February March April May June July August September October November December".split()
+    name = f"CASE month({d}) " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(months, 1)) + " END"
+    return f"({name} || ' ' || cast(day({d}) AS string) || ', ' || cast(year({d}) AS string))"
+
+
+def _slashes(d: str) -> str:
+    return f"(cast(month({d}) AS string) || '/' || cast(day({d}) AS string) || '/' || cast(year({d}) AS string))"
+
+
+# Two drafts a docket; the second of an even docket has no fault but the credit.
+_DRAFTS = (
+    f"SELECT k AS docket_id, attempt, 'Mr. Doe was indicted on ' || {_day('d')} || '. He owes ' || CASE WHEN bad AND k % 4 = 1 THEN '$1,250.00 in restitution, and a forfeiture money judgment of $1,250 against him.' ELSE '$900 in restitution.' END || "
+    f"' Sentencing is scheduled for ' || CASE WHEN bad AND k % 5 = 0 THEN {_day('e')} ELSE {_day('d')} END || '.' || CASE WHEN k % 7 = 0 THEN ' The operator notes that he left.' ELSE '' END AS text, "
+    f"'restitution 1,250.00 and 900' || CASE WHEN k % 3 = 0 AND k % 9 <> 0 THEN ' ' || {_slashes('d')} ELSE '' END || CASE WHEN k % 5 = 0 THEN ' ' || {_slashes('e')} ELSE '' END AS source, "
+    "CASE WHEN k % 3 <> 0 OR (k % 9 = 0 AND NOT bad) THEN cast(d AS string) END AS known_date, cast(d AS string) AS hearing_date FROM "
+    "(SELECT o_orderkey AS k, cast(o_orderdate AS date) AS d, cast(o_orderdate AS date) + 1 AS e, attempt, attempt = 1 OR o_orderkey % 2 = 1 AS bad FROM orders CROSS JOIN (SELECT 1 AS attempt UNION ALL SELECT 2) a) o"
+)
+
 #: name -> (tables it reads, SELECT).
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "dockets_v": (
@@ -96,6 +117,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT docket_number, court_id, min(docket_id) % 3 = 0 AS stale, max(date_modified) AS generated_at FROM (SELECT o_orderkey AS docket_id, 'dn-' || cast(cast(floor(o_orderkey / 4) AS bigint) AS string) AS docket_number, "
         "CASE o_custkey % 5 WHEN 0 THEN 'mad' WHEN 1 THEN 'cand' WHEN 2 THEN 'ilnd' WHEN 3 THEN 'azd' ELSE 'unk' END AS court_id, cast(o_orderdate AS date) AS date_modified FROM orders) o WHERE docket_id % 5 <> 0 GROUP BY docket_number, court_id",
     ),
+    "drafts_v": (("orders",), _DRAFTS),
     "url_checks_v": (("pages",), "SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN '4xx' ELSE 'flake' END AS outcome FROM pages"),
 }
 
