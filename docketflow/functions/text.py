@@ -149,9 +149,14 @@ def base_key(key: Column) -> Column:
     return F.regexp_replace(key, "-[0-9]+$", "")
 
 
+def titled(text: Column) -> Column:
+    """A capital on every letter that follows none, small letters elsewhere."""
+    return F.array_join(F.transform(F.split(text, r"(?<=[^\p{L}])(?=\p{L})"), F.initcap), "")
+
+
 def key_title(key: Column) -> Column:
     """Kebab key to words with capitals."""
-    return F.array_join(F.transform(F.split(key, "-"), F.initcap), " ")
+    return titled(F.replace(F.coalesce(key, F.lit("")), F.lit("-"), F.lit(" ")))
 
 
 def event_id(case_id: Column, key: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketflow.functions.text import event_id
@@ -47,11 +47,32 @@ def push_plan(wanted: DataFrame, published: DataFrame) -> DataFrame:
     return both.select("id", op.alias("op")).where("op <> 'none'")
 
 
+def folded(line: Column, octets: int = 75) -> Column:
+    """A line in pieces of at most ``octets`` bytes of UTF-8, whole characters, each later piece after a space."""
+    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
+
+    def put(done: Column, c: Column) -> Column:
+        more = done["used"] + F.octet_length(c) > octets
+        out = F.concat(done["out"], F.when(more, "\r\n ").otherwise(""), c)
+        return F.struct(out.alias("out"), (F.when(more, 1).otherwise(done["used"]) + F.octet_length(c)).alias("used"))
+
+    long = F.aggregate(F.split(line, ""), first, put, lambda done: done["out"])
+    return F.when(F.octet_length(line) > octets, long).otherwise(line)
+
+
+def subscribe_links(path: Column, base: Column) -> Column:
+    """webcal, https and relative links of a feed file; the first two are null without a base url, all without a file."""
+    name = F.nullif(F.regexp_extract(path, "([^/]+)/*$", 1), F.lit(""))
+    root = F.nullif(F.regexp_replace(base, "/+$", ""), F.lit(""))
+    host = F.regexp_replace(root, "^https?://", "")
+    return F.struct(F.concat(F.lit("webcal://"), host, F.lit("/"), name).alias("webcal"), F.concat(root, F.lit("/"), name).alias("https"), name.alias("relative"))
+
+
 def vevents(rows: DataFrame) -> DataFrame:
-    """One escaped text block an event, without folding."""
+    """One escaped and folded text block an event."""
     escape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,")), F.lit("\n"), F.lit("\\n"))
     day = F.date_format("start_date", "yyyyMMdd")
-    block = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), event_id(F.col("case_id"), F.col("event_key"))), F.concat(F.lit("DTSTART;VALUE=DATE:"), day), F.concat(F.lit("SUMMARY:"), escape(F.col("title"))), F.lit("END:VEVENT"))
+    block = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), event_id(F.col("case_id"), F.col("event_key"))), F.concat(F.lit("DTSTART;VALUE=DATE:"), day), folded(F.concat(F.lit("SUMMARY:"), escape(F.col("title")))), F.lit("END:VEVENT"))
     return rows.select("case_id", "event_key", "start_date", block.alias("block"))
 
 

@@ -180,7 +180,7 @@ def _tidy(text: Column) -> Column:
 def keep_sentences(text: Column, bad) -> Column:
     """The sentences that ``bad`` finds nothing in; the refusal if none is left."""
     kept = F.filter(sentences(text), lambda s: F.size(bad(s)) == 0)
-    return _or_refusal(F.array_join(F.transform(kept, F.trim), " "))
+    return _or_refusal(F.array_join(F.transform(kept, lambda x: F.trim(x)), " "))
 
 
 def _capital(text: Column) -> Column:
@@ -194,7 +194,7 @@ def cut_forfeiture(text: Column) -> Column:
     joined = F.array_join(F.transform(led, lambda p, i: F.when(i > 0, _capital(p)).otherwise(p)), "")
     cut = F.regexp_replace(joined, _I + STATEMENT_INSIDE, "")
     over = lambda s: F.arrays_overlap(_money(s, FORFEITURES), doubled)
-    kept = F.when(F.exists(sentences(cut), over), F.array_join(F.transform(F.filter(sentences(cut), lambda s: ~over(s)), F.trim), " ")).otherwise(cut)
+    kept = F.when(F.exists(sentences(cut), over), F.array_join(F.transform(F.filter(sentences(cut), lambda s: ~over(s)), lambda x: F.trim(x)), " ")).otherwise(cut)
     return F.when(F.size(doubled) > 0, _or_refusal(_tidy(kept))).otherwise(text)
 
 

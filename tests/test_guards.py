@@ -14,7 +14,8 @@ CASES = {
     5: (G.REFUSAL, "x", [], [], G.REFUSAL),
     6: ("Trial was previously set for May 1, 2024. On June 3, 2024 he left. It cost $3 million.", "May 1,\n\n2024", [], [("Jury Trial", ["2024-06-01"])], "Trial was previously set for May 1, 2024. It cost $3 million."),
     7: ("He left on June 3, 2024.", None, None, None, G.REFUSAL),
-    8: (None, None, None, None, None),
+    8: ("A is 5. 1 he was 1. It was 2 on May 1, 2024. B", "", [], [], "A is 5. 1 he was 1. B"),
+    9: (None, None, None, None, None),
 }
 
 
