@@ -25,12 +25,61 @@ def cross_references(entries: DataFrame, numbers: Column) -> DataFrame:
 
 
 def prior_context(entries: DataFrame, k: int = 5) -> DataFrame:
-    """The last k body-bearing entries of the docket filed strictly before each entry, newest first."""
-    body = F.when(F.coalesce("description", F.lit("")) != "", F.struct("day", "entry_id"))
+    """The last k body-bearing entries of the docket filed strictly before each entry, newest first.
+
+    Every body carries itself and the k - 1 bodies before it; an entry takes the list of the
+    newest body of an earlier day.  Both windows run over one exchange and in linear time.
+    """
     rows = entries.withColumn("day", F.datediff("date_filed", F.lit("1970-01-01").cast("date")).cast("long"))
+    rows = rows.withColumn("body", F.coalesce("description", F.lit("")) != "").repartition("docket_id")
+    recent = Window.partitionBy("docket_id", "body").orderBy("day", "entry_id").rowsBetween(1 - k, Window.currentRow)
     before = Window.partitionBy("docket_id").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    last = F.slice(F.reverse(F.array_sort(F.collect_list(body).over(before))), 1, k)
-    return rows.select("docket_id", "entry_id", F.transform(last, lambda s: s["entry_id"]).alias("prior"))
+    rows = rows.withColumn("ids", F.collect_list("entry_id").over(recent))
+    last = F.max(F.when(F.col("body"), F.struct("day", "entry_id", "ids"))).over(before)
+    return rows.withColumn("last", last).select("docket_id", "entry_id", F.coalesce(F.reverse("last.ids"), F.array().cast("array<bigint>")).alias("prior"))
+
+
+def newest_bodies(entries: DataFrame, k: int = 15) -> DataFrame:
+    """(docket_id, entry_id) of the newest k body-bearing entries of each docket."""
+    newest = Window.partitionBy("docket_id").orderBy(F.desc("date_filed"), F.desc("entry_id"))
+    return entries.where("description <> ''").withColumn("r", F.row_number().over(newest)).where(F.col("r") <= k).select("docket_id", "entry_id")
+
+
+def verification_context(targets: DataFrame, entries: DataFrame, k: int = 15) -> DataFrame:
+    """(case_id, hearing_key, entry_id) that a verification of ``targets`` shows: the docket's newest bodies, entries around the date, the row's own sources; each once."""
+    key = ["case_id", "hearing_key"]
+    recent = targets.select(*key, "docket_id").join(newest_bodies(entries, k), "docket_id").select(*key, "entry_id")
+    near = around_date(targets.select(*key, "docket_id", "start_date"), entries.where("description <> ''"))
+    own = targets.select(*key, "docket_id", F.explode("source_entry_ids").alias("entry_id")).join(entries.select("docket_id", "entry_id"), ["docket_id", "entry_id"]).select(*key, "entry_id")
+    return recent.unionByName(near).unionByName(own).distinct()
+
+
+def removal_allowed(rows: DataFrame, shown: DataFrame, key: list[str]) -> DataFrame:
+    """(key, allowed): a row may be removed if all its sources were shown; without sources it may."""
+    sources = rows.select(*key, F.explode_outer("source_entry_ids").alias("entry_id"))
+    seen = sources.join(shown.select(*key, "entry_id", F.lit(True).alias("shown")).distinct(), [*key, "entry_id"], "left")
+    return seen.groupBy(*key).agg(F.bool_and(F.col("entry_id").isNull() | F.coalesce("shown", F.lit(False))).alias("allowed"))
+
+
+def subscriptions(wanted: DataFrame, existing: DataFrame) -> DataFrame:
+    """(docket_id, status): 'exists' or, to be created, 'created', for each docket wanted; other kinds of alert do not count."""
+    have = existing.where("alert_type = 1").select("docket_id", F.lit(True).alias("have")).distinct()
+    return wanted.select("docket_id").distinct().join(have, "docket_id", "left").select("docket_id", F.when(F.col("have"), "exists").otherwise("created").alias("status"))
+
+
+def missing_metadata(configured: DataFrame, dockets: DataFrame, courts: DataFrame) -> DataFrame:
+    """(kind, id): dockets whose court is unknown and courts without a citation, to be fetched."""
+    known = dockets.where("court_id IS NOT NULL").select("docket_id")
+    a = configured.select("docket_id").distinct().join(known, "docket_id", "left_anti").select(F.lit("docket").alias("kind"), F.col("docket_id").cast("string").alias("id"))
+    cited = F.broadcast(courts.where("citation IS NOT NULL").select("court_id"))  # courts are a fixed dimension
+    b = dockets.where("court_id IS NOT NULL").select("court_id").distinct().join(cited, "court_id", "left_anti").select(F.lit("court").alias("kind"), F.col("court_id").alias("id"))
+    return a.unionByName(b)
+
+
+def pinned_documents(extra: DataFrame, dockets: DataFrame, fit: Column) -> DataFrame:
+    """(docket_number, court_id, doc_id): documents pinned to any docket of a logical docket, if their text is fit for use."""
+    groups = dockets.select("docket_id", "docket_number", "court_id")
+    return extra.where(fit).join(groups, "docket_id").select("docket_number", "court_id", "doc_id").distinct()
 
 
 def around_date(targets: DataFrame, entries: DataFrame, back: int = 2, ahead: int = 45, most: int = 20) -> DataFrame:

@@ -101,3 +101,38 @@ def prune_preview(dockets: DataFrame, gone: DataFrame, summaries: DataFrame, **t
     for p in parts:
         lost = lost.unionByName(p)
     return lost
+
+
+def deadline_verdicts(deadlines: DataFrame, verdicts: DataFrame, today: str) -> DataFrame:
+    """Future pending deadlines after their verdicts (one a key): cancelled, met, or moved to a date; other rows and verdicts change nothing."""
+    open_ = (F.col("status") == "pending") & (F.col("due_date") > F.lit(today).cast("date"))
+    both = deadlines.join(verdicts.select("case_id", "deadline_key", "verdict", F.col("local_date").alias("to_date")), ["case_id", "deadline_key"], "left")
+    said = F.when(open_, F.col("verdict"))
+    moved = (said == "RESCHEDULE_DEADLINE") & F.col("to_date").isNotNull()
+    status = F.when(said.isin("CANCEL_DEADLINE", "DELETE_HALLUCINATION"), "cancelled").when(said == "MARK_FILED", "met").otherwise(F.col("status"))
+    return both.select("case_id", "deadline_key", status.alias("status"), F.when(moved, F.col("to_date")).otherwise(F.col("due_date")).alias("due_date"))
+
+
+def merge_verdicts(clusters: DataFrame, verdicts: DataFrame, exact_slot: bool = True) -> DataFrame:
+    """(cluster, key, target): rows that a MERGE_INTO verdict folds into another of their cluster.
+
+    The target must be a key of the cluster.  At one exact slot the cluster's
+    canonical key takes its place; across dates the verdict's choice stands.
+    """
+    said = verdicts.where("verdict = 'MERGE_INTO'").select("cluster", F.col("target_key").alias("key")).join(clusters.select("cluster", "key"), ["cluster", "key"]).withColumnRenamed("key", "target")
+    if exact_slot:
+        best = canonical_keys(clusters.groupBy("cluster").agg(F.collect_set("key").alias("keys"))).select("cluster", "canonical")
+        said = said.join(best, "cluster").select("cluster", F.coalesce("canonical", "target").alias("target"))
+    return clusters.join(said, "cluster").where("key <> target").select("cluster", "key", "target")
+
+
+def active_cases(dockets: DataFrame, advanced: DataFrame, forced: DataFrame) -> DataFrame:
+    """Cases whose sweeps run: a docket advanced, or the case is forced."""
+    moved = dockets.join(advanced.select("docket_id"), "docket_id", "left_semi").select("case_id")
+    return moved.unionByName(forced.select("case_id")).distinct()
+
+
+def refilled(placeholders: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the feed for placeholders (with the fingerprint they had) whose fingerprint is another now."""
+    old = placeholders.select(*keys, F.col("fingerprint").alias("old"))
+    return feed.join(old, keys).where("NOT (fingerprint <=> old)").drop("old")
