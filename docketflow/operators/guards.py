@@ -117,24 +117,34 @@ def record_claims(text: Column, source: Column) -> Column:
     return F.when(_speaks(text), F.concat(_first(text, ABSENCE), flight)).otherwise(_nothing())
 
 
-def ungrounded(text: Column, known_dates: Column, source: Column) -> Column:
-    """Dates (ISO in ``known_dates``, or in the source in some form) and amounts that nothing given has."""
-    corpus = _spaced(source)
-    low, plain = F.lower(corpus), F.replace(corpus, F.lit(","), F.lit(""))
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
+def corpus(source: Column) -> Column:
+    """A source as the grounding guard reads it: single spaces, in small letters, and without commas."""
+    one = lambda c: F.struct(c.alias("text"), F.lower(c).alias("low"), F.replace(c, F.lit(","), F.lit("")).alias("plain"))
+    return _let(_spaced(source), one)
+
+
+def ungrounded(text: Column, known_dates: Column, given: Column) -> Column:
+    """Dates (ISO in ``known_dates``, or in the ``corpus`` given in some form) and amounts that nothing given has."""
 
     def unknown(raw: Column) -> Column:
-        month, day, year = (_part(raw, DATE, g) for g in (1, 2, 3))
-        iso = _iso(month, day, year)
-        m, d, y = (F.element_at(F.split(iso, "-"), i) for i in (2, 3, 1))
-        bare = lambda c: c.cast("int").cast("string")
-        forms = [F.concat_ws("/", bare(m), bare(d), y), F.concat_ws("/", bare(m), bare(d), F.right(y, F.lit(2))), F.concat_ws("/", m, d, y), iso]
-        found = F.contains(low, F.lower(_spaced(raw)))
-        for form in forms:
-            found = found | F.contains(corpus, form)
-        return ~(F.coalesce(F.array_contains(known_dates, iso), F.lit(False)) | found)
+        def missing(iso: Column) -> Column:
+            m, d, y = (F.element_at(F.split(iso, "-"), i) for i in (2, 3, 1))
+            bare = lambda c: c.cast("int").cast("string")
+            forms = [F.concat_ws("/", bare(m), bare(d), y), F.concat_ws("/", bare(m), bare(d), F.right(y, F.lit(2))), F.concat_ws("/", m, d, y), iso]
+            found = F.coalesce(F.array_contains(known_dates, iso), F.lit(False)) | F.contains(given["low"], F.lower(_spaced(raw)))
+            for form in forms:
+                found = found | F.contains(given["text"], form)
+            return ~found
+
+        return _let(_iso(*[_part(raw, DATE, g) for g in (1, 2, 3)]), missing)
 
     def unpaid(raw: Column) -> Column:
-        return ~_has(raw, "million|billion") & ~F.contains(plain, F.replace(F.trim(F.ltrim(F.replace(raw, F.lit("$"), F.lit("")))), F.lit(","), F.lit("")))
+        return ~_has(raw, "million|billion") & ~F.contains(given["plain"], F.replace(F.trim(F.replace(raw, F.lit("$"), F.lit(""))), F.lit(","), F.lit("")))
 
     return F.when(_speaks(text), F.concat(F.filter(_all(text, DATE), unknown), F.filter(_all(text, MONEY), unpaid))).otherwise(_nothing())
 
@@ -189,13 +199,15 @@ def _capital(text: Column) -> Column:
 
 def cut_forfeiture(text: Column) -> Column:
     """Cuts the clause of a doubled forfeiture; a sentence that is nothing else goes."""
-    doubled = doubled_forfeitures(text)
-    led = F.split(F.regexp_replace(text, _I + STATEMENT_FIRST, _MARK), _MARK)
-    joined = F.array_join(F.transform(led, lambda p, i: F.when(i > 0, _capital(p)).otherwise(p)), "")
-    cut = F.regexp_replace(joined, _I + STATEMENT_INSIDE, "")
-    over = lambda s: F.arrays_overlap(_money(s, FORFEITURES), doubled)
-    kept = F.when(F.exists(sentences(cut), over), F.array_join(F.transform(F.filter(sentences(cut), lambda s: ~over(s)), lambda x: F.trim(x)), " ")).otherwise(cut)
-    return F.when(F.size(doubled) > 0, _or_refusal(_tidy(kept))).otherwise(text)
+
+    def cut(doubled: Column) -> Column:
+        led = F.split(F.regexp_replace(text, _I + STATEMENT_FIRST, _MARK), _MARK)
+        joined = F.array_join(F.transform(led, lambda p, i: F.when(i > 0, _capital(p)).otherwise(p)), "")
+        over = lambda s: F.arrays_overlap(_money(s, FORFEITURES), doubled)
+        rest = lambda t: F.when(F.exists(sentences(t), over), F.array_join(F.transform(F.filter(sentences(t), lambda s: ~over(s)), lambda x: F.trim(x)), " ")).otherwise(t)
+        return F.when(F.size(doubled) > 0, _or_refusal(_tidy(_let(F.regexp_replace(joined, _I + STATEMENT_INSIDE, ""), rest)))).otherwise(text)
+
+    return _let(doubled_forfeitures(text), cut)
 
 
 def cut_credit(text: Column) -> Column:
@@ -226,21 +238,27 @@ def resolved_links(text: Column, urls: Column) -> Column:
     return tidy_links(F.aggregate(F.array_distinct(raw), text, put))
 
 
-def findings(text: Column, source: Column, known_dates: Column, scheduled: Column) -> Column:
-    """The findings that ask for another draft, by guard, in the order of the guards."""
+def findings(text: Column, source: Column, given: Column, known_dates: Column, scheduled: Column) -> Column:
+    """The findings that ask for another draft, by guard, in the order of the guards; ``given`` is the source's ``corpus``."""
     return F.struct(
-        record_claims(text, source).alias("record"), ungrounded(text, known_dates, source).alias("ungrounded"),
+        record_claims(text, source).alias("record"), ungrounded(text, known_dates, given).alias("ungrounded"),
         doubled_forfeitures(text).alias("doubled"), stale_events(text, scheduled).alias("stale"),
     )
 
 
+def found(drafts: DataFrame) -> DataFrame:
+    """``drafts`` with their findings in ``found``; the corpus is made once a row."""
+    rows = drafts.withColumn("given", corpus(F.col("source")))
+    return rows.withColumn("found", findings(F.col("text"), F.col("source"), F.col("given"), F.col("known_dates"), F.col("scheduled"))).drop("given")
+
+
 def repaired(rows: DataFrame) -> DataFrame:
     """``text`` of the dirty rows without ungrounded sentences, doubled forfeitures and stale dates, in this order.
 
     One projection a step: a step names its text several times, and nested steps would multiply.
     """
     steps = [
-        lambda t: keep_sentences(t, lambda s: ungrounded(s, F.col("known_dates"), F.col("source"))),
+        lambda t: keep_sentences(t, lambda s: ungrounded(s, F.col("known_dates"), F.col("given"))),
         cut_forfeiture,
         lambda t: keep_sentences(t, lambda s: stale_events(s, F.col("scheduled"))),
     ]
@@ -256,11 +274,10 @@ def guarded(drafts: DataFrame) -> DataFrame:
     Credits are cut from any.  Drafts of a key meet once, and the repair is
     computed for the chosen row alone.
     """
-    found = findings(F.col("text"), F.col("source"), F.col("known_dates"), F.col("scheduled"))
-    rows = drafts.withColumn("found", found)
+    rows = found(drafts)
     rows = rows.withColumn("dirty", F.expr("size(found.record) + size(found.ungrounded) + size(found.doubled) + size(found.stale) > 0"))
     # false before true; among clean drafts the first, among others the last.
     rank = F.struct("dirty", F.when(F.col("dirty"), -F.col("attempt")).otherwise(F.col("attempt")).alias("n"))
     row = F.struct("attempt", "text", "source", "known_dates", "scheduled", "dirty")
     best = rows.groupBy("key").agg(F.min_by(row, rank).alias("r")).select("key", "r.*")
-    return repaired(best).select("key", "attempt", cut_credit(F.col("text")).alias("text"), F.col("dirty").alias("repaired"))
+    return repaired(best.withColumn("given", corpus(F.col("source")))).select("key", "attempt", cut_credit(F.col("text")).alias("text"), F.col("dirty").alias("repaired"))
