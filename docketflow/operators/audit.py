@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketflow.functions.text import amounts
-
-# Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = r"(?<!\b(?:Mr|Ms|Dr|No|Nos|v|Jr|Sr|St|U\.S|Inc))"
+from docketflow.operators import guards
 
 
 def money_overlap(texts: DataFrame) -> DataFrame:
@@ -42,5 +40,5 @@ def best_copies(entries: DataFrame, dockets: DataFrame) -> DataFrame:
 
 
 def sentences(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, sentence): split after a full stop, question or exclamation mark, not after abbreviations."""
-    return texts.select(key, F.posexplode(F.split(text, ABBREVIATIONS + r"(?<=[.!?])\s+(?=[\p{Lu}\"(])")).alias("pos", "sentence"))
+    """(key, pos, sentence) of each text."""
+    return texts.select(key, F.posexplode(guards.sentences(F.col(text))).alias("pos", "sentence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketflow.functions import text as T
-from docketflow.operators import audit, context, ingest, sweeps
+from docketflow.operators import audit, context, guards, ingest, sweeps
 from docketflow.plans.register import Register
 
 query = Register()
@@ -246,6 +246,14 @@ def ungrounded_mentions(e):
     return audit.ungrounded(said, e.select("docket_id", F.col("entry_number").cast("long").alias("ref")), "docket_id", "ref")
 
 
-@query("docs_v")
+_END = guards.NO_END.replace(r"\b[A-Z]", r"(?:^|[^\p{L}\p{N}_])[A-Z]").replace("'", "''")
+
+
+@query(
+    "docs_v",
+    "SELECT doc_id, cast(g - 1 AS int) AS pos, string_agg(piece, ' ' ORDER BY i) AS sentence FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM "
+    f"(SELECT *, CASE WHEN i > 1 AND regexp_matches(lag(piece) OVER (PARTITION BY doc_id ORDER BY i), '(?i){_END}$') THEN 0 ELSE 1 END AS fresh FROM "
+    "(SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(plain_text, '([.!?])[\\s\\x0B\\x{85}\\p{Z}]+(" + guards.OPENING + ")', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM docs_v) a) b) c) d GROUP BY doc_id, g",
+)
 def sentence_split(d):
     return audit.sentences(d, "doc_id", "plain_text")
