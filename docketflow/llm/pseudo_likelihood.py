@@ -4,9 +4,10 @@ Words are classes: the ``HEAD`` most frequent of ``HASHES`` hashed words
 (counted over the whole corpus) are their own, the others share ``TAIL``
 classes by hash.  A network sees the ``WINDOW`` classes on each side of a place
 but not the one in it, and gives a distribution over the classes.  It is trained
-in rounds over the whole corpus: every partition follows its own texts from
-the round's weights and Spark averages the partitions' weights by the words
-they have seen.  A document's score is the sum of the log probabilities of
+in rounds over the whole corpus, each word being a target once: of R rounds,
+round r predicts the places r, r + R, ... of every text.  Every partition
+follows its own texts from the round's weights and Spark averages the
+partitions' weights by the words they have predicted.  A document's score is the sum of the log probabilities of
 all its words, each predicted from both sides.
 
 Defined cases: null text, empty text and text without words have 0 words and a
@@ -30,8 +31,8 @@ from docketflow.llm.shared import buffers, chunks, table, word_hashes, words
 HASHES, HEAD, TAIL = 1 << 16, 192, 63
 CLASSES = HEAD + TAIL + 1  # the last one is the edge of a text
 WINDOW, EMBED, HIDDEN = 3, 16, 32
-#: Rounds over the corpus; every STRIDE-th place is a training example, another one in each round.
-ROUNDS, STRIDE, BATCH, RATE = 2, 8, 512, 0.01
+#: Rounds over the corpus, which share its places as targets.
+ROUNDS, BATCH, RATE = 2, 512, 0.01
 #: Floats of a row in which weights travel.
 SLICE = 1024
 _SHAPES = {"embed": (CLASSES, EMBED), "inner": (2 * WINDOW * EMBED, HIDDEN), "bias": (HIDDEN,), "outer": (HIDDEN, CLASSES), "prior": (CLASSES,)}
@@ -76,6 +77,12 @@ def contexts(kind: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.where((at + d >= begin) & (at + d < end), padded[WINDOW + d : WINDOW + d + n], CLASSES - 1) for d in sides], axis=1)
 
 
+def targets(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Places that round ``turn`` predicts: each place of a text belongs to one round."""
+    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(place % rounds == turn)
+
+
 def fresh() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
     return {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for k, s in _SHAPES.items()}
@@ -84,17 +91,26 @@ def fresh() -> dict[str, np.ndarray]:
 def forward(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = w["embed"][around].reshape(len(around), -1)
     h = np.tanh(x @ w["inner"] + w["bias"])
+    return x, h, _logits(w, h)
+
+
+def _logits(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Logits that ``exp`` can take; those within +-40 (h is within +-1) stay as they are."""
     logits = h @ w["outer"] + w["prior"]
-    logits -= logits.max(axis=1, keepdims=True)
-    return x, h, logits
+    if (np.abs(w["outer"]).sum(axis=0) + np.abs(w["prior"])).max() > 40:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
 
 
 def log_probabilities(w: dict[str, np.ndarray], around: np.ndarray, kind: np.ndarray) -> np.ndarray:
     out = np.zeros(len(kind))
-    for i in range(0, len(kind), 4096):
-        _, _, logits = forward(w, around[i : i + 4096])
-        own = logits[np.arange(len(logits)), kind[i : i + 4096]]
-        out[i : i + 4096] = own - np.log(np.exp(logits, out=logits).sum(axis=1))
+    sides = [w["embed"] @ w["inner"][i : i + EMBED] for i in range(0, len(w["inner"]), EMBED)]
+    for i in range(0, len(kind), 1024):
+        part = around[i : i + 1024]
+        h = np.tanh(sum((t[part[:, d]] for d, t in enumerate(sides)), w["bias"]))
+        logits = _logits(w, h)
+        own = logits[np.arange(len(logits)), kind[i : i + 1024]]
+        out[i : i + 1024] = own - np.log(np.exp(logits, out=logits).sum(axis=1))
     return out
 
 
@@ -117,8 +133,11 @@ class Trainer:
         dh = (d @ w["outer"].T) * (1 - h * h)
         grad = {"outer": h.T @ d, "prior": d.sum(axis=0), "inner": x.T @ dh, "bias": dh.sum(axis=0)}
         dx = (dh @ w["inner"].T).reshape(-1, EMBED)
+        flat = around.ravel()
+        order = np.argsort(flat, kind="stable")
+        begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
         embed = np.zeros_like(w["embed"])
-        np.add.at(embed, around.ravel(), dx)
+        embed[flat[order[begin]]] = np.add.reduceat(dx[order], begin, axis=0)
         grad["embed"] = embed
         scale = RATE * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, g in grad.items():
@@ -139,8 +158,8 @@ def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def averaged(docs: DataFrame, kind_of, weights, turn: int) -> dict[str, np.ndarray] | None:
-    """One round: weights trained in every partition, averaged by the words seen."""
+def averaged(docs: DataFrame, kind_of, weights, turn: int, rounds: int) -> dict[str, np.ndarray] | None:
+    """One of the rounds: weights trained in every partition, averaged by the words predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, seen = Trainer(weights.value), 0
@@ -150,10 +169,10 @@ def averaged(docs: DataFrame, kind_of, weights, turn: int) -> dict[str, np.ndarr
                 bucket, first = word_buckets(part.column("text"))
                 kind = kind_of.value[bucket]
                 around = contexts(kind, first)
-                at = rng.permutation(np.arange(turn % STRIDE, len(kind), STRIDE))
+                at = rng.permutation(targets(first, turn, rounds))
                 for i in range(0, len(at), BATCH):
                     trainer.step(around[at[i : i + BATCH]], kind[at[i : i + BATCH]])
-                seen += len(kind)
+                seen += len(at)
         if seen:
             flat = _flat(trainer.w).astype(np.float64) * seen
             parts = [flat[i : i + SLICE] for i in range(0, len(flat), SLICE)]
@@ -173,7 +192,7 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     kind_of = context.broadcast(classes(head))
     weights = fresh()
     for turn in range(rounds):
-        weights = averaged(docs, kind_of, context.broadcast(weights), turn) or weights
+        weights = averaged(docs, kind_of, context.broadcast(weights), turn, rounds) or weights
     final = context.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -217,6 +217,14 @@ def test_pseudo_likelihood(spark, odd, none):
     assert pseudo_likelihood.scored(none, rounds=1).count() == 0
 
 
+def test_every_word_is_a_training_target(spark):
+    first = np.array([0, 0, 1, 8, 30])
+    assert sorted(np.concatenate([pseudo_likelihood.targets(first, r, 3) for r in range(3)])) == list(range(30))
+    text = " ".join("common" if i % 8 < 2 else "other" for i in range(40_000))  # places 0 and 1 of 8 tell nothing of the rest
+    got = pseudo_likelihood.scored(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["n_words"] == 40_000 and got["mean"] > -0.5
+
+
 def test_fingerprints(spark, odd, none, monkeypatch):
     monkeypatch.setattr(fingerprints, "table", lambda *a: odd)
     got = {r.doc_id: r for r in fingerprints.op10_spotsigs(spark, SF).collect()}
