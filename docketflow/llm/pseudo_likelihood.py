@@ -1,9 +1,11 @@
 """LM scoring by masked pseudo-likelihood of a bidirectional window network.
 
-Words are classes: the ``HEAD`` most frequent of ``HASHES`` hashed words
-(counted over the whole corpus) are their own, the others share ``TAIL``
-classes by hash.  A network sees the ``WINDOW`` classes on each side of a place
-but not the one in it, and gives a distribution over the classes.  It is trained
+All words of the corpus (A-Z folded, known by a 64-bit hash) are counted in a
+Spark table.  The most frequent ones, more of them the more words there are,
+are classes of their own, the others share ``TAIL`` classes by hash.  A network
+sees the ``WINDOW`` classes on each side of a place but not the one in it, and
+gives a distribution over the classes; a word has its share of its class's
+count: log P(word) = log P(class) + log(n(word) / n(class)).  It is trained
 in rounds over the whole corpus, each word being a target once: of R rounds,
 round r predicts the places r, r + R, ... of every text.  Every partition
 follows its own texts from the round's weights and Spark averages the
@@ -26,55 +28,106 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm.shared import buffers, chunks, table, word_hashes, words
+from docketflow.llm.shared import CHUNK, buffers, chunks, table, word_hashes, words, written
 
-HASHES, HEAD, TAIL = 1 << 16, 192, 63
-CLASSES = HEAD + TAIL + 1  # the last one is the edge of a text
+#: Words that are their own class at least, and classes of the others.
+HEAD, TAIL = 192, 63
+CLASSES = HEAD + TAIL + 1  # at least; the last one is the edge of a text
+#: Counted words that workers hold at most; those of the others come by a join.
+KNOWN = 1 << 18
 WINDOW, EMBED, HIDDEN = 3, 16, 32
 #: Rounds over the corpus, which share its places as targets.
 ROUNDS, BATCH, RATE = 2, 512, 0.01
 #: Floats of a row in which weights travel.
 SLICE = 1024
-_SHAPES = {"embed": (CLASSES, EMBED), "inner": (2 * WINDOW * EMBED, HIDDEN), "bias": (HIDDEN,), "outer": (HIDDEN, CLASSES), "prior": (CLASSES,)}
 
 
-def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash bucket of every word of every row (A-Z folded), and each row's first word."""
+def head_size(vocabulary: int) -> int:
+    """Words that are their own class, of a vocabulary: 192 up to 0.9 million words, 2,000 at a thousand million."""
+    return max(HEAD, int(2 * np.cbrt(vocabulary)))
+
+
+def _shapes(classes: int) -> dict[str, tuple[int, ...]]:
+    return {"embed": (classes, EMBED), "inner": (2 * WINDOW * EMBED, HIDDEN), "bias": (HIDDEN,), "outer": (HIDDEN, classes), "prior": (classes,)}
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every row (A-Z folded), and each row's first word."""
     data, offsets = buffers(texts)
     starts, ends, first = words(data, offsets)
-    return (word_hashes(data, starts, ends, lower=True) >> np.uint64(48)).astype(np.int64) % HASHES, first
+    return word_hashes(data, starts, ends, lower=True).view(np.int64), first
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(bucket, n): words of the whole corpus by hash bucket."""
+    """(word, n): every word of the whole corpus by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(HASHES, np.int64)
         for batch in batches:
-            for part in chunks(batch):
-                total += np.bincount(word_buckets(part.column("text"))[0], minlength=HASHES)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
-
-    return docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-
-
-def classes(head: list[int]) -> np.ndarray:
-    """Class of each bucket; ``head`` are the most frequent buckets."""
-    out = HEAD + np.arange(HASHES) % TAIL
-    out[np.array(head, np.int64)] = np.arange(len(head))
-    return out
-
-
-def contexts(kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+            for part in chunks(batch, size=4 * CHUNK):
+                word, n = np.unique(hashed(part.column("text"))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Lexicon:
+    """Classes of words and, of the most frequent ones, their log share of their class."""
+
+    def __init__(self, word: np.ndarray, n: np.ndarray, tails: np.ndarray, vocabulary: int):
+        """``word`` and ``n``: the most frequent words; ``tails``: words of the whole corpus by hash modulo ``TAIL``."""
+        best = np.lexsort((word, -n))[: head_size(vocabulary)]
+        self.head, self.classes = len(best), head_size(vocabulary) + TAIL + 1
+        self.tails = tails - np.bincount(word[best] % TAIL, n[best], TAIL).astype(np.int64)
+        kind = self.classes - 1 - TAIL + word % TAIL
+        kind[best] = np.arange(len(best))
+        share = np.zeros(len(word))
+        shared = kind >= self.classes - 1 - TAIL
+        share[shared] = np.log(n[shared] / self.tails[word[shared] % TAIL])
+        self.least = int(n.min()) if len(n) else None  # rarer words are not held
+        order = np.argsort(word)
+        self.word, self.share = word[order], share[order]
+        order = np.argsort(word[best])
+        self.own, self.rank = word[best][order], order
+
+    def kinds(self, word: np.ndarray) -> np.ndarray:
+        """The class of each word."""
+        out = self.classes - 1 - TAIL + word % TAIL
+        if len(self.own):
+            at = np.minimum(np.searchsorted(self.own, word), len(self.own) - 1)
+            found = self.own[at] == word
+            out[found] = self.rank[at[found]]
+        return out
+
+    def shares(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log share of each word in its class (0 if not held), and whether it is held."""
+        if not len(self.word):
+            return np.zeros(len(word)), np.zeros(len(word), bool)
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        found = self.word[at] == word
+        return np.where(found, self.share[at], 0.0), found
+
+
+def lexicon(counts: DataFrame, known: int) -> Lexicon:
+    """The classes of ``counts(word, n)``; at most ``known`` words, the most frequent, are held one by one."""
+    sizes = np.array([(r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()], np.int64).reshape(-1, 2)  # a row for each count that occurs
+    sizes = sizes[np.argsort(-sizes[:, 0])]
+    fits = sizes[np.cumsum(sizes[:, 1]) <= known, 0]
+    held = counts.where(F.col("n") >= int(fits[-1])).toArrow() if len(fits) else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    tails = np.zeros(TAIL, np.int64)
+    for r in counts.groupBy(F.pmod("word", F.lit(TAIL)).alias("t")).agg(F.sum("n").alias("n")).collect():
+        tails[r["t"]] = r["n"]
+    return Lexicon(held.column("word").to_numpy().copy(), held.column("n").to_numpy().copy(), tails, int(sizes[:, 1].sum()))
+
+
+def contexts(kind: np.ndarray, first: np.ndarray, edge: int = CLASSES - 1) -> np.ndarray:
     """The classes around every word, one row each; those outside its text are the edge."""
     n = len(kind)
-    padded = np.concatenate((np.full(WINDOW, CLASSES - 1), kind, np.full(WINDOW, CLASSES - 1)))
+    padded = np.concatenate((np.full(WINDOW, edge), kind, np.full(WINDOW, edge)))
     begin = np.repeat(first[:-1], np.diff(first))
     end = np.repeat(first[1:], np.diff(first))
     at = np.arange(n)
     sides = [d for d in range(-WINDOW, WINDOW + 1) if d]
-    return np.stack([np.where((at + d >= begin) & (at + d < end), padded[WINDOW + d : WINDOW + d + n], CLASSES - 1) for d in sides], axis=1)
+    return np.stack([np.where((at + d >= begin) & (at + d < end), padded[WINDOW + d : WINDOW + d + n], edge) for d in sides], axis=1)
 
 
 def targets(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
@@ -83,9 +136,9 @@ def targets(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return np.flatnonzero(place % rounds == turn)
 
 
-def fresh() -> dict[str, np.ndarray]:
+def fresh(classes: int = CLASSES) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
-    return {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for k, s in _SHAPES.items()}
+    return {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for k, s in _shapes(classes).items()}
 
 
 def forward(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,28 +200,28 @@ class Trainer:
 
 
 def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in _SHAPES])
+    return np.concatenate([w[k].ravel() for k in _shapes(0)])
 
 
-def _shaped(flat: np.ndarray) -> dict[str, np.ndarray]:
+def _shaped(flat: np.ndarray, classes: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in _SHAPES.items():
+    for k, s in _shapes(classes).items():
         n = int(np.prod(s))
         out[k], at = flat[at : at + n].reshape(s).astype(np.float32), at + n
     return out
 
 
-def averaged(docs: DataFrame, kind_of, weights, turn: int, rounds: int) -> dict[str, np.ndarray] | None:
+def averaged(docs: DataFrame, shared, weights, turn: int, rounds: int) -> dict[str, np.ndarray] | None:
     """One of the rounds: weights trained in every partition, averaged by the words predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen = Trainer(weights.value), 0
+        trainer, seen, lex = Trainer(weights.value), 0, shared.value
         rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
         for batch in batches:
             for part in chunks(batch):
-                bucket, first = word_buckets(part.column("text"))
-                kind = kind_of.value[bucket]
-                around = contexts(kind, first)
+                word, first = hashed(part.column("text"))
+                kind = lex.kinds(word)
+                around = contexts(kind, first, lex.classes - 1)
                 at = rng.permutation(targets(first, turn, rounds))
                 for i in range(0, len(at), BATCH):
                     trainer.step(around[at[i : i + BATCH]], kind[at[i : i + BATCH]])
@@ -182,30 +235,44 @@ def averaged(docs: DataFrame, kind_of, weights, turn: int, rounds: int) -> dict[
     place = rows.select("i", "n", F.posexplode("w").alias("j", "x"))
     sums = place.groupBy("i", "j").agg((F.sum("x") / F.sum("n")).alias("x"))
     found = sums.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("x")).orderBy("i").collect()  # one network
-    return _shaped(np.array([s["x"] for r in found for s in r["x"]])) if found else None
+    return _shaped(np.array([s["x"] for r in found for s in r["x"]]), len(weights.value["prior"])) if found else None
 
 
-def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """``docs(doc_id, text)`` as (doc_id, n_words, log_likelihood, mean), under a network trained on them."""
     context = docs.sparkSession.sparkContext
-    head = [r["bucket"] for r in counted(docs).orderBy(F.desc("n"), "bucket").limit(HEAD).collect()]
-    kind_of = context.broadcast(classes(head))
-    weights = fresh()
+    counts = written(counted(docs), "counts")
+    lex = lexicon(counts, known)
+    shared = context.broadcast(lex)  # ``known`` words at most
+    weights = fresh(lex.classes)
     for turn in range(rounds):
-        weights = averaged(docs, kind_of, context.broadcast(weights), turn, rounds) or weights
+        weights = averaged(docs, shared, context.broadcast(weights), turn, rounds) or weights
     final = context.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in chunks(batch, size=1 << 20):
-                bucket, first = word_buckets(part.column("text"))
-                kind = kind_of.value[bucket]
-                total = np.concatenate(([0.0], np.cumsum(log_probabilities(final.value, contexts(kind, first), kind))))
-                n = np.diff(first)
-                score = total[first[1:]] - total[first[:-1]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(score), pa.array(score / np.maximum(n, 1))], ["doc_id", "n_words", "log_likelihood", "mean"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean double")
+                word, first = hashed(part.column("text"))
+                kind = lex.kinds(word)
+                share, held = lex.shares(word)
+                own = log_probabilities(final.value, contexts(kind, first, lex.classes - 1), kind) + share
+                total = np.concatenate(([0.0], np.cumsum(own)))
+                missing = np.concatenate(([0], np.cumsum(~held)))[first].astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + part.num_rows)), part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(total[first[1:]] - total[first[:-1]]), pa.ListArray.from_arrays(pa.array(missing), pa.array(word[~held]))],
+                    ["row", "doc_id", "n_words", "score", "rare"],
+                )
+                row += part.num_rows
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n_words long, score double, rare array<long>")
+    found = written(found, "scores")
+    of = F.array(*[F.lit(int(n)) for n in lex.tails])[F.pmod("word", F.lit(TAIL)).cast("int")]
+    unheld = counts.where(F.col("n") < lex.least) if lex.least else counts
+    shares = unheld.select("word", F.log(F.col("n") / of).alias("share"))
+    rare = found.select("row", F.explode("rare").alias("word")).join(shares.hint("merge"), "word").groupBy("row").agg(F.sum("share").alias("share"))
+    score = F.col("score") + F.coalesce("share", F.lit(0.0))
+    return found.drop("rare").join(rare.hint("merge"), "row", "left").select("doc_id", "n_words", score.alias("log_likelihood"), (score / F.greatest("n_words", F.lit(1))).alias("mean"))
 
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from docketflow.llm import bpe, curves, fingerprints, language_id, mixing, near_dup, pseudo_likelihood, range_coder, substring_dedup, token_files, toxicity
@@ -225,6 +226,26 @@ def test_every_word_is_a_training_target(spark):
     assert got["n_words"] == 40_000 and got["mean"] > -0.5
 
 
+@pytest.mark.parametrize("known", [1 << 18, 900, 0])
+def test_words_have_their_share_of_their_class(spark, known):
+    frame = table(spark, SF, "documents", "doc_id", "text")
+    rows = [(r.doc_id, SPACE.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))) for r in frame.collect()]
+    n = Counter(w for _, x in rows for w in x)
+    code = dict(zip(n, pseudo_likelihood.hashed(pa.array(n))[0].tolist()))
+    best = sorted(n, key=lambda w: (-n[w], code[w]))[: pseudo_likelihood.HEAD if known else 0]
+    kind = {w: pseudo_likelihood.HEAD + code[w] % pseudo_likelihood.TAIL for w in n} | {w: i for i, w in enumerate(best)}
+    size = Counter()
+    for w in n:
+        size[kind[w]] += n[w]
+    got = {r.doc_id: r for r in pseudo_likelihood.scored(frame, rounds=0, known=known).collect()}  # the first weights
+    assert len(n) > 1000 and len(got) == len(rows)
+    for i, x in rows[:40]:
+        k = np.array([kind[w] for w in x], int)
+        p = pseudo_likelihood.log_probabilities(pseudo_likelihood.fresh(), pseudo_likelihood.contexts(k, np.array([0, len(k)])), k).sum()
+        assert got[i].n_words == len(x) and np.isclose(got[i].log_likelihood, p + sum(np.log(n[w] / size[kind[w]]) for w in x), rtol=1e-4)
+    assert pseudo_likelihood.head_size(10**9) > pseudo_likelihood.head_size(10**7) > pseudo_likelihood.HEAD
+
+
 def test_fingerprints(spark, odd, none, monkeypatch):
     monkeypatch.setattr(fingerprints, "table", lambda *a: odd)
     got = {r.doc_id: r for r in fingerprints.op10_spotsigs(spark, SF).collect()}
