@@ -37,17 +37,33 @@ _FILE = "part int, block long, first long, n_ids int, payload binary, crc long,
 
 
 class LibraryEncoder:
-    """The tokenizers library's ids of texts, asked once for each distinct piece its byte-level splitter makes."""
+    """The tokenizers library's ids of texts, asked once for each distinct piece its byte-level splitter makes.
 
-    def __init__(self, path: str, pattern: str):
+    With ``added``, the strings of the vocabulary's added tokens are cut out of
+    a text before the splitter sees it and become those tokens, as the library
+    does by default; without it, they are ordinary text.
+    """
+
+    def __init__(self, path: str, pattern: str, added: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.find = regex.compile(pattern).findall
+        if added:
+            tokens = list(self.model.get_added_tokens_decoder().values())
+            if any(t.single_word or t.lstrip or t.rstrip or (t.normalized and self.model.normalizer) for t in tokens):
+                raise ValueError("added tokens that take more than their own string are not supported")
+            strings = sorted((t.content for t in tokens), key=len, reverse=True)
+            if strings:
+                cut = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")").split
+                plain = self.find
+                # Every second part is an added token, which the library knows by itself.
+                self.find = lambda text: [p for i, part in enumerate(cut(text)) for p in ([part] if i % 2 else plain(part))]
+        else:
+            self.model.encode_special_tokens = True
         self.clear()
 
     def clear(self) -> None:
@@ -75,8 +91,8 @@ class LibraryEncoder:
 
 
 @lru_cache(maxsize=2)
-def library(path: str, pattern: str) -> LibraryEncoder:
-    return LibraryEncoder(path, pattern)
+def library(path: str, pattern: str, added: bool = False) -> LibraryEncoder:
+    return LibraryEncoder(path, pattern, added)
 
 
 def _rows(part: int, block: int, ids: np.ndarray, runs: list[list[tuple[int, int | None, int]]]) -> pa.RecordBatch:
@@ -96,11 +112,11 @@ def _rows(part: int, block: int, ids: np.ndarray, runs: list[list[tuple[int, int
     )
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, end: int = 2) -> None:
-    """Encodes ``docs(doc_id, text)``, ``end`` after each document, and writes the files to ``folder``."""
+def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, end: int = 2, added: bool = False) -> None:
+    """Encodes ``docs(doc_id, text)``, ``end`` after each document, and writes the files to ``folder``; ``added``: see ``LibraryEncoder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part = library(path, pattern), TaskContext.get().partitionId()
+        model, part = library(path, pattern, added), TaskContext.get().partitionId()
         block, ordinal, filled, runs = 0, 0, 0, [[]]
         held: list[np.ndarray] = []
         for batch in batches:
@@ -223,7 +239,7 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = new_path(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
     found = documents_of(read_tokens(spark, folder))
     sizes = spark.read.schema(_FILE).parquet(folder).groupBy("part").agg(F.sum("n_ids").alias("size"))
     base = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

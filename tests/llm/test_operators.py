@@ -144,6 +144,20 @@ def test_token_files(spark, odd, tmp_path):
     assert got == want
 
 
+def test_token_query_is_the_library(spark, odd, monkeypatch):
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it comes
+    end = "<|endoftext|>"
+    texts = [t or "" for _, t in ODD] + [f"a {end} the", end, f"{end}{end} x{end}", f"it{end}'s  {end}\n\n b", f"<|endoftext|{end}", "<|ENDOFTEXT|>"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(token_files, "table", lambda *a: frame)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.op3_tokens(spark, SF).collect()}
+    ids = [ref.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert 50256 in ids[len(ODD)]
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_mixing(spark, none):
     rows = [(i, f"s{i % 5}" if i % 5 else None, 0 if i % 50 == 7 else 20 + i * 37 % 400) for i in range(600)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), [5, 2, 1], 1.5, 2.0).toPandas()
