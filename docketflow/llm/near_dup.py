@@ -7,9 +7,17 @@ as many rounds as there are coordinates, round ``i`` serves coordinate ``i``
 alone, so all of them fill for a set of any size.  Sketches are cut in bands; sets that
 share a band are candidates and are compared on their full sets.
 
+A group of near copies is joined to components by stars, whose pairs grow with
+its nodes: first each node with one pivot, then with the pivots of its other
+bands, then with pivots drawn anew, each time only where components still
+differ.  What is left open in a band is compared in full while the band is
+small; the nodes of larger bands are banded again by more and longer keys.
+
 Defined cases: null text, empty text and text without words give an empty set
 linked with nothing; fewer words than a shingle has give one shingle; rows
-with equal sets are one class (no pairs among them); a null id takes no part
+with equal sets are one class (no pairs among them); rows of one doc_id with
+different texts are nodes of their own, and the component is named by the
+smallest doc_id of all its rows; a null id takes no part
 and stands alone with a null component; extra columns are ignored.
 """
 
@@ -23,15 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow.llm.graph import components
-from docketflow.llm.shared import CHUNK, buffers, chunks, mix, ranges, run_hashes, table, word_hashes, words, written
+from docketflow.llm.shared import CHUNK, buffers, chunks, mix, numbered, ranges, run_hashes, slices, table, word_hashes, words, written
 
+#: A band misses a pair at the threshold with probability (1 - 0.8**5)**32 = 3e-6, a finer one (1 - 0.8**10)**128 = 5e-7.
 BANDS, ROWS = 32, 5
+FINE_BANDS, FINE_ROWS = 128, 10
 COORDINATES = BANDS * ROWS
-#: Coordinates of the one-bit sketch that rules pairs out, and the bits that may differ: a pair at
-#: the threshold differs in 102 of them on average with a deviation of 9.6, so 150 is passed 3 times in 10 million.
-BITS, MOST_BITS = 1024, 150
+#: Of a sketch's coordinates a pair at the threshold shares 128 with a deviation of 5; fewer than this are 7 deviations off.
+LEAST_SHARED = 92
+#: Rounds of stars in a band, and the nodes of a band that are compared pair by pair before it is banded again.
+STARS, SMALL = 4, 48
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-_VALUE = np.uint64((1 << 54) - 1)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +51,14 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     hashes = word_hashes(data, starts, ends, lower=True)
     n = np.diff(first)
     counts = np.maximum(n - k + 1, 0)
-    shingles = run_hashes(hashes, k)[ranges(first[:-1], counts)] if len(hashes) >= k else hashes[:0]
-    row = np.repeat(np.arange(len(n)), counts)
-    for i in np.flatnonzero((n > 0) & (n < k)):
-        short = run_hashes(hashes[first[i] : first[i + 1]], int(n[i]), seed=int(n[i]))
-        shingles, row = np.append(shingles, short), np.append(row, i)
+    parts = [run_hashes(hashes, k)[ranges(first[:-1], counts)] if len(hashes) >= k else hashes[:0]]
+    rows = [np.repeat(np.arange(len(n)), counts)]
+    for size in range(1, k):  # texts of fewer words than a shingle: all of them
+        short = np.flatnonzero(n == size)
+        if len(short):
+            parts.append(run_hashes(hashes, size, seed=size)[first[short]])
+            rows.append(short)
+    shingles, row = np.concatenate(parts), np.concatenate(rows)
     order = np.lexsort((shingles, row))
     shingles, row = shingles[order], row[order]
     fresh = np.ones(len(row), bool)
@@ -57,6 +70,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 def sketches(shingles: np.ndarray, offsets: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     """A row of ``t`` values for each non-empty set (empty sets keep the empty mark)."""
     rows = len(offsets) - 1
+    low = np.uint64(64 - (2 * t).bit_length())  # the round stands in the upper bits
     out = np.full(rows * t, _EMPTY, np.uint64)
     owner = np.repeat(np.arange(rows), np.diff(offsets))
     for i in range(2 * t):
@@ -64,7 +78,7 @@ def sketches(shingles: np.ndarray, offsets: np.ndarray, t: int = COORDINATES) ->
             break
         h = mix(shingles + np.uint64((i * 0x9E3779B97F4A7C15 + 12345) & (2**64 - 1)))
         place = ((h >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32) if i < t else np.uint64(i - t)
-        value = (np.uint64(i) << np.uint64(54)) | (mix(h) & _VALUE)
+        value = (np.uint64(i) << low) | (mix(h) >> (np.uint64(64) - low))
         np.minimum.at(out, owner * t + np.asarray(place, np.int64), value)
         live = np.flatnonzero((out.reshape(rows, t) == _EMPTY).any(axis=1))
         keep = np.isin(owner, live, assume_unique=False, kind="table")
@@ -72,15 +86,24 @@ def sketches(shingles: np.ndarray, offsets: np.ndarray, t: int = COORDINATES) ->
     return out.reshape(rows, t)
 
 
-def band_keys(sketch: np.ndarray) -> np.ndarray:
+def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One key for each band, different for each band's place."""
-    parts = mix(sketch.reshape(len(sketch), BANDS, ROWS) + np.arange(BANDS, dtype=np.uint64)[None, :, None])
+    parts = mix(sketch.reshape(len(sketch), bands, sketch.shape[1] // bands) + np.arange(bands, dtype=np.uint64)[None, :, None])
     key = np.zeros(parts.shape[:2], np.uint64)
-    for r in range(ROWS):
+    for r in range(parts.shape[2]):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
     return key
 
 
+def marks(sketch: np.ndarray) -> np.ndarray:
+    """A byte of each coordinate."""
+    return (mix(sketch) & np.uint64(255)).astype(np.uint8)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values))
+
+
 def _described(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,115 +114,178 @@ def _described(k: int):
                 np.cumsum(mix(shingles), out=total[0, 1:])
                 np.cumsum(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), out=total[1, 1:])
                 h = total[:, offsets[1:]] - total[:, offsets[:-1]]
-                keys = band_keys(sketches(shingles, offsets)).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0)))), pa.int32()), pa.array(keys[n > 0].ravel()))
+                sketch = sketches(shingles, offsets)
+                keys = band_keys(sketch[n > 0]).view(np.int64)
+                raw = marks(sketch).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), lists],
-                    ["doc_id", "n_shingles", "h1", "h2", "bands"],
+                    [
+                        part.column("doc"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
+                        _lists(keys.ravel(), np.where(n > 0, BANDS, 0)), pa.array([raw[i : i + COORDINATES] for i in range(0, len(raw), COORDINATES)], pa.binary()),
+                    ],
+                    ["doc", "doc_id", "n_shingles", "h1", "h2", "bands", "mark"],
                 )
 
     return run
 
 
-def _one_bit(k: int):
+def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, size=CHUNK // 4):
+            for part in chunks(batch):
                 shingles, offsets = shingle_sets(part.column("text"), k)
-                bits = np.packbits((sketches(shingles, offsets, BITS) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
-                at = pa.array(np.arange(len(bits) + 1) * bits.shape[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(at, pa.array(bits.ravel()))], ["node", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), _lists(shingles.view(np.int64), np.diff(offsets))], ["node", "shingles"])
 
     return run
 
 
-def _confirmed(k: int, percent: int):
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The longer keys of each set."""
+    for batch in batches:
+        for part in slices(batch, "shingles"):
+            lists = part.column("shingles")
+            offsets = np.asarray(lists.offsets).astype(np.int64)
+            shingles = np.asarray(lists.flatten()).view(np.uint64)
+            keys = band_keys(sketches(shingles, offsets - offsets[0], FINE_BANDS * FINE_ROWS), FINE_BANDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("node"), _lists(keys.ravel(), np.full(len(keys), FINE_BANDS))], ["node", "bands"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches share enough coordinates for a link."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("mark_a", "mark_b"))
+        keep = np.flatnonzero((a == b).sum(axis=1) >= LEAST_SHARED) if batch.num_rows else []
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
+
+
+def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text_a"):
-                sa, oa = shingle_sets(part.column("text_a"), k)
-                sb, ob = shingle_sets(part.column("text_b"), k)
-                na, nb = np.diff(oa), np.diff(ob)
-                row = np.concatenate((np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)))
-                both = np.concatenate((sa, sb))
+            for part in slices(batch, "shingles_a"):
+                flat, n = [], []
+                for side in ("shingles_a", "shingles_b"):
+                    flat.append(np.asarray(part.column(side).flatten()))
+                    n.append(np.diff(np.asarray(part.column(side).offsets)).astype(np.int64))
+                row = np.concatenate([np.repeat(np.arange(len(m)), m) for m in n])
+                both = np.concatenate(flat)
                 order = np.lexsort((both, row))
                 both, row = both[order], row[order]
                 same = (both[1:] == both[:-1]) & (row[1:] == row[:-1])
-                shared = np.bincount(row[1:][same], minlength=len(na))
-                linked = 100 * shared >= percent * (na + nb - shared)
+                shared = np.bincount(row[1:][same], minlength=part.num_rows)
+                linked = 100 * shared >= percent * (n[0] + n[1] - shared)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked)], ["a", "b", "linked"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(_confirmed(k, percent), "a long, b long, linked boolean").where("linked").select("a", "b")
+class _Search:
+    """Links among the nodes of one table of bands, found step by step; every step is written."""
+
+    def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
+        """``nodes(node, n_shingles, mark)``, ``sets(node, shingles)``."""
+        self.nodes, self.sets, self.percent = nodes, sets, percent
+        self.links = self.found = None
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Adds the links among ``pairs(a, b)`` that full sets confirm, and joins components anew.
+
+        ``a`` is the pivot, which many pairs may share: it is joined last, when rows
+        have their size, so that AQE splits it as a skewed key.
+        """
+        side = [self.nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab"]
+        near = pairs.join(side[1].hint("merge"), "b").join(side[0].hint("merge"), "a")
+        near = near.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).select("a", "b", "mark_a", "mark_b")
+        self.verify(near.mapInArrow(_alike, "a long, b long"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        pairs = written(pairs, "candidates")
+        if pairs.isEmpty():
+            return
+        a, b = (self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
+        joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "shingles_a", "shingles_b")
+        more = written(joined.mapInArrow(_confirmed(self.percent), "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
+        if more.isEmpty():
+            return
+        self.links = more if self.links is None else self.links.union(more)
+        self.found = written(components(self.links), "found")
+
+    def open_rows(self, shared: DataFrame) -> DataFrame:
+        """(band, node, component) of the bands of ``shared(band, node)`` whose nodes are in several components."""
+        shared = shared.select("band", "node")
+        part = shared.withColumn("component", F.col("node"))
+        if self.found is not None:
+            part = shared.join(self.found.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
+        part = written(part, "parts")
+        several = part.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+        return written(part.join(several.hint("merge"), "band"), "open")
+
+    def stars(self, shared: DataFrame, rounds: range) -> DataFrame:
+        """Rounds of stars; the rows of the bands still open afterwards."""
+        rows = shared
+        for r in rounds:
+            rows = self.open_rows(rows)
+            if rows.isEmpty():
+                return rows
+            by = F.col("node") if r < 2 else F.xxhash64(F.lit(r), "band", "node")
+            heads = rows.groupBy("band").agg(F.min_by(F.struct("node", "component"), by).alias("head"))
+            pairs = rows.join(heads.hint("merge"), "band").where("component <> head.component").select(F.col("head.node").alias("p"), "node")
+            if r == 0:  # each node with one pivot
+                pairs = pairs.groupBy("node").agg(F.min("p").alias("p"))
+            self.compare(pairs.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
+        return self.open_rows(rows)
+
+    def pairs(self, rows: DataFrame) -> None:
+        """Compares all nodes of a band that are in different components."""
+        full = rows.join(self.nodes.hint("merge"), "node")
+        x, y = (full.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n_shingles", "mark")]) for side in "ab")
+        fits = (F.col("component_a") < F.col("component_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= self.percent * F.greatest("n_shingles_a", "n_shingles_b"))
+        both = x.join(y.hint("merge"), "band").where(fits)
+        near = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "mark_a", "mark_b").mapInArrow(_alike, "a long, b long")
+        self.verify(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
 
     Rows are linked when their sets of ``k``-word shingles share ``percent`` % of
-    their union.  Equal sets are first made one node.  In every shared band
-    all nodes are compared with the band's smallest node (a star, not all
-    pairs) and the links joined to components; then pairs of a band that are
-    still in different components, and whose sizes and one-bit sketches allow a link, are compared.
-    A band misses a pair at the threshold with probability (1 - 0.8**5)**32 = 3e-6.
+    their union.  Equal sets are first made one node; see above for the rest.
     """
+    docs = numbered(docs.select("doc_id", "text"))
     described = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _described(k), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
+        docs.select("doc", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+            _described(k), "doc long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, mark binary"
         ),
         "described",
     )
     full = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["h1", "h2", "n_shingles"]
-    classes = written(full.groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
-    member = written(full.select("doc_id", *key).join(classes.hint("merge"), key).select("doc_id", "n_shingles", "node"), "members")
-
-    nodes = full.join(member.where("doc_id = node").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    banded = nodes.select(F.col("doc_id").alias("node"), "n_shingles", F.explode(F.array_distinct("bands")).alias("band")).distinct()
-    buckets = written(banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("band", "pivot"), "buckets")
-    shared = written(banded.join(buckets.hint("merge"), "band"), "shared")
+    classes = written(full.groupBy(*key).agg(F.min("doc").alias("node")), "classes")
+    member = written(full.select("doc", "doc_id", *key).join(classes.hint("merge"), key).select("doc", "doc_id", "node"), "members")
 
+    heads = full.join(classes.select("node").hint("merge"), F.col("doc") == F.col("node"), "left_semi").select(F.col("doc").alias("node"), "n_shingles", "bands", "mark")
+    banded = heads.select("node", F.explode(F.array_distinct("bands")).alias("band"))
+    several = written(banded.groupBy("band").count().where("count > 1").select("band"), "buckets")
+    shared = written(banded.join(several.hint("merge"), "band"), "shared")
     wanted = shared.select("node").distinct()
-    source = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    texts = written(source.join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-
-    star = written(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    links = written(_links(star, texts, k, percent), "found")
-    found = components(links)
-
-    part = shared.join(found.hint("merge"), "node", "left").select(
-        "band", "node", "n_shingles", F.coalesce("component", "node").alias("component")
-    )
-    part = written(part, "parts")
-    split = written(part.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("band"), "open")
-    rest = written(part.join(split.hint("merge"), "band"), "rest")
-    bands = rest.groupBy("node").agg(F.array_sort(F.collect_list("band")).alias("bands"))
-    sketch = written(texts.join(bands.hint("merge"), "node").select("node", "text").mapInArrow(_one_bit(k), "node long, bits array<long>"), "bits")
-    rest = written(rest.join(sketch.join(bands.hint("merge"), "node").hint("merge"), "node"), "rest")
-    x, y = (rest.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n_shingles", "component", "bits", "bands")]) for side in "ab")
-    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0))
-    fits = (
-        (F.col("node_a") < F.col("node_b"))
-        & (F.col("component_a") != F.col("component_b"))
-        & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-        & (differ <= MOST_BITS)
-        & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band"))  # once, not in every shared band
-    )
-    open_pairs = x.join(y.hint("merge"), "band").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    open_pairs = open_pairs.join(star.hint("merge"), ["a", "b"], "left_anti")
-    more = written(_links(written(open_pairs, "open-pairs"), texts, k, percent), "more")
-    if not more.isEmpty():
-        found = components(links.union(more))
-
-    placed = member.join(found.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")).distinct()
-    alone = described.select("doc_id", "n_shingles").join(placed.hint("merge"), "doc_id", "left")
+    nodes = written(heads.join(wanted.hint("merge"), "node", "left_semi").select("node", "n_shingles", "mark"), "nodes")
+    texts = docs.select(F.col("doc").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi")
+    sets = written(texts.mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
+
+    search = _Search(nodes, sets, percent)
+    rest = search.stars(shared, range(STARS))
+    if not rest.isEmpty():
+        sizes = rest.groupBy("band").count()
+        search.pairs(rest.join(sizes.where(F.col("count") <= SMALL).select("band").hint("merge"), "band"))
+        large = written(rest.join(sizes.where(F.col("count") > SMALL).select("band").hint("merge"), "band").select("node").distinct(), "large")
+        if not large.isEmpty():
+            fine = sets.join(large.hint("merge"), "node").mapInArrow(_fine, "node long, bands array<long>").select("node", F.explode("bands").alias("band"))
+            search.pairs(search.stars(written(fine, "fine"), range(STARS)))
+
+    found = member.select("doc", "doc_id", F.col("node").alias("component"))
+    if search.found is not None:
+        found = member.join(search.found.hint("merge"), "node", "left").select("doc", "doc_id", F.coalesce("component", "node").alias("component"))
+    name = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = found.select("doc", "component").join(name.hint("merge"), "component").select("doc", "component_id")
+    alone = described.select("doc", "doc_id", "n_shingles").join(placed.hint("merge"), "doc", "left")
     return alone.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -65,6 +65,25 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> It
         at = int(cut)
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = CHUNK // 4) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` entries in its lists ``column`` (a longer list stands alone)."""
+    if not batch.num_rows:
+        return
+    group = (np.asarray(batch.column(column).offsets)[:-1].astype(np.int64) - batch.column(column).offsets[0].as_py()) // size
+    at = 0
+    for cut in [*(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]:
+        yield batch.slice(at, cut - at)
+        at = int(cut)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``doc`` that tells rows apart: doc_id where that does, else a written number."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("doc", F.col("doc_id").cast("long"))
+    return written(docs.withColumn("doc", F.monotonically_increasing_id()), "numbered")
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

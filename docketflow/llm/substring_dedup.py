@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm.shared import buffers, chunks, ranges, run_hashes, table, word_hashes, words, written
+from docketflow.llm.shared import buffers, chunks, numbered, ranges, run_hashes, table, word_hashes, words, written
 
 #: Words of a seed.  A window of 35 words has 20 of them.
 SEED = 16
@@ -172,14 +172,6 @@ def _cut(length: int):
     return run
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``doc`` that tells rows apart: doc_id where that does, else a written number."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    if ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
-        return docs.withColumn("doc", F.col("doc_id").cast("long"))
-    return written(docs.withColumn("doc", F.monotonically_increasing_id()), "numbered")
-
-
 def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Of ``docs(doc, text)``: texts with repeated anchors (doc, text), and hits (doc, pos, mask):
     bit d of ``mask`` says that the window starting d words before word ``pos`` also starts elsewhere."""

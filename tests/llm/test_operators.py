@@ -74,6 +74,51 @@ def test_sketches_fill_and_estimate():
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.12
 
 
+def test_small_sets_lose_no_link(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for g in range(900):
+        size = 4 + g % 12
+        pool = [f"g{g}x{i}" for i in range(size + 4)]
+        mine = [(100 * g + j, " ".join(pool[j // 2 : j // 2 + size - int(rng.integers(0, 2))])) for j in range(6)]
+        rows, want = rows + mine, want | linked(mine, 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert got == want
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """2,000 copies whose similarities lie on both sides of the threshold, against all pairs."""
+    monkeypatch.setattr(near_dup, "SMALL", 16)  # longer keys, too
+    rng = np.random.default_rng(5)
+    n, m = 2000, 120
+    words = np.tile(np.arange(m), (n, 1))
+    for i in range(n):
+        at = rng.choice(m, int(rng.integers(5, 12)), replace=False)
+        words[i, at] = 1000 + (rng.integers(0, 400, len(at)) if i % 2 else 1_000_000 + i * 100 + np.arange(len(at)))
+    rows = [(i, " ".join(f"w{x}" for x in words[i])) for i in range(n)]
+    base = {int(x): i for i, x in enumerate(np.unique(words))}
+    grid = np.zeros((n, len(base)), np.float32)
+    for i in range(n):
+        grid[i, [base[int(x)] for x in words[i]]] = 1
+    shared = (grid @ grid.T).astype(int)
+    size = np.diag(shared)
+    link = 100 * shared >= 80 * (size[:, None] + size[None, :] - shared)
+    label = np.arange(n)
+    while True:
+        now = np.where(link, label[None, :], n).min(axis=1)
+        if (now == label).all():
+            break
+        label = now
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).toPandas().sort_values("doc_id")
+    assert 1 < len(set(label)) < n and (got.component_id.to_numpy() == label).all()
+
+
+def test_repeated_and_null_ids_are_rows_of_their_own(spark):
+    rows = [(1, BASE), (1, "other words of this row here"), (3, BASE), (2, "other words of this row here"), (None, BASE), (5, BASE), (5, BASE)]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 57, 0), (1, 3, 1), (1, 57, 1), (2, 3, 1), (3, 57, 1), (5, 57, 1), (5, 57, 1)]
+
+
 def cut(docs, length):
     w = {i: SPACE.findall(t or "") for i, t in docs}
     seen = Counter(tuple(x[j : j + length]) for x in w.values() for j in range(len(x) - length + 1))
