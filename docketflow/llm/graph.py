@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         right = label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         links = written(
             links.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-            .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b").distinct(),
+            .select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).where("a <> b"),
             "links",
         )
         result = written(

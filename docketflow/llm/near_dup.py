@@ -10,8 +10,9 @@ share a band are candidates and are compared on their full sets.
 A group of near copies is joined to components by stars, whose pairs grow with
 its nodes: first each node with one pivot, then with the pivots of its other
 bands, then with pivots drawn anew, each time only where components still
-differ.  What is left open in a band is compared in full while the band is
-small; the nodes of larger bands are banded again by more and longer keys.
+differ.  What is left open in a band is compared in full if four-bit sketches
+allow a link; nodes of bands that leave very much open are first banded again
+by more and longer keys.
 
 Defined cases: null text, empty text and text without words give an empty set
 linked with nothing; fewer words than a shingle has give one shingle; rows
@@ -27,20 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow.llm.graph import components
-from docketflow.llm.shared import CHUNK, buffers, chunks, mix, numbered, ranges, run_hashes, slices, table, word_hashes, words, written
+from docketflow.llm.shared import buffers, chunks, distinct_ids, mix, numbered, ranges, run_hashes, slices, table, word_hashes, words, written
 
 #: A band misses a pair at the threshold with probability (1 - 0.8**5)**32 = 3e-6, a finer one (1 - 0.8**10)**128 = 5e-7.
 BANDS, ROWS = 32, 5
 FINE_BANDS, FINE_ROWS = 128, 10
 COORDINATES = BANDS * ROWS
-#: Of a sketch's coordinates a pair at the threshold shares 128 with a deviation of 5; fewer than this are 7 deviations off.
-LEAST_SHARED = 92
-#: Rounds of stars in a band, and the nodes of a band that are compared pair by pair before it is banded again.
-STARS, SMALL = 4, 48
+#: Coordinates in which sketches may differ: 30 at the threshold, with a deviation of 4.9, so this is passed 3 times in a million.
+MOST_DIFFERENT = 52
+#: Rounds of stars in all bands, and the partners in other components (the mean of a band) that are compared without longer keys.
+STARS, WIDE = 2, 1000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -96,8 +97,9 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def marks(sketch: np.ndarray) -> np.ndarray:
-    """A byte of each coordinate."""
-    return (mix(sketch) & np.uint64(255)).astype(np.uint8)
+    """Four bits of each coordinate, sixteen in a word."""
+    four = (mix(sketch) & np.uint64(15)).reshape(len(sketch), sketch.shape[1] // 16, 16)
+    return np.bitwise_or.reduce(four << np.arange(0, 64, 4, dtype=np.uint64), axis=2)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -116,11 +118,11 @@ def _described(k: int):
                 h = total[:, offsets[1:]] - total[:, offsets[:-1]]
                 sketch = sketches(shingles, offsets)
                 keys = band_keys(sketch[n > 0]).view(np.int64)
-                raw = marks(sketch).tobytes()
+                mark = marks(sketch).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
-                        _lists(keys.ravel(), np.where(n > 0, BANDS, 0)), pa.array([raw[i : i + COORDINATES] for i in range(0, len(raw), COORDINATES)], pa.binary()),
+                        _lists(keys.ravel(), np.where(n > 0, BANDS, 0)), _lists(mark.ravel(), np.full(len(mark), mark.shape[1])),
                     ],
                     ["doc", "doc_id", "n_shingles", "h1", "h2", "bands", "mark"],
                 )
@@ -149,14 +151,6 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node"), _lists(keys.ravel(), np.full(len(keys), FINE_BANDS))], ["node", "bands"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches share enough coordinates for a link."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("mark_a", "mark_b"))
-        keep = np.flatnonzero((a == b).sum(axis=1) >= LEAST_SHARED) if batch.num_rows else []
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in ("a", "b")], ["a", "b"])
-
-
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,75 +166,91 @@ def _confirmed(percent: int):
                 same = (both[1:] == both[:-1]) & (row[1:] == row[:-1])
                 shared = np.bincount(row[1:][same], minlength=part.num_rows)
                 linked = 100 * shared >= percent * (n[0] + n[1] - shared)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked)], ["a", "b", "linked"])
+                yield pa.RecordBatch.from_arrays([part.column("x"), part.column("y"), pa.array(linked)], ["x", "y", "linked"])
 
     return run
 
 
-class _Search:
-    """Links among the nodes of one table of bands, found step by step; every step is written."""
-
-    def __init__(self, nodes: DataFrame, sets: DataFrame, percent: int):
-        """``nodes(node, n_shingles, mark)``, ``sets(node, shingles)``."""
-        self.nodes, self.sets, self.percent = nodes, sets, percent
-        self.links = self.found = None
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Adds the links among ``pairs(a, b)`` that full sets confirm, and joins components anew.
-
-        ``a`` is the pivot, which many pairs may share: it is joined last, when rows
-        have their size, so that AQE splits it as a skewed key.
-        """
-        side = [self.nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("mark").alias(f"mark_{x}")) for x in "ab"]
-        near = pairs.join(side[1].hint("merge"), "b").join(side[0].hint("merge"), "a")
-        near = near.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")).select("a", "b", "mark_a", "mark_b")
-        self.verify(near.mapInArrow(_alike, "a long, b long"))
-
-    def verify(self, pairs: DataFrame) -> None:
-        pairs = written(pairs, "candidates")
-        if pairs.isEmpty():
-            return
-        a, b = (self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}")) for x in "ab")
-        joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("a", "b", "shingles_a", "shingles_b")
-        more = written(joined.mapInArrow(_confirmed(self.percent), "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
-        if more.isEmpty():
-            return
-        self.links = more if self.links is None else self.links.union(more)
-        self.found = written(components(self.links), "found")
-
-    def open_rows(self, shared: DataFrame) -> DataFrame:
-        """(band, node, component) of the bands of ``shared(band, node)`` whose nodes are in several components."""
-        shared = shared.select("band", "node")
-        part = shared.withColumn("component", F.col("node"))
-        if self.found is not None:
-            part = shared.join(self.found.hint("merge"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-        part = written(part, "parts")
-        several = part.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-        return written(part.join(several.hint("merge"), "band"), "open")
-
-    def stars(self, shared: DataFrame, rounds: range) -> DataFrame:
-        """Rounds of stars; the rows of the bands still open afterwards."""
-        rows = shared
-        for r in rounds:
-            rows = self.open_rows(rows)
-            if rows.isEmpty():
-                return rows
-            by = F.col("node") if r < 2 else F.xxhash64(F.lit(r), "band", "node")
-            heads = rows.groupBy("band").agg(F.min_by(F.struct("node", "component"), by).alias("head"))
-            pairs = rows.join(heads.hint("merge"), "band").where("component <> head.component").select(F.col("head.node").alias("p"), "node")
-            if r == 0:  # each node with one pivot
-                pairs = pairs.groupBy("node").agg(F.min("p").alias("p"))
-            self.compare(pairs.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct())
-        return self.open_rows(rows)
-
-    def pairs(self, rows: DataFrame) -> None:
-        """Compares all nodes of a band that are in different components."""
-        full = rows.join(self.nodes.hint("merge"), "node")
-        x, y = (full.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n_shingles", "mark")]) for side in "ab")
-        fits = (F.col("component_a") < F.col("component_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= self.percent * F.greatest("n_shingles_a", "n_shingles_b"))
-        both = x.join(y.hint("merge"), "band").where(fits)
-        near = both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "mark_a", "mark_b").mapInArrow(_alike, "a long, b long")
-        self.verify(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _fit(a, b, percent: int) -> Column:
+    """Sizes that allow a link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """In how many coordinates two marks differ, four bits each."""
+    total = F.lit(0)
+    for i in range(COORDINATES // 16):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total += F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(x, y) of those of ``pairs(a, b, x, y)`` whose sets of nodes a and b reach the threshold; written.
+
+    ``a`` is the pivot, which many pairs may share: it is joined last, when rows
+    have their size, so that AQE splits it as a skewed key.
+    """
+    a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"shingles_{c}")) for c in "ab")
+    joined = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").select("x", "y", "shingles_a", "shingles_b")
+    return written(joined.mapInArrow(_confirmed(percent), "x long, y long, linked boolean").where("linked").select("x", "y"), "links")
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, component) of a forest ``parents(node, parent)`` in which roots are their own parents."""
+    while True:
+        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        higher = written(parents.join(up.hint("merge"), "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parents")
+        if higher.where("moved").isEmpty():
+            return higher.select("node", F.col("parent").alias("component"))
+        parents = higher.select("node", "parent")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found(node, component)`` with the components that ``links(x, y)`` join made one."""
+    if links.isEmpty():
+        return found
+    label = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("label"))
+    return written(found.join(label.hint("merge"), "component", "left").select("node", F.coalesce("label", "component").alias("component")), "found")
+
+
+def _star(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One pivot for each band of ``rows(band, node, n)`` against its nodes in other components: the open bands' rows, and ``found`` anew."""
+    part = written(rows.select("band", "node", "n").join(found.hint("merge"), "node"), "parts")
+    by = F.xxhash64(F.lit(turn), "node") if turn else F.col("node")
+    heads = part.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("node", "n", "component"), by).alias("head")).where("lo <> hi")
+    part = written(part.join(heads.select("band", "head").hint("merge"), "band"), "open")
+    pairs = part.where((F.col("component") != F.col("head.component")) & _fit("n", "head.n", percent))
+    pairs = pairs.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.component").alias("x"), F.col("component").alias("y")).distinct()
+    return part, _merged(found, _verified(pairs, sets, percent))
+
+
+def _rest(rows: DataFrame, found: DataFrame, keys: DataFrame, sets: DataFrame, percent: int, wide: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Compares the nodes of a band of ``rows`` that are in different components: ``found`` anew.
+
+    ``keys(node, n, mark, bands)``.  Bands in which a node has more than ``wide`` such
+    partners on average are left: their nodes are the second result.
+    """
+    part = written(rows.select("band", "node").join(found.hint("merge"), "node"), "parts")
+    sizes = part.groupBy("band", "component").count().groupBy("band").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("same"))
+    open_ = sizes.where("c * c > same").select("band", (F.col("c") * F.col("c") - F.col("same") > F.col("c") * F.lit(wide or 0)).alias("wide"))
+    part = written(part.join(open_.hint("merge"), "band"), "open")
+    left = None
+    if wide is not None:
+        left = part.where("wide").select("node").distinct()
+        part = part.where("NOT wide")
+    full = part.join(keys.hint("merge"), "node")
+    x, y = (full.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "mark", "bands")]) for side in "ab")
+    fits = (
+        (F.col("component_a") < F.col("component_b"))
+        & _fit("n_a", "n_b", percent)
+        & (_differing(F.col("mark_a"), F.col("mark_b")) <= MOST_DIFFERENT)
+        & (F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band"))  # once, not in every shared band
+    )
+    pairs = x.join(y.hint("merge"), "band").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("component_a").alias("x"), F.col("component_b").alias("y"))
+    return _merged(found, _verified(pairs, sets, percent)), left
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -249,44 +259,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Rows are linked when their sets of ``k``-word shingles share ``percent`` % of
     their union.  Equal sets are first made one node; see above for the rest.
     """
-    docs = numbered(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
+    unique = distinct_ids(docs)
+    docs = numbered(docs, unique)
     described = written(
         docs.select("doc", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _described(k), "doc long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, mark binary"
+            _described(k), "doc long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, mark array<long>"
         ),
         "described",
     )
-    full = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["h1", "h2", "n_shingles"]
-    classes = written(full.groupBy(*key).agg(F.min("doc").alias("node")), "classes")
-    member = written(full.select("doc", "doc_id", *key).join(classes.hint("merge"), key).select("doc", "doc_id", "node"), "members")
+    full = described.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = written(full.groupBy(*key).agg(F.min(F.struct("doc", "bands", "mark")).alias("head")).select(*key, F.col("head.doc").alias("node"), "head.bands", "head.mark"), "classes")
+    keys = classes.select("node", F.col("n_shingles").alias("n"), "mark", "bands")
 
-    heads = full.join(classes.select("node").hint("merge"), F.col("doc") == F.col("node"), "left_semi").select(F.col("doc").alias("node"), "n_shingles", "bands", "mark")
-    banded = heads.select("node", F.explode(F.array_distinct("bands")).alias("band"))
-    several = written(banded.groupBy("band").count().where("count > 1").select("band"), "buckets")
+    banded = keys.select("node", "n", F.explode(F.array_distinct("bands")).alias("band"))
+    several = banded.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("head")).where("c > 1").select("band", "head")
     shared = written(banded.join(several.hint("merge"), "band"), "shared")
-    wanted = shared.select("node").distinct()
-    nodes = written(heads.join(wanted.hint("merge"), "node", "left_semi").select("node", "n_shingles", "mark"), "nodes")
-    texts = docs.select(F.col("doc").alias("node"), "text").join(wanted.hint("merge"), "node", "left_semi")
+    first = written(shared.groupBy("node").agg(F.min("head").alias("head")), "first")  # the smallest node of all bands
+    texts = docs.select(F.col("doc").alias("node"), "text").join(first.hint("merge"), "node", "left_semi")
     sets = written(texts.mapInArrow(_sets(k), "node long, shingles array<long>"), "sets")
 
-    search = _Search(nodes, sets, percent)
-    rest = search.stars(shared, range(STARS))
-    if not rest.isEmpty():
-        sizes = rest.groupBy("band").count()
-        search.pairs(rest.join(sizes.where(F.col("count") <= SMALL).select("band").hint("merge"), "band"))
-        large = written(rest.join(sizes.where(F.col("count") > SMALL).select("band").hint("merge"), "band").select("node").distinct(), "large")
-        if not large.isEmpty():
-            fine = sets.join(large.hint("merge"), "node").mapInArrow(_fine, "node long, bands array<long>").select("node", F.explode("bands").alias("band"))
-            search.pairs(search.stars(written(fine, "fine"), range(STARS)))
-
-    found = member.select("doc", "doc_id", F.col("node").alias("component"))
-    if search.found is not None:
-        found = member.join(search.found.hint("merge"), "node", "left").select("doc", "doc_id", F.coalesce("component", "node").alias("component"))
-    name = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    placed = found.select("doc", "component").join(name.hint("merge"), "component").select("doc", "component_id")
-    alone = described.select("doc", "doc_id", "n_shingles").join(placed.hint("merge"), "doc", "left")
-    return alone.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    pairs = first.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b"), F.col("head").alias("x"), F.col("node").alias("y"))
+    links = _verified(pairs, sets, percent).select(F.col("y").alias("node"), F.col("x").alias("parent"))
+    found = _roots(first.join(links.hint("merge"), "node", "left").select("node", F.coalesce("parent", "node").alias("parent")))
+    rows = shared
+    for turn in range(STARS):
+        rows, found = _star(rows, found, sets, percent, turn)
+    found, wide = _rest(rows, found, keys, sets, percent, WIDE)
+    wide = written(wide, "wide")
+    if not wide.isEmpty():
+        fine = written(sets.join(wide.hint("merge"), "node").mapInArrow(_fine, "node long, bands array<long>"), "fine")
+        fine = fine.join(keys.drop("bands").hint("merge"), "node").select("node", "n", "mark", "bands")
+        rows, found = _star(fine.select("node", "n", F.explode("bands").alias("band")), found, sets, percent, 1)
+        found, _ = _rest(rows, found, fine, sets, percent, None)
+
+    placed = described.select("doc", "doc_id", *key).join(classes.select(*key, "node").hint("merge"), key, "left")
+    placed = placed.join(found.hint("merge"), "node", "left").select("doc", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node")).alias("component"))
+    if unique:  # rows are their ids
+        return placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    placed = written(placed, "placed")
+    name = placed.groupBy("component").agg(F.min("doc_id").alias("name"))
+    return placed.join(name.hint("merge"), "component", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

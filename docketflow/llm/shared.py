@@ -76,10 +76,14 @@ def slices(batch: pa.RecordBatch, column: str, size: int = CHUNK // 4) -> Iterat
         at = int(cut)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``doc`` that tells rows apart: doc_id where that does, else a written number."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    if ids.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+def distinct_ids(docs: DataFrame) -> bool:
+    """Whether doc_id tells rows apart."""
+    return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 OR doc_id IS NULL").isEmpty()
+
+
+def numbered(docs: DataFrame, unique: bool | None = None) -> DataFrame:
+    """``docs`` with a column ``doc`` that tells rows apart: doc_id where that does (``unique``, if known), else a written number."""
+    if distinct_ids(docs) if unique is None else unique:
         return docs.withColumn("doc", F.col("doc_id").cast("long"))
     return written(docs.withColumn("doc", F.monotonically_increasing_id()), "numbered")
 

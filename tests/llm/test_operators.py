@@ -88,7 +88,7 @@ def test_small_sets_lose_no_link(spark):
 
 def test_large_group_of_near_copies(spark, monkeypatch):
     """2,000 copies whose similarities lie on both sides of the threshold, against all pairs."""
-    monkeypatch.setattr(near_dup, "SMALL", 16)  # longer keys, too
+    monkeypatch.setattr(near_dup, "WIDE", 4)  # longer keys, too
     rng = np.random.default_rng(5)
     n, m = 2000, 120
     words = np.tile(np.arange(m), (n, 1))
