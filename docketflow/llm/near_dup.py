@@ -10,7 +10,7 @@ share a band are candidates and are compared on their full sets.
 A group of near copies is joined to components by stars, whose pairs grow with
 its nodes: first each node with one pivot, then with the pivots of its other
 bands, then with pivots drawn anew, each time only where components still
-differ.  What is left open in a band is compared in full if four-bit sketches
+differ.  What is left open in a band is compared in full if longer sketches
 allow a link; nodes of bands that leave very much open are first banded again
 by more and longer keys.
 
@@ -38,8 +38,9 @@ from docketflow.llm.shared import buffers, chunks, distinct_ids, mix, numbered,
 BANDS, ROWS = 32, 5
 FINE_BANDS, FINE_ROWS = 128, 10
 COORDINATES = BANDS * ROWS
-#: Coordinates in which sketches may differ: 30 at the threshold, with a deviation of 4.9, so this is passed 3 times in a million.
-MOST_DIFFERENT = 52
+#: Coordinates of the sketch that rules pairs out, and how many may differ in its two bits: 154 do at the
+#: threshold, with a deviation of 11.4, so 205 is passed 3 times in a million.
+MARKED, MOST_DIFFERENT = 1024, 205
 #: Rounds of stars in all bands, and the partners in other components (the mean of a band) that are compared without longer keys.
 STARS, WIDE = 2, 1000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -97,9 +98,9 @@ def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def marks(sketch: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen in a word."""
-    four = (mix(sketch) & np.uint64(15)).reshape(len(sketch), sketch.shape[1] // 16, 16)
-    return np.bitwise_or.reduce(four << np.arange(0, 64, 4, dtype=np.uint64), axis=2)
+    """Two bits of each coordinate, 32 in a word."""
+    two = (mix(sketch) & np.uint64(3)).reshape(len(sketch), sketch.shape[1] // 32, 32)
+    return np.bitwise_or.reduce(two << np.arange(0, 64, 2, dtype=np.uint64), axis=2)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -118,13 +119,12 @@ def _described(k: int):
                 h = total[:, offsets[1:]] - total[:, offsets[:-1]]
                 sketch = sketches(shingles, offsets)
                 keys = band_keys(sketch[n > 0]).view(np.int64)
-                mark = marks(sketch).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc"), part.column("doc_id"), pa.array(n, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)),
-                        _lists(keys.ravel(), np.where(n > 0, BANDS, 0)), _lists(mark.ravel(), np.full(len(mark), mark.shape[1])),
+                        _lists(keys.ravel(), np.where(n > 0, BANDS, 0)),
                     ],
-                    ["doc", "doc_id", "n_shingles", "h1", "h2", "bands", "mark"],
+                    ["doc", "doc_id", "n_shingles", "h1", "h2", "bands"],
                 )
 
     return run
@@ -140,15 +140,22 @@ def _sets(k: int):
     return run
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The longer keys of each set."""
-    for batch in batches:
-        for part in slices(batch, "shingles"):
-            lists = part.column("shingles")
-            offsets = np.asarray(lists.offsets).astype(np.int64)
-            shingles = np.asarray(lists.flatten()).view(np.uint64)
-            keys = band_keys(sketches(shingles, offsets - offsets[0], FINE_BANDS * FINE_ROWS), FINE_BANDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("node"), _lists(keys.ravel(), np.full(len(keys), FINE_BANDS))], ["node", "bands"])
+def _sketched(column: str, coordinates: int, of):
+    """``of`` the sketches of sets (node, shingles), in lists ``column``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "shingles", 1 << 16):
+                lists = part.column("shingles")
+                offsets = np.asarray(lists.offsets).astype(np.int64)
+                found = of(sketches(np.asarray(lists.flatten()).view(np.uint64), offsets - offsets[0], coordinates)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("node"), _lists(found.ravel(), np.full(len(found), found.shape[1]))], ["node", column])
+
+    return run
+
+
+_marked = _sketched("mark", MARKED, marks)
+_fine = _sketched("bands", FINE_BANDS * FINE_ROWS, lambda sketch: band_keys(sketch, FINE_BANDS))
 
 
 def _confirmed(percent: int):
@@ -177,13 +184,11 @@ def _fit(a, b, percent: int) -> Column:
 
 
 def _differing(a: Column, b: Column) -> Column:
-    """In how many coordinates two marks differ, four bits each."""
+    """In how many coordinates two marks differ."""
     total = F.lit(0)
-    for i in range(COORDINATES // 16):
+    for i in range(MARKED // 32):
         x = a[i].bitwiseXOR(b[i])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total += F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        total += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     return total
 
 
@@ -230,7 +235,7 @@ def _star(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int, turn
 def _rest(rows: DataFrame, found: DataFrame, keys: DataFrame, sets: DataFrame, percent: int, wide: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Compares the nodes of a band of ``rows`` that are in different components: ``found`` anew.
 
-    ``keys(node, n, mark, bands)``.  Bands in which a node has more than ``wide`` such
+    ``keys(node, n, bands)``.  Bands in which a node has more than ``wide`` such
     partners on average are left: their nodes are the second result.
     """
     part = written(rows.select("band", "node").join(found.hint("merge"), "node"), "parts")
@@ -241,7 +246,9 @@ def _rest(rows: DataFrame, found: DataFrame, keys: DataFrame, sets: DataFrame, p
     if wide is not None:
         left = part.where("wide").select("node").distinct()
         part = part.where("NOT wide")
-    full = part.join(keys.hint("merge"), "node")
+    asked = sets.join(part.select("node").distinct().hint("merge"), "node")
+    long = written(asked.mapInArrow(_marked, "node long, mark array<long>"), "marks")
+    full = part.join(keys.join(long.hint("merge"), "node").hint("merge"), "node")
     x, y = (full.select("band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "mark", "bands")]) for side in "ab")
     fits = (
         (F.col("component_a") < F.col("component_b"))
@@ -264,14 +271,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = numbered(docs, unique)
     described = written(
         docs.select("doc", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _described(k), "doc long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, mark array<long>"
+            _described(k), "doc long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
         ),
         "described",
     )
     key = ["h1", "h2", "n_shingles"]
     full = described.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = written(full.groupBy(*key).agg(F.min(F.struct("doc", "bands", "mark")).alias("head")).select(*key, F.col("head.doc").alias("node"), "head.bands", "head.mark"), "classes")
-    keys = classes.select("node", F.col("n_shingles").alias("n"), "mark", "bands")
+    classes = written(full.groupBy(*key).agg(F.min(F.struct("doc", "bands")).alias("head")).select(*key, F.col("head.doc").alias("node"), "head.bands"), "classes")
+    keys = classes.select("node", F.col("n_shingles").alias("n"), "bands")
 
     banded = keys.select("node", "n", F.explode(F.array_distinct("bands")).alias("band"))
     several = banded.groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("head")).where("c > 1").select("band", "head")
@@ -290,7 +297,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     wide = written(wide, "wide")
     if not wide.isEmpty():
         fine = written(sets.join(wide.hint("merge"), "node").mapInArrow(_fine, "node long, bands array<long>"), "fine")
-        fine = fine.join(keys.drop("bands").hint("merge"), "node").select("node", "n", "mark", "bands")
+        fine = fine.join(keys.drop("bands").hint("merge"), "node").select("node", "n", "bands")
         rows, found = _star(fine.select("node", "n", F.explode("bands").alias("band")), found, sets, percent, 1)
         found, _ = _rest(rows, found, fine, sets, percent, None)
 
