@@ -68,6 +68,22 @@ DETAIL = r"(?iU)\b(\d{1,2}:\d{2}\s*(AM|PM)?|courtroom|judge|via\s+(zoom|teleconf
 PAGE_STAMP = (
     r"(?iU)Case\s+\d+:\d+-[a-z]+-\d+(?:-\w+)?\s+Document\s+\d+(?:-\d+)?(?:\s+Filed\s+\d+/\d+/\d+)?(?:\s+Page\s+\d+\s+of\s+\d+)?(?:\s+Page\s*ID:?\s*\#?:?\s*\d+)?"
 )
+# What reads as the record of a held proceeding, as a transcript's filing and as a notice before it; the kinds of proceedings.
+RECORD = (
+    r"(?i)minute entry|minute order|minutes of|clerk'?s? notes|transcript\s+of\s+(?:[a-z ]*?\s)?proceedings?\s+held|"
+    r"proceedings?\s+(?:were\s+)?held\s+(?:before|on)\b|held\s+before|stated\s+appearances|under\s+submission"
+)
+TRANSCRIPT_RECORD = r"(?i)transcript\s+of\s+(?:[a-z ]*?\s)?proceedings?\s+held"
+ADMIN_NOTICE = (
+    r"(?i)clerk'?s? notice|notice\s+(?:re|of)\b|zoom\s+(?:access|webinar|information|link)|providing\s+zoom|courtroom\s+change|audio\s+observation|access\s+information"
+)
+PROCEEDINGS = {
+    "sentencing": r"sentenc", "status conference": r"status conf", "initial appearance": r"initial appearance", "arraignment": r"arraign", "plea": r"\bplea",
+    "pretrial": r"pre ?trial", "trial": r"\btrial", "motion": r"motion|in limine|daubert|suppress", "show cause": r"show cause|\bosc\b",
+    "charging conference": r"charging conf", "oral argument": r"oral arg", "evidentiary": r"evidentiary", "detention": r"detention",
+}
+PROCEEDING_NAME = r"(?i)minutes?\s+of\s+(.+?)(?:\s+(?:as to|held|before)\b|[.:]|$)|:\s*(.+?)(?:\s+(?:as to|held|before)\b|[.:]|$)"
+ABSORBED = r"Absorbed sibling key\(s\)\s+(.+?)(?::| at same UTC slot|\n|$)"
 MONEY = r"\$[0-9,]+(?:\.[0-9]{2})?"
 
 
@@ -165,3 +181,38 @@ def event_id(case_id: Column, key: Column) -> Column:
 
 def audit_line(old: Column, source: str, note: Column) -> Column:
     return F.concat_ws("\n\n", F.nullif(F.rtrim(F.coalesce(old, F.lit(""))), F.lit("")), F.concat(F.lit(f"[{source}] "), note))
+
+
+def records_proceeding(text: Column) -> Column:
+    return F.coalesce(text.rlike(RECORD), F.lit(False))
+
+
+def record_rank(text: Column) -> Column:
+    """0 for an account of a proceeding, 1 for a transcript's filing."""
+    return F.when(text.rlike(TRANSCRIPT_RECORD), 1).otherwise(0)
+
+
+def is_admin_notice(text: Column) -> Column:
+    """A notice that set a proceeding up and tells nothing of it."""
+    return F.coalesce(text.rlike(ADMIN_NOTICE), F.lit(False)) & ~records_proceeding(text)
+
+
+def proceeding_types(text: Column) -> Column:
+    """The kinds of proceedings a key, title or record signals; a pretrial alone is no trial."""
+    blob = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("-"), F.lit(" "))
+    alone = F.regexp_replace(blob, r"pre ?trial\w*", " ")
+    tags = [F.when((alone if tag == "trial" else blob).rlike(rx), F.lit(tag)) for tag, rx in PROCEEDINGS.items()]
+    return F.array_compact(F.array(*tags))
+
+
+def record_name(text: Column) -> Column:
+    """The proceeding a record names at its head, else the whole text."""
+    named = [F.nullif(F.regexp_extract(text, PROCEEDING_NAME, i), F.lit("")) for i in (1, 2)]
+    return F.coalesce(*named, text)
+
+
+def absorbed_keys(audit: Column) -> Column:
+    """Keys that audit notes say were absorbed, distinct."""
+    lists = F.regexp_extract_all(F.coalesce(audit, F.lit("")), F.lit(ABSORBED), F.lit(1))
+    keys = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda k: F.trim(k))
+    return F.array_distinct(F.filter(keys, lambda k: k != ""))

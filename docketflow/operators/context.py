@@ -21,7 +21,7 @@ def cross_references(entries: DataFrame, numbers: Column) -> DataFrame:
     """(docket_id, entry_id, ref_number, ref_entry_id): entries a text names by number on its own docket, with a body."""
     named = entries.select("docket_id", "entry_id", F.explode(numbers).alias("ref_number"))
     bodies = entries.where("description <> ''").select("docket_id", F.col("entry_number").cast("long").alias("ref_number"), F.col("entry_id").alias("ref_entry_id"))
-    return named.join(bodies, ["docket_id", "ref_number"])
+    return named.hint("merge").join(bodies.hint("merge"), ["docket_id", "ref_number"])
 
 
 def prior_context(entries: DataFrame, k: int = 5) -> DataFrame:
@@ -50,14 +50,14 @@ def verification_context(targets: DataFrame, entries: DataFrame, k: int = 15) ->
     key = ["case_id", "hearing_key"]
     recent = targets.select(*key, "docket_id").join(newest_bodies(entries, k), "docket_id").select(*key, "entry_id")
     near = around_date(targets.select(*key, "docket_id", "start_date"), entries.where("description <> ''"))
-    own = targets.select(*key, "docket_id", F.explode("source_entry_ids").alias("entry_id")).join(entries.select("docket_id", "entry_id"), ["docket_id", "entry_id"]).select(*key, "entry_id")
+    own = targets.select(*key, "docket_id", F.explode("source_entry_ids").alias("entry_id")).hint("merge").join(entries.select("docket_id", "entry_id").hint("merge"), ["docket_id", "entry_id"]).select(*key, "entry_id")
     return recent.unionByName(near).unionByName(own).distinct()
 
 
 def removal_allowed(rows: DataFrame, shown: DataFrame, key: list[str]) -> DataFrame:
     """(key, allowed): a row may be removed if all its sources were shown; without sources it may."""
     sources = rows.select(*key, F.explode_outer("source_entry_ids").alias("entry_id"))
-    seen = sources.join(shown.select(*key, "entry_id", F.lit(True).alias("shown")).distinct(), [*key, "entry_id"], "left")
+    seen = sources.hint("merge").join(shown.select(*key, "entry_id", F.lit(True).alias("shown")).distinct().hint("merge"), [*key, "entry_id"], "left")
     return seen.groupBy(*key).agg(F.bool_and(F.col("entry_id").isNull() | F.coalesce("shown", F.lit(False))).alias("allowed"))
 
 
@@ -85,7 +85,11 @@ def pinned_documents(extra: DataFrame, dockets: DataFrame, fit: Column) -> DataF
 def around_date(targets: DataFrame, entries: DataFrame, back: int = 2, ahead: int = 45, most: int = 20) -> DataFrame:
     """(target key, entry_id): entries of the docket filed in [day - back, day + ahead], the newest ``most`` of each target."""
     near = F.col("date_filed").between(F.date_sub("start_date", back), F.date_add("start_date", ahead))
-    joined = targets.join(entries.select("docket_id", "entry_id", "date_filed"), "docket_id").where(near)
+    bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / (back + ahead + 1))
+    low, high = bucket(F.date_sub("start_date", back)), bucket(F.date_add("start_date", ahead))
+    spans = targets.withColumn("bucket", F.explode(F.array_distinct(F.array(low, high))))  # two at most
+    days = entries.select("docket_id", "entry_id", "date_filed", bucket(F.col("date_filed")).alias("bucket"))
+    joined = spans.hint("merge").join(days.hint("merge"), ["docket_id", "bucket"]).where(near)
     newest = Window.partitionBy("case_id", "hearing_key").orderBy(F.desc("date_filed"), F.desc("entry_id"))
     return joined.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= most).select("case_id", "hearing_key", "entry_id")
 
@@ -93,7 +97,7 @@ def around_date(targets: DataFrame, entries: DataFrame, back: int = 2, ahead: in
 def lineage_numbers(rows: DataFrame, entries: DataFrame, key: list[str]) -> DataFrame:
     """Entry numbers of ``source_entry_ids`` in source order; unknown ones are dropped."""
     exploded = rows.select(*key, F.posexplode_outer("source_entry_ids").alias("pos", "entry_id"))
-    known = exploded.join(entries.select("entry_id", "entry_number"), "entry_id", "left")
+    known = exploded.hint("merge").join(entries.select("entry_id", "entry_number").hint("merge"), "entry_id", "left")
     listed = F.array_sort(F.collect_list(F.when(F.col("entry_number").isNotNull(), F.struct("pos", "entry_number"))))
     return known.groupBy(*key).agg(F.transform(listed, lambda s: s["entry_number"]).alias("entry_numbers"))
 
@@ -107,7 +111,7 @@ def siblings_with_text(dockets: DataFrame, has_text: DataFrame) -> DataFrame:
 
 def first_usable(candidates: DataFrame, checks: DataFrame) -> DataFrame:
     """For each row of ``candidates(id, pos, url)`` the first url whose check is ok; without any, the original unless all known checks are 4xx."""
-    seen = candidates.join(checks.select("url", "outcome"), "url", "left")
+    seen = candidates.hint("merge").join(checks.select("url", "outcome").hint("merge"), "url", "left")
     return seen.groupBy("id").agg(
         F.coalesce(
             F.min_by("url", F.when(F.col("outcome") == "ok", F.col("pos"))),

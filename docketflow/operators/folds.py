@@ -5,7 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HEARING = "struct<status:string,local_date:date,local_hour:int,significance:string,docket_id:bigint,source_entry_ids:array<bigint>,n:int>"
+from docketflow.functions.text import RECORD
+
+_SHARED = "title:string,notes:string,timezone:string,docket_id:bigint,court_id:string,source_entry_ids:array<bigint>,n:int"
+_HEARING = f"struct<status:string,local_date:date,local_hour:int,significance:string,duration_minutes:int,location:string,judge:string,dial_in:string,{_SHARED}>"
+_DEADLINE = f"struct<status:string,due_date:date,due_hour:int,significance:string,deadline_type:string,{_SHARED}>"
+#: Columns that actions may lack; they are null then.
+_OPTIONAL = {
+    "title": "string", "fallback_title": "string", "notes": "string", "location": "string", "judge": "string", "dial_in": "string", "duration_minutes": "int",
+    "hearing_type": "string", "timezone": "string", "court_id": "string", "record_text": "string", "is_record": "boolean", "significance": "string",
+    "deadline_type": "string", "local_hour": "int", "docket_id": "bigint", "conditional": "boolean",
+}
+# Minutes of a hearing with a clock time, by its type; 60 for others.
+DURATIONS = {
+    "sentencing": 90, "trial": 240, "oral_argument": 60, "evidentiary_hearing": 120, "motion_hearing": 60, "plea_hearing": 45, "change_of_plea": 45,
+    "arraignment": 30, "initial_appearance": 30, "status_conference": 30, "telephonic_conference": 30,
+}
+
+
+def default_minutes(kind: Column, timed: Column) -> Column:
+    """Minutes of a hearing that gives none: by its type, 0 (all day) without a clock time."""
+    known = F.create_map(*[F.lit(x) for kv in DURATIONS.items() for x in kv])
+    return F.when(timed, F.coalesce(F.try_element_at(known, kind), F.lit(60))).otherwise(F.lit(0))
 
 
 def repaired_type(kind: Column, key: Column) -> Column:
@@ -16,12 +37,34 @@ def repaired_type(kind: Column, key: Column) -> Column:
     return F.when(key.startswith("d-"), pick(deadline)).when(key.startswith("h-"), pick(hearing)).otherwise(kind)
 
 
+def _text(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def _foreign(s: Column, a: Column) -> Column:
+    """Whether the row belongs to a docket of another court than the action's; unknown courts are let through."""
+    other = (s["docket_id"] != a["docket_id"]) & (s["court_id"] != a["court_id"])
+    return (s["n"] > 0) & F.coalesce(other, F.lit(False))
+
+
+def _sources(s: Column, a: Column) -> Column:
+    return F.when(F.array_contains(s["source_entry_ids"], a["entry_id"]), s["source_entry_ids"]).otherwise(F.array_append(s["source_entry_ids"], a["entry_id"]))
+
+
+def _home(s: Column, a: Column) -> list[Column]:
+    """Zone, docket and court stay those of the first action."""
+    first = s["n"] == 0
+    return [F.when(first, a[c]).otherwise(s[c]).alias(c) for c in ("timezone", "docket_id", "court_id")]
+
+
 def next_hearing(s: Column, a: Column) -> Column:
     """State after an action.  ``s.n`` counts applied actions; 0 is "no row yet".
 
-    CANCEL and MARK_HELD on a key without a row insert only with a date;
-    MARK_HELD needs a date within two days of the row's; anything else sets the
-    row scheduled again.  Docket is sticky, lineage grows once for each entry.
+    A row of another known court is never touched.  CANCEL and MARK_HELD on a
+    key without a row insert only with a date; MARK_HELD needs a date within two
+    days of the row's, and puts the record of the proceeding in place of notes
+    that tell of none; anything else sets the row scheduled again.  Lineage
+    grows once for each entry.
     """
     there, kind, date = s["n"] > 0, a["type"], a["local_date"]
     same_day = F.coalesce(F.abs(F.datediff(date, s["local_date"])) <= 2, F.lit(True))
@@ -31,44 +74,77 @@ def next_hearing(s: Column, a: Column) -> Column:
         | ((kind == "ADD_HEARING") & date.isNull())
         | (terminal & ~there & date.isNull())
         | ((kind == "MARK_HELD") & there & ~same_day)
+        | _foreign(s, a)
     )
-    sources = F.when(F.array_contains(s["source_entry_ids"], a["entry_id"]), s["source_entry_ids"]).otherwise(F.array_append(s["source_entry_ids"], a["entry_id"]))
     keeps = terminal & there
+    told = F.coalesce(_text(a["notes"]), a["record_text"])
+    supersedes = F.coalesce(a["is_record"], F.lit(False)) & ~F.coalesce(s["notes"].rlike(RECORD), F.lit(False))
+    notes = F.when(keeps & (kind == "MARK_HELD"), F.when(supersedes, F.coalesce(told, s["notes"])).otherwise(s["notes"])).otherwise(F.coalesce(_text(a["notes"]), s["notes"]))
+    given, had = F.nullif(a["duration_minutes"], F.lit(0)), F.nullif(s["duration_minutes"], F.lit(0))
+    minutes = F.coalesce(given, F.when(kind != "RESCHEDULE_HEARING", had), default_minutes(a["hearing_type"], a["local_hour"].isNotNull()))
+    new = lambda c: F.when(keeps, s[c]).otherwise(F.coalesce(_text(a[c]), s[c])).alias(c)
     applied = F.struct(
         F.when(kind == "CANCEL_HEARING", F.lit("cancelled")).when(kind == "MARK_HELD", F.lit("held")).otherwise(F.lit("scheduled")).alias("status"),
         F.when(keeps, s["local_date"]).otherwise(F.coalesce(date, s["local_date"])).alias("local_date"),
         F.when(keeps | date.isNull(), s["local_hour"]).otherwise(a["local_hour"]).alias("local_hour"),
-        F.when(terminal & ~there, F.coalesce(a["significance"], F.lit("major"))).otherwise(F.coalesce(a["significance"], s["significance"])).alias("significance"),
-        F.coalesce(s["docket_id"], a["docket_id"]).alias("docket_id"),
-        sources.alias("source_entry_ids"),
-        (s["n"] + 1).cast("int").alias("n"),
+        F.when(keeps, s["significance"]).when(terminal, F.coalesce(a["significance"], F.lit("major"))).otherwise(F.coalesce(a["significance"], s["significance"])).alias("significance"),
+        F.when(keeps, s["duration_minutes"]).otherwise(minutes).alias("duration_minutes"),
+        new("location"), new("judge"), new("dial_in"),
+        F.when(keeps, s["title"]).otherwise(F.coalesce(_text(a["title"]), F.when(there, s["title"]).otherwise(a["fallback_title"]))).alias("title"),
+        notes.alias("notes"), *_home(s, a), _sources(s, a).alias("source_entry_ids"), (s["n"] + 1).cast("int").alias("n"),
     ).cast(_HEARING)
     return F.when(drop, s).otherwise(applied)
 
 
+def _folded(actions: DataFrame, key: str, columns: list[str], state: str, step) -> DataFrame:
+    """The rows left of ``actions`` after ``step`` over each key's actions in order; one exchange."""
+    for c, kind in _OPTIONAL.items():
+        if c not in actions.columns:
+            actions = actions.withColumn(c, F.lit(None).cast(kind))
+    rows = actions.groupBy("case_id", key).agg(F.array_sort(F.collect_list(F.struct("seq", "entry_id", "type", "local_date", *columns))).alias("steps"))
+    start = F.from_json(F.lit('{"source_entry_ids":[],"n":0}'), state)
+    return rows.select("case_id", key, F.aggregate("steps", start, step).alias("s")).where("s.n > 0").select("case_id", key, "s.*")
+
+
 def fold_hearings(actions: DataFrame) -> DataFrame:
-    """``actions(case_id, hearing_key, seq, entry_id, type, local_date, local_hour, significance, docket_id)`` to one row a key."""
-    step = F.struct("seq", "entry_id", "type", "local_date", "local_hour", "significance", "docket_id")
-    start = F.from_json(F.lit('{"source_entry_ids":[],"n":0}'), _HEARING)
+    """``actions(case_id, hearing_key, seq, entry_id, type, local_date, ...)`` to one row a key.
+
+    Optional columns: see ``_OPTIONAL``.  The start is local to ``timezone``, which stays that of
+    the first action; ``render.local_to_utc`` gives the instant.
+    """
     live = actions.where("hearing_key IS NOT NULL AND type <> 'IGNORE'")
-    states = live.groupBy("case_id", "hearing_key").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    return states.select("case_id", "hearing_key", F.aggregate("steps", start, next_hearing).alias("s")).where("s.n > 0").select("case_id", "hearing_key", "s.*")
+    columns = ["local_hour", "significance", "docket_id", "court_id", "timezone", "title", "fallback_title", "notes", "location", "judge", "dial_in", "duration_minutes", "hearing_type", "record_text", "is_record"]
+    return _folded(live, "hearing_key", columns, _HEARING, next_hearing)
 
 
-def fold_deadlines(actions: DataFrame) -> DataFrame:
-    """Deadline state from ``actions(case_id, deadline_key, seq, entry_id, type, local_date, conditional)``.
+def next_deadline(s: Column, a: Column) -> Column:
+    """State after a deadline action.
 
-    MARK_FILED never inserts; CANCEL inserts only with a date; ADD needs a date unless conditional.
+    A row of another known court is never touched.  MARK_FILED never inserts;
+    CANCEL inserts only with a date; ADD needs a date unless it is conditional,
+    and then clears the date that was there.
     """
-    kind_state = "struct<status:string,due_date:date,n:int>"
-
-    def step(s: Column, a: Column) -> Column:
-        there, kind, date = s["n"] > 0, a["type"], a["local_date"]
-        drop = ((kind == "ADD_DEADLINE") & date.isNull() & ~F.coalesce(a["conditional"], F.lit(False))) | ((kind == "MARK_FILED") & ~there) | ((kind == "CANCEL_DEADLINE") & ~there & date.isNull())
-        status = F.when(kind == "CANCEL_DEADLINE", F.lit("cancelled")).when(kind == "MARK_FILED", F.lit("met")).otherwise(F.lit("pending"))
-        due = F.when(kind == "MARK_FILED", s["due_date"]).otherwise(F.coalesce(date, s["due_date"]))
-        return F.when(drop, s).otherwise(F.struct(status.alias("status"), due.alias("due_date"), (s["n"] + 1).cast("int").alias("n")).cast(kind_state))
-
-    rows = actions.groupBy("case_id", "deadline_key").agg(F.array_sort(F.collect_list(F.struct("seq", "entry_id", "type", "local_date", "conditional"))).alias("steps"))
-    start = F.from_json(F.lit('{"n":0}'), kind_state)
-    return rows.select("case_id", "deadline_key", F.aggregate("steps", start, step).alias("s")).where("s.n > 0").select("case_id", "deadline_key", "s.*")
+    there, kind, date = s["n"] > 0, a["type"], a["local_date"]
+    conditional = F.coalesce(a["conditional"], F.lit(False))
+    ends = kind.isin("CANCEL_DEADLINE", "MARK_FILED")
+    drop = ((kind == "ADD_DEADLINE") & date.isNull() & ~conditional) | ((kind == "MARK_FILED") & ~there) | ((kind == "CANCEL_DEADLINE") & ~there & date.isNull()) | _foreign(s, a)
+    keeps = ends & there
+    cleared = (kind == "ADD_DEADLINE") & conditional & date.isNull()
+    dated = lambda old, new: F.when(keeps, old).when(date.isNotNull(), new).when(~cleared, old)
+    applied = F.struct(
+        F.when(kind == "CANCEL_DEADLINE", F.lit("cancelled")).when(kind == "MARK_FILED", F.lit("met")).otherwise(F.lit("pending")).alias("status"),
+        dated(s["due_date"], date).alias("due_date"),
+        dated(s["due_hour"], a["local_hour"]).alias("due_hour"),
+        F.when(keeps, s["significance"]).when(ends, F.coalesce(a["significance"], F.lit("major"))).otherwise(F.coalesce(a["significance"], s["significance"])).alias("significance"),
+        F.when(keeps, s["deadline_type"]).otherwise(F.coalesce(_text(a["deadline_type"]), s["deadline_type"])).alias("deadline_type"),
+        F.when(keeps, s["title"]).otherwise(F.coalesce(_text(a["title"]), F.when(there, s["title"]).otherwise(a["fallback_title"]))).alias("title"),
+        F.when(kind == "MARK_FILED", s["notes"]).otherwise(F.coalesce(_text(a["notes"]), s["notes"])).alias("notes"),
+        *_home(s, a), _sources(s, a).alias("source_entry_ids"), (s["n"] + 1).cast("int").alias("n"),
+    ).cast(_DEADLINE)
+    return F.when(drop, s).otherwise(applied)
+
+
+def fold_deadlines(actions: DataFrame) -> DataFrame:
+    """``actions(case_id, deadline_key, seq, entry_id, type, local_date, conditional, ...)`` to one row a key; without an hour it falls due at 16:00."""
+    columns = ["local_hour", "significance", "docket_id", "court_id", "timezone", "title", "fallback_title", "notes", "deadline_type", "conditional"]
+    return _folded(actions.where("deadline_key IS NOT NULL"), "deadline_key", columns, _DEADLINE, next_deadline)

@@ -1,33 +1,10 @@
-"""Repairs of stored state, each as a plan of changes before it is applied."""
+"""Repairs of stored columns, each as a plan of changes before it is applied."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketflow.functions.text import base_key, key_title
-
-
-def drifted_keys(rows: DataFrame, key: str = "hearing_key") -> DataFrame:
-    """Rows with a -<digits> key: fold into the base row at the same slot, rename when no base row exists, else leave."""
-    drifted = rows.withColumn("base", base_key(F.col(key))).where(F.col(key) != F.col("base"))
-    bases = rows.select("case_id", F.col(key).alias("base"), F.col("start_date").alias("base_date"), F.lit(True).alias("there"))
-    both = drifted.join(bases, ["case_id", "base"], "left")
-    action = F.when(F.col("there").isNull(), "rename").when(F.col("base_date").eqNullSafe(F.col("start_date")), "fold").otherwise("keep")
-    return both.select("case_id", key, "base", action.alias("action"))
-
-
-def key_titles(rows: DataFrame, better: Column, key: str = "hearing_key") -> DataFrame:
-    """Titles that only spell their key out, with the better ones to put in their place."""
-    return rows.where(F.lower("title") == F.lower(key_title(F.col(key)))).select("case_id", key, "title", better.alias("new_title"))
-
-
-def better_notes(rows: DataFrame, entries: DataFrame, record: str) -> DataFrame:
-    """For rows with blank notes the longest source entry that reads as a record (smallest id among equals)."""
-    blank = rows.where(F.trim(F.coalesce("notes", F.lit(""))) == "").select("case_id", "hearing_key", "docket_id")
-    found = blank.join(entries.where(F.col("description").rlike(record)).select("docket_id", "entry_id", "description"), "docket_id")
-    return found.groupBy("case_id", "hearing_key").agg(F.min_by("description", F.struct(-F.length("description"), F.col("entry_id"))).alias("new_notes"))
-
 
 def significance(rows: DataFrame, classified: DataFrame, key: str = "hearing_key") -> DataFrame:
     """Rows without a significance that the classification gives one."""

@@ -73,3 +73,8 @@ def case_stats(routes: DataFrame, changed: DataFrame, entries: DataFrame) -> Dat
     return rows.groupBy("case_id").agg(
         F.count("*").alias("dockets"), F.count_if("changed").alias("changed"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.max("newest").cast("string").alias("newest")
     )
+
+
+def call_times(rows: DataFrame) -> DataFrame:
+    """(label, calls, mean_seconds, wall) of ``rows(label, seconds, at)``: wall is the time from the first to the last call."""
+    return rows.groupBy("label").agg(F.count("*").alias("calls"), F.avg("seconds").alias("mean_seconds"), (F.max("at") - F.min("at")).alias("wall"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CATEGORIES = ["h_scheduled", "h_rescheduled", "d_set", "d_met"]
+CATEGORIES = ["h_scheduled", "h_rescheduled", "h_cancelled", "h_held", "d_set", "d_rescheduled", "d_cancelled", "d_met"]
 
 
 def priced(calls: DataFrame, rates: DataFrame) -> DataFrame:
@@ -22,19 +22,19 @@ def priced(calls: DataFrame, rates: DataFrame) -> DataFrame:
 def ledger(calls: DataFrame) -> DataFrame:
     """Per docket (null as '?'), per model and in total: calls, tokens, cost, unpriced calls."""
     rows = calls.withColumn("docket", F.coalesce("docket", F.lit("?")))
-    sums = [F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cached").alias("cached"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"), F.count_if(F.col("cost").isNull()).alias("unpriced")]
+    sums = [F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cached").alias("cached"), F.sum("cache_write").alias("cache_write"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"), F.count_if(F.col("cost").isNull()).alias("unpriced")]
     return rows.groupingSets([["docket"], ["model"], []], "docket", "model").agg(*sums)
 
 
 def call_tracks(calls: DataFrame) -> DataFrame:
     track = F.when(F.col("purpose") == "summary", "summary").otherwise("extraction")
-    return calls.groupBy("model", track.alias("track")).agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.round(F.avg("tokens_out"), 6).alias("mean_out"))
+    return calls.groupBy("model", track.alias("track")).agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.round(F.avg("tokens_out"), 6).alias("mean_out"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"), F.count_if(F.col("cost").isNull()).alias("unpriced"))
 
 
 def compared(truth: DataFrame, model: DataFrame) -> DataFrame:
     """(provider, entry_id, docket, category, human, found): every truth row against every provider; missing model rows are 0."""
     providers = model.select("provider").distinct()
-    rows = truth.crossJoin(F.broadcast(providers))  # providers are a fixed few
+    rows = truth.crossJoin(F.broadcast(providers))  # a row a provider
     found = model.select("provider", "entry_id", *[F.col(c).alias(f"m_{c}") for c in CATEGORIES])
     rows = rows.join(found, ["provider", "entry_id"], "left")
     pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).cast("long").alias("human"), F.coalesce(f"m_{c}", F.lit(0)).cast("long").alias("found")) for c in CATEGORIES])
@@ -53,18 +53,41 @@ def docket_deviation(rows: DataFrame) -> DataFrame:
 
 
 def universal_misses(rows: DataFrame) -> DataFrame:
-    """Entries with human actions that no provider found anything for."""
+    """Entries with human actions that no provider found anything for, and their share of all human actions."""
     sums = rows.groupBy("provider", "entry_id").agg(F.sum("human").alias("human"), F.sum("found").alias("found"))
-    return sums.groupBy("entry_id").agg(F.max("human").alias("human"), F.max("found").alias("found")).where("human > 0 AND found = 0").select("entry_id", "human")
+    entries = sums.groupBy("entry_id").agg(F.max("human").alias("human"), F.max("found").alias("found"))
+    total = entries.agg(F.sum("human").alias("total"))  # one row
+    missed = entries.where("human > 0 AND found = 0").crossJoin(F.broadcast(total))
+    return missed.select("entry_id", "human", (F.col("human") / F.col("total")).alias("share"))
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    bucket = F.when(F.col("category").isin("h_scheduled", "d_set"), "add").when(F.col("category").isin("h_rescheduled", "d_met"), "lifecycle").otherwise("cancel")
+    bucket = F.when(F.col("category").isin("h_scheduled", "d_set"), "add").when(F.col("category").isin("h_cancelled", "d_cancelled"), "cancel").otherwise("lifecycle")
     return rows.groupBy("provider", bucket.alias("bucket")).agg(F.sum("human").alias("human"), F.sum("found").alias("found"))
 
 
-def action_counts(actions: DataFrame, kinds: list[str]) -> DataFrame:
-    return actions.groupBy("case_id").pivot("type", kinds).count().na.fill(0, kinds)
+#: The category an action counts for; other types count for none.
+CATEGORY_OF = {
+    "ADD_HEARING": "h_scheduled", "RESCHEDULE_HEARING": "h_rescheduled", "CANCEL_HEARING": "h_cancelled", "MARK_HELD": "h_held",
+    "ADD_DEADLINE": "d_set", "RESCHEDULE_DEADLINE": "d_rescheduled", "CANCEL_DEADLINE": "d_cancelled", "MARK_FILED": "d_met",
+}
+
+
+def action_counts(actions: DataFrame) -> DataFrame:
+    """(label, entry_id, a column a category) of ``actions(label, entry_id, type)``; one pass, and entries without counted actions are 0."""
+    counts = [F.count_if(F.upper("type") == kind).alias(c) for kind, c in CATEGORY_OF.items()]
+    return actions.groupBy("label", "entry_id").agg(*counts)
+
+
+# What a minor key is about, by the first word that is found.
+MINOR = {"redaction": "transcript redaction-request", "amicus": "amicus response / reply", "transcript": "other transcript"}
+
+
+def minor_bucket(key: Column) -> Column:
+    bucket = F.when(F.lit(False), F.lit(""))
+    for word, name in MINOR.items():
+        bucket = bucket.when(F.contains(key, F.lit(word)), name)
+    return bucket.otherwise("other procedural")
 
 
 def first_firings(actions: DataFrame) -> DataFrame:
@@ -79,8 +102,7 @@ def peak(rows: DataFrame, by: str, stamp: str, seconds: int) -> DataFrame:
     return rows.withColumn("n", F.count("*").over(window)).groupBy(by).agg(F.max("n").alias("peak"))
 
 
-def funnel(actions: DataFrame, rows: DataFrame) -> DataFrame:
-    """Counts of raw actions, logical rows and visible rows."""
-    parts = [("actions", actions), ("rows", rows), ("visible", rows.where("local_date IS NOT NULL AND NOT (significance <=> 'minor')"))]
-    frames = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, d in parts]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+def funnel(rows: DataFrame) -> DataFrame:
+    """(rows, visible) of folded rows, in one pass."""
+    visible = F.col("local_date").isNotNull() & ~F.col("significance").eqNullSafe("minor")
+    return rows.agg(F.sum("n").alias("applied"), F.count("*").alias("rows"), F.count_if(visible).alias("visible"))

@@ -5,58 +5,156 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketflow.functions import render
 from docketflow.functions import text as T
 from docketflow.operators import context, feed, folds, sweeps
+from docketflow.operators.state import replayed
 from docketflow.plans.register import Register
-from docketflow.sources.adapter import view
+from docketflow.sources.adapter import view, with_views
 
 query = Register()
 QUERIES, ORACLE = query.queries, query.oracle
 TODAY = "1998-06-15"
+AGENDA_DAY = "2024-02-01"
 
 
 def as_steps(a: DataFrame) -> DataFrame:
-    return a.select("case_id", "hearing_key", F.struct("entry_date", "event_id").alias("seq"), F.col("event_id").alias("entry_id"), "type", "local_date", "local_hour", "significance", "docket_id")
+    """Actions as the hearing fold takes them."""
+    text = render.record_text(F.col("entry_text"), F.lit(None).cast("string"))
+    marks = [F.struct("entry_date", "event_id").alias("seq"), F.col("event_id").alias("entry_id"), T.key_title(F.col("hearing_key")).alias("fallback_title"), text.alias("record_text"), T.records_proceeding(F.col("entry_text")).alias("is_record")]
+    return a.select("*", *marks)
+
+
+def as_deadline_steps(a: DataFrame) -> DataFrame:
+    """The same actions on deadline keys."""
+    key = F.regexp_replace("hearing_key", "^h-", "d-")
+    rows = a.select("*", F.struct("entry_date", "event_id").alias("seq"), F.col("event_id").alias("entry_id"), key.alias("deadline_key"), T.key_title(key).alias("fallback_title"))
+    return rows.withColumn("type", folds.repaired_type(F.col("type"), F.col("deadline_key")))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events folded to hearings, and the agenda of every case in the middle of them."""
     state = folds.fold_hearings(as_steps(view(spark, sf_dir, "actions_v")))
     rows = state.where("local_date IS NOT NULL AND NOT (significance <=> 'minor')")
-    rows = rows.select("case_id", F.col("hearing_key").alias("event_key"), T.key_title(F.col("hearing_key")).alias("title"), F.col("local_date").alias("start_date"), "status")
-    return feed.agenda(rows, "2024-02-01")
-
+    rows = rows.select("case_id", F.col("hearing_key").alias("event_key"), "title", F.col("local_date").alias("start_date"), "status")
+    return feed.agenda(rows, AGENDA_DAY)
+
+
+def _recursive(kinds: dict[str, str], key: str, drop: str, fields: dict[str, str]) -> str:
+    """A recursive query over the numbered actions of each key; ``f`` is the state, ``a`` the action."""
+    none = ", ".join(f"cast(NULL AS {t}) AS {c}" for c, t in kinds.items())
+    step = ", ".join(f"CASE WHEN {drop} THEN f.{c} ELSE {fields[c]} END" for c in kinds)
+    return (
+        f"(WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY case_id, hearing_key ORDER BY entry_date, event_id) AS i FROM actions_v), "
+        f"f AS (SELECT case_id, hearing_key, cast(0 AS bigint) AS i, cast(0 AS bigint) AS n, cast([] AS bigint[]) AS sources, {none} FROM (SELECT DISTINCT case_id, hearing_key FROM a) k "
+        f"UNION ALL SELECT a.case_id, a.hearing_key, a.i, CASE WHEN {drop} THEN f.n ELSE f.n + 1 END, CASE WHEN {drop} THEN f.sources ELSE list_append(f.sources, a.event_id) END, {step} "
+        f"FROM f JOIN a ON a.case_id = f.case_id AND a.hearing_key = f.hearing_key AND a.i = f.i + 1) "
+        f"SELECT f.* EXCLUDE (i, hearing_key), {key} AS key FROM f JOIN (SELECT case_id, hearing_key, max(i) AS i FROM a GROUP BY ALL) z USING (case_id, hearing_key, i) WHERE n > 0)"
+    )
+
+
+_RECORD = "regexp_matches({0}, '" + T.RECORD.replace("(?i)", "").replace("'", "''") + "', 'i')"
+_FOREIGN = "(f.n > 0 AND coalesce(f.docket_id <> a.docket_id AND f.court_id <> a.court_id, false))"
+_HOME = {c: f"CASE WHEN f.n = 0 THEN a.{c} ELSE f.{c} END" for c in ("timezone", "docket_id", "court_id")}
+_KEY_TITLE = "upper(left({0}, 1)) || replace(substr({0}, 2), '-', ' ')"  # of keys like h-3-2
+_KEEPS = "(f.n > 0 AND a.type IN ('CANCEL_HEARING', 'MARK_HELD'))"
+_DEFAULT = "CASE WHEN a.local_hour IS NULL THEN 0 ELSE coalesce(CASE a.hearing_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in folds.DURATIONS.items()) + " END, 60) END"
+HEARING_ROWS = _recursive(
+    {
+        "status": "varchar", "local_date": "date", "local_hour": "int", "significance": "varchar", "duration_minutes": "int", "location": "varchar", "judge": "varchar", "dial_in": "varchar",
+        "title": "varchar", "notes": "varchar", "timezone": "varchar", "docket_id": "bigint", "court_id": "varchar",
+    },
+    "hearing_key",
+    "((a.type = 'ADD_HEARING' AND a.local_date IS NULL) OR (a.type IN ('CANCEL_HEARING', 'MARK_HELD') AND f.n = 0 AND a.local_date IS NULL) OR "
+    f"(a.type = 'MARK_HELD' AND f.n > 0 AND coalesce(abs(date_diff('day', a.local_date, f.local_date)) > 2, false)) OR {_FOREIGN})",
+    {
+        "status": "CASE a.type WHEN 'CANCEL_HEARING' THEN 'cancelled' WHEN 'MARK_HELD' THEN 'held' ELSE 'scheduled' END",
+        "local_date": f"CASE WHEN {_KEEPS} THEN f.local_date ELSE coalesce(a.local_date, f.local_date) END",
+        "local_hour": f"CASE WHEN {_KEEPS} OR a.local_date IS NULL THEN f.local_hour ELSE a.local_hour END",
+        "significance": f"CASE WHEN {_KEEPS} THEN f.significance WHEN a.type IN ('CANCEL_HEARING', 'MARK_HELD') THEN coalesce(a.significance, 'major') ELSE coalesce(a.significance, f.significance) END",
+        "duration_minutes": f"CASE WHEN {_KEEPS} THEN f.duration_minutes ELSE coalesce(nullif(a.duration_minutes, 0), CASE WHEN a.type <> 'RESCHEDULE_HEARING' THEN nullif(f.duration_minutes, 0) END, {_DEFAULT}) END",
+        **{c: f"CASE WHEN {_KEEPS} THEN f.{c} ELSE coalesce(a.{c}, f.{c}) END" for c in ("location", "judge", "dial_in")},
+        "title": f"CASE WHEN {_KEEPS} THEN f.title ELSE coalesce(nullif(a.title, ''), CASE WHEN f.n > 0 THEN f.title ELSE {_KEY_TITLE.format('a.hearing_key')} END) END",
+        "notes": f"CASE WHEN {_KEEPS} AND a.type = 'MARK_HELD' THEN CASE WHEN {_RECORD.format('a.entry_text')} AND NOT coalesce({_RECORD.format('f.notes')}, false) THEN coalesce(nullif(a.notes, ''), a.entry_text) ELSE f.notes END ELSE coalesce(nullif(a.notes, ''), f.notes) END",
+        **_HOME,
+    },
+)
+_ENDS = "(f.n > 0 AND a.type IN ('CANCEL_HEARING', 'MARK_HELD'))"
+_CLEARED = "(a.type = 'ADD_HEARING' AND a.conditional AND a.local_date IS NULL)"
+DEADLINE_ROWS = _recursive(
+    {
+        "status": "varchar", "due_date": "date", "due_hour": "int", "significance": "varchar", "deadline_type": "varchar",
+        "title": "varchar", "notes": "varchar", "timezone": "varchar", "docket_id": "bigint", "court_id": "varchar",
+    },
+    "'d-' || substr(hearing_key, 3)",
+    f"((a.type = 'ADD_HEARING' AND a.local_date IS NULL AND NOT a.conditional) OR (a.type = 'MARK_HELD' AND f.n = 0) OR (a.type = 'CANCEL_HEARING' AND f.n = 0 AND a.local_date IS NULL) OR {_FOREIGN})",
+    {
+        "status": "CASE a.type WHEN 'CANCEL_HEARING' THEN 'cancelled' WHEN 'MARK_HELD' THEN 'met' ELSE 'pending' END",
+        "due_date": f"CASE WHEN {_ENDS} THEN f.due_date WHEN {_CLEARED} THEN NULL ELSE coalesce(a.local_date, f.due_date) END",
+        "due_hour": f"CASE WHEN {_ENDS} THEN f.due_hour WHEN {_CLEARED} THEN NULL WHEN a.local_date IS NOT NULL THEN a.local_hour ELSE f.due_hour END",
+        "significance": f"CASE WHEN {_ENDS} THEN f.significance WHEN a.type = 'CANCEL_HEARING' THEN coalesce(a.significance, 'major') ELSE coalesce(a.significance, f.significance) END",
+        "deadline_type": f"CASE WHEN {_ENDS} THEN f.deadline_type ELSE coalesce(a.deadline_type, f.deadline_type) END",
+        "title": f"CASE WHEN {_ENDS} THEN f.title ELSE coalesce(nullif(a.title, ''), CASE WHEN f.n > 0 THEN f.title ELSE {_KEY_TITLE.format("'d-' || substr(a.hearing_key, 3)")} END) END",
+        "notes": "CASE WHEN a.type = 'MARK_HELD' THEN f.notes ELSE coalesce(nullif(a.notes, ''), f.notes) END",
+        **_HOME,
+    },
+)
+_HEARING_COLUMNS = "status, local_hour, significance, duration_minutes, location, judge, dial_in, title, notes, timezone, docket_id"
+_INSTANT = "epoch_us((cast({0} AS timestamp) + to_hours(coalesce({1}, {2}))) AT TIME ZONE timezone)"
 
-@query("actions_v")
-def hearing_fold(a):
-    return folds.fold_hearings(as_steps(a))
 
+def _instant(date: str, hour: str, missing: int):
+    stamp = F.to_timestamp(F.concat(F.col(date).cast("string"), F.lit(" "), F.lpad(F.coalesce(hour, F.lit(missing)).cast("string"), 2, "0"), F.lit(":00:00")))
+    return F.unix_micros(F.to_utc_timestamp(stamp, F.col("timezone")))
 
-@query("actions_v")
-def deadline_fold(a):
-    key = F.regexp_replace("hearing_key", "^h-", "d-")
-    rows = a.select("case_id", key.alias("deadline_key"), F.struct("entry_date", "event_id").alias("seq"), F.col("event_id").alias("entry_id"), folds.repaired_type(F.col("type"), key).alias("type"), "local_date", F.lit(False).alias("conditional"))
-    return folds.fold_deadlines(rows)
 
+@query("actions_v", f"SELECT case_id, key AS hearing_key, cast(local_date AS string) AS local_date, {_HEARING_COLUMNS}, {_INSTANT.format('local_date', 'local_hour', 0)} AS starts_us, array_to_string(sources, ',') AS sources FROM {HEARING_ROWS} s")
+def hearing_fold(a):
+    """Whole hearing rows: state, texts, length, zone, instant and lineage."""
+    rows = folds.fold_hearings(as_steps(a))
+    sources = F.array_join(F.col("source_entry_ids").cast("array<string>"), ",").alias("sources")
+    return rows.select("case_id", "hearing_key", F.col("local_date").cast("string").alias("local_date"), *_HEARING_COLUMNS.split(", "), _instant("local_date", "local_hour", 0).alias("starts_us"), sources)
 
-QUERIES["agenda_from_actions"] = flagship
 
-_LAST = "SELECT case_id, hearing_key, arg_max(CASE type WHEN 'CANCEL_HEARING' THEN 'cancelled' ELSE 'scheduled' END, (entry_date, event_id)) AS status FROM actions_v WHERE type <> 'MARK_HELD' GROUP BY case_id, hearing_key"
+@query("actions_v", f"SELECT case_id, key AS deadline_key, cast(due_date AS string) AS due_date, status, significance, deadline_type, title, notes, timezone, docket_id, {_INSTANT.format('due_date', 'due_hour', 16)} AS due_us, array_to_string(sources, ',') AS sources FROM {DEADLINE_ROWS} s")
+def deadline_fold(a):
+    """Whole deadline rows; without an hour they fall due at 16:00 of their zone."""
+    rows = folds.fold_deadlines(as_deadline_steps(a))
+    sources = F.array_join(F.col("source_entry_ids").cast("array<string>"), ",").alias("sources")
+    return rows.select("case_id", "deadline_key", F.col("due_date").cast("string").alias("due_date"), "status", "significance", "deadline_type", "title", "notes", "timezone", "docket_id", _instant("due_date", "due_hour", 16).alias("due_us"), sources)
 
 
-@query("actions_v", _LAST)
+@query("actions_v", f"SELECT case_id, key AS hearing_key, status FROM {HEARING_ROWS} s")
 def hearing_fold_last_status(a):
-    """Without MARK_HELD every action applies, so the last one decides: the fold against a plain maximum."""
-    return folds.fold_hearings(as_steps(a.where("type <> 'MARK_HELD'"))).select("case_id", "hearing_key", "status")
+    return folds.fold_hearings(as_steps(a)).select("case_id", "hearing_key", "status")
 
 
-@query("actions_v", "SELECT case_id, hearing_key, list_aggregate(list_sort(list(DISTINCT event_id)), 'count') AS sources, arg_min(docket_id, (entry_date, event_id)) AS docket_id FROM actions_v WHERE type <> 'MARK_HELD' GROUP BY case_id, hearing_key")
+@query("actions_v", f"SELECT case_id, key AS hearing_key, cast(len(sources) AS bigint) AS sources, docket_id FROM {HEARING_ROWS} s")
 def hearing_fold_lineage(a):
     """The sticky docket and the growing lineage of the fold."""
-    rows = folds.fold_hearings(as_steps(a.where("type <> 'MARK_HELD'")))
-    return rows.select("case_id", "hearing_key", F.size("source_entry_ids").cast("long").alias("sources"), "docket_id")
+    return folds.fold_hearings(as_steps(a)).select("case_id", "hearing_key", F.size("source_entry_ids").cast("long").alias("sources"), "docket_id")
+
+
+@query("actions_v dockets_v", f"SELECT case_id, key AS hearing_key, status FROM {HEARING_ROWS} s WHERE case_id IN (SELECT case_id FROM dockets_v) UNION ALL SELECT DISTINCT case_id, hearing_key, 'stored' FROM actions_v WHERE case_id NOT IN (SELECT case_id FROM dockets_v)")
+def replay(a, d):
+    """Rows of the configured cases rebuilt from their whole history; other rows stay as they were."""
+    stored = a.select("case_id", "hearing_key").distinct().withColumn("status", F.lit("stored"))
+    return replayed(stored, as_steps(a), d.select("case_id").distinct())
+
+
 
 
+def agenda_from_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir).withColumn("start_date", F.col("start_date").cast("string"))
+
+
+QUERIES["agenda_from_actions"] = agenda_from_actions
+ORACLE["agenda_from_actions"] = with_views(
+    "actions_v",
+    f"SELECT case_id, event_key, cast(start_date AS string) AS start_date, CASE WHEN NOT upcoming THEN 'past' WHEN place <= 6 THEN 'next' ELSE 'overflow' END AS slot, place FROM (SELECT *, row_number() OVER (PARTITION BY case_id, upcoming ORDER BY abs(start_date - DATE '{AGENDA_DAY}'), event_key) AS place FROM "
+    f"(SELECT case_id, key AS event_key, title, local_date AS start_date, status, local_date >= DATE '{AGENDA_DAY}' AS upcoming FROM {HEARING_ROWS} s WHERE local_date IS NOT NULL AND significance IS DISTINCT FROM 'minor' AND status <> 'cancelled' AND local_date >= DATE '{AGENDA_DAY}' - 14) f) g WHERE upcoming OR place <= 2",
+)
+
 @query("hearings_v dockets_v", "SELECT case_id, hearing_key, docket_number, cast(start_date AS string) AS start_date, size FROM (SELECT h.status || cast(h.docket_id % 9 AS string) AS case_id, h.hearing_key, d.court_id AS docket_number, h.start_date, count(*) OVER (PARTITION BY h.docket_id % 9, d.court_id, h.start_date, h.start_hour) AS size FROM hearings_v h LEFT JOIN dockets_v d USING (docket_id) WHERE h.status = 'held') x WHERE size > 1")
 def same_slot_clusters(h, d):
     """Clusters over wider cases and dockets (nine cases, a docket a court), so that slots do meet."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketflow.functions import text as T
-from docketflow.operators import context, heals, infer
+from docketflow.operators import context, heals, infer, state
 from docketflow.plans.queries_ingest import _RE, _hit
 from docketflow.plans.register import Register
 
@@ -13,12 +13,12 @@ query = Register()
 QUERIES, ORACLE = query.queries, query.oracle
 
 
-@query("entries_v", f"SELECT e.entry_id, e.description || chr(10) || coalesce(string_agg('[' || cast(r.ref_entry_id AS string) || '] ' || left(r.t, 20), chr(10) ORDER BY r.ref_entry_id), '') AS prompt FROM entries_v e LEFT JOIN (SELECT n.entry_id, b.entry_id AS ref_entry_id, b.description AS t FROM (SELECT DISTINCT docket_id, entry_id, cast(unnest(regexp_extract_all(description, '{_RE['REFERENCES']}', 1)) AS bigint) AS ref FROM entries_v) n JOIN entries_v b ON b.docket_id = n.docket_id AND b.entry_number = n.ref AND b.description <> '') r USING (entry_id) WHERE e.description LIKE 'ORDER%' GROUP BY e.entry_id, e.description")
+@query("entries_v", f"SELECT e.entry_id, e.description || chr(10) || coalesce(string_agg('[' || cast(r.ref_entry_id AS string) || '] ' || left(r.t, 1500), chr(10) ORDER BY r.ref_entry_id), '') AS prompt FROM entries_v e LEFT JOIN (SELECT n.entry_id, b.entry_id AS ref_entry_id, b.description AS t FROM (SELECT DISTINCT docket_id, entry_id, cast(unnest(regexp_extract_all(description, '{_RE['REFERENCES']}', 1)) AS bigint) AS ref FROM entries_v) n JOIN entries_v b ON b.docket_id = n.docket_id AND b.entry_number = n.ref AND b.description <> '') r USING (entry_id) WHERE e.description LIKE 'ORDER%' GROUP BY e.entry_id, e.description")
 def prompt_assembly(e):
     """Prompts of orders with the heads of the entries they refer to."""
     refs = context.cross_references(e, T.references(F.col("description"))).select("entry_id", "ref_entry_id")
-    related = refs.join(e.select(F.col("entry_id").alias("ref_entry_id"), F.col("description").alias("ref_text")), "ref_entry_id")
-    return infer.prompts(e.where("description LIKE 'ORDER%'").select("entry_id", F.col("description").alias("text")), related, 20)
+    related = refs.join(e.select(F.col("entry_id").alias("ref_entry_id"), F.col("description").alias("ref_text")).hint("merge"), "ref_entry_id")
+    return infer.prompts(e.where("description LIKE 'ORDER%'").select("entry_id", F.col("description").alias("text")), related)
 
 
 @query("calls_v", "SELECT conv_id * 1000 + turn AS id, CASE WHEN tokens_in % 2 = 0 THEN 'known' ELSE 'len ' || cast(tokens_in AS string) END AS response, tokens_in % 2 = 0 AS cached FROM calls_v")
@@ -54,11 +54,11 @@ def usage_log(c):
     return found.groupBy("purpose", "model", "docket").agg(F.count("*").alias("calls"), F.sum("input").alias("input"), F.sum("output").alias("output"))
 
 
-@query("docs_v", "SELECT entry_id, CASE WHEN bool_and(is_sealed) THEN 'sealed' WHEN bool_and(is_sealed OR NOT is_available) THEN 'not available' ELSE 'unreadable' END AS refusal FROM docs_v WHERE attachment < 2 GROUP BY entry_id HAVING bool_and(is_sealed OR NOT is_available OR plain_text = '')")
+@query("docs_v", "SELECT entry_id, CASE WHEN bool_and(is_sealed) THEN 'sealed' WHEN bool_and(is_sealed OR NOT is_available) THEN 'not available' ELSE 'unreadable' END AS refusal FROM docs_v GROUP BY entry_id HAVING bool_and(is_sealed OR NOT is_available OR plain_text = '')")
 def refusal_routing(d):
-    """Entries none of whose first two documents has text, and why."""
+    """Entries none of whose documents has text, and why."""
     closed = F.col("is_sealed") | ~F.col("is_available")
-    rows = d.where("attachment < 2").groupBy("entry_id").agg(F.bool_and("is_sealed").alias("s"), F.bool_and(closed).alias("c"), F.bool_and(closed | (F.col("plain_text") == "")).alias("none")).where("none")
+    rows = d.groupBy("entry_id").agg(F.bool_and("is_sealed").alias("s"), F.bool_and(closed).alias("c"), F.bool_and(closed | (F.col("plain_text") == "")).alias("none")).where("none")
     return rows.select("entry_id", F.when(F.col("s"), "sealed").when(F.col("c"), "not available").otherwise("unreadable").alias("refusal"))
 
 
@@ -70,19 +70,54 @@ def restitution_and_short_text(e):
     return e.groupBy("docket_id").agg((F.bool_or(has) & ~F.bool_or(figure)).alias("unreadable"), F.count_if(T.is_primary(c) & (F.length(c) < 1500)).alias("short_primary"))
 
 
-@query("hearings_v", "SELECT h.case_id, h.hearing_key, h.base, CASE WHEN b.case_id IS NULL THEN 'rename' WHEN b.start_date IS NOT DISTINCT FROM h.start_date THEN 'fold' ELSE 'keep' END AS action FROM (SELECT status AS case_id, 'h-' || cast(docket_id % 400 AS string) || CASE WHEN docket_id % 6 = 0 THEN '-2' ELSE '-x' END AS hearing_key, 'h-' || cast(docket_id % 400 AS string) AS base, start_date FROM hearings_v WHERE docket_id % 6 = 0 AND docket_id < 400) h LEFT JOIN (SELECT status AS case_id, 'h-' || cast(docket_id - 400 AS string) AS base, start_date FROM hearings_v WHERE docket_id BETWEEN 400 AND 799) b ON b.case_id = h.case_id AND b.base = h.base")
-def drifted_keys(h):
-    """Keys with a suffix (ids under 400) against base rows (the next 400 ids)."""
-    n = F.when(F.col("docket_id") < 400, F.col("docket_id")).otherwise(F.col("docket_id") - 400).cast("string")
-    key = F.concat(F.lit("h-"), n, F.when(F.col("docket_id") < 400, "-2").otherwise(""))
-    keep = h.where("docket_id BETWEEN 400 AND 799 OR (docket_id < 400 AND docket_id % 6 = 0)")
-    plan = heals.drifted_keys(keep.select(F.col("status").alias("case_id"), F.regexp_replace(key, "^h-", "hx").alias("hearing_key"), "start_date"))
-    return plan.select("case_id", F.regexp_replace("hearing_key", "^hx", "h-").alias("hearing_key"), F.regexp_replace("base", "^hx", "h-").alias("base"), "action")
+# Keys in groups of four dockets: the one without a significance has the base, the others a suffix; and half of these an audit of it.
+_GROUP = "cast(cast(floor(docket_id / 4) AS bigint) AS string)"
+_SUFFIX = "CASE WHEN docket_id % 4 = 1 THEN '' ELSE '-' || cast(docket_id % 4 AS string) END"
+_AUDIT = "CASE WHEN docket_id % 4 > 1 THEN '[dedupe] Absorbed sibling key(s) other, ' || {0} || ': drift' END"
 
 
-@query("hearings_v entries_v", "SELECT case_id, hearing_key, arg_min(description, (-length(description), entry_id)) AS new_notes FROM hearings_v h JOIN entries_v e USING (docket_id) WHERE h.docket_id % 5 = 0 AND regexp_matches(description, '^(minute entry|judgment|order)', 'i') GROUP BY case_id, hearing_key")
+def _drift(rows: str, key: str, name: str) -> str:
+    keyed = f"(SELECT r.*, 'c' || cast(cast(floor(docket_id / 4) AS bigint) % 50 AS string) AS case_id, {key} AS base, {key} || {_SUFFIX} AS key, d.docket_number, d.court_id FROM (SELECT docket_id, status, {rows}) r LEFT JOIN (SELECT docket_id, docket_number, court_id FROM dockets_v) d USING (docket_id))"
+    return (
+        f"SELECT e.case_id, e.key AS {name}, CASE WHEN b.key IS NULL THEN 'rename' ELSE 'delete' END AS action, e.base AS new_key FROM {keyed} e LEFT JOIN {keyed} b ON b.case_id = e.case_id AND b.key = e.base "
+        "WHERE e.key <> e.base AND CASE WHEN b.key IS NULL THEN e.docket_id % 4 > 1 ELSE e.start = b.start AND e.docket_number = b.docket_number AND e.court_id = b.court_id END"
+    )
+
+
+def _keyed(rows, key: str, name: str):
+    case = F.expr("'c' || cast(cast(floor(docket_id / 4) AS bigint) % 50 AS string)")
+    return rows.select("docket_id", "start", case.alias("case_id"), F.expr(f"{key} || {_SUFFIX}").alias(name), F.expr(_AUDIT.format(key)).alias("audit_notes"))
+
+
+_HEARING_BASE, _DEADLINE_BASE = f"status || 'x' || {_GROUP}", f"cast(start AS string) || 'y' || {_GROUP}"
+
+
+@query("hearings_v dockets_v", _drift("year(start_date) AS start FROM hearings_v", _HEARING_BASE, "hearing_key"))
+def drifted_keys(h, d):
+    """Suffixed keys whose base was absorbed or stands at the same start (a year here) of the same logical docket."""
+    return state.drifted_keys(_keyed(h.withColumn("start", F.year("start_date")), _HEARING_BASE, "hearing_key"), d, "hearing_key", "start")
+
+
+@query("deadlines_v dockets_v", _drift("year(due_date) AS start FROM deadlines_v", _DEADLINE_BASE, "deadline_key"))
+def drifted_deadline_keys(l, d):  # noqa: E741
+    return state.drifted_keys(_keyed(l.withColumn("start", F.year("due_date")), _DEADLINE_BASE, "deadline_key"), d, "deadline_key", "start")
+
+
+_DATED = "description || ' on ' || cast(month(date_filed) AS string) || '/' || cast(day(date_filed) AS string) || '/' || cast(year(date_filed) AS string)"
+
+
+@query(
+    "hearings_v entries_v",
+    f"SELECT case_id, hearing_key, arg_min(t, (-length(t), entry_id)) AS new_notes FROM (SELECT case_id, hearing_key, docket_id, min(date_filed) AS d FROM hearings_v JOIN entries_v USING (docket_id) WHERE status = 'held' AND significance IS DISTINCT FROM 'minor' GROUP BY ALL) h "
+    f"JOIN (SELECT docket_id, entry_id, {_DATED} AS t FROM entries_v WHERE starts_with(description, 'MINUTE ENTRY')) e USING (docket_id) WHERE entry_id <= docket_id * 10 + 4 AND (contains(t, strftime(d, '%-m/%-d/%Y')) OR contains(t, strftime(d, '%m/%d/%Y'))) GROUP BY case_id, hearing_key",
+)
 def better_notes(h, e):
-    return heals.better_notes(h.withColumn("notes", F.when(F.col("docket_id") % 5 == 0, " ").otherwise(F.col("notes"))), e, r"(?i)^(minute entry|judgment|order)")
+    """Held rows have no notes here and are dated by their docket's first entry; minor ones are sentencings, which no record names."""
+    first = e.groupBy("docket_id").agg(F.min("date_filed").alias("start_date"))
+    rows = h.drop("start_date").join(first, "docket_id").withColumn("notes", F.when(F.col("status") != "held", F.col("notes")))
+    rows = rows.withColumn("title", F.when(F.col("significance") == "minor", "Sentencing").otherwise(F.col("title")))
+    rows = rows.withColumn("source_entry_ids", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.col("docket_id") * 10 + i))
+    return state.better_notes(rows, e.withColumn("description", F.expr(_DATED)))
 
 
 @query("hearings_v", "SELECT case_id, hearing_key, 'major' AS new FROM hearings_v WHERE significance IS NULL AND docket_id % 2 = 1")

@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.plans.queries_events import _LAST
 from docketflow.sources.adapter import VIEWS, with_views
 from docketflow.streaming import alerts
 
+_LAST = "SELECT case_id, hearing_key, arg_max(CASE type WHEN 'CANCEL_HEARING' THEN 'cancelled' ELSE 'scheduled' END, (entry_date, event_id)) AS status FROM actions_v WHERE type <> 'MARK_HELD' GROUP BY case_id, hearing_key"
+
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -74,31 +74,41 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("events",),
         "SELECT event_id, 'case-' || cast(user_id % 50 AS string) AS case_id, 'h-' || cast(k % 7 AS string) || CASE WHEN k % 11 = 0 THEN '-2' ELSE '' END AS hearing_key, "
         "CASE event_type WHEN 'signup' THEN 'ADD_HEARING' WHEN 'click' THEN 'RESCHEDULE_HEARING' WHEN 'view' THEN 'UPDATE_DETAILS' WHEN 'purchase' THEN 'MARK_HELD' ELSE 'CANCEL_HEARING' END AS type, "
-        "cast(ts AS date) + cast(k % 30 AS int) AS local_date, CASE WHEN k % 2 = 0 THEN cast(k % 24 AS int) END AS local_hour, user_id AS docket_id, cast(ts AS date) AS entry_date, "
-        "CASE WHEN k % 5 = 0 THEN 'minor' WHEN k % 5 = 1 THEN 'major' END AS significance "
+        "CASE WHEN k % 8 <> 7 THEN cast(ts AS date) + cast(k % 30 AS int) END AS local_date, CASE WHEN k % 2 = 0 THEN cast(k % 24 AS int) END AS local_hour, user_id AS docket_id, cast(ts AS date) AS entry_date, "
+        "CASE WHEN k % 5 = 0 THEN 'minor' WHEN k % 5 = 1 THEN 'major' END AS significance, "
+        "CASE user_id % 7 WHEN 4 THEN 'cand' WHEN 5 THEN NULL ELSE 'mad' END AS court_id, CASE user_id % 7 WHEN 4 THEN 'America/Los_Angeles' ELSE 'America/New_York' END AS timezone, "
+        "CASE k % 4 WHEN 0 THEN 'sentencing' WHEN 1 THEN 'trial' WHEN 2 THEN 'status_conference' END AS hearing_type, CASE k % 6 WHEN 0 THEN 'Title ' || cast(k % 10 AS string) WHEN 1 THEN '' END AS title, "
+        "CASE k % 5 WHEN 0 THEN 'bring exhibits' WHEN 1 THEN 'notice of zoom access' WHEN 2 THEN '' WHEN 3 THEN 'minutes of status conference' END AS notes, "
+        "CASE k % 3 WHEN 0 THEN 'MINUTE ENTRY for proceedings held before the judge' WHEN 1 THEN 'NOTICE of hearing' ELSE 'TRANSCRIPT of proceedings held' END AS entry_text, "
+        "CASE k % 7 WHEN 0 THEN 30 WHEN 1 THEN 0 END AS duration_minutes, CASE WHEN k % 4 = 1 THEN 'Judge ' || cast(k % 3 AS string) END AS judge, CASE WHEN k % 9 = 2 THEN 'Courtroom ' || cast(k % 5 AS string) END AS location, "
+        "CASE WHEN k % 10 = 3 THEN 'dial ' || cast(k % 6 AS string) END AS dial_in, k % 13 = 0 AS conditional, CASE WHEN k % 3 = 1 THEN 'brief' END AS deadline_type "
         "FROM (SELECT *, cast(regexp_extract(props, '[0-9]+', 0) AS bigint) AS k FROM events) e",
     ),
+    "events_v": (("events",), "SELECT event_id, ts, user_id, event_type, props, cast(regexp_extract(props, '[0-9]+', 0) AS bigint) AS k FROM events"),
     "docs_v": (
         ("documents",),
-        "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '' ELSE text END AS plain_text, doc_id % 17 = 0 AS is_sealed, doc_id % 3 <> 0 AS is_available, "
+        "SELECT doc_id, coalesce(text, '') AS plain_text, doc_id % 17 = 0 AS is_sealed, doc_id % 3 <> 0 AS is_available, "
         "cast(floor(doc_id / 5) AS bigint) AS entry_id, doc_id % 5 AS attachment, source, lang FROM documents",
     ),
     "calls_v": (
         ("conversations",),
         "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'extract' WHEN 'assistant' THEN 'summary' ELSE 'verify' END AS purpose, "
         "CASE conv_id % 5 WHEN 0 THEN 'small-1' WHEN 1 THEN 'large-2' WHEN 2 THEN 'large-2-20250101' WHEN 3 THEN 'local:tiny' ELSE 'unlisted' END AS model, "
-        "cast(length(text) AS bigint) AS tokens_in, cast(floor(length(text) / 4) AS bigint) AS tokens_out, CASE WHEN turn % 2 = 0 THEN cast(floor(length(text) / 2) AS bigint) ELSE 0 END AS cached, "
+        "cast(length(text) AS bigint) AS tokens_in, cast(floor(length(text) / 4) AS bigint) AS tokens_out, CASE WHEN turn % 2 = 0 THEN cast(floor(length(text) / 2) AS bigint) ELSE 0 END AS cached, CASE WHEN turn % 2 = 1 THEN cast(floor(length(text) / 8) AS bigint) ELSE 0 END AS cache_write, "
         "CASE WHEN conv_id % 9 = 0 THEN NULL ELSE 'd-' || cast(conv_id % 7 AS string) END AS docket FROM conversations",
     ),
     "rates_v": ((), "SELECT 'small-1' AS model, 100 AS rate_in, 25 AS rate_cached, 400 AS rate_out UNION ALL SELECT 'large-2', 300, 75, 1500"),
     "truth_v": (
         ("documents",),
-        "SELECT doc_id AS entry_id, cast(floor(doc_id / 10) AS bigint) AS docket, doc_id % 3 AS h_scheduled, doc_id % 2 AS h_rescheduled, doc_id % 5 AS d_set, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS d_met FROM documents WHERE doc_id % 13 <> 0",
+        "SELECT doc_id AS entry_id, cast(floor(doc_id / 10) AS bigint) AS docket, doc_id % 3 AS h_scheduled, doc_id % 2 AS h_rescheduled, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS h_cancelled, doc_id % 4 AS h_held, "
+        "doc_id % 5 AS d_set, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 0 END AS d_rescheduled, CASE WHEN doc_id % 8 = 3 THEN 1 ELSE 0 END AS d_cancelled, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS d_met FROM documents",
     ),
+    # A provider has no row for an entry in the language it cannot read, and finds nothing in those of one source.
     "model_v": (
         ("documents",),
-        "SELECT p.provider, d.doc_id AS entry_id, CASE WHEN d.doc_id % 10 = 9 THEN 0 ELSE (d.doc_id + p.shift) % 3 END AS h_scheduled, CASE WHEN d.doc_id % 10 = 9 THEN 0 ELSE (d.doc_id + p.shift) % 2 END AS h_rescheduled, "
-        "CASE WHEN d.doc_id % 10 = 9 THEN 0 ELSE d.doc_id % (4 + p.shift) END AS d_set, 0 AS d_met FROM documents d CROSS JOIN (SELECT 'north' AS provider, 0 AS shift UNION ALL SELECT 'south', 1 UNION ALL SELECT 'west', 2) p WHERE (d.doc_id + p.shift) % 11 <> 0",
+        "SELECT p.provider, d.doc_id AS entry_id, f * ((d.doc_id + p.shift) % 3) AS h_scheduled, f * ((d.doc_id + p.shift) % 2) AS h_rescheduled, f * (CASE WHEN d.doc_id % 22 = p.shift THEN 1 ELSE 0 END) AS h_cancelled, f * (d.doc_id % (3 + p.shift)) AS h_held, "
+        "f * (d.doc_id % (4 + p.shift)) AS d_set, f * p.shift AS d_rescheduled, 0 AS d_cancelled, 0 AS d_met FROM (SELECT *, CASE WHEN source LIKE '%1' THEN 0 ELSE 1 END AS f FROM documents) d "
+        "CROSS JOIN (SELECT 'north' AS provider, 0 AS shift, 'en' AS blind UNION ALL SELECT 'south', 1, 'fr' UNION ALL SELECT 'west', 2, 'de') p WHERE d.lang IS DISTINCT FROM p.blind",
     ),
     "hearings_v": (
         ("orders",),
@@ -110,12 +120,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "deadlines_v": (
         ("orders",),
         "SELECT 'case-' || cast(o_custkey % 200 AS string) AS case_id, 'd-' || cast(o_orderkey AS string) AS deadline_key, o_orderkey AS docket_id, CASE WHEN o_orderkey % 19 <> 0 THEN cast(o_orderdate AS date) END AS due_date, "
-        "CASE o_orderkey % 4 WHEN 0 THEN 'met' WHEN 1 THEN 'pending' WHEN 2 THEN 'passed' ELSE 'cancelled' END AS status, 'Deadline ' || cast(o_orderkey % 5 AS string) AS title FROM orders WHERE o_orderkey % 2 = 0",
+        "CASE o_orderkey % 4 WHEN 0 THEN 'met' WHEN 1 THEN 'pending' WHEN 2 THEN 'passed' ELSE 'cancelled' END AS status, 'Deadline ' || cast(o_orderkey % 5 AS string) AS title FROM orders",
     ),
     "summaries_v": (
         ("orders",),
         "SELECT docket_number, court_id, min(docket_id) % 3 = 0 AS stale, max(date_modified) AS generated_at FROM (SELECT o_orderkey AS docket_id, 'dn-' || cast(cast(floor(o_orderkey / 4) AS bigint) AS string) AS docket_number, "
-        "CASE o_custkey % 5 WHEN 0 THEN 'mad' WHEN 1 THEN 'cand' WHEN 2 THEN 'ilnd' WHEN 3 THEN 'azd' ELSE 'unk' END AS court_id, cast(o_orderdate AS date) AS date_modified FROM orders) o WHERE docket_id % 5 <> 0 GROUP BY docket_number, court_id",
+        "CASE o_custkey % 5 WHEN 0 THEN 'mad' WHEN 1 THEN 'cand' WHEN 2 THEN 'ilnd' WHEN 3 THEN 'azd' ELSE 'unk' END AS court_id, cast(o_orderdate AS date) AS date_modified FROM orders WHERE o_orderpriority <> '5-LOW') o GROUP BY docket_number, court_id",
     ),
     "drafts_v": (("orders",), _DRAFTS),
     "url_checks_v": (("pages",), "SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN '4xx' ELSE 'flake' END AS outcome FROM pages"),

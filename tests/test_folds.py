@@ -67,3 +67,26 @@ def test_blank_delivery_keys_always_pass(spark):
     seen = spark.createDataFrame([("b",)], "idempotency_key string")
     out = undelivered(rows, seen).collect()
     assert sorted(r.n for r in out if r.n > 2) == [3, 4, 5] and len(out) == 4
+
+
+def test_no_action_of_another_court_touches_a_row(spark):
+    rows = [("c", "h", 0, 1, "ADD_HEARING", D(2024, 1, 5), 9, "mad", 1), ("c", "h", 1, 2, "CANCEL_HEARING", None, None, "cand", 2), ("c", "h", 2, 3, "UPDATE_DETAILS", None, None, None, 3)]
+    schema = "case_id string, hearing_key string, seq int, entry_id long, type string, local_date date, local_hour int, court_id string, docket_id long"
+    r = fold_hearings(spark.createDataFrame(rows, schema)).first()
+    assert (r.status, r.source_entry_ids, r.docket_id, r.court_id) == ("scheduled", [1, 3], 1, "mad")
+
+
+def test_a_record_supersedes_a_notice(spark):
+    rows = [("c", "h", 0, 1, "ADD_HEARING", D(2024, 1, 5), "notice of zoom access", None, False), ("c", "h", 1, 2, "MARK_HELD", D(2024, 1, 6), None, "minute entry: held", True), ("c", "h", 2, 3, "MARK_HELD", D(2024, 1, 6), "later words", "minute entry: again", True)]
+    schema = "case_id string, hearing_key string, seq int, entry_id long, type string, local_date date, notes string, record_text string, is_record boolean"
+    r = fold_hearings(spark.createDataFrame(rows, schema)).first()
+    assert (r.status, r.notes, r.duration_minutes) == ("held", "minute entry: held", 0)
+
+
+def test_pretrial_alone_is_no_trial(spark):
+    from docketflow.functions.text import proceeding_types, record_name
+
+    df = spark.createDataFrame([("pre-trial-conf",), ("pretrial and jury trial",), ("Minutes of Status Conference held before X: Sentencing set",)], "t string")
+    kinds = [r[0] for r in df.select(proceeding_types(df.t)).collect()]
+    assert kinds[:2] == [["pretrial"], ["pretrial", "trial"]]
+    assert df.select(record_name(df.t)).collect()[2][0] == "Status Conference"
