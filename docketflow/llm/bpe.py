@@ -4,12 +4,14 @@ Texts are cut by the split pattern; the distinct pieces of a batch that are
 not yet known are put in buckets of like length, one padded matrix of token
 ids each.  In every round each row looks up all its neighbouring pairs in a
 hashed table, merges its leftmost pair of smallest rank and closes the gap;
-rows without a mergeable pair leave.  A piece that is itself a token needs no
+rows without a mergeable pair leave.  A piece of more than ``LONG`` bytes is a
+row of its own and merges in a round all places of that pair that cannot matter
+to each other, so its rounds grow with the ranks it holds and not with its length.  A piece that is itself a token needs no
 rounds, as in the tiktoken library.
 
 Defined cases: null text is an empty text and has no ids; ids of special
 tokens are never made; a text may be of any length (pieces, not texts, are
-padded; a piece of n bytes takes at most n rounds over n cells);
+padded; a piece of up to ``LONG`` bytes takes at most as many rounds);
 repeated rows and extra columns change nothing.
 """
 
@@ -31,6 +33,8 @@ from docketflow.llm.shared import chunks, mix, ranges, table
 MEMORY = 400_000
 #: Cells of a matrix.
 CELLS = 1 << 20
+#: Bytes of a piece beyond which it is merged alone.
+LONG = 2000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -114,14 +118,50 @@ class Ranks:
                     ranks[ok, side[ok]] = self.rank(work[ok, side[ok]], work[ok, side[ok] + 1])
         return out
 
+    def merged_alone(self, ids: np.ndarray) -> np.ndarray:
+        """One long row of ids, fully merged.
+
+        In a round the places of the smallest rank merge from the left, each clear
+        of the one before, up to the first whose merger makes a pair of smaller rank
+        with a neighbour as it stands then: that pair would come next.
+        """
+        ranks = np.append(self.rank(ids[:-1], ids[1:]), _NONE)
+        while (best := ranks.min()) != _NONE:
+            at = np.flatnonzero(ranks == best)
+            index = np.arange(len(at))
+            head = np.ones(len(at), bool)
+            head[1:] = np.diff(at) != 1
+            at = at[(index - np.maximum.accumulate(np.where(head, index, 0))) % 2 == 0]  # every second place of a run
+            before = np.where(at > 0, ids[at - 1], -1).astype(np.int32)
+            before[1:][np.diff(at) == 2] = best  # merged just before
+            after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1).astype(np.int32)
+            token = np.full(len(at), best, np.int32)
+            smaller = np.flatnonzero(np.minimum(self.rank(before, token), self.rank(token, after)) < best)
+            if len(smaller):
+                at = at[: smaller[0] + 1]
+            ids[at] = best
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, ranks = ids[keep], ranks[keep]
+            new = at - np.arange(len(at))
+            for place in (new[new > 0] - 1, new):
+                right = place + 1 < len(ids)
+                ranks[place[right]] = self.rank(ids[place[right]], ids[place[right] + 1])
+                ranks[place[~right]] = _NONE
+        return ids
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in one array, and how many each has."""
         whole = np.array([self.ids.get(p, -1) for p in pieces], np.int64)
         sizes = np.array([len(p) for p in pieces], np.int64)
         counts = np.ones(len(pieces), np.int64)
-        todo = np.flatnonzero(whole < 0)
-        todo = todo[np.argsort(sizes[todo], kind="stable")]
         rows: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero((whole < 0) & (sizes > LONG)):
+            ids = self.merged_alone(self.byte[np.frombuffer(pieces[i], np.uint8)])
+            counts[i] = len(ids)
+            rows.append((np.array([i]), ids))
+        todo = np.flatnonzero((whole < 0) & (sizes <= LONG))
+        todo = todo[np.argsort(sizes[todo], kind="stable")]
         at = 0
         while at < len(todo):
             low = int(sizes[todo[at]])

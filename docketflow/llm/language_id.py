@@ -6,7 +6,8 @@ knows; the language that needs the fewest, each weighed by the logarithm of
 its training length, wins.  Texts are parsed in segments of ``SEGMENT``
 letters, side by side in numpy lanes and over all languages at a time; a
 segment's end ends a phrase.  Texts are lower-cased, each run of other
-characters than letters is one space.
+characters than letters is one space.  No letter is left out: a language of few
+letters has a table of steps, one of many has hashed steps.
 
 Defined cases: null text, empty text and text without a letter give ``und``
 with score 0; ties go to the smaller language by code point; a null language
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketflow.llm.shared import bucket_of, chunks, ranges, table
+from docketflow.llm.shared import bucket_of, chunks, mix, ranges, table
 
-#: Labelled rows of a language, and letters of them, that are learned at most.
+#: Labelled rows of a language that are learned at most: whole texts, and no further one once they have so many characters.
 ROWS_EACH, LETTERS_EACH = 100, 40_000
-#: Letters of a segment, and classes of characters (space, rare letters, common letters).
-SEGMENT, CLASSES = 1024, 64
+#: Letters of a segment, and distinct letters up to which a language has a table.
+SEGMENT, TABLED = 1024, 94
 
 
 @lru_cache(maxsize=1)
@@ -80,38 +81,109 @@ def automaton(word: np.ndarray) -> list[dict[int, int]]:
     return step
 
 
+class Tabled:
+    """Steps of languages of few letters: a row of next states for each state, all languages in one array."""
+
+    def __init__(self, words: list[np.ndarray], letters: list[np.ndarray], points: np.ndarray):
+        width = max((len(x) for x in letters), default=0) + 1
+        self.kind = np.zeros((len(words), len(points) + 1), np.uint8)  # 0: a letter that the language does not know
+        tables, self.start, at = [], [], 0
+        for i, (word, own) in enumerate(zip(words, letters, strict=True)):
+            self.kind[i, np.searchsorted(points, own)] = np.arange(1, len(own) + 1)
+            step = automaton(np.searchsorted(own, word) + 1)
+            grid = np.full((len(step) + 1, width), -1, np.int64)  # the last row: between phrases
+            rows = np.repeat(np.arange(len(step)), [len(t) for t in step])
+            grid[rows, [c for t in step for c in t]] = [n for t in step for n in t.values()]
+            restart = np.where(grid[0] >= 0, grid[0], len(step))  # an unknown letter is a phrase of its own
+            # A step is twice the next state's place in the whole table, and 1 if a phrase begins with it.
+            tables.append(np.where(grid >= 0, 2 * (grid * width + at), 2 * (restart[None, :] * width + at) + 1).astype(np.int64).ravel())
+            self.start.append(at + len(step) * width)
+            at += (len(step) + 1) * width
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int64)
+        if len(self.table) < 1 << 30:
+            self.table = self.table.astype(np.int32)
+
+    def prepare(self, index: np.ndarray) -> np.ndarray:
+        return self.kind[:, index]
+
+    def moved(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return self.table[state + code]
+
+
+class Hashed:
+    """Steps of languages of any number of letters: (state, letter) to the next state, by open addressing."""
+
+    def __init__(self, words: list[np.ndarray], points: np.ndarray):
+        keys, values, self.root, self.start, at = [], [], [], [], 0
+        for word in words:
+            step = automaton(np.searchsorted(points, word))
+            keys.append(np.array([((s + at) << 21) | c for s, t in enumerate(step) for c in t], np.int64))
+            values.append(np.array([n + at for t in step for n in t.values()], np.int64))
+            self.root.append(at)
+            self.start.append(at + len(step))  # between phrases: a state without steps
+            at += len(step) + 1
+        keys, values = np.concatenate(keys), np.concatenate(values)
+        self.mask = (1 << int(np.ceil(np.log2(len(keys) * 3)))) - 1
+        self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            won = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[won]], self.values[slot[won]] = keys[won], values[won]
+            rest = np.ones(len(keys), bool)
+            rest[won] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def _next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next state, -1 where there is none."""
+        key = (state << 21) | code
+        out, todo, slot = np.full(len(key), -1, np.int64), np.arange(len(key)), self._slot(key)
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == key[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (there >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & self.mask
+        return out
+
+    def prepare(self, index: np.ndarray) -> np.ndarray:
+        return np.broadcast_to(index, (len(self.root), len(index)))
+
+    def moved(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        found = self._next(state.ravel().astype(np.int64), code.ravel().astype(np.int64)).reshape(state.shape)
+        root, start = (np.broadcast_to(np.array(x)[:, None], state.shape) for x in (self.root, self.start))
+        lost = found < 0
+        again = self._next(root[lost], code[lost].astype(np.int64))
+        found[lost] = np.where(again >= 0, again, start[lost])  # an unknown letter is a phrase of its own
+        return 2 * found + lost
+
+
 class Parser:
     """Phrase counts of texts in every language; built from (language, code points) in order."""
 
-    def __init__(self, samples: tuple[tuple[str, bytes], ...]):
+    def __init__(self, samples: tuple[tuple[str, bytes], ...], tabled: int = TABLED):
         self.names = [name for name, _ in samples]
         words = [np.frombuffer(raw, np.uint32) for _, raw in samples]
-        points, counts = np.unique(np.concatenate(words), return_counts=True)
-        common = points[np.argsort(-counts, kind="stable")]
-        common = common[common != 32][: CLASSES - 2]
-        self.kind = np.ones(0x110000, np.uint8)
-        self.kind[32] = 0
-        self.kind[common] = np.arange(2, 2 + len(common))
-        tables, self.root = [], []
-        at = 0
-        for word in words:
-            step = automaton(self.kind[word])
-            grid = np.full((len(step), CLASSES), -1, np.int32)
-            size = [len(s) for s in step]
-            rows = np.repeat(np.arange(len(step)), size)
-            grid[rows, [c for s in step for c in s]] = [t for s in step for t in s.values()]
-            restart = np.where(grid[0] >= 0, grid[0], 0)
-            # A step is twice the next state's place in the whole table, and 1 if a phrase ended before it.
-            tables.append(np.where(grid >= 0, 2 * (grid * CLASSES + at), 2 * (restart[None, :] * CLASSES + at) + 1).astype(np.int32).ravel())
-            self.root.append(at)
-            at += len(step) * CLASSES
-        self.table = np.concatenate(tables)
+        points = np.unique(np.concatenate(words))
+        self.place = np.full(0x110000, len(points), np.int32)  # the last place: a letter that no language knows
+        self.place[points] = np.arange(len(points))
+        letters = [np.unique(w) for w in words]
+        few = [i for i, x in enumerate(letters) if len(x) <= tabled]
+        many = [i for i, x in enumerate(letters) if len(x) > tabled]
+        self.parts = []
+        if few:
+            self.parts.append((few, Tabled([words[i] for i in few], [letters[i] for i in few], points)))
+        if many:
+            self.parts.append((many, Hashed([words[i] for i in many], points)))
         self.weight = np.array([np.log2(len(w) + 2) for w in words])
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Weighed phrases of each text in each language, a letter; and which texts have letters."""
         code, offsets = normal(texts)
-        kind = self.kind[code]
+        index = self.place[code]
         n = np.diff(offsets)
         pieces = -(-n // SEGMENT)
         owner = np.repeat(np.arange(len(n)), pieces)
@@ -119,13 +191,18 @@ class Parser:
         size = np.minimum(SEGMENT, offsets[1:][owner] - start)
         order = np.argsort(-size, kind="stable")
         start, size, owner = start[order], size[order], owner[order]
-        state = np.repeat(np.array(self.root, np.int32)[:, None], len(start), axis=1)
-        ends = np.ones((len(self.names), len(start)), np.int32)
-        for t, m in enumerate(np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left").tolist()):
-            move = self.table[state[:, :m] + kind[start[:m] + t]]
-            ends[:, :m] += move & 1
-            state[:, :m] = move >> 1
-        phrases = np.stack([np.bincount(owner, e, len(n)) for e in ends], axis=1)
+        active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left").tolist()
+        phrases = np.zeros((len(n), len(self.names)))
+        for which, steps in self.parts:
+            letter = steps.prepare(index)
+            state = np.repeat(np.array(steps.start, np.int64)[:, None], len(start), axis=1)
+            ends = np.zeros((len(which), len(start)), np.int32)
+            for t, m in enumerate(active):
+                move = steps.moved(state[:, :m], letter[:, start[:m] + t])
+                ends[:, :m] += (move & 1).astype(np.int32)
+                state[:, :m] = move >> 1
+            for i, e in zip(which, ends, strict=True):
+                phrases[:, i] = np.bincount(owner, e, len(n))
         some = np.concatenate(([0], np.cumsum(code != 32)))
         return phrases * self.weight / np.maximum(n, 1)[:, None], some[offsets[1:]] > some[offsets[:-1]]
 
@@ -136,16 +213,23 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> Parser:
 
 
 def learn(docs: DataFrame, rows_each: int = ROWS_EACH, letters_each: int = LETTERS_EACH) -> tuple[tuple[str, bytes], ...]:
-    """The labelled sample of each language of ``docs(doc_id, text, lang)``: ``rows_each`` rows with the smallest hashes."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_each)
-    some = docs.select("doc_id", F.left("text", F.lit(4 * letters_each)).alias("text")).join(F.broadcast(ids), "doc_id")  # rows_each rows a language
+    """The labelled sample of each language of ``docs(doc_id, text, lang)``: whole texts of the rows with the smallest hashes.
+
+    ``rows_each`` rows at most, each text once, and none after ``letters_each`` characters are reached.
+    """
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    firsts = rows.select("lang", "h", F.char_length("text").alias("n")).groupBy("lang", "h").agg(F.max("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = firsts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_each)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = chosen.withColumn("before", before).where(F.col("before") < letters_each).select("lang", "h", "k")
+    some = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "k").agg(F.min("text").alias("text"))  # rows_each rows a language
     by: dict[str, list[tuple[int, str]]] = {}
-    for row in some.select("lang", "k", "text").collect():
+    for row in some.toLocalIterator():
         by.setdefault(row["lang"], []).append((row["k"], row["text"]))
     samples = []
     for name in sorted(by, key=lambda x: x.encode()):
-        word = normal([" ".join(t for _, t in sorted(by[name]))])[0][:letters_each]
+        word = normal([" ".join(t for _, t in sorted(by[name]))])[0]
         if (word != 32).any():
             samples.append((name, word.astype(np.uint32).tobytes()))
     return tuple(samples)
@@ -153,7 +237,7 @@ def learn(docs: DataFrame, rows_each: int = ROWS_EACH, letters_each: int = LETTE
 
 def identified(docs: DataFrame, samples: tuple[tuple[str, bytes], ...]) -> DataFrame:
     """``docs(doc_id, text)`` as (doc_id, lang_pred, score); score is the second cost over the sum of the two least."""
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # letters_each letters a language
+    shared = docs.sparkSession.sparkContext.broadcast(samples)  # rows_each texts a language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

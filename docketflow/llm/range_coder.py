@@ -141,7 +141,9 @@ class Coder:
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids (0 to 65535) as bytes that decode without any other."""
+    """Each block of ids (0 to 65535; others raise) as bytes that decode without any other."""
+    if any(len(b) and not 0 <= int(np.min(b)) <= int(np.max(b)) <= 0xFFFF for b in blocks):
+        raise ValueError("ids beyond 65535 cannot be coded")
     out: list[bytes] = [b""] * len(blocks)
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     for g in range(0, len(order), LANES):

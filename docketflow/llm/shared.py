@@ -16,9 +16,11 @@ CHUNK = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; a new temporary one only where none is set (tests)."""
+    """The folder that all executors see; a new temporary one only where none is set and Spark runs in one process (tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("docketflow.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("docketflow.scratch", base)
     return base.rstrip("/")

@@ -161,6 +161,23 @@ def test_bpe_is_tiktoken(spark, odd, none):
     assert bpe.encoded(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_pieces_are_tiktoken():
+    import tiktoken
+
+    ranks = bpe.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).ranks
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.ids, special_tokens={})
+    rng = np.random.default_rng(4)
+    letters = np.array(list("etaoinshrdlu"))
+    texts = ["".join(letters[rng.integers(0, n, size)]) for n, size in ((2, 3000), (3, 5000), (12, 8000), (1, 4001))] + ["hello" * 900, "日本語" * 1200, "é" * 2500]
+    for text in texts:
+        assert ranks.merged_alone(ranks.byte[np.frombuffer(text.encode(), np.uint8)]).tolist() == ref._encode_single_piece(text.encode())
+    many = ranks.encode_pieces([t.encode() for t in texts] + [b"abc", b"qqqzzzxxxyyy"])
+    assert many[1].sum() == len(many[0])
+    big = "".join(letters[rng.integers(0, 12, 200_000)])
+    ids, _ = ranks.encode_pieces([big.encode()])
+    assert ranks.decode(ids) == big.encode() and ids.tolist() == ref._encode_single_piece(big.encode())
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(3)
     blocks = [np.zeros(0, int), np.array([65535]), np.full(4096, 7), rng.integers(0, 65536, 500), rng.integers(0, 3, 4000), np.tile(rng.integers(0, 50000, 40), 60)]
@@ -170,6 +187,31 @@ def test_range_coder_round_trip():
     assert [np.array_equal(x, b) for x, b in zip(range_coder.decode([data[4]], [4000]), [blocks[4]])] == [True]  # without its neighbours
 
 
+def test_ids_beyond_sixteen_bits_are_refused():
+    with pytest.raises(ValueError):
+        range_coder.encode([np.array([1, 65536])])
+
+
+def test_token_files_of_odd_tables(spark, none, tmp_path):
+    """No rows, null and repeated ids, a document over several blocks, and a damaged block."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ref = Tokenizer.from_file(path)
+    rows = [(None, "first"), (3, "b"), (3, "a"), (9, "word and other " * 4000), (10, None)]
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "t"), path, public_tokenizers.PATTERN, added=True)
+    found = token_files.documents_of(token_files.read_tokens(spark, str(tmp_path / "t"))).collect()
+    ids = [ref.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows]
+    assert len(ids[3]) > 2 * range_coder.BLOCK
+    assert Counter((r.doc_id, r.n, r.crc) for r in found) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in zip(rows, ids))
+    token_files.write_tokens(none, str(tmp_path / "none"), path, public_tokenizers.PATTERN)
+    assert token_files.documents_of(token_files.read_tokens(spark, str(tmp_path / "none"))).count() == 0
+    files = spark.read.parquet(str(tmp_path / "t"))
+    files.withColumn("payload", files.payload.substr(2, 1 << 20)).write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="damaged"):
+        token_files.read_tokens(spark, str(tmp_path / "bad")).collect()
+
+
 def test_crc_joined():
     assert token_files.crc_joined(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
 
@@ -247,6 +289,38 @@ def test_language(spark, odd, none):
     assert language_id.learn(none) == () and {r.lang_pred for r in language_id.identified(odd, ()).collect()} == {"und"}
 
 
+def phrases(text, word):
+    """Greedy longest matches of a text in a word, segment by segment, by plain search."""
+    n = 0
+    for i in range(0, len(text), language_id.SEGMENT):
+        part, at = text[i : i + language_id.SEGMENT], 0
+        while at < len(part):
+            size = 1
+            while at + size < len(part) and part[at : at + size + 1] in word:
+                size += 1
+            at, n = at + size, n + 1
+    return n
+
+
+@pytest.mark.parametrize("tabled", [1, 40, 1000])
+def test_phrases_are_longest_matches(tabled):
+    rng = np.random.default_rng(6)
+    alphabets = ["abcdefgh ", "ghijklmn ", "".join(chr(0x4E00 + i) for i in range(90)) + " "]
+    words = [" ".join("".join(np.array(list(a))[rng.integers(0, len(a), 600)]).split()) for a in alphabets]
+    model = language_id.Parser(tuple((str(i), np.array([ord(c) for c in w], np.uint32).tobytes()) for i, w in enumerate(words)), tabled)
+    texts = [words[0][50:90] + "zz" + words[1][:30], words[2][10:60], "x", "abc " * 500]
+    cost, some = model.costs(texts)
+    plain = ["".join(chr(c) for c in language_id.normal([t])[0]) for t in texts]
+    want = np.array([[phrases(t, w) * np.log2(len(w) + 2) / len(t) for w in words] for t in plain])
+    assert some.all() and np.allclose(cost, want)
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(1, "der die das und", "de")] * 50 + [(1, "the and of is", "en"), (2, None, "en"), (None, "le la les", "fr"), (3, "x", None)]
+    samples = dict(language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert {k: bytes(np.frombuffer(v, np.uint32).astype(np.uint8)).decode() for k, v in samples.items()} == {"de": "der die das und", "en": "the and of is", "fr": "le la les"}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
