@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,11 +18,19 @@ def _word(c: Column) -> Column:
     return F.when(~F.lower(t).isin("", "null", "none"), t)
 
 
-def local_to_utc(date: Column, time: Column, zone: Column) -> Column:
-    """The instant of a local date and time; midnight without a (valid) time, null without a valid date.
+def zone_is_known(zone: Column) -> Column:
+    """Whether a zone is one of the time zone database's, region names alone."""
+    return F.coalesce(zone.isin(sorted(z for z in available_timezones() if "/" in z or z == "UTC")), F.lit(False))
 
-    ``zone`` must be a zone that exists: join it from the courts first.
-    """
+
+def safe_zone(zone: Column) -> Column:
+    """The zone, or UTC for one that does not exist."""
+    return F.when(zone_is_known(zone), zone).otherwise(F.lit("UTC"))
+
+
+def local_to_utc(date: Column, time: Column, zone: Column) -> Column:
+    """The instant of a local date and time; midnight without a (valid) time, null without a valid date, UTC for an unknown zone."""
+    zone = safe_zone(zone)
     day, hour = _word(date), _word(time)
     stamp = F.coalesce(F.try_to_timestamp(F.concat(day, F.lit("T"), hour)), F.try_to_timestamp(F.concat(day, F.lit("T00:00"))))
     return F.to_utc_timestamp(stamp, zone)
@@ -79,6 +89,6 @@ def description(notes: Column, tags: Column, judge: Column, dial_in: Column, doc
 
 def agenda_fields(start: Column, zone: Column, minutes: Column, now: Column) -> Column:
     """month, day, time_label and is_past of an event, in its court's zone (one that exists)."""
-    local = F.from_utc_timestamp(start, zone)
+    local = F.from_utc_timestamp(start, safe_zone(zone))
     label = F.when(F.coalesce(minutes, F.lit(0)) <= 0, untimed(start, now)).otherwise(F.date_format(local, "h:mm a"))
     return F.struct(F.upper(F.date_format(local, "MMM")).alias("month"), F.date_format(local, "d").alias("day"), label.alias("time_label"), (start < now).alias("is_past"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketflow.functions.render import safe_zone, zone_is_known
 from docketflow.functions.text import event_id
 
 
@@ -68,12 +69,59 @@ def subscribe_links(path: Column, base: Column) -> Column:
     return F.struct(F.concat(F.lit("webcal://"), host, F.lit("/"), name).alias("webcal"), F.concat(root, F.lit("/"), name).alias("https"), name.alias("relative"))
 
 
-def vevents(rows: DataFrame) -> DataFrame:
-    """One escaped and folded text block an event."""
-    escape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,")), F.lit("\n"), F.lit("\\n"))
-    day = F.date_format("start_date", "yyyyMMdd")
-    block = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), event_id(F.col("case_id"), F.col("event_key"))), F.concat(F.lit("DTSTART;VALUE=DATE:"), day), folded(F.concat(F.lit("SUMMARY:"), escape(F.col("title")))), F.lit("END:VEVENT"))
-    return rows.select("case_id", "event_key", "start_date", block.alias("block"))
+def _escaped(c: Column) -> Column:
+    for a, b in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\n", "\\n")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _line(name: str, value: Column) -> Column:
+    """A folded line; none for a missing value."""
+    return F.when(F.coalesce(value, F.lit("")) != "", folded(F.concat(F.lit(name), value)))
+
+
+def vevents(rows: DataFrame, stamp: str = "19700101T000000Z") -> DataFrame:
+    """(case_id, event_key, start_date, block): one escaped and folded text block an event.
+
+    ``rows(case_id, event_key, title, start_date, minutes, ...)`` with optional
+    ``start_hour``, ``timezone``, ``location``, ``description``, ``notify_emails`` and
+    ``reminders`` (structs method, minutes).  Events of some minutes have a clock
+    time in their zone (in UTC if that does not exist), others last the day and
+    leave it free; reminders of no minutes are left out; a cancelled event has no block.
+    """
+    optional = {"start_hour": "int", "timezone": "string", "location": "string", "description": "string", "notify_emails": "array<string>", "reminders": "array<struct<method:string,minutes:int>>"}
+    for c, kind in optional.items():
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    zone, timed = F.coalesce("timezone", F.lit("America/New_York")), F.coalesce(F.col("minutes"), F.lit(0)) > 0
+    local = F.col("start_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.coalesce("start_hour", F.lit(0)))
+    start = F.to_utc_timestamp(local, safe_zone(zone))
+    end = start + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minutes").cast("int"))
+    text = lambda t: F.date_format(t, "yyyyMMdd'T'HHmmss")
+    here = lambda t: F.when(zone_is_known(zone), F.concat(F.lit(";TZID="), zone, F.lit(":"), text(F.from_utc_timestamp(t, safe_zone(zone))))).otherwise(F.concat(F.lit(":"), text(t), F.lit("Z")))
+    day = lambda d: F.concat(F.lit(";VALUE=DATE:"), F.date_format(d, "yyyyMMdd"))
+    title = _escaped(F.col("title"))
+    emails = F.coalesce("notify_emails", F.array().cast("array<string>"))
+
+    def alarm(r: Column) -> Column:
+        mail = F.lower(F.coalesce(r["method"], F.lit("popup"))) == "email"
+        head = F.array(F.lit("BEGIN:VALARM"), F.concat(F.lit("TRIGGER:-PT"), r["minutes"].cast("string"), F.lit("M")), F.when(mail, "ACTION:EMAIL").otherwise("ACTION:DISPLAY"), _line("DESCRIPTION:", title))
+        more = F.when(mail, F.concat(F.array(_line("SUMMARY:Reminder: ", title)), F.transform(emails, lambda m: _line("ATTENDEE:mailto:", m)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(head, more, F.array(F.lit("END:VALARM")))
+
+    alarms = F.flatten(F.transform(F.filter(F.coalesce("reminders", F.array().cast(optional["reminders"])), lambda r: F.coalesce(r["minutes"], F.lit(0)) > 0), alarm))
+    lines = F.concat(
+        F.array(
+            F.lit("BEGIN:VEVENT"), _line("UID:", F.concat(event_id(F.col("case_id"), F.col("event_key")), F.lit("@docketflow"))), F.lit(f"DTSTAMP:{stamp}"),
+            _line("SUMMARY:", title), _line("LOCATION:", _escaped(F.col("location"))), _line("DESCRIPTION:", _escaped(F.col("description"))),
+            F.concat(F.lit("DTSTART"), F.when(timed, here(start)).otherwise(day("start_date"))), F.concat(F.lit("DTEND"), F.when(timed, here(end)).otherwise(day(F.date_add("start_date", 1)))),
+            F.lit("STATUS:CONFIRMED"), F.when(~timed, "TRANSP:TRANSPARENT"),
+        ),
+        F.transform(emails, lambda m: _line("ATTENDEE;RSVP=TRUE:mailto:", m)),
+        alarms,
+        F.array(F.lit("END:VEVENT")),
+    )
+    return rows.where("status <> 'cancelled'").select("case_id", "event_key", "start_date", F.array_join(F.array_compact(lines), "\r\n").alias("block"))
 
 
 def write_feed(rows: DataFrame, path: str, calendar: str = "case_id") -> None:

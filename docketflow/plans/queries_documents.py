@@ -107,7 +107,7 @@ _DECIDED = "(SELECT event_id, docket_id, type, hearing_key, significance, local_
 
 @query(
     "actions_v",
-    f"SELECT docket_id, event_id AS entry_id, 0 AS pos, type, CASE WHEN event_id % 4 = 0 THEN '' ELSE hearing_key END AS key, cast(local_date AS string) AS dates FROM {_DECIDED} WHERE type <> 'UPDATE_DETAILS' "
+    f"SELECT docket_id, event_id AS entry_id, 0 AS pos, type, CASE WHEN event_id % 4 = 0 THEN '' ELSE hearing_key END AS key, coalesce(cast(local_date AS string), '') AS dates FROM {_DECIDED} WHERE type <> 'UPDATE_DETAILS' "
     f"UNION ALL SELECT docket_id, event_id, 2, 'MARK_FILED', 'd-1', '2024-01-02,2024-03-04' FROM {_DECIDED} WHERE event_id % 3 = 0",
 )
 def decision_log(a):
@@ -115,7 +115,7 @@ def decision_log(a):
     args = F.concat_ws(", ", F.when(F.col("event_id") % 4 != 0, F.col("hearing_key")), F.coalesce("significance", F.lit("major")), F.col("local_date").cast("string"))
     more = F.when(F.col("event_id") % 3 == 0, ", IGNORE(x), MARK_FILED(d-1, 2024-03-04, 2024-01-02)").otherwise("")
     line = F.concat(F.lit("INFO decisions extract docket="), F.col("docket_id").cast("string"), F.lit(" entry="), F.col("event_id").cast("string"), F.lit(' "a "b" -> c" -> '), F.col("type"), F.lit("("), args, F.lit(")"), more)
-    found = runs.decisions(a.select(F.concat(F.lit("12:00 "), line).alias("value")).union(a.limit(1).select(F.lit("12:00 INFO nothing decided"))))
+    found = runs.decisions(a.select(F.concat(F.lit("12:00 "), line).alias("value")).union(a.groupBy().agg(F.lit("12:00 INFO nothing decided"))))
     return found.select("docket_id", "entry_id", "pos", "type", "key", F.array_join("dates", ",").alias("dates"))
 
 

@@ -262,9 +262,27 @@ def push_plan(h, d):
     return feed.push_plan(rows, published)
 
 
-@query("hearings_v deadlines_v")
+_NL = "chr(13) || chr(10)"
+_LOCAL = "cast(start_date AS timestamp) + to_hours(cast(length(title) AS int))"
+_AT = "strftime({0}, '%Y%m%dT%H%M%S')"
+_BLOCK = (
+    f"concat_ws({_NL}, 'BEGIN:VEVENT', 'UID:cc' || sha1(case_id || '::' || event_key) || '@docketflow', 'DTSTAMP:19700101T000000Z', 'SUMMARY:' || title || '\\, etc.', "
+    f"CASE WHEN minutes > 0 THEN concat_ws({_NL}, 'DTSTART' || CASE WHEN zone = 'UTC' THEN ':' ELSE ';TZID=' || zone || ':' END || {_AT.format(_LOCAL)} || CASE WHEN zone = 'UTC' THEN 'Z' ELSE '' END, "
+    f"'DTEND' || CASE WHEN zone = 'UTC' THEN ':' ELSE ';TZID=' || zone || ':' END || {_AT.format('(' + _LOCAL + ') + to_minutes(cast(minutes AS int))')} || CASE WHEN zone = 'UTC' THEN 'Z' ELSE '' END, 'STATUS:CONFIRMED') "
+    f"ELSE concat_ws({_NL}, 'DTSTART;VALUE=DATE:' || strftime(start_date, '%Y%m%d'), 'DTEND;VALUE=DATE:' || strftime(start_date + 1, '%Y%m%d'), 'STATUS:CONFIRMED', 'TRANSP:TRANSPARENT') END, "
+    f"'ATTENDEE;RSVP=TRUE:mailto:a@b.c', 'BEGIN:VALARM', 'TRIGGER:-PT30M', 'ACTION:DISPLAY', 'DESCRIPTION:' || title || '\\, etc.', 'END:VALARM', "
+    f"CASE WHEN status = 'held' THEN concat_ws({_NL}, 'BEGIN:VALARM', 'TRIGGER:-PT60M', 'ACTION:EMAIL', 'DESCRIPTION:' || title || '\\, etc.', 'SUMMARY:Reminder: ' || title || '\\, etc.', 'ATTENDEE:mailto:a@b.c', 'END:VALARM') END, 'END:VEVENT')"
+)
+
+
+@query("hearings_v deadlines_v", f"SELECT case_id, event_key, {_BLOCK} AS block FROM (SELECT *, CASE status WHEN 'held' THEN 'UTC' ELSE 'America/Chicago' END AS zone FROM ({_EVENTS}) e WHERE status <> 'cancelled') f")
 def feed_blocks(h, d):
-    return feed.vevents(feed.events(h, d)).select("case_id", "event_key", "block")
+    """Blocks with zones (one that does not exist), an attendee, a popup and, for held events, a mail; the hour is the title's length."""
+    rows = feed.events(h, d).withColumn("start_hour", F.length("title")).withColumn("title", F.concat("title", F.lit(", etc.")))
+    rows = rows.withColumn("timezone", F.when(F.col("status") == "held", "Mars/Olympus").otherwise("America/Chicago")).withColumn("notify_emails", F.array(F.lit("a@b.c")))
+    popup, mail, none = (F.struct(F.lit(m).alias("method"), F.lit(n).cast("int").alias("minutes")) for m, n in (("popup", 30), ("email", 60), ("popup", 0)))
+    rows = rows.withColumn("reminders", F.when(F.col("status") == "held", F.array(popup, none, mail)).otherwise(F.array(popup)))
+    return feed.vevents(rows).select("case_id", "event_key", "block")
 
 
 @query("hearings_v dockets_v", "SELECT h.case_id, h.hearing_key FROM hearings_v h LEFT JOIN dockets_v d ON d.docket_id = h.docket_id WHERE d.court_id IS NULL OR d.court_id IN ('unk', 'mad')")

@@ -31,15 +31,39 @@ def stream_status(spark: SparkSession, sf_dir: str):
     return alerts.run_once(alerts.newest_status(actions), _folder(spark), ["case_id", "hearing_key"])
 
 
+def delivered_entries(spark: SparkSession, sf_dir: str):
+    """The events table written as deliveries, two of them under one key each, and run through as a stream of files; some entries are broken."""
+    folder = _folder(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = lambda c: F.col(c).cast("string")
+    entry = F.struct(
+        F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", F.lit("no number")).otherwise(text("user_id")).alias("docket"), F.lit(None).cast("long").alias("entry_number"),
+        F.when(F.col("event_type") == "signup", F.lit("soon")).otherwise(F.col("ts").cast("date").cast("string")).alias("date_filed"), text("ts").alias("date_modified"), F.col("props").alias("description"), F.lit(None).cast("string").alias("short_description"),
+    )
+    rows = events.select(
+        F.concat(F.lit("k"), text("user_id"), F.lit("-"), F.col("ts").cast("date").cast("string")).alias("idempotency_key"), F.col("ts").alias("received_at"),
+        F.struct(F.when(F.col("event_type") == "view", 2).otherwise(1).alias("event_type")).alias("webhook"), entry.alias("entry"), "user_id",
+    )
+    one = rows.groupBy("idempotency_key").agg(F.min("received_at").alias("received_at"), F.struct(F.lit(1).alias("event_type")).alias("webhook"), F.struct(F.collect_list("entry").alias("results")).alias("payload"))
+    one.unionByName(one).write.json(f"{folder}/in")  # every delivery comes twice
+    routes = events.select(F.col("user_id").alias("docket_id")).distinct().select("docket_id", F.concat(F.lit("case-"), (F.col("docket_id") % 5).cast("string")).alias("case_id"), F.concat(F.lit("cal-"), (F.col("docket_id") % 3).cast("string")).alias("calendar"))
+    alerts.processed(alerts.deliveries(spark, f"{folder}/in"), folder, routes)
+    found = alerts.stored_entries(spark, folder).groupBy("calendar").agg(F.count("*").alias("entries"), F.countDistinct("case_id").alias("cases"), F.max("date_filed").cast("string").alias("last_filed"))
+    bad = spark.read.schema("entry string, batch long").parquet(f"{folder}/bad").groupBy().agg(F.lit("quarantine").alias("calendar"), F.count("*").alias("entries"), F.lit(0).cast("long").alias("cases"), F.lit(None).cast("string").alias("last_filed"))
+    return found.unionByName(bad)
+
+
 def debounced_users(spark: SparkSession, sf_dir: str):
     """Bursts of each user's events with under an hour between them."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return alerts.debounced(events, "user_id", "ts", "3600 seconds").select("user_id", F.unix_micros("quiet_at").alias("quiet_us"), "n")
 
 
-QUERIES = {"stream_status": stream_status, "debounced_users": debounced_users}
+QUERIES = {"stream_status": stream_status, "delivered_entries": delivered_entries, "debounced_users": debounced_users}
 ORACLE = {
     "stream_status": with_views("actions_v", _LAST),
+    "delivered_entries": "WITH e AS (SELECT *, event_type IN ('error', 'signup') AS bad FROM events) SELECT 'cal-' || cast(user_id % 3 AS string) AS calendar, count(*) AS entries, count(DISTINCT user_id % 5) AS cases, cast(max(cast(ts AS date)) AS string) AS last_filed FROM e WHERE NOT bad GROUP BY user_id % 3 "
+    "UNION ALL SELECT 'quarantine', count(*), 0, NULL FROM e WHERE bad",
     "debounced_users": "WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM events), "
     "s AS (SELECT user_id, us, sum(fresh) OVER (PARTITION BY user_id ORDER BY us) AS k FROM g) SELECT user_id, max(us) + 3600000000 AS quiet_us, count(*) AS n FROM s GROUP BY user_id, k",
 }

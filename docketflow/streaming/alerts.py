@@ -52,3 +52,37 @@ def run_once(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     out = stream.sparkSession.read.option("basePath", f"{folder}/out").schema(schema.add("batch", "long")).parquet(f"{folder}/out")
     rest = [c for c in schema.names if c not in (*keys, "batch")]
     return out.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
+
+
+def processed(stream: DataFrame, folder: str, routes: DataFrame) -> None:
+    """Runs deliveries through: what is delivered before is left out, broken entries are kept aside, the others routed and stored.
+
+    Under ``folder``: ``entries`` (a folder a batch), ``bad``, ``calendars`` (those a batch touches) and ``ledger``,
+    which is written last, so that a batch that fails is read again in full and overwrites itself.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        ledger = spark.read.schema("idempotency_key string, batch long").parquet(f"{folder}/ledger").where(F.col("batch") != number)
+        fresh = undelivered(batch, ledger)
+        rows = fresh.where("webhook.event_type = 1").select("idempotency_key", "received_at", F.explode("payload.results").alias("e"))
+        known = F.expr("try_cast(e.docket AS bigint)")
+        good = F.col("e.id").isNotNull() & known.isNotNull() & F.expr("try_cast(e.date_filed AS date)").isNotNull()
+        ok = F.coalesce(good, F.lit(False))
+        routed = rows.where(ok).select("received_at", known.alias("docket_id"), F.col("e.id").alias("entry_id"), F.col("e.date_filed").cast("date").alias("date_filed"), "e.description")
+        routed = routed.join(routes.hint("merge"), "docket_id")
+        routed.write.mode("overwrite").parquet(f"{folder}/entries/batch={number}")
+        rows.where(~ok).select(F.to_json("e").alias("entry")).write.mode("overwrite").parquet(f"{folder}/bad/batch={number}")
+        routed.select("calendar").distinct().write.mode("overwrite").parquet(f"{folder}/calendars/batch={number}")
+        fresh.select("idempotency_key").where("idempotency_key IS NOT NULL").distinct().write.mode("overwrite").parquet(f"{folder}/ledger/batch={number}")
+
+    spark.createDataFrame([], "idempotency_key string").write.mode("ignore").parquet(f"{folder}/ledger/batch=-1")
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def stored_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of each routed entry."""
+    schema = "docket_id long, received_at timestamp, entry_id long, date_filed date, description string, case_id string, calendar string, batch long"
+    rows = spark.read.schema(schema).parquet(f"{folder}/entries")
+    newest = rows.groupBy("docket_id", "entry_id").agg(F.max_by(F.struct("case_id", "calendar", "date_filed", "description"), F.struct("received_at", "description")).alias("r"))
+    return newest.select("docket_id", "entry_id", "r.*")
