@@ -1,7 +1,8 @@
 """SpotSigs fingerprints, by DataFrame functions alone.
 
 A signature is a common word (an anchor) with the next ``CHAIN`` content
-words after it, common words left out.  The set of a text's signature hashes
+words after it, common words left out; a chain looks ``AHEAD`` words ahead and
+an anchor without ``CHAIN`` content words there gives none.  The set of a text's signature hashes
 is its fingerprint; likeness is the Jaccard similarity of two sets.
 
 Defined cases: null text is an empty text; a text without an anchor takes all
@@ -28,6 +29,8 @@ COMMON = (
 CHAIN, AHEAD = 2, 8
 #: Rows of bucket heads that are broadcast at most.
 MOST_HEADS = 100_000
+#: Buckets (of at most 2**9 ids each) that a task takes in large tables.
+BUCKETS_A_TASK = 64
 _SHIFT = 9
 
 
@@ -94,7 +97,10 @@ def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     targets = written(targets, "targets")
     few = targets.limit(MOST_HEADS + 1).count() <= MOST_HEADS
     ends = docs.join(F.broadcast(targets) if few else targets.hint("merge"), "key").select("doc_id", "text", "key", F.col("target").alias("bucket"), F.lit(1).alias("copy"))
-    rows = docs.union(ends).repartition("bucket")
+    spark = docs.sparkSession
+    parts = heads.count() // BUCKETS_A_TASK
+    rows = docs.union(ends)
+    rows = rows.repartition(parts, "bucket") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("bucket")
     for name, column in columns.items():
         rows = rows.withColumn(name, column)
     order = Window.partitionBy("bucket").orderBy("copy", F.desc("key"), "text")
@@ -104,10 +110,11 @@ def with_next(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
 def near_pairs(prints: DataFrame, percent: int = 80) -> DataFrame:
     """(a, b) of the distinct fingerprints of ``prints(doc_id, signature)`` whose Jaccard similarity reaches ``percent`` %.
 
-    Equal fingerprints are one row, that of their smallest doc_id.  Each set is
+    Equal fingerprints are one row, that of their smallest doc_id.  Sets are
+    partitioned by length, in classes that each span the ratio the similarity
+    allows, so that a set meets its own class and the next alone.  In them each set is
     listed under the rarest of its signatures (as many as a set this like it
-    must share one of) together with its length; only lengths that allow the
-    similarity meet, and only pairs that do are compared in full.
+    must share one of), and what meets is compared in full.
     """
     sets = written(prints.where(F.size("signature") > 0).groupBy("signature").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "signature", F.size("signature").alias("n")), "sets")
     parts = sets.select("doc_id", "n", F.explode("signature").alias("s"))
@@ -116,9 +123,12 @@ def near_pairs(prints: DataFrame, percent: int = 80) -> DataFrame:
     # Signatures of one set alone come first in the order, and match nothing.
     must = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("known"))
     short = written(listed.where(must > 0).select("doc_id", "n", F.explode(F.slice("rare", 1, must.cast("int")))).select("doc_id", "n", "col.s"), "prefixes")
-    a, b = (short.select("s", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = written(a.join(b.hint("merge"), "s").where(fits).select("a", "b").distinct(), "pairs")
+    part = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
+    a = short.select("s", F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.explode(F.array(part, part + 1)).alias("part"))
+    b = short.select("s", F.col("doc_id").alias("y"), F.col("n").alias("n_y"), part.alias("part"))
+    fits = ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y")))) & (100 * F.col("n_x") >= percent * F.col("n_y"))
+    met = a.hint("merge").join(b.hint("merge"), ["s", "part"]).where(fits)
+    pairs = written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
     left, right = (sets.select(F.col("doc_id").alias(x), F.col("signature").alias(f"s_{x}")) for x in "ab")
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(100 * likeness(F.col("s_a"), F.col("s_b")) >= percent).select("a", "b")
 

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docketflow.llm import bpe, curves, fingerprints, language_id, mixing, near_dup, pseudo_likelihood, range_coder, substring_dedup, token_files, toxicity
 from docketflow.llm.shared import table
@@ -431,6 +432,37 @@ def test_signatures_and_pairs(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(4) for b in range(4) if a < b}
 
 
+def test_fingerprints_and_pairs_by_plain_loops(spark):
+    """Signatures, likeness and similar pairs of the given documents against plain loops."""
+    docs = table(spark, SF, "documents", "doc_id", "text").where("text IS NOT NULL")
+
+    def plain(text):
+        w = [x for x in re.split(r"[^\w]|_", text.lower()) if x]
+        sigs = set()
+        for i, x in enumerate(w):
+            after = [y for y in w[i + 1 : i + 1 + fingerprints.AHEAD] if y not in fingerprints.COMMON][: fingerprints.CHAIN]
+            if x in fingerprints.COMMON and len(after) == fingerprints.CHAIN:
+                sigs.add((x, *after))
+        k = fingerprints.CHAIN
+        return sigs or {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, min(len(w), 1)))}
+
+    rows = docs.withColumn("signature", fingerprints.signatures(docs.text))
+    found = {r.doc_id: (r.text, r.signature) for r in rows.collect()}
+    sets = {i: plain(t) for i, (t, _) in found.items()}
+    assert {i: len(s) for i, (_, s) in found.items()} == {i: len(s) for i, s in sets.items()}
+    near = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    first = {}
+    for i in sorted(found):
+        first.setdefault(tuple(found[i][1]), i)
+    heads = sorted(first.values())
+    want = {(a, b) for a in heads for b in heads if a < b and sets[a] and near(sets[a], sets[b]) >= 0.8}
+    assert {(r.a, r.b) for r in fingerprints.near_pairs(rows).collect()} == want
+    ids = sorted(found)[:60]
+    pairs = spark.createDataFrame([(a, b, found[a][1], found[b][1]) for a, b in zip(ids, ids[1:])], "a long, b long, x array<long>, y array<long>")
+    for r in pairs.select("a", "b", fingerprints.likeness(F.col("x"), F.col("y")).alias("l")).collect():
+        assert abs(r.l - near(sets[r.a], sets[r.b])) < 1e-12
+
+
 def test_successors_of_many_keys(spark):
     keys = sorted({(i * i * 7919) % 10_000_019 - 5000 for i in range(12_000)})
     got = {r.key: r.above for r in fingerprints.next_above(spark.createDataFrame([(k,) for k in keys], "key long")).collect()}
