@@ -268,7 +268,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select("doc_id", "text")
     unique = distinct_ids(docs)
-    docs = numbered(docs, unique)
+    placed = row_components(numbered(docs, unique), k, percent)
+    if unique:  # rows are their ids
+        return placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    placed = written(placed, "placed")
+    name = placed.groupBy("component").agg(F.min("doc_id").alias("name"))
+    return placed.join(name.hint("merge"), "component", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+
+
+def row_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc, doc_id, n_shingles, component) of every row of ``docs(doc, doc_id, text)``.
+
+    ``doc`` tells rows apart; the component is the smallest of them, null for
+    rows that take no part.
+    """
+    docs = docs.select("doc", "doc_id", "text")
     described = written(
         docs.select("doc", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
             _described(k), "doc long, doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
@@ -302,12 +316,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         found, _ = _rest(rows, found, fine, sets, percent, None)
 
     placed = described.select("doc", "doc_id", *key).join(classes.select(*key, "node").hint("merge"), key, "left")
-    placed = placed.join(found.hint("merge"), "node", "left").select("doc", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node")).alias("component"))
-    if unique:  # rows are their ids
-        return placed.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    placed = written(placed, "placed")
-    name = placed.groupBy("component").agg(F.min("doc_id").alias("name"))
-    return placed.join(name.hint("merge"), "component", "left").select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+    return placed.join(found.hint("merge"), "node", "left").select("doc", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "node")).alias("component"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
