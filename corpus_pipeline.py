@@ -1,4 +1,13 @@
-"""A training corpus from ``documents``: five stages, each on all the one before it kept."""
+"""A training corpus from ``documents``: five stages, each on all the one before it kept.
+
+Defined cases, of every stage: an empty table gives none; null and empty texts
+are clean, no copies of anything and have no passages, and go in the mix, which
+takes documents with words alone; a null id, language or source is a value like
+others, and a null id is nobody's copy; rows repeated in full, texts of words
+among them, are one from the near-duplicate stage on, rows of one id with different texts
+are documents of their own; columns beyond those of documents are dropped, so
+none can clash; texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +16,9 @@ from pyspark.sql import functions as F
 
 from docketflow.llm.bpe import encoded
 from docketflow.llm.mixing import mix, n_words
-from docketflow.llm.near_dup import near_duplicates
-from docketflow.llm.shared import written
-from docketflow.llm.substring_dedup import numbered, remove_repeats
+from docketflow.llm.near_dup import row_components
+from docketflow.llm.shared import distinct_ids, numbered, written
+from docketflow.llm.substring_dedup import remove_repeats
 from docketflow.llm.toxicity import scored, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,11 +38,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group linked by 5-word shingles and a similarity of 0.8; repeated rows once."""
     docs = docs.select(*COLUMNS)
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    rejected = written(near_duplicates(docs, k=5, percent=80).where("component_id <> doc_id").select("doc_id").distinct(), "rejected")
+    unique = distinct_ids(docs)
+    docs = numbered(docs, unique)
+    found = row_components(docs, k=5, percent=80).where("component IS NOT NULL")
+    if not unique:  # the smallest id, and of its rows the first
+        found = written(found, "components")
+        first = found.groupBy("component").agg(F.min(F.struct("doc_id", "doc")).alias("first"))
+        found = found.join(first.hint("merge"), "component").select("doc", F.col("first.doc").alias("component"))
+    rejected = written(found.where("doc <> component").select("doc"), "rejected")
     few = rejected.limit(MOST_REJECTED + 1).count() <= MOST_REJECTED
-    return docs.join(F.broadcast(rejected) if few else rejected.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(F.broadcast(rejected) if few else rejected.hint("merge"), "doc", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
