@@ -152,7 +152,8 @@ def normal_text(text: Column) -> Column:
 
 def text_fingerprint(text: Column, least: int = 100) -> Column:
     """sha256 of the folded text; null for short ones."""
-    return F.when(F.length(normal_text(text)) >= least, F.sha2(normal_text(text), 256))
+    # Bound once, so that the text is folded once.
+    return F.transform(F.array(normal_text(text)), lambda t: F.when(F.length(t) >= least, F.sha2(t, 256)))[0]
 
 
 def amounts(text: Column) -> Column:
