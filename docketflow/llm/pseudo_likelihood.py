@@ -4,8 +4,10 @@ All words of the corpus (A-Z folded, known by a 64-bit hash) are counted in a
 Spark table.  The most frequent ones, more of them the more words there are,
 are classes of their own, the others share ``TAIL`` classes by hash.  A network
 sees the ``WINDOW`` classes on each side of a place but not the one in it, and
-gives a distribution over the classes; a word has its share of its class's
-count: log P(word) = log P(class) + log(n(word) / n(class)).  It is trained
+gives a distribution over the classes in two steps, over groups of classes
+that are neighbours by frequency and over the classes of a group, so that its
+cost grows with the square root of the classes; a word has its share of its class's
+count: log P(word) = log P(group) + log P(class | group) + log(n(word) / n(class)).  It is trained
 in rounds over the whole corpus, each word being a target once: of R rounds,
 round r predicts the places r, r + R, ... of every text.  Every partition
 follows its own texts from the round's weights and Spark averages the
@@ -37,7 +39,7 @@ CLASSES = HEAD + TAIL + 1  # at least; the last one is the edge of a text
 KNOWN = 1 << 18
 WINDOW, EMBED, HIDDEN = 3, 16, 32
 #: Rounds over the corpus, which share its places as targets.
-ROUNDS, BATCH, RATE = 2, 512, 0.01
+ROUNDS, BATCH, RATE = 2, 1024, 0.01
 #: Floats of a row in which weights travel.
 SLICE = 1024
 
@@ -47,8 +49,18 @@ def head_size(vocabulary: int) -> int:
     return max(HEAD, int(2 * np.cbrt(vocabulary)))
 
 
+def group_size(classes: int) -> int:
+    """Classes of a group; the last group may have places that no class fills."""
+    return int(np.ceil(np.sqrt(classes)))
+
+
 def _shapes(classes: int) -> dict[str, tuple[int, ...]]:
-    return {"embed": (classes, EMBED), "inner": (2 * WINDOW * EMBED, HIDDEN), "bias": (HIDDEN,), "outer": (HIDDEN, classes), "prior": (classes,)}
+    size = group_size(classes)
+    groups = -(-classes // size)
+    return {
+        "embed": (classes, EMBED), "inner": (2 * WINDOW * EMBED, HIDDEN), "bias": (HIDDEN,),
+        "top": (HIDDEN, groups), "lead": (groups,), "outer": (groups, HIDDEN, size), "prior": (groups, size),
+    }
 
 
 def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,32 +153,55 @@ def fresh(classes: int = CLASSES) -> dict[str, np.ndarray]:
     return {k: (rng.standard_normal(s) * (0.1 if len(s) > 1 else 0)).astype(np.float32) for k, s in _shapes(classes).items()}
 
 
-def forward(w: dict[str, np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = w["embed"][around].reshape(len(around), -1)
-    h = np.tanh(x @ w["inner"] + w["bias"])
-    return x, h, _logits(w, h)
+def _wide(outer: np.ndarray, prior: np.ndarray) -> bool:
+    """Whether logits may leave +-40 (h is within +-1)."""
+    return bool((np.abs(outer).sum(axis=-2) + np.abs(prior)).max() > 40)
 
 
-def _logits(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
-    """Logits that ``exp`` can take; those within +-40 (h is within +-1) stay as they are."""
-    logits = h @ w["outer"] + w["prior"]
-    if (np.abs(w["outer"]).sum(axis=0) + np.abs(w["prior"])).max() > 40:
+def _logits(h: np.ndarray, outer: np.ndarray, prior: np.ndarray, wide: bool) -> np.ndarray:
+    """Logits that ``exp`` can take."""
+    logits = h @ outer
+    logits += prior
+    if wide:
         logits -= logits.max(axis=1, keepdims=True)
     return logits
 
 
+def by_group(kind: np.ndarray, size: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of places by the group of their class, and (group, begin, end) of those that occur."""
+    group = (kind // size).astype(np.uint16)
+    order = np.argsort(group, kind="stable")
+    cuts = np.concatenate((np.flatnonzero(np.diff(group[order], prepend=-1)), [len(kind)])).tolist()
+    return order, [(int(group[order[i]]), i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def log_probabilities(w: dict[str, np.ndarray], around: np.ndarray, kind: np.ndarray) -> np.ndarray:
     out = np.zeros(len(kind))
+    size = group_size(len(w["embed"]))
     sides = [w["embed"] @ w["inner"][i : i + EMBED] for i in range(0, len(w["inner"]), EMBED)]
-    for i in range(0, len(kind), 1024):
-        part = around[i : i + 1024]
+    top, outer = _wide(w["top"], w["lead"]), _wide(w["outer"], w["prior"])
+    for at in range(0, len(kind), 4096):
+        order, runs = by_group(kind[at : at + 4096], size)
+        part, own, n = around[at : at + 4096][order], kind[at : at + 4096][order], len(order)
         h = np.tanh(sum((t[part[:, d]] for d, t in enumerate(sides)), w["bias"]))
-        logits = _logits(w, h)
-        own = logits[np.arange(len(logits)), kind[i : i + 1024]]
-        out[i : i + 1024] = own - np.log(np.exp(logits, out=logits).sum(axis=1))
+        logits = _logits(h, w["top"], w["lead"], top)
+        found = logits[np.arange(n), own // size] - np.log(np.exp(logits, out=logits).sum(axis=1))
+        for g, i, j in runs:
+            logits = _logits(h[i:j], w["outer"][g], w["prior"][g], outer)
+            found[i:j] += logits[np.arange(j - i), own[i:j] - g * size] - np.log(np.exp(logits, out=logits).sum(axis=1))
+        out[at + order] = found
     return out
 
 
+def _error(h: np.ndarray, outer: np.ndarray, prior: np.ndarray, wide: bool, own: np.ndarray, n: int) -> np.ndarray:
+    """Slope of the loss of ``n`` places in the logits of some of them: probability less truth."""
+    d = _logits(h, outer, prior, wide)
+    np.exp(d, out=d)
+    d *= (1 / n) / d.sum(axis=1, keepdims=True)
+    d[np.arange(len(own)), own] -= 1 / n
+    return d
+
+
 class Trainer:
     """Adam steps from given weights."""
 
@@ -178,21 +213,29 @@ class Trainer:
 
     def step(self, around: np.ndarray, kind: np.ndarray) -> None:
         w, n, self.t = self.w, len(kind), self.t + 1
-        x, h, logits = forward(w, around)
-        d = np.exp(logits, out=logits)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(n), kind] -= 1
-        d /= n
-        dh = (d @ w["outer"].T) * (1 - h * h)
-        grad = {"outer": h.T @ d, "prior": d.sum(axis=0), "inner": x.T @ dh, "bias": dh.sum(axis=0)}
+        size = group_size(len(w["embed"]))
+        order, runs = by_group(kind, size)
+        around, kind = around[order], kind[order]
+        x = w["embed"].take(around, axis=0).reshape(n, -1)
+        h = np.tanh(x @ w["inner"] + w["bias"])
+        d = _error(h, w["top"], w["lead"], _wide(w["top"], w["lead"]), kind // size, n)
+        dh = d @ w["top"].T
+        grad = {"top": h.T @ d, "lead": d.sum(axis=0), "outer": np.zeros_like(w["outer"]), "prior": np.zeros_like(w["prior"])}
+        wide = _wide(w["outer"], w["prior"])
+        for g, i, j in runs:
+            d = _error(h[i:j], w["outer"][g], w["prior"][g], wide, kind[i:j] - g * size, n)
+            dh[i:j] += d @ w["outer"][g].T
+            grad["outer"][g], grad["prior"][g] = h[i:j].T @ d, d.sum(axis=0)
+        dh *= 1 - h * h
+        grad |= {"inner": x.T @ dh, "bias": dh.sum(axis=0)}
         dx = (dh @ w["inner"].T).reshape(-1, EMBED)
-        flat = around.ravel()
+        flat = around.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
         embed = np.zeros_like(w["embed"])
-        embed[flat[order[begin]]] = np.add.reduceat(dx[order], begin, axis=0)
+        embed[flat[order[begin]]] = np.add.reduceat(dx.take(order, axis=0), begin, axis=0)
         grad["embed"] = embed
-        scale = RATE * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        scale = float(RATE * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t))
         for k, g in grad.items():
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.01 * (g * g - self.v[k])
@@ -200,7 +243,7 @@ class Trainer:
 
 
 def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in _shapes(0)])
+    return np.concatenate([w[k].ravel() for k in _shapes(1)])
 
 
 def _shaped(flat: np.ndarray, classes: int) -> dict[str, np.ndarray]:
@@ -235,7 +278,7 @@ def averaged(docs: DataFrame, shared, weights, turn: int, rounds: int) -> dict[s
     place = rows.select("i", "n", F.posexplode("w").alias("j", "x"))
     sums = place.groupBy("i", "j").agg((F.sum("x") / F.sum("n")).alias("x"))
     found = sums.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("x")).orderBy("i").collect()  # one network
-    return _shaped(np.array([s["x"] for r in found for s in r["x"]]), len(weights.value["prior"])) if found else None
+    return _shaped(np.array([s["x"] for r in found for s in r["x"]]), len(weights.value["embed"])) if found else None
 
 
 def scored(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
