@@ -114,12 +114,19 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float] | None:
-    """The classifier of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; None without both labels."""
+    """The classifier of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; None without both labels.
+
+    Its intercept is moved from the labels' odds in the rows it is fitted on to their odds in all of ``labels``.
+    """
     labels = labels.where("doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = [labels.where(F.col("toxic") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * per_class rows
     found = rows.select("text", "toxic").repartition(1).mapInArrow(_train, "weight binary, intercept double").collect()
-    return (np.frombuffer(found[0]["weight"], np.float32), found[0]["intercept"]) if found else None
+    if not found:
+        return None
+    of = {r["toxic"]: r["n"] for r in labels.where("toxic IN (0, 1)").groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    shift = np.log(of[1] / min(of[1], per_class)) - np.log(of[0] / min(of[0], per_class))
+    return np.frombuffer(found[0]["weight"], np.float32), found[0]["intercept"] + float(shift)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float] | None, keep: list[str] | None = None) -> DataFrame:
