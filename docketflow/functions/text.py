@@ -85,6 +85,8 @@ PROCEEDINGS = {
 PROCEEDING_NAME = r"(?i)minutes?\s+of\s+(.+?)(?:\s+(?:as to|held|before)\b|[.:]|$)|:\s*(.+?)(?:\s+(?:as to|held|before)\b|[.:]|$)"
 ABSORBED = r"Absorbed sibling key\(s\)\s+(.+?)(?::| at same UTC slot|\n|$)"
 MONEY = r"\$[0-9,]+(?:\.[0-9]{2})?"
+# The proceedings that a person has once.
+ONCE_ONLY = ("sentencing", "arraignment", "initial-appearance", "change-of-plea", "plea")
 
 
 def blank_to_null(c: Column) -> Column:
@@ -166,6 +168,13 @@ def base_key(key: Column) -> Column:
     return F.regexp_replace(key, "-[0-9]+$", "")
 
 
+def once_only(key: Column) -> Column:
+    """'kind|person' of a key that names a proceeding held once, whatever number ends it; null for other keys."""
+    k, whole = F.lower(F.trim(key)), f"^({'|'.join(ONCE_ONLY)})(?:-+(.*))?$"
+    person = F.coalesce(F.nullif(F.regexp_extract(k, whole, 2), F.lit("")), F.lit("(unnamed)"))
+    return F.when(k.rlike(whole), F.concat_ws("|", F.regexp_extract(k, whole, 1), F.regexp_replace(person, r"-\d+$", "")))
+
+
 def titled(text: Column) -> Column:
     """A capital on every letter that follows none, small letters elsewhere."""
     return F.array_join(F.transform(F.split(text, r"(?<=[^\p{L}])(?=\p{L})"), F.initcap), "")

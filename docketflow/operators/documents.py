@@ -25,6 +25,18 @@ def text_choice(sealed: Column, upstream: Column, local: Column, ocr: Column) ->
     return F.coalesce(F.when(usable(upstream), upstream), F.when(~F.coalesce(sealed, F.lit(False)), own))
 
 
+def nested(entries: DataFrame, documents: DataFrame) -> DataFrame:
+    """``entries`` with ``docs``, their ``documents(entry_id, attachment, doc_id, description, is_available, is_sealed, text)`` in order (none: null)."""
+    rows = documents.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("attachment", "doc_id", "description", "is_available", "is_sealed", "text"))).alias("docs"))
+    return entries.join(rows, "entry_id", "left")
+
+
+def full_text(description: Column, short: Column, docs: Column) -> Column:
+    """An entry's own texts and its documents' descriptions, those with content."""
+    said = F.concat(F.array(description, short), F.transform(F.coalesce(docs, F.array()), lambda d: d["description"]))
+    return F.array_join(F.filter(said, lambda c: c != ""), " | ")
+
+
 def link_rows(documents: DataFrame) -> DataFrame:
     """(entry_id, doc_id, label, url, status) of ``documents(entry_id, doc_id, number, attachment, url, is_sealed)``."""
     status = F.when(F.col("is_sealed"), "sealed").when(F.coalesce("url", F.lit("")) == "", "not yet available").otherwise("")

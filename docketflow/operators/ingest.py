@@ -11,6 +11,14 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
+def entry_fingerprint(description: Column, short: Column, filed: Column, docs: Column) -> Column:
+    """``fingerprint`` of an entry and of its ``docs`` (description, is_available, is_sealed, text) in their order (null: none)."""
+    said = lambda c: F.when(F.coalesce(c, F.lit(False)), "True").otherwise("False")
+    parts = lambda d: F.array(F.coalesce(d["description"], F.lit("")), said(d["is_available"]), said(d["is_sealed"]), F.when(d["text"].rlike(r"(?U)\S"), "1").otherwise("0"))
+    own = F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in (description, short, filed)])
+    return F.sha1(F.array_join(F.concat(own, F.flatten(F.transform(F.coalesce(docs, F.array()), parts))), "|"))
+
+
 def unseen(feed: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
     """Rows of the feed whose keys (fingerprint among them) are not in ``seen``."""
     return feed.join(seen.select(*keys), [*keys], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketflow.functions.text import audit_line, base_key
+from docketflow.functions.text import audit_line, base_key, once_only
 
 
 def same_slot(hearings: DataFrame, dockets: DataFrame, status: str) -> DataFrame:
@@ -21,6 +21,14 @@ def near_slot(hearings: DataFrame, status: str) -> DataFrame:
     return rows.where("starts > 1")
 
 
+def once_only_clusters(hearings: DataFrame, near: DataFrame) -> DataFrame:
+    """Held rows of one case, kind of once-only proceeding and person, on any days, but those whose keys ``near`` (case_id, keys) holds."""
+    taken = near.select("case_id", F.explode("keys").alias("hearing_key")).distinct()
+    rows = hearings.where("status = 'held'").join(taken.hint("merge"), ["case_id", "hearing_key"], "left_anti").withColumn("base", once_only(F.col("hearing_key")))
+    clusters = rows.where("base IS NOT NULL").groupBy("case_id", "base").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("hearing_key")).alias("keys"))
+    return clusters.where("size > 1")
+
+
 def merged_clusters(rows: DataFrame, by: list[str], key: str, source: str) -> DataFrame:
     """One survivor a cluster: the key without suffix first, then most sources, oldest, smallest key.
 

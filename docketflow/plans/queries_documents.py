@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketflow.functions import text as T
-from docketflow.operators import documents, feed, runs, titles
+from docketflow.operators import documents, feed, ingest, runs, titles
 from docketflow.plans.queries_ingest import _hit
 from docketflow.plans.register import Register
 
@@ -145,3 +145,14 @@ def delivery_stats(e, d):
 @query("dockets_v entries_v", "SELECT case_id, count(*) AS dockets, count_if(d.docket_id % 3 = 0) AS changed, cast(coalesce(sum(n), 0) AS bigint) AS entries, cast(max(m) AS string) AS newest FROM dockets_v d LEFT JOIN (SELECT docket_id, count(*) AS n, max(date_filed) AS m FROM entries_v WHERE entry_id % 2 = 0 GROUP BY docket_id) e ON e.docket_id = d.docket_id GROUP BY case_id")
 def case_run_stats(d, e):
     return runs.case_stats(d, d.where("docket_id % 3 = 0"), e.where("entry_id % 2 = 0"))
+
+
+_PARTS = "SELECT entry_id, string_agg('|' || coalesce(source, '') || CASE WHEN is_available THEN '|True' ELSE '|False' END || CASE WHEN is_sealed THEN '|True' ELSE '|False' END || CASE WHEN regexp_matches(plain_text, '[^ \\t\\n\\x0B\\f\\r]') THEN '|1' ELSE '|0' END, '' ORDER BY attachment, doc_id) AS parts, string_agg(nullif(source, ''), ' | ' ORDER BY attachment, doc_id) AS said FROM docs_v GROUP BY entry_id"
+
+
+@query("entries_v docs_v", f"SELECT e.entry_id, concat_ws(' | ', nullif(e.description, ''), nullif(e.short_description, ''), d.said) AS full_text, sha1(coalesce(e.description, '') || '|' || coalesce(e.short_description, '') || '|' || coalesce(cast(e.date_filed AS string), '') || coalesce(d.parts, '')) AS fingerprint FROM entries_v e LEFT JOIN ({_PARTS}) d USING (entry_id)")
+def entries_with_documents(e, d):
+    """Texts and fingerprints of entries with their documents' parts; a document is described by its source."""
+    rows = documents.nested(e, d.withColumnsRenamed({"source": "description", "plain_text": "text"}))
+    own = [F.col("description"), F.col("short_description")]
+    return rows.select("entry_id", documents.full_text(*own, F.col("docs")).alias("full_text"), ingest.entry_fingerprint(*own, F.col("date_filed"), F.col("docs")).alias("fingerprint"))

@@ -167,6 +167,18 @@ def near_slot_clusters(h):
     return sweeps.near_slot(h, "held").select("case_id", F.col("start_date").cast("string").alias("start_date"), "starts", F.array_join("keys", ",").alias("keys"))
 
 
+_ONCE = "SELECT case_id, start_date, start_hour, CASE docket_id % 5 WHEN 0 THEN 'sentencing' WHEN 1 THEN 'arraignment' WHEN 2 THEN 'change-of-plea' WHEN 3 THEN 'plea' ELSE 'status-conference' END AS kind, 'n' || cast(docket_id % 9 AS string) AS person, docket_id FROM hearings_v WHERE status = 'held'"
+
+
+@query("hearings_v", f"SELECT case_id, kind || '|' || person AS base, count(*) AS size, string_agg(kind || '-' || person || '-' || cast(docket_id AS string), ',' ORDER BY kind || '-' || person || '-' || cast(docket_id AS string)) AS keys FROM ({_ONCE}) h WHERE kind <> 'status-conference' AND (case_id, start_date) NOT IN (SELECT (case_id, start_date) FROM ({_ONCE}) t GROUP BY case_id, start_date HAVING count(DISTINCT start_hour) > 1) GROUP BY case_id, kind, person HAVING count(*) > 1")
+def once_only_clusters(h):
+    """Second tier of near-slot clusters, over keys of five kinds and nine persons, each ended by its docket."""
+    kinds = F.array(*[F.lit(k) for k in ("sentencing", "arraignment", "change-of-plea", "plea", "status-conference")])
+    key = F.concat_ws("-", kinds[(F.col("docket_id") % 5).cast("int")], F.concat(F.lit("n"), (F.col("docket_id") % 9).cast("string")), F.col("docket_id").cast("string"))
+    keyed = h.withColumn("hearing_key", key)
+    return sweeps.once_only_clusters(keyed, sweeps.near_slot(keyed, "held")).select("case_id", "base", "size", F.array_join("keys", ",").alias("keys"))
+
+
 @query("hearings_v", "SELECT case_id, title, hearing_key AS survivor, size FROM (SELECT *, row_number() OVER (PARTITION BY case_id, title ORDER BY regexp_matches(hearing_key, '-[0-9]+-[0-9]+$'), start_date, hearing_key) AS r, count(*) OVER (PARTITION BY case_id, title) AS size FROM hearings_v WHERE status = 'held') x WHERE r = 1")
 def held_survivor(h):
     """Held rows of one title merged: the survivor by suffix, lineage, age and key."""

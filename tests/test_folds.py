@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from docketflow.operators.folds import fold_deadlines, fold_hearings, repaired_type
 
 D = dt.date
@@ -90,3 +92,15 @@ def test_pretrial_alone_is_no_trial(spark):
     kinds = [r[0] for r in df.select(proceeding_types(df.t)).collect()]
     assert kinds[:2] == [["pretrial"], ["pretrial", "trial"]]
     assert df.select(record_name(df.t)).collect()[2][0] == "Status Conference"
+
+
+def test_proceedings_held_once(spark):
+    from docketflow.functions.text import once_only
+    from docketflow.operators import sweeps
+
+    keys = ["sentencing-wang", " Sentencing-Wang-2", "plea", "plea--x-3", "plea-2", "change-of-plea-y", "sentencings-a", "status-conference-2", "", None]
+    out = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(once_only(F.col("k"))).collect()]
+    assert out == ["sentencing|wang", "sentencing|wang", "plea|(unnamed)", "plea|x", "plea|2", "change-of-plea|y", None, None, None, None]
+    rows = [("c", "plea-a", D(2024, 1, 5), 9, "held"), ("c", "plea-a-2", D(2024, 1, 6), 9, "held"), ("c", "plea-a-3", D(2024, 1, 6), 10, "held"), ("c", "plea-a-4", D(2024, 1, 7), 9, "scheduled"), ("c", "plea-a-5", D(2024, 1, 8), 9, "held"), ("d", "plea-a", D(2024, 1, 5), 9, "held")]
+    h = spark.createDataFrame(rows, "case_id string, hearing_key string, start_date date, start_hour int, status string")
+    assert [(r.case_id, r["keys"]) for r in sweeps.once_only_clusters(h, sweeps.near_slot(h, "held")).collect()] == [("c", ["plea-a", "plea-a-5"])]
