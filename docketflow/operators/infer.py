@@ -23,6 +23,21 @@ def prompts(entries: DataFrame, related: DataFrame, most: int = 1500) -> DataFra
     return entries.join(heads, "entry_id", "left").select("entry_id", F.concat_ws("\n", F.col("text"), F.array_join(lines, "\n")).alias("prompt"))
 
 
+def verification_prompts(rows: DataFrame, shown: DataFrame, entries: DataFrame, fields: list[str], key: list[str], most: int = 1500) -> DataFrame:
+    """(key, prompt) of rows to verify: their ``fields``, and the entries of ``shown(key, entry_id)``, newest last, each text cut at ``most`` characters.
+
+    A null reads as 'none', a row without entries shows '(none)'.
+    """
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    text = F.left(F.trim(F.coalesce(F.nullif("description", F.lit("")), "short_description", F.lit(""))), F.lit(most))
+    texts = entries.select("entry_id", "date_filed", "entry_number", text.alias("t"))
+    lines = shown.hint("merge").join(texts.hint("merge"), "entry_id").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("date_filed", "entry_number", "entry_id", "t"))).alias("lines"))
+    line = lambda x: F.concat(F.lit("- ["), said(x["entry_number"]), F.lit("] "), said(x["entry_id"]), F.lit(" filed "), said(x["date_filed"]), F.lit(": "), x["t"])
+    head = F.concat_ws("\n", *[F.concat(F.lit(f"{f}: "), said(F.col(f))) for f in fields])
+    body = F.coalesce(F.array_join(F.transform("lines", line), "\n"), F.lit("(none)"))
+    return rows.join(lines, key, "left").select(*key, F.concat_ws("\n", F.lit("TO VERIFY"), head, F.lit("RECENT ENTRIES"), body).alias("prompt"))
+
+
 def infer(rows: DataFrame, cache: DataFrame, scorer: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """(id, key, response, cached) of ``rows(id, key, prompt)``: cached responses, and the scorer's for one row of each missing key.
 

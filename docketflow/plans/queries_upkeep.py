@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketflow.functions import text as T
-from docketflow.operators import context, ingest, sweeps
+from docketflow.operators import context, infer, ingest, sweeps
 from docketflow.plans.register import Register
 
 query = Register()
@@ -31,6 +31,18 @@ def verification_context(h, e):
     return context.verification_context(_targets(h), e, 2)
 
 
+_FIELDS = ["hearing_key", "title", "start_date", "status", "significance", "duration_minutes", "docket_id", "notes"]
+_HEAD = " || chr(10) || ".join(f"'{f}: ' || coalesce(cast({f} AS string), 'none')" for f in _FIELDS)
+_LINE = "'- [' || coalesce(cast(entry_number AS string), 'none') || '] ' || cast(entry_id AS string) || ' filed ' || coalesce(cast(date_filed AS string), 'none') || ': ' || left(trim(coalesce(nullif(description, ''), short_description, '')), 1500)"
+
+
+@query("hearings_v entries_v", f"SELECT case_id, hearing_key, 'TO VERIFY' || chr(10) || {_HEAD} || chr(10) || 'RECENT ENTRIES' || chr(10) || coalesce(lines, '(none)') AS prompt FROM (SELECT * FROM hearings_v WHERE status = 'scheduled' OR (status = 'cancelled' AND start_date < DATE '1998-06-15')) h LEFT JOIN (SELECT case_id, hearing_key, string_agg({_LINE}, chr(10) ORDER BY date_filed NULLS FIRST, entry_number NULLS FIRST, entry_id) AS lines FROM {_SHOWN} s JOIN (SELECT entry_id, entry_number, date_filed, description, short_description FROM entries_v) e USING (entry_id) GROUP BY case_id, hearing_key) l USING (case_id, hearing_key)")
+def verification_prompts(h, e):
+    """What a verification of each row to verify shows, over the entries of ``verification_context``."""
+    targets = _targets(h)
+    return infer.verification_prompts(targets, context.verification_context(targets, e, 2), e, _FIELDS, ["case_id", "hearing_key"])
+
+
 @query("hearings_v entries_v", f"SELECT case_id, hearing_key, bool_and(entry_id IS NULL OR entry_id IN (SELECT entry_id FROM entries_v WHERE entry_number IS NOT NULL)) AS allowed FROM (SELECT case_id, hearing_key, CASE WHEN docket_id % 8 <> 0 THEN unnest([docket_id * 10 + 1, docket_id * 10 + 2]) END AS entry_id FROM hearings_v) s GROUP BY case_id, hearing_key")
 def removal_guard(h, e):
     """Rows with two sources (or none), of which the numbered entries were shown."""
