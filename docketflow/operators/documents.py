@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketflow.functions.text import blank_to_null, is_primary, is_ruling, usable
+from docketflow.functions.text import blank_to_null, is_deadline, is_disposition, is_hearing, is_primary, is_ruling, usable
 
 
 def document_url(base: str, stored: Column, mirror: Column) -> Column:
@@ -37,6 +37,19 @@ def full_text(description: Column, short: Column, docs: Column) -> Column:
     return F.array_join(F.filter(said, lambda c: c != ""), " | ")
 
 
+def any_primary(head: Column, docs: Column) -> Column:
+    """Whether an entry's head text or the description of one of its documents names a primary document."""
+    return is_primary(head) | F.coalesce(F.exists(docs, lambda d: is_primary(d["description"])), F.lit(False))
+
+
+def retained(entries: DataFrame) -> DataFrame:
+    """(entry_id, kept): the whole text of ``nested`` entries that set dates or that a summary needs, null for the others."""
+    head = F.coalesce(blank_to_null(F.col("short_description")), blank_to_null(F.col("description")), F.lit(""))
+    rows = entries.select("entry_id", "docs", head.alias("head"), full_text(F.col("description"), F.col("short_description"), F.col("docs")).alias("full"))
+    keep = is_hearing(F.col("full")) | is_deadline(F.col("full")) | any_primary(F.col("head"), F.col("docs")) | is_disposition(F.col("head"))
+    return rows.select("entry_id", F.when(keep, F.col("full")).alias("kept"))
+
+
 def link_rows(documents: DataFrame) -> DataFrame:
     """(entry_id, doc_id, label, url, status) of ``documents(entry_id, doc_id, number, attachment, url, is_sealed)``."""
     status = F.when(F.col("is_sealed"), "sealed").when(F.coalesce("url", F.lit("")) == "", "not yet available").otherwise("")

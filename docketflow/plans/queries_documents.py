@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketflow.functions import text as T
 from docketflow.operators import documents, feed, ingest, runs, titles
-from docketflow.plans.queries_ingest import _hit
+from docketflow.plans.queries_ingest import _disposition, _due, _hit
 from docketflow.plans.register import Register
 
 query = Register()
@@ -156,3 +156,17 @@ def entries_with_documents(e, d):
     rows = documents.nested(e, d.withColumnsRenamed({"source": "description", "plain_text": "text"}))
     own = [F.col("description"), F.col("short_description")]
     return rows.select("entry_id", documents.full_text(*own, F.col("docs")).alias("full_text"), ingest.entry_fingerprint(*own, F.col("date_filed"), F.col("docs")).alias("fingerprint"))
+
+
+_SAID = "CASE lang WHEN 'fr' THEN 'SUPERSEDING INDICTMENT' WHEN 'de' THEN 'Status conference set' ELSE source END"
+_WHOLE = (
+    "(SELECT e.entry_id, coalesce(nullif(trim(short_description), ''), nullif(trim(description), ''), '') AS head, concat_ws(' | ', nullif(description, ''), nullif(short_description, ''), d.said) AS body, coalesce(d.filed, false) AS filed FROM entries_v e LEFT JOIN "
+    f"(SELECT entry_id, string_agg(nullif(said, ''), ' | ' ORDER BY attachment, doc_id) AS said, bool_or({_hit('said', 'PRIMARY')}) AS filed FROM (SELECT *, {_SAID} AS said FROM docs_v) s GROUP BY entry_id) d USING (entry_id)) w"
+)
+
+
+@query("entries_v docs_v", f"SELECT entry_id, CASE WHEN {_hit('body', 'HEARING')} OR {_due('body')} OR {_hit('head', 'PRIMARY')} OR filed OR {_disposition('head')} THEN body END AS kept FROM {_WHOLE}")
+def retained_texts(e, d):
+    """Texts kept of entries and their documents, which are described by their language here."""
+    said = F.when(F.col("lang") == "fr", "SUPERSEDING INDICTMENT").when(F.col("lang") == "de", "Status conference set").otherwise(F.col("source"))
+    return documents.retained(documents.nested(e, d.withColumnRenamed("plain_text", "text").withColumn("description", said)))
