@@ -378,6 +378,32 @@ def test_pseudo_likelihood(spark, odd, none):
     assert pseudo_likelihood.scored(none, rounds=1).count() == 0
 
 
+def test_a_class_has_the_probability_of_its_group_and_in_it():
+    rng = np.random.default_rng(4)
+    for classes, scale in ((256, 0.3), (300, 3.0)):
+        size = pseudo_likelihood.group_size(classes)
+        w = {k: (rng.standard_normal(v.shape) * scale).astype(np.float32) for k, v in pseudo_likelihood.fresh(classes).items()}
+        kind, around = rng.integers(0, classes, 50), rng.integers(0, classes, (50, 6))
+        got = pseudo_likelihood.log_probabilities(w, around, kind)
+        for i, c in enumerate(kind):
+            h = np.tanh(w["embed"][around[i]].ravel().astype(float) @ w["inner"] + w["bias"])
+            top, own = h @ w["top"] + w["lead"], h @ w["outer"][c // size] + w["prior"][c // size]
+            assert np.isclose(got[i], top[c // size] - np.logaddexp.reduce(top) + own[c % size] - np.logaddexp.reduce(own), rtol=1e-3, atol=1e-3)
+        trainer = pseudo_likelihood.Trainer(pseudo_likelihood.fresh(classes))
+        before = pseudo_likelihood.log_probabilities(trainer.w, around, kind).mean()
+        for _ in range(30):
+            trainer.step(around, kind)
+        assert pseudo_likelihood.log_probabilities(trainer.w, around, kind).mean() > before + 1
+
+
+@pytest.mark.parametrize("per_class", [20, 40])
+def test_toxicity_keeps_the_labels_true_odds(spark, per_class):
+    """Texts that tell nothing get the share of toxic ones among all training rows, not among the fitted."""
+    docs = spark.createDataFrame([(i, "the same words") for i in range(400)], "doc_id long, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id % 10 = 0) AS toxic"), per_class)
+    assert np.isclose(toxicity.scored(docs, model).first().score, 0.1, atol=1e-3)
+
+
 def test_every_word_is_a_training_target(spark):
     first = np.array([0, 0, 1, 8, 30])
     assert sorted(np.concatenate([pseudo_likelihood.targets(first, r, 3) for r in range(3)])) == list(range(30))
