@@ -119,10 +119,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all ``[^\\x20\\x09-\\x0D]+`` and, per row, the first word's index (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of bytes not in ``space`` (``[^\\x20\\x09-\\x0D]+``) and, per row, the first word's index (one more at the end)."""
     inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = ~_SPACE[data]
+    inside[:-1] = ~space[data]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[offsets] = True
     before = np.zeros(len(data) + 1, bool)
