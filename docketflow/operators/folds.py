@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketflow.functions.text import RECORD
 
-_SHARED = "title:string,notes:string,timezone:string,docket_id:bigint,court_id:string,source_entry_ids:array<bigint>,n:int"
-_HEARING = f"struct<status:string,local_date:date,local_hour:int,significance:string,duration_minutes:int,location:string,judge:string,dial_in:string,{_SHARED}>"
-_DEADLINE = f"struct<status:string,due_date:date,due_hour:int,significance:string,deadline_type:string,{_SHARED}>"
+_SHARED = {"title": "string", "notes": "string", "timezone": "string", "docket_id": "bigint", "court_id": "string", "source_entry_ids": "array<bigint>", "n": "int"}
+HEARING = {
+    "status": "string", "local_date": "date", "local_hour": "int", "significance": "string", "duration_minutes": "int", "location": "string", "judge": "string", "dial_in": "string", **_SHARED,
+}
+DEADLINE = {"status": "string", "due_date": "date", "due_hour": "int", "significance": "string", "deadline_type": "string", **_SHARED}
+#: What every step reads of the state, whichever columns are asked for.
+_ALWAYS = ("local_date", "docket_id", "court_id", "n")
 #: Columns that actions may lack; they are null then.
 _OPTIONAL = {
     "title": "string", "fallback_title": "string", "notes": "string", "location": "string", "judge": "string", "dial_in": "string", "duration_minutes": "int",
@@ -51,13 +59,17 @@ def _sources(s: Column, a: Column) -> Column:
     return F.when(F.array_contains(s["source_entry_ids"], a["entry_id"]), s["source_entry_ids"]).otherwise(F.array_append(s["source_entry_ids"], a["entry_id"]))
 
 
-def _home(s: Column, a: Column) -> list[Column]:
+def _home(s: Column, a: Column) -> dict[str, Callable[[], Column]]:
     """Zone, docket and court stay those of the first action."""
-    first = s["n"] == 0
-    return [F.when(first, a[c]).otherwise(s[c]).alias(c) for c in ("timezone", "docket_id", "court_id")]
+    return {c: lambda c=c: F.when(s["n"] == 0, a[c]).otherwise(s[c]) for c in ("timezone", "docket_id", "court_id")}
+
 
+def _struct(columns: dict[str, Callable[[], Column]], wanted: dict[str, str]) -> Column:
+    """The wanted columns of a state; the others are never worked out."""
+    return F.struct(*[columns[c]().cast(kind).alias(c) for c, kind in wanted.items()])
 
-def next_hearing(s: Column, a: Column) -> Column:
+
+def next_hearing(s: Column, a: Column, wanted: dict[str, str] = HEARING) -> Column:
     """State after an action.  ``s.n`` counts applied actions; 0 is "no row yet".
 
     A row of another known court is never touched.  CANCEL and MARK_HELD on a
@@ -77,47 +89,38 @@ def next_hearing(s: Column, a: Column) -> Column:
         | _foreign(s, a)
     )
     keeps = terminal & there
-    told = F.coalesce(_text(a["notes"]), a["record_text"])
-    supersedes = F.coalesce(a["is_record"], F.lit(False)) & ~F.coalesce(s["notes"].rlike(RECORD), F.lit(False))
-    notes = F.when(keeps & (kind == "MARK_HELD"), F.when(supersedes, F.coalesce(told, s["notes"])).otherwise(s["notes"])).otherwise(F.coalesce(_text(a["notes"]), s["notes"]))
-    given, had = F.nullif(a["duration_minutes"], F.lit(0)), F.nullif(s["duration_minutes"], F.lit(0))
-    minutes = F.coalesce(given, F.when(kind != "RESCHEDULE_HEARING", had), default_minutes(a["hearing_type"], a["local_hour"].isNotNull()))
-    new = lambda c: F.when(keeps, s[c]).otherwise(F.coalesce(_text(a[c]), s[c])).alias(c)
-    applied = F.struct(
-        F.when(kind == "CANCEL_HEARING", F.lit("cancelled")).when(kind == "MARK_HELD", F.lit("held")).otherwise(F.lit("scheduled")).alias("status"),
-        F.when(keeps, s["local_date"]).otherwise(F.coalesce(date, s["local_date"])).alias("local_date"),
-        F.when(keeps | date.isNull(), s["local_hour"]).otherwise(a["local_hour"]).alias("local_hour"),
-        F.when(keeps, s["significance"]).when(terminal, F.coalesce(a["significance"], F.lit("major"))).otherwise(F.coalesce(a["significance"], s["significance"])).alias("significance"),
-        F.when(keeps, s["duration_minutes"]).otherwise(minutes).alias("duration_minutes"),
-        new("location"), new("judge"), new("dial_in"),
-        F.when(keeps, s["title"]).otherwise(F.coalesce(_text(a["title"]), F.when(there, s["title"]).otherwise(a["fallback_title"]))).alias("title"),
-        notes.alias("notes"), *_home(s, a), _sources(s, a).alias("source_entry_ids"), (s["n"] + 1).cast("int").alias("n"),
-    ).cast(_HEARING)
-    return F.when(drop, s).otherwise(applied)
-
-
-def _folded(actions: DataFrame, key: str, columns: list[str], state: str, step) -> DataFrame:
-    """The rows left of ``actions`` after ``step`` over each key's actions in order; one exchange."""
-    for c, kind in _OPTIONAL.items():
-        if c not in actions.columns:
-            actions = actions.withColumn(c, F.lit(None).cast(kind))
-    rows = actions.groupBy("case_id", key).agg(F.array_sort(F.collect_list(F.struct("seq", "entry_id", "type", "local_date", *columns))).alias("steps"))
-    start = F.from_json(F.lit('{"source_entry_ids":[],"n":0}'), state)
-    return rows.select("case_id", key, F.aggregate("steps", start, step).alias("s")).where("s.n > 0").select("case_id", key, "s.*")
-
-
-def fold_hearings(actions: DataFrame) -> DataFrame:
-    """``actions(case_id, hearing_key, seq, entry_id, type, local_date, ...)`` to one row a key.
-
-    Optional columns: see ``_OPTIONAL``.  The start is local to ``timezone``, which stays that of
-    the first action; ``render.local_to_utc`` gives the instant.
-    """
-    live = actions.where("hearing_key IS NOT NULL AND type <> 'IGNORE'")
-    columns = ["local_hour", "significance", "docket_id", "court_id", "timezone", "title", "fallback_title", "notes", "location", "judge", "dial_in", "duration_minutes", "hearing_type", "record_text", "is_record"]
-    return _folded(live, "hearing_key", columns, _HEARING, next_hearing)
-
 
-def next_deadline(s: Column, a: Column) -> Column:
+    def notes() -> Column:
+        told = F.coalesce(_text(a["notes"]), a["record_text"])
+        supersedes = F.coalesce(a["is_record"], F.lit(False)) & ~F.coalesce(s["notes"].rlike(RECORD), F.lit(False))
+        return F.when(keeps & (kind == "MARK_HELD"), F.when(supersedes, F.coalesce(told, s["notes"])).otherwise(s["notes"])).otherwise(F.coalesce(_text(a["notes"]), s["notes"]))
+
+    def minutes() -> Column:
+        given, had = F.nullif(a["duration_minutes"], F.lit(0)), F.nullif(s["duration_minutes"], F.lit(0))
+        return F.when(keeps, s["duration_minutes"]).otherwise(F.coalesce(given, F.when(kind != "RESCHEDULE_HEARING", had), default_minutes(a["hearing_type"], a["local_hour"].isNotNull())))
+
+    def newest(c: str) -> Callable[[], Column]:
+        return lambda: F.when(keeps, s[c]).otherwise(F.coalesce(_text(a[c]), s[c]))
+
+    columns = {
+        "status": lambda: F.when(kind == "CANCEL_HEARING", F.lit("cancelled")).when(kind == "MARK_HELD", F.lit("held")).otherwise(F.lit("scheduled")),
+        "local_date": lambda: F.when(keeps, s["local_date"]).otherwise(F.coalesce(date, s["local_date"])),
+        "local_hour": lambda: F.when(keeps | date.isNull(), s["local_hour"]).otherwise(a["local_hour"]),
+        "significance": lambda: F.when(keeps, s["significance"]).when(terminal, F.coalesce(a["significance"], F.lit("major"))).otherwise(F.coalesce(a["significance"], s["significance"])),
+        "duration_minutes": minutes,
+        "location": newest("location"),
+        "judge": newest("judge"),
+        "dial_in": newest("dial_in"),
+        "title": lambda: F.when(keeps, s["title"]).otherwise(F.coalesce(_text(a["title"]), F.when(there, s["title"]).otherwise(a["fallback_title"]))),
+        "notes": notes,
+        "source_entry_ids": lambda: _sources(s, a),
+        "n": lambda: s["n"] + 1,
+        **_home(s, a),
+    }
+    return F.when(drop, s).otherwise(_struct(columns, wanted))
+
+
+def next_deadline(s: Column, a: Column, wanted: dict[str, str] = DEADLINE) -> Column:
     """State after a deadline action.
 
     A row of another known court is never touched.  MARK_FILED never inserts;
@@ -130,21 +133,88 @@ def next_deadline(s: Column, a: Column) -> Column:
     drop = ((kind == "ADD_DEADLINE") & date.isNull() & ~conditional) | ((kind == "MARK_FILED") & ~there) | ((kind == "CANCEL_DEADLINE") & ~there & date.isNull()) | _foreign(s, a)
     keeps = ends & there
     cleared = (kind == "ADD_DEADLINE") & conditional & date.isNull()
-    dated = lambda old, new: F.when(keeps, old).when(date.isNotNull(), new).when(~cleared, old)
-    applied = F.struct(
-        F.when(kind == "CANCEL_DEADLINE", F.lit("cancelled")).when(kind == "MARK_FILED", F.lit("met")).otherwise(F.lit("pending")).alias("status"),
-        dated(s["due_date"], date).alias("due_date"),
-        dated(s["due_hour"], a["local_hour"]).alias("due_hour"),
-        F.when(keeps, s["significance"]).when(ends, F.coalesce(a["significance"], F.lit("major"))).otherwise(F.coalesce(a["significance"], s["significance"])).alias("significance"),
-        F.when(keeps, s["deadline_type"]).otherwise(F.coalesce(_text(a["deadline_type"]), s["deadline_type"])).alias("deadline_type"),
-        F.when(keeps, s["title"]).otherwise(F.coalesce(_text(a["title"]), F.when(there, s["title"]).otherwise(a["fallback_title"]))).alias("title"),
-        F.when(kind == "MARK_FILED", s["notes"]).otherwise(F.coalesce(_text(a["notes"]), s["notes"])).alias("notes"),
-        *_home(s, a), _sources(s, a).alias("source_entry_ids"), (s["n"] + 1).cast("int").alias("n"),
-    ).cast(_DEADLINE)
-    return F.when(drop, s).otherwise(applied)
-
-
-def fold_deadlines(actions: DataFrame) -> DataFrame:
+    dated = lambda old, new: F.when(keeps, s[old]).when(date.isNotNull(), a[new]).when(~cleared, s[old])
+    columns = {
+        "status": lambda: F.when(kind == "CANCEL_DEADLINE", F.lit("cancelled")).when(kind == "MARK_FILED", F.lit("met")).otherwise(F.lit("pending")),
+        "due_date": lambda: dated("due_date", "local_date"),
+        "due_hour": lambda: dated("due_hour", "local_hour"),
+        "significance": lambda: F.when(keeps, s["significance"]).when(ends, F.coalesce(a["significance"], F.lit("major"))).otherwise(F.coalesce(a["significance"], s["significance"])),
+        "deadline_type": lambda: F.when(keeps, s["deadline_type"]).otherwise(F.coalesce(_text(a["deadline_type"]), s["deadline_type"])),
+        "title": lambda: F.when(keeps, s["title"]).otherwise(F.coalesce(_text(a["title"]), F.when(there, s["title"]).otherwise(a["fallback_title"]))),
+        "notes": lambda: F.when(kind == "MARK_FILED", s["notes"]).otherwise(F.coalesce(_text(a["notes"]), s["notes"])),
+        "source_entry_ids": lambda: _sources(s, a),
+        "n": lambda: s["n"] + 1,
+        **_home(s, a),
+    }
+    return F.when(drop, s).otherwise(_struct(columns, wanted))
+
+
+@dataclass(frozen=True)
+class Fold:
+    """How the actions of one kind of key become its row, in batch and on a stream.
+
+    ``reads`` names the columns of an action that a column of the state needs beside its own name.
+    """
+
+    key: str
+    state: dict[str, str]
+    step: Callable[..., Column]
+    reads: dict[str, tuple[str, ...]]
+    live: str
+
+    def wanted(self, columns: list[str] | None = None) -> dict[str, str]:
+        """The columns of the state to work out: those asked for (None: all) and those every step reads."""
+        return {c: kind for c, kind in self.state.items() if columns is None or c in columns or c in _ALWAYS}
+
+    def actions(self, actions: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """The live actions with what the steps read; columns they lack are null."""
+        live = actions.where(self.live)
+        read = [F.col(c) if c in actions.columns else F.lit(None).cast(kind).alias(c) for c, kind in self.read(columns).items()]
+        return live.select("case_id", self.key, "seq", "entry_id", "type", "local_date", *read)
+
+    def read(self, columns: list[str] | None = None) -> dict[str, str]:
+        """The optional columns of an action that the steps read."""
+        names = {a for c in self.wanted(columns) for a in (c, *self.reads.get(c, ()))} | set(self.reads["n"])
+        return {c: kind for c, kind in sorted(_OPTIONAL.items()) if c in names}
+
+    def steps(self, actions: DataFrame, *by: str) -> DataFrame:
+        """One row a key with its actions in order; one exchange."""
+        rest = [c for c in actions.columns if c not in ("case_id", self.key, *by)]
+        return actions.groupBy("case_id", self.key, *by).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("steps"))
+
+    def start(self, columns: list[str] | None = None) -> Column:
+        wanted = self.wanted(columns)
+        empty = {c: v for c, v in (("source_entry_ids", []), ("n", 0)) if c in wanted}
+        return F.from_json(F.lit(json.dumps(empty)), "struct<" + ",".join(f"{c}:{kind}" for c, kind in wanted.items()) + ">")
+
+    def advanced(self, start: Column, columns: list[str] | None = None) -> Column:
+        """The state after ``steps``."""
+        wanted = self.wanted(columns)
+        return F.aggregate("steps", start, lambda s, a: self.step(s, a, wanted))
+
+    def rows(self, actions: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """The rows that ``actions`` leave, with the columns asked for."""
+        folded = self.steps(self.actions(actions, columns)).select("case_id", self.key, self.advanced(self.start(columns), columns).alias("s"))
+        return folded.where("s.n > 0").select("case_id", self.key, *[f"s.{c}" for c in columns or self.state])
+
+
+HEARINGS = Fold(
+    "hearing_key", HEARING, next_hearing,
+    {"title": ("fallback_title",), "notes": ("record_text", "is_record"), "duration_minutes": ("hearing_type", "local_hour"), "n": ()},
+    "hearing_key IS NOT NULL AND type <> 'IGNORE'",
+)
+DEADLINES = Fold("deadline_key", DEADLINE, next_deadline, {"title": ("fallback_title",), "due_hour": ("local_hour",), "n": ("conditional",)}, "deadline_key IS NOT NULL")
+
+
+def fold_hearings(actions: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``actions(case_id, hearing_key, seq, entry_id, type, local_date, ...)`` to one row a key.
+
+    Optional columns: see ``_OPTIONAL``.  The start is local to ``timezone``, which stays that of
+    the first action; ``render.local_to_utc`` gives the instant.  ``columns``: those wanted (None: all).
+    """
+    return HEARINGS.rows(actions, columns)
+
+
+def fold_deadlines(actions: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``actions(case_id, deadline_key, seq, entry_id, type, local_date, conditional, ...)`` to one row a key; without an hour it falls due at 16:00."""
-    columns = ["local_hour", "significance", "docket_id", "court_id", "timezone", "title", "fallback_title", "notes", "deadline_type", "conditional"]
-    return _folded(actions.where("deadline_key IS NOT NULL"), "deadline_key", columns, _DEADLINE, next_deadline)
+    return DEADLINES.rows(actions, columns)

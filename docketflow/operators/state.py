@@ -44,7 +44,8 @@ def cleared(rows: DataFrame, cases: DataFrame) -> DataFrame:
 
 def replayed(rows: DataFrame, actions: DataFrame, cases: DataFrame) -> DataFrame:
     """Hearing rows with those of the chosen cases folded anew from their whole history."""
-    fresh = folds.fold_hearings(actions.join(cases.select("case_id"), "case_id", "left_semi"))
+    wanted = [c for c in rows.columns if c in folds.HEARING]
+    fresh = folds.fold_hearings(actions.join(cases.select("case_id"), "case_id", "left_semi"), wanted)
     return cleared(rows, cases).unionByName(fresh.select(*rows.columns))
 
 

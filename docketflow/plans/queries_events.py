@@ -34,7 +34,7 @@ def as_deadline_steps(a: DataFrame) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events folded to hearings, and the agenda of every case in the middle of them."""
-    state = folds.fold_hearings(as_steps(view(spark, sf_dir, "actions_v")))
+    state = folds.fold_hearings(as_steps(view(spark, sf_dir, "actions_v")), ["title", "local_date", "status", "significance"])
     rows = state.where("local_date IS NOT NULL AND NOT (significance <=> 'minor')")
     rows = rows.select("case_id", F.col("hearing_key").alias("event_key"), "title", F.col("local_date").alias("start_date"), "status")
     return feed.agenda(rows, AGENDA_DAY)
@@ -126,13 +126,13 @@ def deadline_fold(a):
 
 @query("actions_v", f"SELECT case_id, key AS hearing_key, status FROM {HEARING_ROWS} s")
 def hearing_fold_last_status(a):
-    return folds.fold_hearings(as_steps(a)).select("case_id", "hearing_key", "status")
+    return folds.fold_hearings(as_steps(a), ["status"])
 
 
 @query("actions_v", f"SELECT case_id, key AS hearing_key, cast(len(sources) AS bigint) AS sources, docket_id FROM {HEARING_ROWS} s")
 def hearing_fold_lineage(a):
     """The sticky docket and the growing lineage of the fold."""
-    return folds.fold_hearings(as_steps(a)).select("case_id", "hearing_key", F.size("source_entry_ids").cast("long").alias("sources"), "docket_id")
+    return folds.fold_hearings(as_steps(a), ["source_entry_ids", "docket_id"]).select("case_id", "hearing_key", F.size("source_entry_ids").cast("long").alias("sources"), "docket_id")
 
 
 @query("actions_v dockets_v", f"SELECT case_id, key AS hearing_key, status FROM {HEARING_ROWS} s WHERE case_id IN (SELECT case_id FROM dockets_v) UNION ALL SELECT DISTINCT case_id, hearing_key, 'stored' FROM actions_v WHERE case_id NOT IN (SELECT case_id FROM dockets_v)")
