@@ -94,4 +94,4 @@ def peak_requests(a):
 @query("actions_v", f"SELECT cast(sum(n) AS bigint) AS applied, count(*) AS rows, count_if(local_date IS NOT NULL AND significance IS DISTINCT FROM 'minor') AS visible FROM {HEARING_ROWS} s")
 def action_funnel(a):
     """Applied actions, logical rows and visible rows."""
-    return scoring.funnel(folds.fold_hearings(as_steps(a)))
+    return scoring.funnel(folds.fold_hearings(as_steps(a), ["local_date", "significance", "n"]))
