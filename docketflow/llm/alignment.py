@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from docketflow.llm.shared import buffers, chunks, mix, ranges, table, written
 
 #: Bytes of text of a part.
-PART = 8 << 20
+PART = 4 << 20
 #: Parts of a node of the tree.
 FAN = 256
 #: Buckets of pairs: none holds more than its share of first ids times the second vocabulary.
@@ -46,7 +46,9 @@ BUCKETS = 256
 #: Ids are below this; a pair is a * WIDTH + b.
 WIDTH = 1 << 24
 #: Pieces of text, and bytes of them, that a worker keeps before it starts anew.
-MEMORY, MEMORY_BYTES = 300_000, 64 << 20
+MEMORY, MEMORY_BYTES = 150_000, 32 << 20
+#: Bytes of pieces that are encoded in one call.
+LUMP = 1 << 16
 
 
 def byte_level() -> dict[str, int]:
@@ -59,26 +61,32 @@ def byte_level() -> dict[str, int]:
 class Aligner:
     """Pieces of text with the groups and links of their two token sequences."""
 
-    def __init__(self, a_path: str, b_path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, a_path: str, b_path: str, pattern: str):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        table_of = byte_level()
         with open(a_path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        self.a_bytes = [b""] * (max([*vocabulary.values(), self.a.get_vocab_size() - 1]) + 1)
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = bytes(table_of[c] for c in token)
+            model = json.load(f)["model"]
+        stand_in = byte_level()
+        raw = {i: bytes(stand_in[c] for c in token) for token, i in model["vocab"].items() if all(c in stand_in for c in token)}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [model["vocab"]["".join(m)] for m in merges]
+        if order != sorted(set(order)):
+            raise ValueError("merges must be in the order of their ids")
+        learnt = set(order)
+        # An id that no merge makes, and no single byte, is a special token: plain text here.
+        self.a = tiktoken.Encoding("aligned", pat_str=pattern, mergeable_ranks={x: i for i, x in raw.items() if i in learnt or len(x) == 1}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError("pieces must not go on after a space")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        if max(len(self.a_bytes), len(self.b_bytes)) > WIDTH:
-            raise ValueError("ids must be below 2**24")
-        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.name = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.a_size = np.array([len(raw.get(i, b"")) for i in range(max(raw) + 1)], np.int64)
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
+        if max(len(self.a_size), len(self.b_size)) > WIDTH:
+            raise ValueError("ids must be below WIDTH")
+        # What stands behind an id in a digest: a comma in a group, a bar after A's last, a semicolon after B's.
+        self.a_name, self.b_name = (np.array([[f"{i}{end}" for i in range(n)] for end in ends], object) for n, ends in ((len(self.a_size), ",|"), (len(self.b_size), ",;")))
         self.clear()
 
     def clear(self) -> None:
@@ -88,22 +96,47 @@ class Aligner:
         self.keys = np.zeros(0, np.int64)
         self.sizes = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whole
         self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def add(self, fresh: list[bytes]) -> None:
+        self.pair, self.times = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def encoded(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of all pieces, how many each piece has, and whether a piece's bytes are those of both.
+
+        Pieces are encoded many in one text, as both tokenizers cut it between
+        them, but after a piece that ends as ``cut`` would not have it; a piece that
+        B would change stands alone.
+        """
+        size = np.array([len(p) for p in fresh], np.int64)
+        ends = np.cumsum(size)
+        whole = np.ones(len(fresh), bool)
+        ids_a, ids_b = [], []
+        at, stops = 0, [i + 1 for i, p in enumerate(fresh) if not 32 < p[-1] < 127 and not _splits(p)]
+        while at < len(fresh):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + LUMP)))
+            to = min(to, stops[k] if (k := bisect(stops, at)) < len(stops) else to)
+            raw = b"".join(fresh[at:to])
+            text = raw.decode()
+            a, b = self.a.encode_ordinary(text), self.b.encode(text[1:])
+            if b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+                # Some piece is not what B makes of it: encode them by themselves.
+                b = []
+                for i in range(at, to):
+                    own = self.b.encode(fresh[i].decode()[1:])
+                    whole[i] = b"".join(map(self.b_bytes.__getitem__, own)) == fresh[i]
+                    b += own if whole[i] else []
+            ids_a.append(np.array(a, np.int64))
+            ids_b.append(np.array(b, np.int64))
+            at = to
+        flat_a, flat_b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (ids_a, ids_b))
+        own_a = np.searchsorted(ends, np.cumsum(self.a_size[flat_a]))
+        flat_a, own_a = flat_a[whole[own_a]], own_a[whole[own_a]]
+        own_b = np.searchsorted(np.cumsum(size[whole]), np.cumsum(self.b_size[flat_b]))
+        return flat_a, flat_b, np.bincount(own_a, minlength=len(fresh)), np.bincount(np.flatnonzero(whole)[own_b], minlength=len(fresh)), whole
+
+    def add(self, fresh: list[bytes], digests: bool) -> None:
         """Encodes new pieces, each of which begins with a space, and aligns them side by side."""
-        texts = [p.decode() for p in fresh]
-        a, b = [], []
-        for i in range(0, len(texts), 4096):  # the libraries' results are large objects
-            a += [e.ids for e in self.a.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
-            b += self.b.encode([t[1:] for t in texts[i : i + 4096]], num_threads=1)
-        whole = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == p == b"".join(map(self.b_bytes.__getitem__, y)) for p, x, y in zip(fresh, a, b, strict=True)], bool)
-        for i in np.flatnonzero(~whole):
-            a[i], b[i] = [], []
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-        flat_a, flat_b = (np.array([i for x in ids for i in x], np.int64) for ids in (a, b))
+        flat_a, flat_b, n_a, n_b, whole = self.encoded(fresh)
         ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
-        ends = np.intersect1d(ends_a, ends_b)  # where groups end; pieces end there too
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)  # where groups end; pieces end there too
         of_a, of_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
         size_a, size_b = np.bincount(of_a, minlength=len(ends)), np.bincount(of_b, minlength=len(ends))
         piece = np.repeat(np.arange(len(fresh)), n_a)[np.cumsum(size_a) - 1] if len(ends) else np.zeros(0, np.int64)
@@ -120,36 +153,40 @@ class Aligner:
         new = np.ones(len(pairs), bool)
         new[1:] = (pairs[1:] != pairs[:-1]) | (own[1:] != own[:-1])
         at = np.flatnonzero(new)
-        times, owner = np.diff(np.append(at, len(pairs))), own[at]
-        # Pairs get a number of the worker's own.
-        known = np.unique(np.concatenate((self.keys, pairs[at])))
-        self.pair = np.searchsorted(known, self.keys)[self.pair] if len(self.pair) else self.pair
+        times, owner, pairs = np.diff(np.append(at, len(pairs))), own[at], pairs[at]
+        # Pairs get a number of the worker's own, by their order among all it knows.
+        known = np.union1d(self.keys, pairs)
+        self.pair = np.searchsorted(known, self.keys).astype(np.int32)[self.pair] if len(self.pair) else self.pair
         count = np.bincount(owner, minlength=len(fresh))
         self.first = np.concatenate((self.first, len(self.pair) + np.cumsum(count) - count))
         self.count = np.concatenate((self.count, count))
-        self.pair = np.concatenate((self.pair, np.searchsorted(known, pairs[at])))
-        self.times, self.keys = np.concatenate((self.times, times)), known
-        sizes = (n_a, n_b, np.bincount(piece, minlength=len(fresh)), np.bincount(piece, size_a * size_b, len(fresh)).astype(np.int64), whole.astype(np.int64))
+        self.pair = np.concatenate((self.pair, np.searchsorted(known, pairs).astype(np.int32)))
+        self.times, self.keys = np.concatenate((self.times, times.astype(np.int32))), known
+        n_groups = np.bincount(piece, minlength=len(fresh))
+        sizes = (n_a, n_b, n_groups, np.bincount(piece, size_a * size_b, len(fresh)).astype(np.int64), whole.astype(np.int64))
         self.sizes = np.concatenate((self.sizes, np.stack(sizes, 1)))
-        name = self.name
-        names_a, names_b = [name[i] for i in flat_a.tolist()], [name[i] for i in flat_b.tolist()]
-        end_a, end_b = np.cumsum(size_a).tolist(), np.cumsum(size_b).tolist()
-        texts = [",".join(names_a[i:j]) + "|" + ",".join(names_b[k:m]) for i, j, k, m in zip([0, *end_a], end_a, [0, *end_b], end_b, strict=False)]
-        last = np.cumsum(np.bincount(piece, minlength=len(fresh))).tolist()
-        self.digest += [";".join(texts[i:j]) for i, j in zip([0, *last], last, strict=False)]
+        if digests:
+            last_a, last_b = np.cumsum(size_a), np.cumsum(size_b)
+            names = np.empty(len(flat_a) + len(flat_b), object)
+            names[np.arange(len(flat_a)) + first_b[of_a]] = self.a_name[(ends_a == ends[of_a]).astype(np.int8), flat_a]
+            names[np.arange(len(flat_b)) + last_a[of_b]] = self.b_name[(ends_b == ends[of_b]).astype(np.int8), flat_b]
+            names, to = names.tolist(), np.concatenate(([0], last_a + last_b))[np.cumsum(n_groups)].tolist()
+            self.digest += ["".join(names[i:j]) for i, j in zip([0, *to], to, strict=False)]
         self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
 
-    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, texts: pa.Array, digests: bool) -> tuple[np.ndarray, np.ndarray]:
         """The number of each piece of all texts in one array, and where each text's begin (one more at the end)."""
-        if len(self.place) > MEMORY or self.held > MEMORY_BYTES:
+        if len(self.place) > MEMORY or self.held > MEMORY_BYTES or (digests and len(self.digest) < len(self.place)):
             self.clear()
         data, offsets = buffers(texts)
         starts, ends, rows = cut(data, offsets)
         raw, place = data.tobytes(), self.place
-        texts = [b" " + raw[i:j] if i == k else raw[i:j] for i, j, k in zip(starts.tolist(), ends.tolist(), np.repeat(offsets[:-1], np.diff(rows)).tolist(), strict=True)]
+        texts = [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for i in np.unique(rows[:-1][np.diff(rows) > 0]).tolist():
+            texts[i] = b" " + texts[i]
         fresh = list({p: None for p in texts if p not in place})
         if fresh:
-            self.add(fresh)
+            self.add(fresh, digests)
             self.held += sum(map(len, fresh))
         return np.array([place[p] for p in texts], np.int64), rows
 
@@ -158,6 +195,12 @@ class Aligner:
         return np.repeat(np.arange(len(pieces)), self.count[pieces]), ranges(self.first[pieces], self.count[pieces])
 
 
+def _splits(piece: bytes) -> bool:
+    """Whether ``cut`` may begin a piece after this one: by the lead byte of its last character."""
+    lead = next(c for c in reversed(piece) if not 0x80 <= c < 0xC0)
+    return 32 < lead < 127 or 0xC3 <= lead < 0xE0 or lead >= 0xE4
+
+
 def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the pieces of each row, and each row's first piece (one more at the end).
 
@@ -181,13 +224,19 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 @lru_cache(maxsize=2)
-def aligner(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
+def aligner(a_path: str, b_path: str, pattern: str) -> Aligner:
+    return Aligner(a_path, b_path, pattern)
+
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
-def documents(model: Aligner, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def documents(model: Aligner, texts: pa.Array, digests: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces, the row of each, and per row the sums of n_a, n_b, n_groups, n_links (zeros for a row that is not whole) and whether it is whole."""
-    pieces, rows = model.pieces(texts)
+    pieces, rows = model.pieces(texts, digests)
     own = np.repeat(np.arange(len(texts)), np.diff(rows))
     whole = np.diff(rows) > 0
     whole[own[model.sizes[pieces, 4] == 0]] = False
@@ -198,9 +247,9 @@ def documents(model: Aligner, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return pieces, own, sums, whole
 
 
-def _first_pass(a_path: str, b_path: str):
+def _first_pass(*paths: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, held = aligner(a_path, b_path), TaskContext.get().partitionId() << 32, 0
+        model, part, held = aligner(*paths), TaskContext.get().partitionId() << 32, 0
         keys, counts = [], []
 
         def close():
@@ -211,12 +260,12 @@ def _first_pass(a_path: str, b_path: str):
         for batch in (c for b in batches for c in chunks(b)):
             n = batch.num_rows
             pieces, own, _, _ = documents(model, batch.column("text"))
-            once = np.unique(own * len(model.place) + pieces)
+            once = _distinct(own * len(model.place) + pieces)
             place, entry = model.links(once % max(len(model.place), 1))
-            held_pairs = np.unique((once // max(len(model.place), 1))[place] * max(len(model.keys), 1) + model.pair[entry])
-            pair, c = np.unique(held_pairs % max(len(model.keys), 1), return_counts=True)
-            keys.append(model.keys[pair])
-            counts.append(c)
+            each = _distinct((once // max(len(model.place), 1))[place] * max(len(model.keys), 1) + model.pair[entry])
+            c = np.bincount(each % max(len(model.keys), 1), minlength=len(model.keys))
+            keys.append(model.keys[c > 0])
+            counts.append(c[c > 0])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), batch.column("doc_id"), batch.column("text"), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], ["part", "doc_id", "text", "keys", "counts"])
             held += batch.column("text").nbytes
             if held >= PART:
@@ -343,17 +392,17 @@ def _looked_up(pieces: pa.Table, known: pa.Table) -> pa.Table:
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _second_pass(a_path: str, b_path: str):
+def _second_pass(*paths: str):
     """Documents of a part, aligned again, with the counts of the part's pairs."""
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        model = aligner(a_path, b_path)
+        model = aligner(*paths)
         keys, counts, best = (np.concatenate([np.zeros(0, kind), *(_array(x, kind) for x in known.column(c))]) for c, kind in (("keys", np.int64), ("counts", np.int64), ("best", bool)))
         order = np.argsort(keys)
         keys, counts, best = keys[order], counts[order], best[order].astype(np.int64)
         out = []
         for batch in (c for b in docs.to_batches() for c in chunks(b)):
-            pieces, own, sums, whole = documents(model, batch.column("text"))
+            pieces, own, sums, whole = documents(model, batch.column("text"), digests=True)
             used, own_piece = np.unique(pieces, return_inverse=True)
             place, entry = model.links(used)
             at = np.searchsorted(keys, model.keys[model.pair[entry]])
@@ -364,7 +413,7 @@ def _second_pass(a_path: str, b_path: str):
             np.add.at(found, own, by_piece[own_piece])
             ends = np.searchsorted(own, np.arange(batch.num_rows + 1)).tolist()
             digest, numbers = model.digest, pieces.tolist()
-            sha = [hashlib.sha256(";".join([digest[p] for p in numbers[i:j]]).encode()).hexdigest() if ok else "" for i, j, ok in zip(ends[:-1], ends[1:], whole.tolist(), strict=True)]
+            sha = [hashlib.sha256("".join([digest[p] for p in numbers[i:j]])[:-1].encode()).hexdigest() if ok else "" for i, j, ok in zip(ends[:-1], ends[1:], whole.tolist(), strict=True)]
             columns = [pa.array(sums[:, i]) for i in range(4)] + [pa.array(found[:, i]) for i in range(2)] + [pa.array(sha, pa.string())]
             out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]))
         return pa.Table.from_batches(out) if out else _rows(["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"], [pa.int64()] * 7 + [pa.string()], [])
@@ -397,23 +446,26 @@ def pair_counts(firsts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return pieces, written(full, "pair-counts"), max(1, -(-firsts.count() // FAN))
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of ``docs(doc_id, text)``."""
+def aligned(docs: DataFrame, a_path: str, b_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of ``docs(doc_id, text)``.
+
+    A is byte-level BPE in a json file with its ``pattern``, B a piece model.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = written(docs.mapInArrow(_first_pass(a_path, b_path), "part long, doc_id long, text string, keys binary, counts binary"), "first-pass")
+    first = written(docs.mapInArrow(_first_pass(a_path, b_path, pattern), "part long, doc_id long, text string, keys binary, counts binary"), "first-pass")
     pieces, known, slots = pair_counts(first.where("keys IS NOT NULL").select("part", "keys", "counts"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("slot")
     sides = pieces.groupBy("bucket", "slot").cogroup(known.select("*", every).groupBy("bucket", "slot"))
     found = written(sides.applyInArrow(_looked_up, "part long, keys binary, counts binary, best binary"), "found")
     texts = first.where("keys IS NULL").select("part", "doc_id", "text")
-    return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_second_pass(a_path, b_path), _RESULT)
+    return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_second_pass(a_path, b_path, pattern), _RESULT)
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` in byte-level and in piece tokens: groups, links and how often their pairs are linked in the corpus."""
     import public_tokenizers
 
-    return aligned(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
 QUERIES = {"op11_alignment": op11_alignment}

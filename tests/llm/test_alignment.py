@@ -12,10 +12,12 @@ from docketflow.llm import alignment
 from docketflow.llm.shared import table
 
 SF = "/root/testdata/sf0.001"
+P = public_tokenizers.PATTERN
 A, B = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 ODD = [
     (1, None), (2, ""), (3, " "), (4, "word "), (5, " x  y "), (6, "a▁b c"), (7, "a" * 5000), (8, "日本 語 x"), (9, "é́ ü   z  k\x1c b\x85 m"),
     (10, "<|endoftext|> <s> it's\n\n  ok\t tab"), (11, "​ 　 q"), (12, "😀 😀﻿ x"), (13, "dup one"), (13, "dup one"), (None, "dup one"), (14, "a ́b c\x00d \x00 e"), (15, "\n \n x \r\n y"),
+    (16, "ends in space  "), (17, "  begins so"), (18, "ends in ᚠ"), (19, "and　"), (20, "line\n"), (21, " é"), (22, "\ue000 \uffff x"), (23, "▁"), (24, "x ▁ y"), (25, "<0x41> <unk> ▁<s>"),
 ]
 
 
@@ -65,7 +67,7 @@ def test_equals_plain_loops(spark, monkeypatch, part, fan):
     monkeypatch.setattr(alignment, "PART", part)
     monkeypatch.setattr(alignment, "FAN", fan)
     docs = spark.createDataFrame([(i, t, 1, b"x") for i, t in ODD], "doc_id long, text string, part long, keys binary").repartition(5)
-    assert in_order(alignment.aligned(docs, A, B).collect()) == in_order(plain(ODD))
+    assert in_order(alignment.aligned(docs, A, B, P).collect()) == in_order(plain(ODD))
 
 
 def test_equals_plain_loops_on_documents(spark):
@@ -113,15 +115,15 @@ def test_perfect_hash():
 
 
 def test_no_documents(spark):
-    assert alignment.aligned(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
-    empty = alignment.aligned(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), A, B).orderBy("doc_id")
+    assert alignment.aligned(spark.createDataFrame([], "doc_id long, text string"), A, B, P).count() == 0
+    empty = alignment.aligned(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), A, B, P).orderBy("doc_id")
     assert [tuple(r) for r in empty.collect()] == [(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
 
 
 def test_long_text_and_hot_rows(spark):
     """A text of 300,000 letters without a space, and one text in a third of the rows."""
     rows = [(0, "ab9" * 100_000)] + [(i, "the same text over and over") for i in range(1, 60)] + [(i, f"row {i} of others") for i in range(60, 170)]
-    got = alignment.aligned(spark.createDataFrame(rows, "doc_id long, text string"), A, B).withColumn("hot", F.col("doc_id").between(1, 59)).collect()
+    got = alignment.aligned(spark.createDataFrame(rows, "doc_id long, text string"), A, B, P).withColumn("hot", F.col("doc_id").between(1, 59)).collect()
     same = [r for r in got if r.hot]
     assert len(got) == 170 and len({tuple(r)[1:] for r in same}) == 1
     assert same[0].count_sum >= 59 * same[0].n_links
