@@ -135,6 +135,11 @@ def fetchable(sealed: Column, text: Column, available: Column) -> Column:
     return F.when(sealed, False).when(F.coalesce(text, F.lit("")) != "", True).otherwise(available)
 
 
+def pending(sealed: Column, available: Column, text: Column) -> Column:
+    """A document whose text may still come."""
+    return ~F.coalesce(sealed, F.lit(False)) & ~F.coalesce(available, F.lit(False)) & blank_to_null(F.coalesce(text, F.lit(""))).isNull()
+
+
 def references(text: Column) -> Column:
     """Entry numbers a text refers to, in order of first mention."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(REFERENCES), F.lit(1)), lambda x: x.cast("long")))
@@ -226,3 +231,10 @@ def absorbed_keys(audit: Column) -> Column:
     lists = F.regexp_extract_all(F.coalesce(audit, F.lit("")), F.lit(ABSORBED), F.lit(1))
     keys = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda k: F.trim(k))
     return F.array_distinct(F.filter(keys, lambda k: k != ""))
+
+
+def best_title(titles: Column, own: Column, derived: Column) -> Column:
+    """A survivor's title: its own unless that only spells its key, else the longest explicit one of ``titles`` (structs key, title, derived)."""
+    explicit = F.filter(titles, lambda t: ~t["derived"])
+    order = F.array_sort(F.transform(explicit, lambda t: F.struct((-F.length(t["title"])).alias("l"), t["key"].alias("k"), t["title"].alias("t"))))
+    return F.when(derived, F.coalesce(F.get(order, F.lit(0))["t"], own)).otherwise(own)

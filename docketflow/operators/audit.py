@@ -20,16 +20,28 @@ def ungrounded(mentions: DataFrame, known: DataFrame, key: str, value: str) -> D
     return mentions.select(key, value).distinct().join(known.select(key, value).distinct(), [key, value], "left_anti")
 
 
-def sealing(entries: DataFrame, most_later: int = 3) -> DataFrame:
-    """The latest grant to seal of a docket, unless dispositions or enough later public entries exist."""
-    seal = F.coalesce(F.col("description").rlike(r"(?i)order granting .*motion to seal"), F.lit(False))
-    rows = entries.withColumn("seal", seal)
-    last = rows.where("seal").groupBy("docket_id").agg(F.max_by("entry_id", F.struct("date_filed", "entry_id")).alias("seal_entry"), F.max("date_filed").alias("seal_date"))
-    later = rows.join(last, "docket_id").groupBy("docket_id", "seal_entry").agg(
-        F.count_if((F.col("date_filed") > F.col("seal_date")) & F.col("is_available")).alias("later"),
-        F.bool_or(F.coalesce(F.col("description").rlike(r"(?i)^judgment"), F.lit(False))).alias("disposed"),
-    )
-    return later.where(f"NOT disposed AND later <= {most_later}").select("docket_id", "seal_entry", "later")
+# What reads as a granted order to seal, and to unseal.
+SEALS = r"(?iU)\border\b[^.]*\bgrant(?:s|ed|ing)\b[^.]*\bto\s+seal\b"
+UNSEALS = r"(?iU)\border\b[^.]*\bgrant(?:s|ed|ing)\b[^.]*\bto\s+unseal\b"
+
+
+def sealing(entries: DataFrame, disposed: DataFrame, most_later: int = 3) -> DataFrame:
+    """The latest order to seal of each docket that is sealed in effect, its text cut at 240, and the public entries after it.
+
+    None where ``disposed(docket_id)`` has the docket, where a later order
+    unseals it, or where more than ``most_later`` later entries are public.
+    Orders of one day: the smallest entry_id.
+    """
+    text = F.coalesce("description", F.lit(""))
+    rows = entries.withColumn("seals", text.rlike(SEALS)).withColumn("unseals", text.rlike(UNSEALS))
+    order = F.max_by(F.struct("entry_id", "entry_number", F.trim(text).alias("said")), F.struct("date_filed", (-F.col("entry_id")).alias("e")))
+    last = rows.where("seals").groupBy("docket_id").agg(order.alias("o"), F.max("date_filed").alias("seal_date"))
+    last = last.join(disposed.select("docket_id").distinct(), "docket_id", "left_anti")
+    after = F.col("date_filed") > F.col("seal_date")
+    found = rows.join(last, "docket_id").groupBy("docket_id", "o", "seal_date").agg(F.count_if(after & F.col("is_available")).alias("later"), F.bool_or(after & F.col("unseals")).alias("lifted"))
+    said = F.when(F.length("o.said") > 240, F.concat(F.rtrim(F.substring("o.said", 1, 237)), F.lit("..."))).otherwise(F.col("o.said"))
+    kept = found.where(f"NOT lifted AND later <= {most_later}")
+    return kept.select("docket_id", F.col("o.entry_id").alias("seal_entry"), F.col("o.entry_number").alias("seal_number"), "seal_date", said.alias("seal_text"), "later")
 
 
 def best_copies(entries: DataFrame, dockets: DataFrame) -> DataFrame:

@@ -81,13 +81,6 @@ def quarantined(rows: DataFrame, value: Column, schema: str, needed: list[str])
     return parsed.where(ok), parsed.where(~ok).drop("e")
 
 
-def best_title(titles: Column, own: Column, derived: Column) -> Column:
-    """A survivor's title: its own unless that only spells its key, else the longest explicit one of ``titles`` (structs key, title, derived)."""
-    explicit = F.filter(titles, lambda t: ~t["derived"])
-    order = F.array_sort(F.transform(explicit, lambda t: F.struct((-F.length(t["title"])).alias("l"), t["key"].alias("k"), t["title"].alias("t"))))
-    return F.when(derived, F.coalesce(F.get(order, F.lit(0))["t"], own)).otherwise(own)
-
-
 def better_notes(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """(case_id, hearing_key, new_notes) of rows whose notes are blank or a mere notice.
 

@@ -2,47 +2,122 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketflow.functions.text import audit_line, base_key, once_only
+from docketflow.functions.text import audit_line, base_key, best_title, once_only, record_rank, records_proceeding
+from docketflow.operators.tables import written
 
 
-def same_slot(hearings: DataFrame, dockets: DataFrame, status: str) -> DataFrame:
-    """Rows that share case, logical docket and exact start with another one of the status."""
-    rows = hearings.where(F.col("status") == status).join(dockets.select("docket_id", "docket_number", "court_id"), "docket_id", "left")
+def logical(rows: DataFrame, dockets: DataFrame) -> DataFrame:
+    """``rows`` that have a docket, with (docket_number, court_id) of the logical docket; one without metadata is its own."""
+    known = dockets.select("docket_id", F.col("docket_number").alias("n"), F.col("court_id").alias("c"))
+    both = rows.where("docket_id IS NOT NULL").drop("docket_number", "court_id").join(known, "docket_id", "left")
+    named = F.coalesce((F.col("n") != "") & (F.col("c") != ""), F.lit(False))
+    own = F.concat(F.lit("#docket-id="), F.col("docket_id").cast("string"))
+    return both.select("*", F.when(named, F.col("n")).otherwise(own).alias("docket_number"), F.when(named, F.col("c")).otherwise(F.lit("")).alias("court_id")).drop("n", "c")
+
+
+def same_slot(hearings: DataFrame, dockets: DataFrame, status: str, earliest: str | None = None) -> DataFrame:
+    """Rows that share case, logical docket and exact start with another one of the status; of scheduled ones those from ``earliest`` on."""
+    rows = logical(hearings.where(F.col("status") == status), dockets)
+    rows = rows if earliest is None else rows.where(F.col("start_date") >= F.lit(earliest).cast("date"))
     slot = Window.partitionBy("case_id", "docket_number", "court_id", "start_date", "start_hour")
     return rows.withColumn("size", F.count("*").over(slot)).where("size > 1").select("case_id", "hearing_key", "docket_number", "start_date", "start_hour", "size")
 
 
-def near_slot(hearings: DataFrame, status: str) -> DataFrame:
-    """Clusters of a case on one day with more than one start."""
-    rows = hearings.where(F.col("status") == status).groupBy("case_id", "start_date").agg(F.countDistinct("start_hour").alias("starts"), F.array_sort(F.collect_list("hearing_key")).alias("keys"))
-    return rows.where("starts > 1")
+def near_slot(hearings: DataFrame, dockets: DataFrame, status: str) -> DataFrame:
+    """Clusters of one case and logical docket on one day with more than one start."""
+    rows = logical(hearings.where(F.col("status") == status), dockets)
+    keys = F.array_sort(F.collect_list("hearing_key")).alias("keys")
+    return rows.groupBy("case_id", "docket_number", "court_id", "start_date").agg(F.countDistinct("start_hour").alias("starts"), keys).where("starts > 1")
 
 
-def once_only_clusters(hearings: DataFrame, near: DataFrame) -> DataFrame:
-    """Held rows of one case, kind of once-only proceeding and person, on any days, but those whose keys ``near`` (case_id, keys) holds."""
+def once_only_clusters(hearings: DataFrame, dockets: DataFrame, near: DataFrame) -> DataFrame:
+    """Held rows of one case, logical docket, kind of once-only proceeding and person, on any days, but those whose keys ``near`` (case_id, keys) holds."""
     taken = near.select("case_id", F.explode("keys").alias("hearing_key")).distinct()
-    rows = hearings.where("status = 'held'").join(taken.hint("merge"), ["case_id", "hearing_key"], "left_anti").withColumn("base", once_only(F.col("hearing_key")))
-    clusters = rows.where("base IS NOT NULL").groupBy("case_id", "base").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("hearing_key")).alias("keys"))
+    rows = logical(hearings.where("status = 'held'"), dockets).join(taken.hint("merge"), ["case_id", "hearing_key"], "left_anti").withColumn("base", once_only(F.col("hearing_key")))
+    clusters = rows.where("base IS NOT NULL").groupBy("case_id", "docket_number", "court_id", "base").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("hearing_key")).alias("keys"))
     return clusters.where("size > 1")
 
 
-def merged_clusters(rows: DataFrame, by: list[str], key: str, source: str) -> DataFrame:
-    """One survivor a cluster: the key without suffix first, then most sources, oldest, smallest key.
+def merged_clusters(rows: DataFrame, by: list[str], key: str, source: str, why: Column, target: str | None = None, order: Column | None = None) -> DataFrame:
+    """One survivor a cluster, as (by, survivor, source_entry_ids, notes, title, audit_notes, absorbed).
 
-    It takes the union of the lineages in rank order, the longest notes and an audit line that names the absorbed keys.
+    ``rows`` has the cluster's columns ``by``, ``key``, source_entry_ids, notes,
+    title, ``derived`` (whether the title only spells the key), audit_notes and last_updated.
+    The survivor is ``target``, else the shortest key that another one only
+    adds a number to, else the key of most sources, oldest, smallest.  The
+    others follow by ``order`` (else in that same order) and add their sources
+    to its own.  Notes that record no proceeding give way to the best record
+    among the others, a title that spells its key to their longest explicit one.
+    The audit line names the keys that were absorbed and ``why`` (an expression over ``by``).
     """
-    rank = F.struct((F.col(key) != base_key(F.col(key))).alias("drifted"), (-F.size("source_entry_ids")).alias("few"), F.col("last_updated"), F.col(key).alias("key"))
-    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "source_entry_ids", "notes"))).alias("all"), F.count("*").alias("size"))
-    keys = F.transform("all", lambda x: x["rank"]["key"])
-    notes = F.array_sort(F.transform("all", lambda x: F.struct((-F.length(F.coalesce(x["notes"], F.lit("")))).alias("l"), x["rank"]["key"].alias("k"), x["notes"].alias("n"))))[0]["n"]
-    absorbed = F.array_join(F.slice(keys, 2, 1_000_000), ", ")
-    return groups.select(
-        *by, keys[0].alias("survivor"), F.array_distinct(F.flatten(F.transform("all", lambda x: x["source_entry_ids"]))).alias("source_entry_ids"), notes.alias("notes"),
-        F.when(F.col("size") > 1, audit_line(F.lit(None).cast("string"), source, F.concat(F.lit("absorbed "), absorbed))).alias("audit_notes"), "size",
+    here = F.struct(F.col(key).alias("key"), "source_entry_ids", "notes", "title", "derived", "audit_notes")
+    rank = F.struct((-F.size("source_entry_ids")).alias("few"), F.coalesce(F.col("last_updated").cast("string"), F.lit("")).alias("since"), F.col(key).alias("key"))
+    chosen = F.first(target) if target else F.lit(None).cast("string")
+    groups = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), (order if order is not None else rank).alias("place"), here.alias("row")))).alias("all"), chosen.alias("chosen"))
+    keys = F.transform("all", lambda x: x["row"]["key"])
+    groups = groups.withColumn("keys", keys)
+    groups = canonical_keys(groups).withColumn("survivor", F.coalesce("chosen", "canonical", F.col("all")[0]["row"]["key"]))
+    own = F.filter("all", lambda x: x["row"]["key"] == F.col("survivor"))[0]["row"]
+    placed = F.array_sort(F.transform("all", lambda x: F.struct(x["place"].alias("place"), x["row"].alias("row"))))
+    others = F.transform(F.filter(placed, lambda x: x["row"]["key"] != F.col("survivor")), lambda x: x["row"])
+    groups = groups.select("*", own.alias("own"), others.alias("others"))
+    records = F.transform(F.filter("others", lambda x: records_proceeding(x["notes"])), lambda x: F.struct(record_rank(x["notes"]).alias("r"), (-F.length(x["notes"])).alias("l"), x["key"].alias("k"), x["notes"].alias("n")))
+    notes = F.when(records_proceeding(F.col("own.notes")), F.col("own.notes")).otherwise(F.coalesce(F.array_min(records)["n"], F.col("own.notes")))
+    titles = F.transform("others", lambda x: F.struct(x["key"].alias("key"), x["title"].alias("title"), x["derived"].alias("derived")))
+    absorbed = F.transform("others", lambda x: x["key"])
+    said = F.concat(F.lit("Absorbed sibling key(s) "), F.array_join("absorbed", ", "), why)
+    out = groups.select(
+        *by, "survivor", F.array_distinct(F.concat(F.col("own.source_entry_ids"), F.flatten(F.transform("others", lambda x: x["source_entry_ids"])))).alias("source_entry_ids"),
+        notes.alias("notes"), best_title(titles, F.col("own.title"), F.col("own.derived")).alias("title"), F.col("own.audit_notes").alias("audit_notes"), absorbed.alias("absorbed"),
     )
+    return out.withColumn("audit_notes", F.when(F.size("absorbed") > 0, audit_line(F.col("audit_notes"), source, said)).otherwise(F.col("audit_notes")))
+
+
+def resolved_targets(plan: DataFrame) -> DataFrame:
+    """(case_id, key, target) with every target a key that stays: chains are followed by pointer jumping.
+
+    A key that is told to go to several takes the smallest.  Each round doubles
+    the steps; keys that lead each other in a circle go to the smallest of it.
+    """
+    links = plan.where("key <> target").groupBy("case_id", "key").agg(F.min("target").alias("target"))
+    links = written(links.withColumn("least", F.least("key", "target")), "targets")
+    rounds = max(1, links.groupBy("case_id").count().agg(F.max("count")).first()[0] or 1).bit_length()
+    for _ in range(rounds + 1):
+        ahead = links.select("case_id", F.col("key").alias("target"), F.col("target").alias("next"), F.col("least").alias("least_ahead"))
+        both = links.join(ahead.hint("merge"), ["case_id", "target"], "left")
+        if both.where("next IS NOT NULL").isEmpty():
+            return links.select("case_id", "key", "target")
+        links = written(both.select("case_id", "key", F.coalesce("next", "target").alias("target"), F.least("least", F.coalesce("least_ahead", "least")).alias("least")), "targets")
+    # What still leads on leads in a circle, all of which its target has seen.
+    circle = links.select("case_id", F.col("key").alias("target"), F.col("least").alias("smallest"))
+    both = links.join(circle.hint("merge"), ["case_id", "target"], "left").select("case_id", "key", F.coalesce("smallest", "target").alias("target"))
+    return both.where("key <> target")
+
+
+def merged_rows(rows: DataFrame, plan: DataFrame, key: str, source: str, reasons: DataFrame | None = None) -> DataFrame:
+    """``rows`` after a plan (case_id, key, target) of merges: survivors with what they absorbed, and the rows it does not touch.
+
+    A target without a row of its own leaves its keys alone.  ``rows`` has the
+    columns ``merged_clusters`` takes, and others, which are the survivors'
+    own; serves hearings and deadlines.  ``reasons(case_id, target, reason)``: what the audit line says.
+    """
+    plan = resolved_targets(plan).withColumnRenamed("key", key)
+    there = rows.select("case_id", F.col(key).alias("target"))
+    plan = written(plan.join(there.hint("merge"), ["case_id", "target"], "left_semi"), "merges")
+    members = plan.unionByName(plan.select("case_id", F.col("target").alias(key), "target").distinct())
+    found = rows.join(members.hint("merge"), ["case_id", key])
+    if reasons is not None:
+        found = found.join(reasons.hint("merge"), ["case_id", "target"], "left")
+    found = found.withColumn("reason", F.coalesce("reason" if reasons is not None else F.lit(None), F.concat(F.lit("Duplicate of "), F.col("target"))))
+    new = merged_clusters(found, ["case_id", "target", "reason"], key, source, F.concat(F.lit(": "), F.col("reason")), target="target", order=F.struct("docket_id", key))
+    changed = ["source_entry_ids", "notes", "title", "audit_notes"]
+    new = new.select("case_id", F.col("survivor").alias(key), *[F.col(c).alias(f"new_{c}") for c in changed], F.lit(True).alias("merged"))
+    left = rows.join(plan.select("case_id", key).hint("merge"), ["case_id", key], "left_anti").join(new.hint("merge"), ["case_id", key], "left")
+    values = [F.when(F.col("merged"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in changed]
+    return left.select(*[c for c in rows.columns if c not in changed], *values)
 
 
 def canonical_keys(clusters: DataFrame) -> DataFrame:

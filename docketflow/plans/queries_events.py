@@ -162,30 +162,89 @@ def same_slot_clusters(h, d):
     return sweeps.same_slot(wide, d.withColumn("docket_number", F.col("court_id")), "held").select("case_id", "hearing_key", "docket_number", F.col("start_date").cast("string").alias("start_date"), "size")
 
 
-@query("hearings_v", "SELECT case_id, cast(start_date AS string) AS start_date, count(DISTINCT start_hour) AS starts, string_agg(hearing_key, ',' ORDER BY hearing_key) AS keys FROM hearings_v WHERE status = 'held' GROUP BY case_id, start_date HAVING count(DISTINCT start_hour) > 1")
-def near_slot_clusters(h):
-    return sweeps.near_slot(h, "held").select("case_id", F.col("start_date").cast("string").alias("start_date"), "starts", F.array_join("keys", ",").alias("keys"))
+# Nine cases a status and a logical docket a court, so that slots do meet; every seventh docket has no metadata.
+_WIDE = "SELECT h.hearing_key, h.docket_id, h.start_date, h.start_hour, 'c' || cast(h.docket_id % 9 AS string) AS case_id, CASE WHEN h.docket_id % 7 = 0 THEN '#docket-id=' || cast(h.docket_id AS string) ELSE d.court_id END AS slot FROM hearings_v h JOIN dockets_v d USING (docket_id) WHERE h.status = 'held'"
 
 
-_ONCE = "SELECT case_id, start_date, start_hour, CASE docket_id % 5 WHEN 0 THEN 'sentencing' WHEN 1 THEN 'arraignment' WHEN 2 THEN 'change-of-plea' WHEN 3 THEN 'plea' ELSE 'status-conference' END AS kind, 'n' || cast(docket_id % 9 AS string) AS person, docket_id FROM hearings_v WHERE status = 'held'"
+def _wide(h, d):
+    return h.withColumn("case_id", F.concat(F.lit("c"), (F.col("docket_id") % 9).cast("string"))), d.where("docket_id % 7 <> 0").withColumn("docket_number", F.col("court_id"))
 
 
-@query("hearings_v", f"SELECT case_id, kind || '|' || person AS base, count(*) AS size, string_agg(kind || '-' || person || '-' || cast(docket_id AS string), ',' ORDER BY kind || '-' || person || '-' || cast(docket_id AS string)) AS keys FROM ({_ONCE}) h WHERE kind <> 'status-conference' AND (case_id, start_date) NOT IN (SELECT (case_id, start_date) FROM ({_ONCE}) t GROUP BY case_id, start_date HAVING count(DISTINCT start_hour) > 1) GROUP BY case_id, kind, person HAVING count(*) > 1")
-def once_only_clusters(h):
+@query("hearings_v dockets_v", f"SELECT case_id, slot AS docket_number, cast(start_date AS string) AS start_date, count(DISTINCT start_hour) AS starts, string_agg(hearing_key, ',' ORDER BY hearing_key) AS keys FROM ({_WIDE}) w GROUP BY case_id, slot, start_date HAVING count(DISTINCT start_hour) > 1")
+def near_slot_clusters(h, d):
+    return sweeps.near_slot(*_wide(h, d), "held").select("case_id", "docket_number", F.col("start_date").cast("string").alias("start_date"), "starts", F.array_join("keys", ",").alias("keys"))
+
+
+@query("hearings_v dockets_v", f"SELECT case_id, hearing_key, cast(start_date AS string) AS start_date, size FROM (SELECT *, count(*) OVER (PARTITION BY case_id, slot, start_date, start_hour) AS size FROM ({_WIDE.replace("'held'", "'scheduled'")}) w WHERE start_date >= DATE '{TODAY}') x WHERE size > 1")
+def future_slot_clusters(h, d):
+    """Scheduled rows at one slot, from today on."""
+    return sweeps.same_slot(*_wide(h, d), "scheduled", TODAY).select("case_id", "hearing_key", F.col("start_date").cast("string").alias("start_date"), "size")
+
+
+_KIND = "CASE docket_id % 5 WHEN 0 THEN 'sentencing' WHEN 1 THEN 'arraignment' WHEN 2 THEN 'change-of-plea' WHEN 3 THEN 'plea' ELSE 'status-conference' END"
+_PERSON = f"{_KIND} || '-n' || cast(docket_id % 9 AS string)"
+_ONCE = f"SELECT *, {_KIND} AS kind, 'n' || cast(docket_id % 9 AS string) AS person, {_PERSON} || '-' || cast(docket_id AS string) AS key FROM ({_WIDE}) w"
+
+
+@query("hearings_v dockets_v", f"SELECT case_id, slot AS docket_number, kind || '|' || person AS base, count(*) AS size, string_agg(key, ',' ORDER BY key) AS keys FROM ({_ONCE}) h WHERE kind <> 'status-conference' AND (case_id, slot, start_date) NOT IN (SELECT (case_id, slot, start_date) FROM ({_ONCE}) t GROUP BY case_id, slot, start_date HAVING count(DISTINCT start_hour) > 1) GROUP BY case_id, slot, kind, person HAVING count(*) > 1")
+def once_only_clusters(h, d):
     """Second tier of near-slot clusters, over keys of five kinds and nine persons, each ended by its docket."""
-    kinds = F.array(*[F.lit(k) for k in ("sentencing", "arraignment", "change-of-plea", "plea", "status-conference")])
-    key = F.concat_ws("-", kinds[(F.col("docket_id") % 5).cast("int")], F.concat(F.lit("n"), (F.col("docket_id") % 9).cast("string")), F.col("docket_id").cast("string"))
-    keyed = h.withColumn("hearing_key", key)
-    return sweeps.once_only_clusters(keyed, sweeps.near_slot(keyed, "held")).select("case_id", "base", "size", F.array_join("keys", ",").alias("keys"))
+    rows, dockets = _wide(h.withColumn("hearing_key", F.expr(f"{_PERSON} || '-' || cast(docket_id AS string)")), d)
+    found = sweeps.once_only_clusters(rows, dockets, sweeps.near_slot(rows, dockets, "held"))
+    return found.select("case_id", "docket_number", "base", "size", F.array_join("keys", ",").alias("keys"))
+
+
+# Rows in groups of eight dockets, a group a case; three keys of a group differ in their number alone.
+_GROUP_ROWS = [
+    "'c' || cast(cast(floor(docket_id / 8) AS bigint) AS string) AS case_id", "docket_id", "docket_id % 8 AS pos", "status", "start_date AS last_updated",
+    "'sentencing-n' || cast(cast(floor(docket_id % 8 / 3) AS bigint) AS string) || CASE docket_id % 8 % 3 WHEN 1 THEN '-2' WHEN 2 THEN '-3' ELSE '' END AS key",
+    "CASE docket_id % 4 WHEN 0 THEN 'MINUTE ENTRY held before the judge ' || cast(docket_id % 7 AS string) WHEN 1 THEN 'TRANSCRIPT of proceedings held on some day of that month' WHEN 2 THEN 'Notice of zoom access, and more text than any of the others have' END AS notes",
+    "CASE WHEN docket_id % 3 = 0 THEN 'Sentencing N' ELSE 'Hearing ' || cast(docket_id % 50 AS string) END AS title", "docket_id % 3 = 0 AS derived", "CASE WHEN docket_id % 11 = 0 THEN '[verify-pass] seen' END AS audit_notes",
+]
+_GROUPED = f"SELECT {', '.join(_GROUP_ROWS)}, range(docket_id, docket_id + docket_id % 3 + 1) AS src FROM hearings_v"
+_RECORDS = _RECORD.format("notes")
+_MERGED = (
+    "array_to_string(list_sort(list_distinct(flatten(list(src)))), ',') AS sources, "
+    f"CASE WHEN bool_or(own AND coalesce({_RECORDS}, false)) THEN max(CASE WHEN own THEN notes END) ELSE coalesce(arg_min(notes, (CASE WHEN starts_with(notes, 'TRANSCRIPT') THEN 1 ELSE 0 END, -length(notes), key)) FILTER (NOT own AND {_RECORDS}), max(CASE WHEN own THEN notes END)) END AS notes, "
+    "CASE WHEN bool_or(own AND derived) THEN coalesce(arg_min(title, (-length(title), key)) FILTER (NOT own AND NOT derived), max(CASE WHEN own THEN title END)) ELSE max(CASE WHEN own THEN title END) END AS title, "
+)
+
+
+def _groups(h):
+    return h.selectExpr(*_GROUP_ROWS, "sequence(docket_id, docket_id + docket_id % 3) AS source_entry_ids")
 
 
-@query("hearings_v", "SELECT case_id, title, hearing_key AS survivor, size FROM (SELECT *, row_number() OVER (PARTITION BY case_id, title ORDER BY regexp_matches(hearing_key, '-[0-9]+-[0-9]+$'), start_date, hearing_key) AS r, count(*) OVER (PARTITION BY case_id, title) AS size FROM hearings_v WHERE status = 'held') x WHERE r = 1")
+def _sources_text():
+    return F.array_join(F.array_sort("source_entry_ids").cast("array<string>"), ",").alias("sources")
+
+
+@query(
+    "hearings_v",
+    f"SELECT case_id, max(CASE WHEN own THEN key END) AS survivor, {_MERGED} CASE WHEN count(*) > 1 THEN concat_ws(chr(10) || chr(10), max(CASE WHEN own THEN audit_notes END), '[dedupe-held] Absorbed sibling key(s) ' || string_agg(key, ', ' ORDER BY r) FILTER (NOT own) || ' at same UTC slot ' || case_id) ELSE max(audit_notes) END AS audit_notes FROM "
+    f"(SELECT *, r = 1 AS own FROM (SELECT m.*, row_number() OVER (PARTITION BY m.case_id ORDER BY CASE WHEN key = canon THEN 0 ELSE 1 END, -len(src), last_updated, key) AS r FROM ({_GROUPED} WHERE status = 'held') m LEFT JOIN "
+    f"(SELECT b.case_id, arg_min(b.key, (length(b.key), b.key)) AS canon FROM ({_GROUPED} WHERE status = 'held') b JOIN ({_GROUPED} WHERE status = 'held') o ON o.case_id = b.case_id AND o.key <> b.key AND regexp_replace(o.key, '-[0-9]+$', '') = b.key GROUP BY b.case_id) c USING (case_id)) x) y GROUP BY case_id",
+)
 def held_survivor(h):
-    """Held rows of one title merged: the survivor by suffix, lineage, age and key."""
-    key = F.regexp_replace("hearing_key", "^h-([0-9]+)", "h$1")
-    rows = h.where("status = 'held'").select("case_id", "title", key.alias("key"), F.array("docket_id").alias("source_entry_ids"), F.col("start_date").alias("last_updated"), "notes")
-    out = sweeps.merged_clusters(rows, ["case_id", "title"], "key", "dedupe")
-    return out.select("case_id", "title", F.regexp_replace("survivor", "^h", "h-").alias("survivor"), "size")
+    """Held rows of one slot (here a group of dockets) merged: survivor, lineage, notes, title and audit line."""
+    out = sweeps.merged_clusters(_groups(h).where("status = 'held'"), ["case_id"], "key", "dedupe-held", F.concat(F.lit(" at same UTC slot "), F.col("case_id")))
+    return out.select("case_id", "survivor", _sources_text(), "notes", "title", "audit_notes")
+
+
+_TARGETS = "SELECT *, CASE pos WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 5 THEN 4 ELSE pos END AS root FROM"
+
+
+@query(
+    "hearings_v",
+    f"SELECT case_id, home AS key, max(CASE WHEN own THEN docket_id END) AS docket_id, {_MERGED} CASE WHEN count(*) > 1 THEN concat_ws(chr(10) || chr(10), max(CASE WHEN own THEN audit_notes END), '[dedupe] Absorbed sibling key(s) ' || string_agg(key, ', ' ORDER BY docket_id) FILTER (NOT own) || ': Duplicate of ' || home) ELSE max(audit_notes) END AS audit_notes FROM "
+    f"(SELECT t.*, coalesce(x.key, t.key) AS home, t.key = coalesce(x.key, t.key) AS own FROM ({_TARGETS} ({_GROUPED}) a) t LEFT JOIN ({_GROUPED}) x ON x.case_id = t.case_id AND x.pos = t.root) y GROUP BY case_id, home",
+)
+def merged_hearings(h):
+    """All rows after the verdicts of a near-slot sweep: a chain of two, two keys that name each other, a key that is not there."""
+    rows = _groups(h)
+    n = lambda i: f"'sentencing-n{i // 3}{('', '-2', '-3')[i % 3]}'"
+    links = ", ".join(f"struct({n(a)} AS key, {n(b)} AS target)" for a, b in ((1, 0), (2, 1), (4, 5), (5, 4))) + f", struct({n(7)} AS key, 'gone' AS target)"
+    plan = rows.select("case_id").distinct().select("case_id", F.expr(f"inline(array({links}))"))
+    return sweeps.merged_rows(rows, plan, "key", "dedupe").select("case_id", "key", "docket_id", _sources_text(), "notes", "title", "audit_notes")
 
 
 @query("actions_v", "SELECT a.case_id, arg_min(b, (length(b), b)) AS canonical FROM (SELECT DISTINCT case_id, hearing_key FROM actions_v) a JOIN (SELECT DISTINCT case_id, regexp_replace(hearing_key, '-2$', '') AS b FROM actions_v WHERE hearing_key LIKE 'h-%-2') c ON a.case_id = c.case_id AND a.hearing_key = c.b GROUP BY a.case_id")

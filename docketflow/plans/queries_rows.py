@@ -256,4 +256,4 @@ def best_titles(h):
     """The title a merged case row would take: its own only spells a key, all others are explicit."""
     one = F.struct(F.col("hearing_key").alias("key"), "title", F.lit(False).alias("derived"))
     rows = h.groupBy("case_id").agg(F.collect_list(one).alias("t"))
-    return rows.select("case_id", state.best_title(F.col("t"), F.lit("Sentencing 2"), F.lit(True)).alias("title"))
+    return rows.select("case_id", T.best_title(F.col("t"), F.lit("Sentencing 2"), F.lit(True)).alias("title"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from docketflow.functions import text as T
 from docketflow.operators import folds
+from docketflow.operators.tables import new_folder
 from docketflow.plans import queries_events as events_sql
 from docketflow.plans.queries_ingest import _hit
 from docketflow.sources.adapter import VIEWS, view, with_views
@@ -20,12 +18,7 @@ _LAST = "SELECT case_id, hearing_key, arg_max(CASE type WHEN 'CANCEL_HEARING' TH
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def stream_status(spark: SparkSession, sf_dir: str):

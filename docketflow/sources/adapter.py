@@ -25,6 +25,9 @@ _PHRASES = [
     "Paperless ORDER adopting report and recommendation on change of plea; see 2",
     "Notice of appearance via zoom",
     "2 SUPERSEDING INDICTMENT as to defendant",
+    "ORDER (Sealed) granting in part Motion to Seal as to all defendants",
+    "ORDER granting 7 Motion to Unseal Case",
+    "Sealed order. The court is granting leave to seal",
 ]
 _DESCRIPTION = f"CASE l_partkey % {len(_PHRASES)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END"
 

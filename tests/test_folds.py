@@ -101,6 +101,12 @@ def test_proceedings_held_once(spark):
     keys = ["sentencing-wang", " Sentencing-Wang-2", "plea", "plea--x-3", "plea-2", "change-of-plea-y", "sentencings-a", "status-conference-2", "", None]
     out = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(once_only(F.col("k"))).collect()]
     assert out == ["sentencing|wang", "sentencing|wang", "plea|(unnamed)", "plea|x", "plea|2", "change-of-plea|y", None, None, None, None]
-    rows = [("c", "plea-a", D(2024, 1, 5), 9, "held"), ("c", "plea-a-2", D(2024, 1, 6), 9, "held"), ("c", "plea-a-3", D(2024, 1, 6), 10, "held"), ("c", "plea-a-4", D(2024, 1, 7), 9, "scheduled"), ("c", "plea-a-5", D(2024, 1, 8), 9, "held"), ("d", "plea-a", D(2024, 1, 5), 9, "held")]
-    h = spark.createDataFrame(rows, "case_id string, hearing_key string, start_date date, start_hour int, status string")
-    assert [(r.case_id, r["keys"]) for r in sweeps.once_only_clusters(h, sweeps.near_slot(h, "held")).collect()] == [("c", ["plea-a", "plea-a-5"])]
+    rows = [("c", k, d, hour, status, docket) for k, d, hour, status, docket in (
+        ("plea-a", D(2024, 1, 5), 9, "held", 1), ("plea-a-2", D(2024, 1, 6), 9, "held", 1), ("plea-a-3", D(2024, 1, 6), 10, "held", 2), ("plea-a-4", D(2024, 1, 7), 9, "scheduled", 1),
+        ("plea-a-5", D(2024, 1, 8), 9, "held", 2), ("plea-a-6", D(2024, 1, 9), 9, "held", 3), ("plea-a-7", D(2024, 1, 9), 10, "held", 4), ("plea-a-8", D(2024, 1, 9), 10, "held", None),
+    )] + [("d", "plea-a", D(2024, 1, 5), 9, "held", 1)]
+    h = spark.createDataFrame(rows, "case_id string, hearing_key string, start_date date, start_hour int, status string, docket_id long")
+    d = spark.createDataFrame([(1, "n", "mad"), (2, "n", "mad"), (3, "n", "cand"), (4, "n", None)], "docket_id long, docket_number string, court_id string")
+    near = sweeps.near_slot(h, d, "held")
+    assert [r["keys"] for r in near.collect()] == [["plea-a-2", "plea-a-3"]]  # one day, two courts: no cluster
+    assert [(r.case_id, r["keys"]) for r in sweeps.once_only_clusters(h, d, near).collect()] == [("c", ["plea-a", "plea-a-5"])]
