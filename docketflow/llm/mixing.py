@@ -85,8 +85,8 @@ def with_source(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(other) if few else other.hint("merge"), ["_key", "_null"], "left").drop("_key", "_null")
 
 
-def mix(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float = 2.0, seed: int = 1) -> DataFrame:
-    """``docs(doc_id, source, size)`` as (doc_id, source, size, source_size, target, copies, taken).
+def mix(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float = 2.0, seed: int = 1, also: tuple[str, ...] = ()) -> DataFrame:
+    """``docs(doc_id, source, size)`` as (doc_id, source, size, source_size, target, copies, taken), and the columns ``also``.
 
     ``taken`` counts words, repeats included.  The order inside a source is cut
     by slices of the rank: the sums of SLICES slices a source are added up, and
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float =
     never in one task.
     """
     lean = F.least(F.greatest(F.floor(F.log2(F.lit(1.0) + F.col("size"))), F.lit(LEAN_LOW)), F.lit(LEAN_HIGH)).cast("double")
-    docs = written(docs.select("doc_id", "source", "size", lean.alias("lean")), "sized")
+    docs = written(docs.select("doc_id", "source", "size", *also, lean.alias("lean")), "sized")
     strata = written(docs.groupBy("source", "lean").agg(F.sum("size").alias("words")), "strata")
     targets = source_targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     rates = written(copy_rates(strata, targets, cap), "rates")
@@ -119,13 +119,13 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.0, cap: float =
 
     rated = with_source(rated, cuts)
     inside = rated.where("slice = cut")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", *also).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(order), F.lit(0))
     inside = inside.withColumn("more", (before + F.col("size") / 2 <= F.col("left")).cast("long"))
     outside = rated.where("NOT (slice <=> cut) OR slice IS NULL").withColumn("more", F.coalesce((F.col("slice") < F.col("cut")).cast("long"), F.lit(0)))
     copies = F.when(F.col("size") > 0, F.col("certain") + F.col("more")).otherwise(F.lit(0))
     return inside.union(outside).withColumn("copies", copies).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", *also, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 

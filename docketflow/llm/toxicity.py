@@ -4,7 +4,7 @@ Features are the distinct hashed n-grams of the UTF-8 bytes of a text (A-Z
 folded).  Each is scaled by the log ratio of its smoothed share of toxic and
 of other training texts; a logistic regression over the scaled features gives
 the weights.  Fitting takes at most ``PER_CLASS`` labelled rows of each label
-(those with the smallest hashes of their ids); scoring reads all whole texts.
+(those with the smallest hashes of their ids, and of these of their texts); scoring reads all whole texts.
 
 Defined cases: null and empty texts have no features and get the score of the
 intercept; rows whose label or text is null do not train; without training
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketflow.llm.shared import bucket_of, buffers, chunks, table
@@ -116,15 +116,19 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float] | None:
     """The classifier of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; None without both labels.
 
-    Its intercept is moved from the labels' odds in the rows it is fitted on to their odds in all of ``labels``.
+    Its intercept is moved from the labels' odds in the rows it is fitted on to their odds in all labelled rows with a text.
     """
-    labels = labels.where("doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = [labels.where(F.col("toxic") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * per_class rows
+    labels = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    chosen = [labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    texts = docs.where("text IS NOT NULL")
+    rows = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # at most 2 * per_class ids
+    # An id may stand for many rows: the bound is one on rows.
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
+    rows = rows.select("doc_id", "text", "toxic").withColumn("i", place).where(F.col("i") <= per_class)
     found = rows.select("text", "toxic").repartition(1).mapInArrow(_train, "weight binary, intercept double").collect()
     if not found:
         return None
-    of = {r["toxic"]: r["n"] for r in labels.where("toxic IN (0, 1)").groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    of = {r["toxic"]: r["n"] for r in texts.select("doc_id").join(labels.hint("merge"), "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     shift = np.log(of[1] / min(of[1], per_class)) - np.log(of[0] / min(of[0], per_class))
     return np.frombuffer(found[0]["weight"], np.float32), found[0]["intercept"] + float(shift)
 

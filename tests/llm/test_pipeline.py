@@ -75,13 +75,19 @@ def test_drop_repeated_passages(spark, docs, folder):
 
 
 def test_mix_sources(spark, docs, folder):
-    """Each row as often as the operator says, never more than twice; documents without words go."""
-    rows = docs.where("doc_id IN (1, 4, 5, 6, 7, 8, 9, 20, 31) OR doc_id IS NULL").dropDuplicates(["doc_id"])
+    """Each row as often as the operator says, never more than twice; documents without words go, whatever rows share their id."""
+    rows = docs.where("doc_id IN (1, 4, 5, 6, 7, 8, 9, 20, 31) OR doc_id IS NULL")
+    more = [(500, words("x", 10), "en", "s1", 1), (500, "", "en", "s1", 0), (501, words("y", 90), "en", "s1", 1), (501, None, "en", "s2", 0), (501, words("z", 90), "en", "s2", 1), (502, words("v", 9), "fr", None, 2), (502, words("v", 9), "fr", None, 2)]
+    rows = rows.unionByName(spark.createDataFrame(more, rows.select(*pipeline.COLUMNS).schema), allowMissingColumns=True)
     out = pipeline.mix_sources(spark, rows, folder)
-    sizes = rows.select("doc_id", "source", mixing.n_words(rows.text).alias("size"))
-    want = {r.doc_id: r.copies for r in mixing.mix(sizes, [5, 2, 1], 1.5, 2.0).collect() if r.copies}
-    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert out.columns == pipeline.COLUMNS and got == want and max(want.values()) <= 2 and not {6, 7} & set(want)
+    sizes = rows.select("doc_id", "source", "text", mixing.n_words(rows.text).alias("size"))
+    want, got = {}, {}
+    for r in mixing.mix(sizes, [5, 2, 1], 1.5, 2.0, also=("text",)).collect():
+        want[r.doc_id, r.source, r.text] = want.get((r.doc_id, r.source, r.text), 0) + int(r.copies)
+    for r in out.collect():
+        got[r.doc_id, r.source, r.text] = got.get((r.doc_id, r.source, r.text), 0) + 1
+    assert out.columns == pipeline.COLUMNS and got == {k: n for k, n in want.items() if n}
+    assert all(k[2] and k[2].strip() for k in got) and max(got.values()) <= 4  # two rows in full share a key
     assert pipeline.mix_sources(spark, none(docs), folder).count() == 0
 
 
