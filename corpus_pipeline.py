@@ -61,11 +61,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn, no document more than twice."""
-    docs = docs.select(*COLUMNS)
-    mixed = mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), [5, 2, 1], share=1.5, cap=2.0)
-    taken = written(mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")), "taken")
-    taken = taken.withColumnRenamed("doc_id", "id")
-    rows = docs.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))
+    docs = numbered(docs.select(*COLUMNS))
+    mixed = mix(docs.select("doc_id", "doc", "source", n_words(F.col("text")).alias("size")), [5, 2, 1], share=1.5, cap=2.0, also=("doc",))
+    taken = written(mixed.where("copies > 0").select("doc", F.col("copies").cast("int").alias("copies")), "taken")
+    rows = docs.join(taken.hint("merge"), "doc")
     return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
