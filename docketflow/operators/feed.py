@@ -48,6 +48,30 @@ def push_plan(wanted: DataFrame, published: DataFrame) -> DataFrame:
     return both.select("id", op.alias("op")).where("op <> 'none'")
 
 
+def recovered_plan(wanted: DataFrame, published: DataFrame) -> DataFrame:
+    """(id, push_id, op) for rows ``wanted(case_id, event_key, title, start_date, status, push_id)`` against ``published(push_id, correlation, title, start_date)``.
+
+    A row is matched by the id it knows, if that is still there, else by its
+    correlation key; each published row is taken once (known ids first, then the smallest
+    event key), and of several with one correlation key the smallest push_id.
+    Live rows are patched (or kept, when nothing differs) where one is matched and inserted otherwise, cancelled rows take
+    theirs back.  What no row takes is a duplicate if a wanted row has its correlation key, else an orphan; both are left alone and told.
+    """
+    w = wanted.select("*", event_id(F.col("case_id"), F.col("event_key")).alias("id"))
+    ids = published.select("push_id").distinct()
+    known = w.where("push_id IS NOT NULL").join(ids.hint("merge"), "push_id", "left_semi").groupBy("push_id").agg(F.min("id").alias("id"))
+    free = published.where("correlation IS NOT NULL").join(known.hint("merge"), "push_id", "left_anti").groupBy(F.col("correlation").alias("id")).agg(F.min("push_id").alias("push_id"))
+    later = w.select("id").distinct().join(known.select("id").hint("merge"), "id", "left_anti").join(free.hint("merge"), "id")
+    matched = known.select("id", "push_id").unionByName(later.select("id", "push_id"))
+    have = published.select("push_id", F.struct("title", "start_date").alias("have"))
+    both = w.drop("push_id").join(matched.hint("merge"), "id", "left").join(have.hint("merge"), "push_id", "left")
+    live, there = F.col("status") != "cancelled", F.col("push_id").isNotNull()
+    op = F.when(live & ~there, "insert").when(live & (F.struct("title", "start_date") == F.col("have")), "keep").when(live, "patch").when(there, "cancel")
+    told = published.join(matched.select("push_id").hint("merge"), "push_id", "left_anti").join(w.select(F.col("id").alias("correlation"), F.lit(True).alias("ours")).distinct().hint("merge"), "correlation", "left")
+    told = told.select(F.col("correlation").alias("id"), "push_id", F.when(F.col("ours"), "duplicate").otherwise("orphan").alias("op"))
+    return both.select("id", "push_id", op.alias("op")).where("op IS NOT NULL").unionByName(told)
+
+
 def folded(line: Column, octets: int = 75) -> Column:
     """A line in pieces of at most ``octets`` bytes of UTF-8, whole characters, each later piece after a space."""
     first = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketflow.operators.tables import written
+
 ANSWER = "struct<actions:array<struct<type:string,hearing_key:string,local_date:string,reason:string>>>"
 
 
@@ -38,6 +40,44 @@ def verification_prompts(rows: DataFrame, shown: DataFrame, entries: DataFrame,
     return rows.join(lines, key, "left").select(*key, F.concat_ws("\n", F.lit("TO VERIFY"), head, F.lit("RECENT ENTRIES"), body).alias("prompt"))
 
 
+def budgeted(documents: DataFrame, by: list[str], order: list[str], most: Column, total: Column) -> DataFrame:
+    """``documents(.., text)`` with the part of each text that is shown (``shown``): at most ``most`` characters of one, and ``total`` of a group in order.
+
+    The one at the edge is cut, those after it show nothing; ``left_out`` counts what is missing.
+    """
+    n = F.least(F.length(F.coalesce("text", F.lit(""))), most)
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = F.greatest(F.lit(0), F.least(n, total - before)).cast("int")
+    rows = documents.withColumn("n_shown", size)
+    return rows.withColumn("shown", F.left(F.coalesce("text", F.lit("")), F.col("n_shown"))).withColumn("left_out", F.length(F.coalesce("text", F.lit(""))) - F.col("n_shown")).drop("n_shown")
+
+
+#: Sections of a summary's prompt: characters of one document, and of all.
+SECTIONS = {"primary": (60_000, 120_000), "disposition": (40_000, 120_000), "extra": (40_000, 80_000)}
+
+
+def summary_prompts(dockets: DataFrame, documents: DataFrame, events: DataFrame, advisories: DataFrame, today: str, sections: dict[str, tuple[int, int]] = SECTIONS) -> DataFrame:
+    """(docket_id, prompt): what a summary is written from.
+
+    ``dockets(docket_id, docket_number, court)``, ``documents(docket_id, section,
+    place, name, text)``, ``events(docket_id, line)``, ``advisories(docket_id, line)``.
+    Documents stand in the order of their section and place, with a reference of their own each
+    ([D1], ..), within the section's budgets; a text that is cut says how much is left out.
+    """
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in sections.items() for x in (k, v[i])]), F.col("section"))
+    place = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section"))
+    docs = budgeted(documents.where(F.col("section").isin(*sections)), ["docket_id", "section"], ["place", "name"], pick(0), pick(1))
+    numbered = docs.withColumn("ref", F.row_number().over(Window.partitionBy("docket_id").orderBy(place, "place", "name")))
+    cut = F.when(F.col("left_out") > 0, F.concat(F.lit(" [.. "), F.col("left_out").cast("string"), F.lit(" characters left out]"))).otherwise("")
+    block = F.concat(F.lit("--- [D"), F.col("ref").cast("string"), F.lit("] "), F.col("section"), F.lit(": "), F.col("name"), F.lit("\n"), F.col("shown"), cut)
+    shown = numbered.select("docket_id", "ref", block.alias("block")).groupBy("docket_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", "block"))), lambda x: x["block"]), "\n").alias("documents"))
+    lines = lambda rows, name: rows.groupBy("docket_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias(name))
+    rows = dockets.join(shown.hint("merge"), "docket_id", "left").join(lines(events, "events").hint("merge"), "docket_id", "left").join(lines(advisories, "advisories").hint("merge"), "docket_id", "left")
+    none = F.lit("(none)")
+    head = F.concat(F.lit(f"TODAY {today}\nDOCKET "), F.coalesce("docket_number", none), F.lit(" in "), F.coalesce("court", none))
+    return rows.select("docket_id", F.concat_ws("\n", head, F.col("advisories"), F.lit("EVENTS"), F.coalesce("events", none), F.lit("DOCUMENTS"), F.coalesce("documents", none), F.lit("Write two to four sentences.")).alias("prompt"))
+
+
 def infer(rows: DataFrame, cache: DataFrame, scorer: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """(id, key, response, cached) of ``rows(id, key, prompt)``: cached responses, and the scorer's for one row of each missing key.
 
@@ -49,9 +89,10 @@ def infer(rows: DataFrame, cache: DataFrame, scorer: Callable[[pd.Series], pd.Se
             yield pd.DataFrame({"key": f["key"], "response": scorer(f["prompt"])})
 
     missing = rows.join(cache.select("key"), "key", "left_anti").groupBy("key").agg(F.min("prompt").alias("prompt"))
-    fresh = missing.mapInPandas(run, "key string, response string").withColumn("cached", F.lit(False))
+    # Written, so that no lost executor or second reader pays for the calls again.
+    fresh = written(missing.mapInPandas(run, "key string, response string"), "responses").withColumn("cached", F.lit(False))
     known = cache.select("key", "response", F.lit(True).alias("cached"))
-    return rows.select("id", "key").join(known.unionByName(fresh), "key")
+    return rows.select("id", "key").join(known.unionByName(fresh).hint("merge"), "key")
 
 
 def parsed_actions(rows: DataFrame) -> DataFrame:

@@ -11,11 +11,11 @@ from docketflow.operators.tables import written
 
 def logical(rows: DataFrame, dockets: DataFrame) -> DataFrame:
     """``rows`` that have a docket, with (docket_number, court_id) of the logical docket; one without metadata is its own."""
-    known = dockets.select("docket_id", F.col("docket_number").alias("n"), F.col("court_id").alias("c"))
+    known = dockets.select("docket_id", F.col("docket_number").alias("_number"), F.col("court_id").alias("_court"))
     both = rows.where("docket_id IS NOT NULL").drop("docket_number", "court_id").join(known, "docket_id", "left")
-    named = F.coalesce((F.col("n") != "") & (F.col("c") != ""), F.lit(False))
+    named = F.coalesce((F.col("_number") != "") & (F.col("_court") != ""), F.lit(False))
     own = F.concat(F.lit("#docket-id="), F.col("docket_id").cast("string"))
-    return both.select("*", F.when(named, F.col("n")).otherwise(own).alias("docket_number"), F.when(named, F.col("c")).otherwise(F.lit("")).alias("court_id")).drop("n", "c")
+    return both.select("*", F.when(named, F.col("_number")).otherwise(own).alias("docket_number"), F.when(named, F.col("_court")).otherwise(F.lit("")).alias("court_id")).drop("_number", "_court")
 
 
 def same_slot(hearings: DataFrame, dockets: DataFrame, status: str, earliest: str | None = None) -> DataFrame:
