@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketflow.functions import text as T
+
 from docketflow.functions.text import blank_to_null, is_deadline, is_disposition, is_hearing, is_primary, is_ruling, usable
 
 
@@ -80,3 +82,21 @@ def chosen(documents: DataFrame) -> DataFrame:
     order = F.array_sort(F.transform("d", lambda x: F.struct(x["at"], x["doc_id"], x["head"])))
     heads = F.array_join(F.transform(order, lambda x: x["head"]), "\n\n")
     return docs.select("entry_id", text.alias("text"), F.get(url, F.lit(0))["url"].alias("url"), heads.alias("all_text"))
+
+
+#: What an entry keeps of each of its documents.
+KEPT = ["id", "document_number", "attachment_number", "description", "is_available", "is_sealed", "filepath_ia", "filepath_local", "plain_text"]
+
+
+def compact_documents(documents: DataFrame) -> DataFrame:
+    """(entry_id, documents): the nine kept fields of each document, blank texts and paths as nulls, unknown flags as false.
+
+    In order of document and attachment number; one that is no number counts as 0, equal ones stand by id.
+    """
+    blank = lambda c: T.blank_to_null(F.coalesce(F.col(c), F.lit(""))).alias(c)
+    number = lambda c: F.coalesce(F.col(c).cast("string").try_cast("int"), F.lit(0))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    path = lambda c: F.nullif(c, F.lit("")).alias(c)
+    kept = F.struct("id", "document_number", "attachment_number", blank("description"), flag("is_available"), flag("is_sealed"), path("filepath_ia"), path("filepath_local"), blank("plain_text"))
+    rows = documents.select("entry_id", F.struct(number("document_number").alias("d"), number("attachment_number").alias("a"), F.col("id").alias("i"), kept.alias("kept")).alias("row"))
+    return rows.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["kept"]).alias("documents"))

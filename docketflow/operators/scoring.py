@@ -8,14 +8,25 @@ from pyspark.sql import functions as F
 CATEGORIES = ["h_scheduled", "h_rescheduled", "h_cancelled", "h_held", "d_set", "d_rescheduled", "d_cancelled", "d_met"]
 
 
+#: Columns of a price list.
+RATES = ("rate_in", "rate_cached", "rate_write", "rate_out")
+#: The end of a model's name that pins a snapshot of it.
+SNAPSHOT = r"(-\d{4}-\d{2}-\d{2}|-\d{3,8})$"
+#: Rows of a price list that are broadcast at most.
+MOST_RATES = 100_000
+
+
 def priced(calls: DataFrame, rates: DataFrame) -> DataFrame:
-    """Calls with a cost in micro-dollars: rates by exact model, else without its date suffix; local models cost 0, unknown ones null."""
-    rates = F.broadcast(rates)  # the price list, some dozens of rows
-    exact = calls.join(rates.select("model", *[F.col(c).alias(f"{c}_a") for c in ("rate_in", "rate_cached", "rate_out")]), "model", "left")
-    stem = F.regexp_replace("model", "-[0-9]{8}$", "")
-    both = exact.withColumn("stem", stem).join(rates.select(F.col("model").alias("stem"), *[F.col(c).alias(f"{c}_b") for c in ("rate_in", "rate_cached", "rate_out")]), "stem", "left")
-    rate = {c: F.coalesce(f"{c}_a", f"{c}_b") for c in ("rate_in", "rate_cached", "rate_out")}
-    cost = F.greatest(F.lit(0), F.col("tokens_in") - F.col("cached")) * rate["rate_in"] + F.col("cached") * rate["rate_cached"] + F.col("tokens_out") * rate["rate_out"]
+    """Calls with a cost in micro-dollars: rates by exact model, else without the end that pins a snapshot; local models cost 0, unknown ones null.
+
+    ``tokens_in`` counts what is read from the cache and written to it too; each part has a rate of its own.
+    """
+    few = rates.limit(MOST_RATES + 1).count() <= MOST_RATES
+    listed = lambda name, end: (lambda r: F.broadcast(r) if few else r.hint("merge"))(rates.select(F.col("model").alias(name), *[F.col(c).alias(c + end) for c in RATES]))
+    both = calls.withColumn("stem", F.regexp_replace("model", SNAPSHOT, "")).join(listed("model", "_a"), "model", "left").join(listed("stem", "_b"), "stem", "left")
+    rate = {c: F.coalesce(f"{c}_a", f"{c}_b") for c in RATES}
+    fresh = F.greatest(F.lit(0), F.col("tokens_in") - F.col("cached") - F.col("cache_write"))
+    cost = fresh * rate["rate_in"] + F.col("cached") * rate["rate_cached"] + F.col("cache_write") * rate["rate_write"] + F.col("tokens_out") * rate["rate_out"]
     return both.withColumn("cost", F.when(F.col("model").startswith("local:"), F.lit(0)).otherwise(cost)).drop("stem", *[f"{c}_{s}" for c in rate for s in "ab"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketflow.functions import render
 from docketflow.functions import text as T
 from docketflow.operators import folds
+from docketflow.operators.tables import written
 
 GROUP = ["docket_number", "court_id"]
 
@@ -123,6 +124,37 @@ def drifted_keys(rows: DataFrame, dockets: DataFrame, key: str, start: str) -> D
     return both.withColumn("action", action).where("action IS NOT NULL").select("case_id", key, "action", F.col("base").alias("new_key"))
 
 
+def healed_keys(rows: DataFrame, dockets: DataFrame, key: str, start: str, new_title) -> DataFrame:
+    """``rows`` with drifted keys repaired, as ``drifted_keys`` says.
+
+    A renamed row takes its base as key and, if its title only spelt the old one,
+    the title ``new_title(key, case_id)`` gives; its push id is dropped, as the event's id follows the key.  Of
+    several rows that claim one base the first key is renamed, the others stay.  A row that is folded goes: its base row adds
+    its sources, takes its record or explicit title where it has none itself, and notes its key; several are folded in order of their keys.
+
+    ``rows``: case_id, key, docket_id, start, source_entry_ids, notes, title, ``derived``, audit_notes, push_id and any others.  Serves hearings and deadlines.
+    """
+    plan = written(drifted_keys(rows, dockets, key, start), "drift")
+    renames = plan.where("action = 'rename'").groupBy("case_id", "new_key").agg(F.min(key).alias(key))
+    folds_in = plan.where("action = 'delete'").select("case_id", key, "new_key")
+    taken = F.struct(F.col(key).alias("key"), "source_entry_ids", "notes", "title", "derived")
+    joined = rows.join(folds_in.hint("merge"), ["case_id", key]).groupBy("case_id", F.col("new_key").alias(key)).agg(F.array_sort(F.collect_list(taken)).alias("others"))
+    left = rows.join(folds_in.select("case_id", key).hint("merge"), ["case_id", key], "left_anti").join(joined.hint("merge"), ["case_id", key], "left").join(renames.hint("merge"), ["case_id", key], "left")
+    others = F.coalesce("others", F.array().cast(joined.schema["others"].dataType))
+    record = F.get(F.filter(others, lambda x: T.records_proceeding(x["notes"])), F.lit(0))["notes"]
+    titled = F.get(F.filter(others, lambda x: ~x["derived"]), F.lit(0))["title"]
+    slot = F.concat(F.lit(" at same UTC slot "), F.coalesce(F.col(start).cast("string"), F.lit("None")))
+    line = lambda old, x: T.audit_line(old, "heal-drift", F.concat(F.lit("Absorbed drift sibling key "), x["key"], slot))
+    renamed = F.col("new_key").isNotNull()
+    new = {
+        key: F.coalesce("new_key", key), "source_entry_ids": F.array_distinct(F.concat("source_entry_ids", F.flatten(F.transform(others, lambda x: x["source_entry_ids"])))),
+        "notes": F.when(T.records_proceeding(F.col("notes")), F.col("notes")).otherwise(F.coalesce(record, F.col("notes"))),
+        "title": F.when(renamed & F.col("derived"), new_title(F.col("new_key"), F.col("case_id"))).when(F.col("derived"), F.coalesce(titled, F.col("title"))).otherwise(F.col("title")),
+        "audit_notes": F.aggregate(others, F.col("audit_notes"), line), "push_id": F.when(~renamed, F.col("push_id")),
+    }
+    return left.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns])
+
+
 def usage(payload: Column, shape: Column) -> Column:
     """(input, output, cached, cache_write) of a provider's answer, by the shape of its usage object; what is no number is 0."""
     number = lambda path: F.coalesce(F.get_json_object(payload, path).try_cast("double").cast("bigint"), F.lit(0).cast("bigint"))

@@ -62,3 +62,11 @@ def healed_titles(rows: DataFrame) -> DataFrame:
     new = hearing_title(key, F.col("several"))
     derived = (title == key_title(key)) | (title == new) | (title == hearing_title(key, F.col("several"), False))
     return both.where(derived & (title != new)).select("case_id", "hearing_key", F.col("title").alias("old"), new.alias("new"))
+
+
+def healed_deadline_titles(rows: DataFrame) -> DataFrame:
+    """(case_id, deadline_key, old, new): deadlines whose title only spells their key, in an older form than the present one."""
+    key, title = F.col("deadline_key"), F.coalesce("title", F.lit(""))
+    new = deadline_title(key)
+    derived = (title == key_title(key)) | (title == new) | (title == deadline_title(key, False))
+    return rows.where(derived & (title != new)).select("case_id", "deadline_key", F.col("title").alias("old"), new.alias("new"))

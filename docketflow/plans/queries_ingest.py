@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from docketflow.functions import text as T
-from docketflow.operators import audit, context, guards, ingest, sweeps
+from docketflow.operators import audit, context, documents, guards, ingest, sweeps
 from docketflow.plans.register import Register
 
 query = Register()
@@ -101,10 +103,21 @@ def body_retention(e):
     return e.select("entry_id", F.when(keep, c).alias("kept"), ingest.fingerprint(c, F.col("short_description"), F.col("date_filed")).alias("fingerprint"))
 
 
-@query("docs_v", "SELECT entry_id, string_agg(cast(doc_id AS string), ',' ORDER BY attachment, doc_id) AS doc_ids, count_if(is_sealed) AS sealed FROM docs_v GROUP BY entry_id")
+_FIELDS = (
+    "doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'x' || cast(doc_id AS string) WHEN 1 THEN NULL ELSE cast(10 - attachment AS string) END AS document_number, CASE WHEN attachment > 0 THEN attachment END AS attachment_number, "
+    "CASE doc_id % 3 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || source || ' ' END AS description, CASE WHEN doc_id % 5 > 0 THEN is_available END AS is_available, is_sealed, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'ia/' || cast(doc_id AS string) END AS filepath_ia, "
+    "CASE WHEN doc_id % 7 = 0 THEN 'local' END AS filepath_local, plain_text"
+)
+_NAMED = "concat_ws('|', cast(id AS string), coalesce(document_number, '-'), coalesce(cast(attachment_number AS string), '-'), coalesce(nullif(trim(description), ''), '-'), cast(coalesce(is_available, false) AS string), cast(is_sealed AS string), coalesce(nullif(filepath_ia, ''), '-'), coalesce(filepath_local, '-'), cast(length(nullif(regexp_replace(plain_text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g'), '')) AS string))"
+
+
+@query("docs_v", f"SELECT entry_id, string_agg({_NAMED}, ';' ORDER BY coalesce(try_cast(document_number AS int), 0), coalesce(attachment_number, 0), id) AS documents FROM (SELECT entry_id, {_FIELDS} FROM docs_v) d GROUP BY entry_id")
 def nested_documents(d):
-    docs = F.array_sort(F.collect_list(F.struct("attachment", "doc_id", "is_sealed")))
-    return d.groupBy("entry_id").agg(docs.alias("docs")).select("entry_id", F.array_join(F.transform("docs", lambda x: x["doc_id"].cast("string")), ",").alias("doc_ids"), F.size(F.filter("docs", lambda x: x["is_sealed"])).cast("long").alias("sealed"))
+    """The nine kept fields of each entry's documents in order, some without a number that can be read."""
+    rows = documents.compact_documents(d.selectExpr("entry_id", *re.split(r", (?=(?:CASE|is_sealed|plain_text|doc_id))", _FIELDS)))
+    said = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    one = lambda x: F.concat_ws("|", *[said(x[c]) for c in documents.KEPT[:8]], F.length(x["plain_text"]).cast("string"))
+    return rows.select("entry_id", F.array_join(F.transform("documents", one), ";").alias("documents"))
 
 
 @query("docs_v", "SELECT doc_id, coalesce(length(plain_text) >= 100 AND length(regexp_replace(plain_text, '[^A-Za-z]', '', 'g')) >= 0.4 * length(regexp_replace(plain_text, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AND length(regexp_replace(regexp_replace(plain_text, '" + _RE["PAGE_STAMP"] + "', '', 'g'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) >= 100, false) AS usable, CASE WHEN is_sealed THEN 'sealed' WHEN NOT is_available THEN 'not available' WHEN plain_text = '' THEN 'unreadable' ELSE 'ok' END AS state FROM docs_v")

@@ -103,6 +103,32 @@ def drifted_deadline_keys(l, d):  # noqa: E741
     return state.drifted_keys(_keyed(l.withColumn("start", F.year("due_date")), _DEADLINE_BASE, "deadline_key"), d, "deadline_key", "start")
 
 
+_WHOLE = [
+    "docket_id AS n", "'[e' || cast(docket_id AS string) || ']' AS push_id", "CASE docket_id % 8 WHEN 1 THEN 'a notice' WHEN 2 THEN 'minute entry ' || cast(docket_id AS string) WHEN 3 THEN 'minutes of ' || cast(docket_id AS string) END AS notes",
+    "CASE WHEN docket_id % 3 = 0 THEN 'Own title ' || cast(docket_id AS string) ELSE 'spelt' END AS title", "docket_id % 3 > 0 AS derived",
+]
+_ROWS = f"(SELECT r.*, {', '.join('r.' + x if x.startswith('docket_id AS') else x for x in _WHOLE)}, 'c' || cast(cast(floor(docket_id / 4) AS bigint) % 50 AS string) AS case_id, {_HEARING_BASE} AS base, {_HEARING_BASE} || {_SUFFIX} AS key, {_AUDIT.format(_HEARING_BASE)} AS audit, d.docket_number, d.court_id FROM (SELECT docket_id, status, year(start_date) AS start FROM hearings_v) r LEFT JOIN (SELECT docket_id, docket_number, court_id FROM dockets_v) d USING (docket_id))"
+_ACTED = f"(SELECT e.*, CASE WHEN e.key = e.base THEN NULL WHEN b.key IS NULL AND e.docket_id % 4 > 1 THEN 'rename' WHEN b.key IS NOT NULL AND e.start = b.start AND e.docket_number = b.docket_number AND e.court_id = b.court_id THEN 'delete' END AS action FROM {_ROWS} e LEFT JOIN {_ROWS} b ON b.case_id = e.case_id AND b.key = e.base)"
+_IS_RECORD = "(notes LIKE 'minute%')"
+
+
+@query(
+    "hearings_v dockets_v",
+    f"SELECT case_id, home AS hearing_key, max(CASE WHEN own THEN docket_id END) AS docket_id, array_to_string(list_sort(list_distinct(flatten(list([docket_id, docket_id + 1])))), ',') AS sources, "
+    f"CASE WHEN bool_or(own AND coalesce({_IS_RECORD}, false)) THEN max(CASE WHEN own THEN notes END) ELSE coalesce(arg_min(notes, key) FILTER (NOT own AND {_IS_RECORD}), max(CASE WHEN own THEN notes END)) END AS notes, "
+    "CASE WHEN bool_or(own AND derived AND action = 'rename') THEN 'new ' || home WHEN bool_or(own AND derived) THEN coalesce(arg_min(title, key) FILTER (NOT own AND NOT derived), max(CASE WHEN own THEN title END)) ELSE max(CASE WHEN own THEN title END) END AS title, "
+    "nullif(concat_ws(chr(10) || chr(10), max(CASE WHEN own THEN audit END), string_agg('[heal-drift] Absorbed drift sibling key ' || key || ' at same UTC slot ' || cast(start AS string), chr(10) || chr(10) ORDER BY key) FILTER (NOT own)), '') AS audit_notes, "
+    "max(CASE WHEN own AND action IS DISTINCT FROM 'rename' THEN push_id END) AS push_id FROM "
+    f"(SELECT *, CASE WHEN action = 'delete' OR (action = 'rename' AND place = 1) THEN base ELSE key END AS home, action IS DISTINCT FROM 'delete' AS own FROM (SELECT * REPLACE (CASE WHEN action = 'rename' AND place > 1 THEN NULL ELSE action END AS action) FROM (SELECT *, row_number() OVER (PARTITION BY case_id, base, action ORDER BY key) AS place FROM {_ACTED} a) p) q) z GROUP BY case_id, home",
+)
+def healed_keys(h, d):
+    """Whole rows after the repair of drifted keys: renamed with a new title, or folded with sources, record, title and audit line."""
+    whole = h.withColumn("start", F.year("start_date")).selectExpr("docket_id", "status", "start", *_WHOLE)
+    keyed = whole.select("*", F.expr("'c' || cast(cast(floor(docket_id / 4) AS bigint) % 50 AS string)").alias("case_id"), F.expr(f"{_HEARING_BASE} || {_SUFFIX}").alias("hearing_key"), F.expr(_AUDIT.format(_HEARING_BASE)).alias("audit_notes"), F.array("docket_id", F.col("docket_id") + 1).alias("source_entry_ids"))
+    out = state.healed_keys(keyed, d, "hearing_key", "start", lambda key, case: F.concat(F.lit("new "), key))
+    return out.select("case_id", "hearing_key", "docket_id", F.array_join(F.array_sort("source_entry_ids").cast("array<string>"), ",").alias("sources"), "notes", "title", "audit_notes", "push_id")
+
+
 _DATED = "description || ' on ' || cast(month(date_filed) AS string) || '/' || cast(day(date_filed) AS string) || '/' || cast(year(date_filed) AS string)"
 
 

@@ -13,8 +13,8 @@ query = Register()
 QUERIES, ORACLE = query.queries, query.oracle
 
 _PRICED = (
-    "SELECT c.*, CASE WHEN c.model LIKE 'local:%' THEN 0 ELSE greatest(0, tokens_in - cached) * r.rate_in + cached * r.rate_cached + tokens_out * r.rate_out END AS cost "
-    "FROM calls_v c LEFT JOIN rates_v r ON r.model = regexp_replace(c.model, '-[0-9]{8}$', '')"
+    "SELECT c.*, CASE WHEN c.model LIKE 'local:%' THEN 0 ELSE greatest(0, tokens_in - cached - cache_write) * coalesce(x.rate_in, r.rate_in) + cached * coalesce(x.rate_cached, r.rate_cached) + cache_write * coalesce(x.rate_write, r.rate_write) + tokens_out * coalesce(x.rate_out, r.rate_out) END AS cost "
+    "FROM calls_v c LEFT JOIN rates_v x ON x.model = c.model LEFT JOIN rates_v r ON r.model = regexp_replace(c.model, '(-[0-9]{4}-[0-9]{2}-[0-9]{2}|-[0-9]{3,8})$', '')"
 )
 _ALL = " UNION ALL ".join(
     f"SELECT p.provider, t.entry_id, t.docket, '{c}' AS category, cast(t.{c} AS bigint) AS human, cast(coalesce(m.{c}, 0) AS bigint) AS found FROM truth_v t CROSS JOIN (SELECT DISTINCT provider FROM model_v) p LEFT JOIN model_v m ON m.provider = p.provider AND m.entry_id = t.entry_id"

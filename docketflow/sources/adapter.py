@@ -96,11 +96,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "calls_v": (
         ("conversations",),
         "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'extract' WHEN 'assistant' THEN 'summary' ELSE 'verify' END AS purpose, "
-        "CASE conv_id % 5 WHEN 0 THEN 'small-1' WHEN 1 THEN 'large-2' WHEN 2 THEN 'large-2-20250101' WHEN 3 THEN 'local:tiny' ELSE 'unlisted' END AS model, "
+        "CASE conv_id % 5 WHEN 0 THEN 'small-1' WHEN 1 THEN 'large-2' WHEN 2 THEN CASE turn % 3 WHEN 0 THEN 'large-2-2025-01-15' WHEN 1 THEN 'small-1-002' ELSE 'large-2-20250101' END WHEN 3 THEN 'local:tiny' ELSE 'unlisted' END AS model, "
         "cast(length(text) AS bigint) AS tokens_in, cast(floor(length(text) / 4) AS bigint) AS tokens_out, CASE WHEN turn % 2 = 0 THEN cast(floor(length(text) / 2) AS bigint) ELSE 0 END AS cached, CASE WHEN turn % 2 = 1 THEN cast(floor(length(text) / 8) AS bigint) ELSE 0 END AS cache_write, "
         "CASE WHEN conv_id % 9 = 0 THEN NULL ELSE 'd-' || cast(conv_id % 7 AS string) END AS docket FROM conversations",
     ),
-    "rates_v": ((), "SELECT 'small-1' AS model, 100 AS rate_in, 25 AS rate_cached, 400 AS rate_out UNION ALL SELECT 'large-2', 300, 75, 1500"),
+    "rates_v": ((), "SELECT 'small-1' AS model, 100 AS rate_in, 25 AS rate_cached, 0 AS rate_write, 400 AS rate_out UNION ALL SELECT 'large-2', 300, 75, 375, 1500"),
     "truth_v": (
         ("documents",),
         "SELECT doc_id AS entry_id, cast(floor(doc_id / 10) AS bigint) AS docket, doc_id % 3 AS h_scheduled, doc_id % 2 AS h_rescheduled, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS h_cancelled, doc_id % 4 AS h_held, "
