@@ -40,6 +40,49 @@ def verification_prompts(rows: DataFrame, shown: DataFrame, entries: DataFrame,
     return rows.join(lines, key, "left").select(*key, F.concat_ws("\n", F.lit("TO VERIFY"), head, F.lit("RECENT ENTRIES"), body).alias("prompt"))
 
 
+def _lines(rows: DataFrame, by: list[str], order: list[str], line: Column, name: str, between: str = "\n") -> DataFrame:
+    """The ``line`` of each row of a group, in order, as one text."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["line"]), between).alias(name))
+
+
+def extraction_prompts(entries: DataFrame, dockets: DataFrame, known: DataFrame, documents: DataFrame, related: DataFrame, most_document: int = 6000, most_related: int = 1500) -> DataFrame:
+    """(entry_id, prompt) of ``entries(entry_id, docket_id, entry_number, date_filed, text)``: what an extraction is asked.
+
+    ``dockets(docket_id, docket_number, court_id)`` group copies of one docket; all of a group
+    are shown under its smallest id.  ``known(docket_id, kind, key, status, title, at)`` has the rows of the group
+    that are there already, ``documents(entry_id, place, text)`` the entry's texts, each cut at ``most_document`` characters,
+    ``related(entry_id, ref_number, ref_text)`` the entries it refers to, each cut at ``most_related``; blank ones are left out.
+    """
+    group = Window.partitionBy("docket_number", "court_id")
+    own = dockets.select("docket_id", "docket_number", "court_id", F.min("docket_id").over(group).alias("canonical"))
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    none = F.lit("(none)")
+    row = F.concat_ws(" ", F.lit("-"), "kind", "key", said(F.col("status")), said(F.col("title")), F.lit("at"), said(F.col("at")), F.lit("docket"), said(F.col("canonical")))
+    rows = _lines(known.join(own.select("docket_id", "canonical").hint("merge"), "docket_id"), ["canonical"], ["kind", "key"], row, "rows")
+    texts = documents.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    texts = _lines(texts, ["entry_id"], ["place"], F.left("text", F.lit(most_document)), "texts", "\n---\n")
+    heads = related.where(F.trim(F.coalesce("ref_text", F.lit(""))) != "")
+    heads = _lines(heads, ["entry_id"], ["ref_number"], F.concat(F.lit("- ["), said(F.col("ref_number")), F.lit("] "), F.left(F.trim("ref_text"), F.lit(most_related))), "heads")
+    both = entries.join(own.hint("merge"), "docket_id", "left").withColumn("canonical", F.coalesce("canonical", "docket_id"))
+    both = both.join(rows.hint("merge"), "canonical", "left").join(texts.hint("merge"), "entry_id", "left").join(heads.hint("merge"), "entry_id", "left")
+    block = lambda title, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(title + "\n"), F.col(c)))
+    head = F.concat(F.lit("ENTRY "), said(F.col("entry_number")), F.lit(" of docket "), said(F.col("canonical")), F.lit(" filed "), said(F.col("date_filed")))
+    return both.select("entry_id", F.concat_ws("\n", F.lit("KNOWN ROWS"), F.coalesce("rows", none), head, F.coalesce("text", F.lit("")), block("ATTACHED TEXTS", "texts"), block("RELATED ENTRIES", "heads")).alias("prompt"))
+
+
+def dedupe_prompts(rows: DataFrame, by: list[str], fields: list[str], shown: DataFrame, entries: DataFrame, most: int = 1500) -> DataFrame:
+    """(by, prompt) of clusters of rows that may be one: each row's ``fields``, and the entries ``shown(by, entry_id)``, newest last."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    each = F.concat_ws("\n", F.lit("---"), *[F.concat(F.lit(f"{f}: "), said(f)) for f in fields])
+    text = F.left(F.trim(F.coalesce(F.nullif("description", F.lit("")), "short_description", F.lit(""))), F.lit(most))
+    found = shown.select(*by, "entry_id").distinct().hint("merge").join(entries.select("entry_id", "date_filed", "entry_number", text.alias("t")).hint("merge"), "entry_id")
+    line = F.concat(F.lit("- ["), said("entry_number"), F.lit("] filed "), said("date_filed"), F.lit(": "), F.col("t"))
+    cluster = _lines(rows, by, [fields[0]], each, "rows").join(rows.groupBy(*by).agg(F.count("*").alias("n")).hint("merge"), by)
+    both = cluster.join(_lines(found, by, ["date_filed", "entry_id"], line, "lines").hint("merge"), by, "left")
+    return both.select(*by, F.concat_ws("\n", F.concat(F.lit("CANDIDATES "), F.col("n").cast("string")), "rows", F.lit("RECENT ENTRIES"), F.coalesce("lines", F.lit("(none)"))).alias("prompt"))
+
+
 def budgeted(documents: DataFrame, by: list[str], order: list[str], most: Column, total: Column) -> DataFrame:
     """``documents(.., text)`` with the part of each text that is shown (``shown``): at most ``most`` characters of one, and ``total`` of a group in order.
 

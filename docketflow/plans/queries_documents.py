@@ -144,21 +144,21 @@ def scored_rows(t):
     return runs.scored(text)
 
 
-@query("entries_v dockets_v", "SELECT e.entry_id, 'north' AS provider, e.docket_id, entry_number, cast(date_filed AS string) AS date_filed, case_id, docket_number, court_id, e.entry_id % 3 AS h_scheduled FROM entries_v e LEFT JOIN (SELECT * FROM dockets_v WHERE docket_id % 6 <> 0) d ON d.docket_id = e.docket_id WHERE e.entry_id % 4 = 1")
+@query("entries_v dockets_v", "SELECT e.entry_id, 'north' AS provider, e.docket_id, entry_number, cast(date_filed AS string) AS date_filed, case_id, docket_number, court_id, e.entry_id % 3 AS h_scheduled FROM entries_v e LEFT JOIN dockets_v d ON d.docket_id = e.docket_id")
 def entry_action_rows(e, d):
-    counts = e.where("entry_id % 4 = 1").select(F.lit("north").alias("provider"), "entry_id", (F.col("entry_id") % 3).alias("h_scheduled"))
-    return runs.entry_actions(counts, e, d.where("docket_id % 6 <> 0")).withColumn("date_filed", F.col("date_filed").cast("string"))
+    counts = e.select(F.lit("north").alias("provider"), "entry_id", (F.col("entry_id") % 3).alias("h_scheduled"))
+    return runs.entry_actions(counts, e, d).withColumn("date_filed", F.col("date_filed").cast("string"))
 
 
-@query("entries_v dockets_v", f"SELECT cast(date_filed AS string) AS delivery, count(*) AS received, count(case_id) AS processed, count_if(case_id IS NOT NULL AND {_hit('description', 'HEARING')}) AS relevant, count(*) - count(case_id) AS unknown FROM entries_v e LEFT JOIN (SELECT * FROM dockets_v WHERE docket_id % 6 <> 0) d ON d.docket_id = e.docket_id GROUP BY date_filed")
+@query("entries_v dockets_v", f"SELECT cast(date_filed AS string) AS delivery, count(*) AS received, count(case_id) AS processed, count_if(case_id IS NOT NULL AND {_hit('description', 'HEARING')}) AS relevant, count(*) - count(case_id) AS unknown FROM entries_v e LEFT JOIN (SELECT * FROM dockets_v WHERE court_id <> 'unk') d ON d.docket_id = e.docket_id GROUP BY date_filed")
 def delivery_stats(e, d):
     rows = e.select(F.col("date_filed").cast("string").alias("delivery"), "docket_id", "description")
-    return runs.delivery_stats(rows, d.where("docket_id % 6 <> 0"), T.is_hearing(F.col("description")), "delivery")
+    return runs.delivery_stats(rows, d.where("court_id <> 'unk'"), T.is_hearing(F.col("description")), "delivery")
 
 
-@query("dockets_v entries_v", "SELECT case_id, count(*) AS dockets, count_if(d.docket_id % 3 = 0) AS changed, cast(coalesce(sum(n), 0) AS bigint) AS entries, cast(max(m) AS string) AS newest FROM dockets_v d LEFT JOIN (SELECT docket_id, count(*) AS n, max(date_filed) AS m FROM entries_v WHERE entry_id % 2 = 0 GROUP BY docket_id) e ON e.docket_id = d.docket_id GROUP BY case_id")
+@query("dockets_v entries_v", "SELECT case_id, count(*) AS dockets, count_if(d.court_id = 'mad') AS changed, cast(coalesce(sum(n), 0) AS bigint) AS entries, cast(max(m) AS string) AS newest FROM dockets_v d LEFT JOIN (SELECT docket_id, count(*) AS n, max(date_filed) AS m FROM entries_v GROUP BY docket_id) e ON e.docket_id = d.docket_id GROUP BY case_id")
 def case_run_stats(d, e):
-    return runs.case_stats(d, d.where("docket_id % 3 = 0"), e.where("entry_id % 2 = 0"))
+    return runs.case_stats(d, d.where("court_id = 'mad'"), e)
 
 
 _PARTS = "SELECT entry_id, string_agg('|' || coalesce(source, '') || CASE WHEN is_available THEN '|True' ELSE '|False' END || CASE WHEN is_sealed THEN '|True' ELSE '|False' END || CASE WHEN regexp_matches(plain_text, '[^ \\t\\n\\x0B\\f\\r]') THEN '|1' ELSE '|0' END, '' ORDER BY attachment, doc_id) AS parts, string_agg(nullif(source, ''), ' | ' ORDER BY attachment, doc_id) AS said FROM docs_v GROUP BY entry_id"

@@ -219,3 +219,40 @@ def case_search(d, c, h):
     folder = new_folder(d.sparkSession, "grams")
     searching.write_index(rows, "case_id", "hay", folder)
     return searching.found(rows, d.sparkSession.read.parquet(folder), "case_id", "hay", ["Mass", "ring 3"]).select("case_id")
+
+
+_N = "chr(10)"
+_CANON = "(SELECT docket_id, min(docket_id) OVER (PARTITION BY docket_number, court_id) AS canonical FROM dockets_v)"
+
+
+@query(
+    "entries_v dockets_v hearings_v docs_v",
+    f"SELECT e.entry_id, concat_ws({_N}, 'KNOWN ROWS', coalesce(k.rows_, '(none)'), 'ENTRY ' || coalesce(cast(entry_number AS string), 'none') || ' of docket ' || cast(c.canonical AS string) || ' filed ' || cast(date_filed AS string), description, 'ATTACHED TEXTS' || {_N} || x.texts, 'RELATED ENTRIES' || {_N} || r.heads) AS prompt "
+    f"FROM entries_v e JOIN {_CANON} c USING (docket_id) LEFT JOIN (SELECT canonical, string_agg('- hearing ' || hearing_key || ' ' || status || ' ' || title || ' at ' || cast(start_date AS string) || ' docket ' || cast(canonical AS string), {_N} ORDER BY hearing_key) AS rows_ FROM hearings_v JOIN {_CANON} h USING (docket_id) GROUP BY canonical) k ON k.canonical = c.canonical "
+    f"LEFT JOIN (SELECT entry_id, string_agg(left(plain_text, 200), {_N} || '---' || {_N} ORDER BY doc_id) AS texts FROM docs_v WHERE trim(plain_text) <> '' GROUP BY entry_id) x ON x.entry_id = e.entry_id "
+    f"LEFT JOIN (SELECT entry_id, string_agg('- [' || cast(n AS string) || '] ' || left(trim(t), 20), {_N} ORDER BY n) AS heads FROM (SELECT a.entry_id, b.entry_number AS n, b.description AS t FROM entries_v a JOIN entries_v b ON b.docket_id = a.docket_id AND b.entry_number = a.entry_number - 1 AND trim(b.description) <> '') y GROUP BY entry_id) r ON r.entry_id = e.entry_id",
+)
+def extraction_prompts(e, d, h, x):
+    """What an extraction of every entry is asked: known rows of all copies of its docket, its documents (cut at 200) and the entry before (cut at 20)."""
+    known = h.select("docket_id", F.lit("hearing").alias("kind"), F.col("hearing_key").alias("key"), "status", "title", F.col("start_date").alias("at"))
+    before = e.select("docket_id", (F.col("entry_number") + 1).alias("entry_number"), F.col("entry_number").alias("ref_number"), F.col("description").alias("ref_text"))
+    related = e.select("entry_id", "docket_id", "entry_number").join(before, ["docket_id", "entry_number"]).select("entry_id", "ref_number", "ref_text")
+    entries = e.select("entry_id", "docket_id", "entry_number", "date_filed", F.col("description").alias("text"))
+    return infer.extraction_prompts(entries, d, known, x.select("entry_id", F.col("doc_id").alias("place"), F.col("plain_text").alias("text")), related, 200, 20)
+
+
+@query(
+    "hearings_v dockets_v entries_v",
+    f"SELECT case_id, slot, concat_ws({_N}, 'CANDIDATES ' || cast(n AS string), rows_, 'RECENT ENTRIES', coalesce(lines, '(none)')) AS prompt FROM "
+    f"(SELECT case_id, slot, count(*) AS n, string_agg('---' || {_N} || 'hearing_key: ' || hearing_key || {_N} || 'start: ' || cast(start_date AS string), {_N} ORDER BY hearing_key) AS rows_ FROM ({ev._WIDE}) w GROUP BY case_id, slot HAVING count(*) > 1) k "
+    f"LEFT JOIN (SELECT case_id, slot, string_agg('- [' || coalesce(cast(entry_number AS string), 'none') || '] filed ' || cast(date_filed AS string) || ': ' || left(trim(coalesce(nullif(description, ''), short_description, '')), 50), {_N} ORDER BY date_filed, entry_id) AS lines FROM "
+    f"(SELECT DISTINCT w.case_id, w.slot, e.* FROM ({ev._WIDE}) w JOIN entries_v e USING (docket_id) WHERE e.entry_id % 10 < 3) y GROUP BY case_id, slot) x USING (case_id, slot)",
+)
+def dedupe_prompts(h, d, e):
+    """What is asked of held rows of one case and court, with two entries of each docket."""
+    slot = F.when(F.col("docket_id") % 7 == 0, F.concat(F.lit("#docket-id="), F.col("docket_id").cast("string"))).otherwise(F.col("court_id"))
+    rows = h.where("status = 'held'").join(d.select("docket_id", "court_id"), "docket_id").select("docket_id", "hearing_key", F.col("start_date").alias("start"), F.concat(F.lit("c"), (F.col("docket_id") % 9).cast("string")).alias("case_id"), slot.alias("slot"))
+    many = rows.groupBy("case_id", "slot").count().where("count > 1").select("case_id", "slot")
+    rows = rows.join(many.hint("merge"), ["case_id", "slot"], "left_semi")
+    shown = rows.join(e.where("entry_id % 10 < 3").select("docket_id", "entry_id"), "docket_id").select("case_id", "slot", "entry_id")
+    return infer.dedupe_prompts(rows, ["case_id", "slot"], ["hearing_key", "start"], shown, e, 50)

@@ -14,7 +14,7 @@ QUERIES, ORACLE = query.queries, query.oracle
 _TARGETS = "(SELECT case_id, hearing_key, docket_id, start_date FROM hearings_v WHERE status = 'scheduled' OR (status = 'cancelled' AND start_date < DATE '1998-06-15')) h"
 # What a verification shows: (case_id, hearing_key, entry_id).
 _SHOWN = (
-    f"(SELECT case_id, hearing_key, entry_id FROM {_TARGETS} JOIN (SELECT docket_id, entry_id FROM (SELECT docket_id, entry_id, row_number() OVER (PARTITION BY docket_id ORDER BY date_filed DESC, entry_id DESC) AS r FROM entries_v WHERE description <> '') x WHERE r <= 2) n USING (docket_id) "
+    f"(SELECT case_id, hearing_key, entry_id FROM {_TARGETS} JOIN (SELECT docket_id, entry_id FROM (SELECT docket_id, entry_id, row_number() OVER (PARTITION BY docket_id ORDER BY date_filed DESC, entry_id DESC) AS r FROM entries_v WHERE description <> '') x WHERE r <= 15) n USING (docket_id) "
     f"UNION SELECT case_id, hearing_key, entry_id FROM (SELECT case_id, hearing_key, entry_id, row_number() OVER (PARTITION BY case_id, hearing_key ORDER BY date_filed DESC, entry_id DESC) AS r FROM {_TARGETS} JOIN entries_v e USING (docket_id) WHERE description <> '' AND date_filed BETWEEN start_date - 2 AND start_date + 45) x WHERE r <= 20 "
     f"UNION SELECT case_id, hearing_key, entry_id FROM {_TARGETS} JOIN entries_v e USING (docket_id) WHERE entry_id = docket_id * 10 + 1)"
 )
@@ -28,7 +28,7 @@ def _targets(h):
 @query("hearings_v entries_v", f"SELECT case_id, hearing_key, entry_id FROM {_SHOWN} s")
 def verification_context(h, e):
     """Two newest bodies, entries around the date and the first entry of each row to verify."""
-    return context.verification_context(_targets(h), e, 2)
+    return context.verification_context(_targets(h), e)
 
 
 _FIELDS = ["hearing_key", "title", "start_date", "status", "significance", "duration_minutes", "docket_id", "notes"]
@@ -40,7 +40,7 @@ _LINE = "'- [' || coalesce(cast(entry_number AS string), 'none') || '] ' || cast
 def verification_prompts(h, e):
     """What a verification of each row to verify shows, over the entries of ``verification_context``."""
     targets = _targets(h)
-    return infer.verification_prompts(targets, context.verification_context(targets, e, 2), e, _FIELDS, ["case_id", "hearing_key"])
+    return infer.verification_prompts(targets, context.verification_context(targets, e), e, _FIELDS, ["case_id", "hearing_key"])
 
 
 @query("hearings_v entries_v", f"SELECT case_id, hearing_key, bool_and(entry_id IS NULL OR entry_id IN (SELECT entry_id FROM entries_v WHERE entry_number IS NOT NULL)) AS allowed FROM (SELECT case_id, hearing_key, CASE WHEN docket_id % 8 <> 0 THEN unnest([docket_id * 10 + 1, docket_id * 10 + 2]) END AS entry_id FROM hearings_v) s GROUP BY case_id, hearing_key")

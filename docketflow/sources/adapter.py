@@ -28,8 +28,45 @@ _PHRASES = [
     "ORDER (Sealed) granting in part Motion to Seal as to all defendants",
     "ORDER granting 7 Motion to Unseal Case",
     "Sealed order. The court is granting leave to seal",
+    # Near misses and other forms of what the gates look for.
+    "Statuses of the parties are unchanged",
+    "Arguments were not heard in this matter",
+    "NOTICE of attorney appearance for the government",
+    "Letter overdue by counsel; nothing due",
+    "Reply brief of appellee filed under separate cover",
+    "SECOND AMENDED COMPLAINT against all parties",
+    "Motion for leave to file an amended complaint",
+    "INFORMATION as to a single count",
+    "Information sheet received from counsel",
+    "VERDICT FORM returned by the jury",
+    "Proposed verdict conference schedule",
+    "ORDER OF DISMISSAL with prejudice",
+    "Stipulation of facts for trial",
+    "STIPULATION OF DISMISSAL by all parties",
+    "Scheduling order: discovery cutoff and Markman dates; see 3",
+    "ORDER setting trial date and briefing schedule",
+    "MEMORANDUM OPINION denying 5 Motion to Dismiss",
+    "Motion to dismiss conference call held over",
+    "Official transcript filed; courtroom 9B at 2:30 PM",
+    "Endorsed letter: application granted. So ordered",
+    "Exhibit list, unendorsable",
+    "Sentencing memorandum by the government; restitution of $25,000 and forfeiture of $90,000.50",
+    "Judgment; restitution in the amount of $10.00; forfeiture of $10.00",
+    "Order of restitution, amount to be determined",
+    "Temporary restraining order dissolved; injunction vacated",
+    "Mandate issued; affirmed in part",
+    "Consent to videoconference by Zoom before Judge Roe",
+    "Set for telephonic argument 10:15 via teleconference",
+    "Motion in limine as to [12]; response to 11",
+    "Order re 2 Motion to Extend granted in part (3) denied",
+    "Case 1:24-cr-00001-ABC Document 7 Filed 01/02/24 Page 1 of 2 PageID: 9",
+    "Notice of filing of official transcript of jury selection",
 ]
-_DESCRIPTION = f"CASE l_partkey % {len(_PHRASES)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END"
+# What follows a sentence: with these, an entry has one of some hundreds of texts.
+_ENDINGS = ["", " as to John Doe (1)", " as to Jane Roe (2), John Doe (1)", " (Attachments: 2 Exhibits)", ". (Entered: 02/03/2024)", " [4]", " re 5"]
+_PHRASE = f"CASE l_partkey % {len(_PHRASES)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END"
+_ENDING = f"CASE WHEN l_partkey % {len(_PHRASES)} = {_PHRASES.index('')} THEN '' ELSE CASE l_suppkey % {len(_ENDINGS)} " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_ENDINGS)) + " END END"
+_DESCRIPTION = f"{_PHRASE} || {_ENDING}"
 
 
 
@@ -90,7 +127,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "events_v": (("events",), "SELECT event_id, ts, user_id, event_type, props, cast(regexp_extract(props, '[0-9]+', 0) AS bigint) AS k FROM events"),
     "docs_v": (
         ("documents",),
-        "SELECT doc_id, coalesce(text, '') AS plain_text, doc_id % 17 = 0 AS is_sealed, doc_id % 3 <> 0 AS is_available, "
+        "SELECT doc_id, CASE WHEN cast(floor(doc_id / 5) AS bigint) % 13 = 4 THEN '' ELSE coalesce(text, '') END AS plain_text, doc_id % 17 = 0 AS is_sealed, doc_id % 3 <> 0 AS is_available, "
         "cast(floor(doc_id / 5) AS bigint) AS entry_id, doc_id % 5 AS attachment, source, lang FROM documents",
     ),
     "calls_v": (
