@@ -26,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketflow.llm.shared import _LOWER, buffers, chunks, ranges, table, word_hashes, words, written
+from docketflow.llm.shared import _LOWER, CHUNK, buffers, chunks, ranges, removed, table, trim, word_hashes, words, written
 
 #: Words of one language after which a part is closed.
-PART = 1 << 20
+PART = 1 << 18
 #: Words of all languages that a task holds before it closes every part.
-HELD = 3 << 20
-#: Frequent phrases that are broadcast at most (24 bytes each; words have strings and a tenth of that).
-MOST_PHRASES = 1_000_000
+HELD = 1 << 19
+#: Frequent phrases that every task gets at most (24 bytes each), and frequent words (strings).
+MOST_PHRASES, MOST_WORDS = 1_000_000, 300_000
 _PART = "part long, lang string, n long, strings array<string>, counts array<long>, words binary"
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -82,7 +83,7 @@ class _Open:
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_parts: dict[str, _Open] = {}
     first, closed = TaskContext.get().partitionId() << 32, 0
-    for batch in (c for b in batches for c in chunks(b)):
+    for batch in (c for b in batches for c in chunks(b, size=CHUNK // 4)):
         data, offsets = buffers(batch.column("text"))
         data = _LOWER[data]
         starts, ends, rows = words(data, offsets, _OUTSIDE)
@@ -109,9 +110,10 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name in list(open_parts):
                 yield open_parts.pop(name).row(first + closed, name)
                 closed += 1
-    for name, part in open_parts.items():
-        yield part.row(first + closed, name)
+    for name in list(open_parts):
+        yield open_parts.pop(name).row(first + closed, name)
         closed += 1
+    trim()
 
 
 def _ints(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -142,15 +144,16 @@ def _pairs(k: int):
 
     def run(batches):
         for row in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
-            ids, left = _longs(row, "word_ids"), _longs(row, "group_ids")
-            _, pairs, _, counts = extended(_ints(row, "words"), _ints(row, "groups"), k, max(len(ids), 1))
+            stream, ids, groups, left = _relation(row)
+            _, pairs, _, counts = extended(stream, groups, k, max(len(ids), 1))
             part = row.column("part")[0].as_py()
-            for i in range(0, len(pairs), 1 << 16):
-                p = pairs[i : i + (1 << 16)]
+            for i in range(0, len(pairs), 1 << 15):
+                p = pairs[i : i + (1 << 15)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(p), part)), pa.array(np.arange(i, i + len(p), dtype=np.int32)), pa.array(left[p // len(ids)]), pa.array(ids[p % len(ids)]), pa.array(counts[i : i + len(p)])],
                     ["part", "pair", "left", "word", "c"],
                 )
+        trim()
 
     return run
 
@@ -158,38 +161,94 @@ def _pairs(k: int):
 def _state(part, lang, stream, word_ids, groups, group_ids) -> pa.RecordBatch:
     lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64())) for v in (word_ids, group_ids)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int64()), pa.array([lang], pa.string()), pa.array([stream.astype(np.int32).tobytes()]), lists[0], pa.array([groups.astype(np.int32).tobytes()]), lists[1]],
+        [pa.array([part], pa.int64()), pa.array([lang], pa.string()), pa.array([stream.astype(np.int32).tobytes()]), lists[0], pa.array([None if groups is None else groups.astype(np.int32).tobytes()], pa.binary()), lists[1]],
         ["part", "lang", "words", "word_ids", "groups", "group_ids"],
     )
 
 
+def _relation(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a part with their ids and the phrases that begin there with theirs; of one word, those are the words."""
+    stream, ids = _ints(row, "words"), _longs(row, "word_ids")
+    if row.column("groups")[0].as_py() is None:
+        return stream, ids, stream, ids
+    return stream, ids, _ints(row, "groups"), _longs(row, "group_ids")
+
+
 _STATE = "part long, lang string, words binary, word_ids array<long>, groups binary, group_ids array<long>"
 
 
-def _found(row: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a part's frequent phrases, and for each of its ``size`` phrases the place there (-1: not frequent)."""
+def _kept(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids among ``found`` (-1: none), and for each entry the place of its id there (-1)."""
+    there = found >= 0
+    return found[there], np.where(there, np.cumsum(there) - 1, -1).astype(np.int32)
+
+
+def _joined_ids(row: pa.RecordBatch, size: int) -> np.ndarray:
+    """The ids that a join brought to a part's words or pairs; -1 for those it brought none."""
     found = row.column("found").flatten()
-    place = np.full(size, -1, np.int32)
-    place[found.field("pair").to_numpy()] = np.arange(len(found), dtype=np.int32)
-    return found.field("id").to_numpy(), place
+    ids = np.full(size, -1, np.int64)
+    ids[found.field("pair").to_numpy()] = found.field("id").to_numpy()
+    return ids
+
+
+class _Words:
+    """The frequent words of each language with their ids."""
+
+    def __init__(self, rows: pa.Table):
+        self.of = {}
+        langs = rows.column("lang").combine_chunks().dictionary_encode()
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            own = rows.filter(pc.equal(langs.indices, i))
+            self.of[lang] = (own.column("word").combine_chunks(), own.column("id").to_numpy())
+
+    def ids(self, row: pa.RecordBatch, size: int) -> np.ndarray:
+        words, ids = self.of.get(row.column("lang")[0].as_py(), (pa.array([], pa.string()), np.zeros(0, np.int64)))
+        at = pc.fill_null(pc.index_in(row.column("strings").flatten(), words), -1).to_numpy()
+        return np.where(at >= 0, ids[at], -1) if len(ids) else np.full(size, -1, np.int64)
+
+
+class _Phrases:
+    """The frequent pairs (phrase, word) with their ids, as sorted arrays."""
 
+    def __init__(self, rows: pa.Table):
+        left, word = rows.column("left").to_numpy(), rows.column("word").to_numpy()
+        self.lefts, self.words = np.unique(left), np.unique(word)
+        keys = np.searchsorted(self.lefts, left) * len(self.words) + np.searchsorted(self.words, word)
+        order = np.argsort(keys)
+        self.keys, self.ids_of = keys[order], rows.column("id").to_numpy()[order]
 
-def _kept_words(batches):
-    for row in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
-        stream = _ints(row, "words")
-        ids, place = _found(row, row.column("size")[0].as_py())
-        stream = np.where(stream >= 0, place[np.maximum(stream, 0)], -1) if len(place) else stream
-        yield _state(row.column("part")[0].as_py(), row.column("lang")[0].as_py(), stream, ids, stream, ids)
+    def ids(self, left: np.ndarray, word: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(left), -1, np.int64)
+        a, b = (np.minimum(np.searchsorted(have, asked), len(have) - 1) for have, asked in ((self.lefts, left), (self.words, word)))
+        keys = a * len(self.words) + b
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where((self.lefts[a] == left) & (self.words[b] == word) & (self.keys[at] == keys), self.ids_of[at], -1)
 
 
-def _kept_groups(k: int):
+def _kept_words(shared=None):
+    """The relation of one word: frequent words alone.  ``shared``: those words; without it, the rows bring the ids a join found."""
+
+    def run(batches):
+        for row in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            stream, size = _ints(row, "words"), row.column("size")[0].as_py()
+            ids, place = _kept(shared.value.ids(row, size) if shared else _joined_ids(row, size))
+            stream = np.where(stream >= 0, place[np.maximum(stream, 0)], -1) if len(place) else stream
+            yield _state(row.column("part")[0].as_py(), row.column("lang")[0].as_py(), stream, ids, None, ids[:0])
+        trim()
+
+    return run
+
+
+def _kept_groups(k: int, shared=None):
     """The relation of ``k`` words: the occurrences of frequent phrases alone, and only the places they cover."""
 
     def run(batches):
         for row in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
-            stream, word_ids = _ints(row, "words"), _longs(row, "word_ids")
-            at, pairs, own, _ = extended(stream, _ints(row, "groups"), k, max(len(word_ids), 1))
-            ids, place = _found(row, len(pairs))
+            stream, word_ids, before, left = _relation(row)
+            at, pairs, own, _ = extended(stream, before, k, max(len(word_ids), 1))
+            n = max(len(word_ids), 1)
+            ids, place = _kept(shared.value.ids(left[pairs // n], word_ids[pairs % n]) if shared else _joined_ids(row, len(pairs)))
             groups = np.full(len(stream), -1, np.int32)
             groups[at] = place[own]
             steps = np.zeros(len(stream) + 1, np.int32)
@@ -201,13 +260,18 @@ def _kept_groups(k: int):
             stays = covered.copy()
             stays[:-1] |= covered[1:]
             yield _state(row.column("part")[0].as_py(), row.column("lang")[0].as_py(), np.where(covered, stream, -1)[stays], word_ids, groups[stays], ids)
+        trim()
 
     return run
 
 
-def _small(phrases: DataFrame, most: int) -> DataFrame:
-    """``phrases`` to join with: broadcast while they are few."""
-    return F.broadcast(phrases) if phrases.limit(most + 1).count() <= most else phrases.hint("merge")
+def _semi_joined(state: DataFrame, frequent: DataFrame, listed: DataFrame, on: list[str], most: int, kept, lookup) -> DataFrame:
+    """``state`` without what is not ``frequent``: these are looked up in each part while they are few, else joined with ``listed`` and brought to the parts."""
+    if frequent.limit(most + 1).count() <= most:
+        shared = state.sparkSession.sparkContext.broadcast(lookup(frequent.select(*on, "id").toArrow()))
+        return state.mapInArrow(kept(shared), _STATE)
+    found = listed.join(frequent.select(*on, "id").hint("merge"), on).groupBy("part").agg(F.collect_list(F.struct("pair", "id")).alias("found"))
+    return state.drop("strings").hint("merge").join(found, "part").mapInArrow(kept(None), _STATE)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -217,16 +281,17 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def frequent_phrases(parts: DataFrame, least: int, longest: int) -> DataFrame:
-    """(lang, ids, f) of all phrases of 1 to ``longest`` words that occur ``least`` times in a language, and the words' (id, word).
+    """(lang, ids, f) of all phrases of 1 to ``longest`` words that occur ``least`` times in a language, the words' (id, word), and (lang, n).
 
-    Returns two tables; ``ids`` are those of the phrase's words.
+    ``ids`` are those of the phrase's words.  ``parts`` and each relation are removed once the next one stands.
     """
     listed = parts.select("part", "lang", F.posexplode(F.arrays_zip("strings", "counts")).alias("pair", "s")).select("part", "lang", "pair", F.col("s.strings").alias("word"), F.col("s.counts").alias("c"))
     first = listed.groupBy("lang", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     first = written(first.withColumn("id", F.monotonically_increasing_id()), "words")
-    found = listed.join(_small(first.select("lang", "word", "id"), MOST_PHRASES // 10), ["lang", "word"]).groupBy("part").agg(F.collect_list(F.struct("pair", "id")).alias("found"))
-    sized = parts.select("part", "lang", "words", F.size("strings").alias("size"))
-    state = written(sized.hint("merge").join(found, "part").mapInArrow(_kept_words, _STATE), "relation-1")
+    totals = written(parts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    sized = parts.select("part", "lang", "strings", "words", F.size("strings").alias("size"))
+    state = written(_semi_joined(sized, first, listed, ["lang", "word"], MOST_WORDS, _kept_words, _Words), "relation-1")
+    removed(parts)
     known = first.select("id", "lang", F.array("id").alias("ids"), "f")
     tables = [known]
     for k in range(2, longest + 1):
@@ -234,8 +299,9 @@ def frequent_phrases(parts: DataFrame, least: int, longest: int) -> DataFrame:
         counts = pairs.groupBy("left", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
         counts = written(counts.withColumn("id", F.monotonically_increasing_id()), f"phrases-{k}")
         if k < longest:
-            found = pairs.join(_small(counts.select("left", "word", "id"), MOST_PHRASES), ["left", "word"]).groupBy("part").agg(F.collect_list(F.struct("pair", "id")).alias("found"))
-            state = written(state.hint("merge").join(found, "part").mapInArrow(_kept_groups(k), _STATE), f"relation-{k}")
+            before = state
+            state = written(_semi_joined(state, counts, pairs, ["left", "word"], MOST_PHRASES, lambda shared, k=k: _kept_groups(k, shared), _Phrases), f"relation-{k}")
+            removed(before)
         # Ids of words are known by the last word, so the whole phrase follows from its beginning.
         begin = known.select(F.col("id").alias("left"), "lang", "ids")
         known = written(counts.join(begin.hint("merge"), "left").select("id", "lang", F.concat("ids", F.array("word")).alias("ids"), "f"), f"known-{k}")
@@ -243,7 +309,8 @@ def frequent_phrases(parts: DataFrame, least: int, longest: int) -> DataFrame:
     every = tables[0].select("lang", "ids", "f")
     for t in tables[1:]:
         every = every.union(t.select("lang", "ids", "f"))
-    return every, first.select("id", "word")
+    removed(state)
+    return every, first.select("id", "word"), totals
 
 
 def scored(phrases: DataFrame) -> DataFrame:
@@ -270,14 +337,13 @@ def not_covered(phrases: DataFrame, candidates: DataFrame, percent: int) -> Data
 def collocations(docs: DataFrame, least: int = 30, longest: int = 4, percent: int = 80, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's ``top`` phrases of ``docs(lang, text)``."""
     parts = occurrences(docs)
-    phrases, spelt = frequent_phrases(parts, least, longest)
+    phrases, spelt, totals = frequent_phrases(parts, least, longest)
     best = written(not_covered(phrases, scored(phrases), percent), "scored")
     placed = best.select("ids", F.posexplode("ids").alias("place", "id")).join(spelt.hint("merge"), "id")
     texts = placed.groupBy("ids").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     named = best.join(texts.hint("merge"), "ids")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    totals = written(parts.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     return ranked.join(totals.hint("merge"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Removes a table that ``written`` wrote and that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if not re.search("-[0-9a-f]{32}$", folder):
+            raise ValueError(f"{folder} is no written table")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucket_of(column: str, modulus: int):
     """crc32 of the id as text, modulo: the fold of a row (null id: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -78,6 +91,13 @@ def slices(batch: pa.RecordBatch, column: str, size: int = CHUNK // 4) -> Iterat
         at = int(cut)
 
 
+def trim() -> None:
+    """Gives what a task has freed back to the system: the worker lives on beside JVM stages that need it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # no such call outside glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def distinct_ids(docs: DataFrame) -> bool:
     """Whether doc_id tells rows apart."""
     return docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 OR doc_id IS NULL").isEmpty()
