@@ -244,7 +244,10 @@ def table_manifest(e, d, x):
     return ingest.manifest(entries=e, dockets=d, documents=x)
 
 
-@query("entries_v", "SELECT entry_id, '1250.00' AS amounts FROM entries_v WHERE contains(description, 'restitution')")
+_CLAUSE = "regexp_replace(regexp_extract(description, '{0}[^;]*?([$][0-9,.]+[0-9])', 1, 'i'), '[$,]', '', 'g')"
+
+
+@query("entries_v", f"SELECT entry_id, a AS amounts FROM (SELECT entry_id, {_CLAUSE.format('restitution')} AS a, {_CLAUSE.format('forfeiture')} AS b FROM entries_v) x WHERE a <> '' AND a = b")
 def money_overlap(e):
     return audit.money_overlap(e)
 

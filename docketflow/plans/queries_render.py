@@ -62,7 +62,7 @@ def event_descriptions(h, d, c):
     return _zoned(h, d, c).select("docket_id", text.alias("text"))
 
 
-@query("entries_v", "SELECT entry_id, nullif(regexp_replace(coalesce(nullif(description, ''), short_description), ' ?[(]Entered: 05/06/2024 01:51 PM[)]', ''), '') AS record FROM entries_v")
+@query("entries_v", "SELECT entry_id, nullif(trim(regexp_replace(trim(coalesce(nullif(description, ''), short_description)), ' *[(][^()]*Entered[^()]*[)] *$', '')), '') AS record FROM entries_v")
 def record_texts(e):
     """Entries with stacked remarks of the clerk at their end, without them."""
     more = F.when(F.col("entry_id") % 2 == 0, F.concat("description", F.lit(" (afm, COURT STAFF) (Date Filed: 3/24/2024)  "))).otherwise(F.col("description"))

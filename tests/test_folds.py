@@ -63,12 +63,17 @@ def test_type_follows_the_key(spark):
 
 
 def test_blank_delivery_keys_always_pass(spark):
+    """Of deliveries with one key the first counts, by time and then by content; those of the ledger are out, blank keys in."""
     from docketflow.streaming.alerts import undelivered
 
-    rows = spark.createDataFrame([("a", 1), ("a", 2), ("", 3), (" ", 4), (None, 5), ("b", 6)], "idempotency_key string, n int")
-    seen = spark.createDataFrame([("b",)], "idempotency_key string")
-    out = undelivered(rows, seen).collect()
-    assert sorted(r.n for r in out if r.n > 2) == [3, 4, 5] and len(out) == 4
+    entry = lambda i: [(i, "7", None, None, None, None, None)]
+    at = dt.datetime(2024, 1, 1)
+    rows = [("a", at + dt.timedelta(1), (1,), (entry(1),)), ("a", at, (1,), (entry(3),)), ("a", at, (1,), (entry(2),)), ("b", at, (1,), (entry(4),)), (" ", at, (1,), (entry(5),)), (None, at, (1,), (entry(6),)), (" ", at, (1,), (entry(5),))]
+    from docketflow.streaming.alerts import DELIVERY
+
+    out = undelivered(spark.createDataFrame(rows, DELIVERY).repartition(5), spark.createDataFrame([("b",), ("z",)], "idempotency_key string"))
+    assert sorted(r.payload.results[0].id for r in out.collect()) == [2, 5, 5, 6]
+
 
 
 def test_no_action_of_another_court_touches_a_row(spark):
