@@ -162,12 +162,13 @@ def same_slot_clusters(h, d):
     return sweeps.same_slot(wide, d.withColumn("docket_number", F.col("court_id")), "held").select("case_id", "hearing_key", "docket_number", F.col("start_date").cast("string").alias("start_date"), "size")
 
 
-# Nine cases a status and a logical docket a court, so that slots do meet; every seventh docket has no metadata.
-_WIDE = "SELECT h.hearing_key, h.docket_id, h.start_date, h.start_hour, 'c' || cast(h.docket_id % 9 AS string) AS case_id, CASE WHEN h.docket_id % 7 = 0 THEN '#docket-id=' || cast(h.docket_id AS string) ELSE d.court_id END AS slot FROM hearings_v h JOIN dockets_v d USING (docket_id) WHERE h.status = 'held'"
+# Eight cases, a logical docket a court and a day a month, so that slots do meet; every seventh docket has no metadata.
+_WIDE = "SELECT h.hearing_key, h.docket_id, cast(date_trunc('month', h.start_date) AS date) AS start_date, h.start_hour, 'c' || cast(h.docket_id % 8 AS string) AS case_id, CASE WHEN h.docket_id % 7 = 0 THEN '#docket-id=' || cast(h.docket_id AS string) ELSE d.court_id END AS slot FROM hearings_v h JOIN dockets_v d USING (docket_id) WHERE h.status = 'held'"
 
 
 def _wide(h, d):
-    return h.withColumn("case_id", F.concat(F.lit("c"), (F.col("docket_id") % 9).cast("string"))), d.where("docket_id % 7 <> 0").withColumn("docket_number", F.col("court_id"))
+    rows = h.withColumn("case_id", F.concat(F.lit("c"), (F.col("docket_id") % 8).cast("string"))).withColumn("start_date", F.trunc("start_date", "month"))
+    return rows, d.where("docket_id % 7 <> 0").withColumn("docket_number", F.col("court_id"))
 
 
 @query("hearings_v dockets_v", f"SELECT case_id, slot AS docket_number, cast(start_date AS string) AS start_date, count(DISTINCT start_hour) AS starts, string_agg(hearing_key, ',' ORDER BY hearing_key) AS keys FROM ({_WIDE}) w GROUP BY case_id, slot, start_date HAVING count(DISTINCT start_hour) > 1")

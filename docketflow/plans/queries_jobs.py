@@ -251,7 +251,7 @@ def extraction_prompts(e, d, h, x):
 def dedupe_prompts(h, d, e):
     """What is asked of held rows of one case and court, with two entries of each docket."""
     slot = F.when(F.col("docket_id") % 7 == 0, F.concat(F.lit("#docket-id="), F.col("docket_id").cast("string"))).otherwise(F.col("court_id"))
-    rows = h.where("status = 'held'").join(d.select("docket_id", "court_id"), "docket_id").select("docket_id", "hearing_key", F.col("start_date").alias("start"), F.concat(F.lit("c"), (F.col("docket_id") % 9).cast("string")).alias("case_id"), slot.alias("slot"))
+    rows = h.where("status = 'held'").join(d.select("docket_id", "court_id"), "docket_id").select("docket_id", "hearing_key", F.trunc("start_date", "month").alias("start"), F.concat(F.lit("c"), (F.col("docket_id") % 8).cast("string")).alias("case_id"), slot.alias("slot"))
     many = rows.groupBy("case_id", "slot").count().where("count > 1").select("case_id", "slot")
     rows = rows.join(many.hint("merge"), ["case_id", "slot"], "left_semi")
     shown = rows.join(e.where("entry_id % 10 < 3").select("docket_id", "entry_id"), "docket_id").select("case_id", "slot", "entry_id")
