@@ -9,11 +9,13 @@ from docketflow.functions.text import key_title, titled
 
 # Words of a key that name a proceeding and no person, and abbreviations of keys.
 PROCEEDING_WORDS = (
-    "sentencing resentencing trial jury selection bench pretrial conference conf status scheduling initial appearance arraignment rearraignment detention bond bail hearing hearings "
-    "motion motions change of plea oral argument telephonic evidentiary evid cipa fisa suppression suppress daubert franks markman final day probable cause show order review id "
-    "preliminary injunction pi revocation competency settlement fairness in limine bill particulars mtd msj tro post pretrial charging excusal setting to standby trade secrets "
-    "protective default judgment surrender extension superseding indictment waiver attorney appointment counsel briefing calendar call docket"
-).split()
+    "sentencing", "resentencing", "trial", "jury", "selection", "bench", "pretrial", "conference", "conf", "status", "scheduling", "initial", "appearance", "arraignment",
+    "rearraignment", "detention", "bond", "bail", "hearing", "hearings", "motion", "motions", "change", "of", "plea", "oral", "argument", "telephonic", "evidentiary", "evid",
+    "cipa", "fisa", "suppression", "suppress", "daubert", "franks", "markman", "final", "day", "probable", "cause", "show", "order", "review", "id", "preliminary",
+    "injunction", "pi", "revocation", "competency", "settlement", "fairness", "in", "limine", "bill", "particulars", "mtd", "msj", "tro", "post", "pretrial", "charging",
+    "excusal", "setting", "to", "standby", "trade", "secrets", "protective", "default", "judgment", "surrender", "extension", "superseding", "indictment", "waiver",
+    "attorney", "appointment", "counsel", "briefing", "calendar", "call", "docket",
+)
 ABBREVIATIONS = {"conf": "Conference", "govt": "Government", "msj": "Motion for Summary Judgment", "tro": "Temporary Restraining Order"}
 
 
