@@ -1,6 +1,7 @@
 """Jobs over several tables, searches and plans on small tables with odd rows."""
 
 import datetime as dt
+import time
 import uuid
 
 import pytest
@@ -96,3 +97,17 @@ def test_search_equals_a_scan(spark, folder):
         assert sorted(r.k for r in searching.found(rows, index, "k", "hay", terms).collect()) == want, terms
     said = spark.createDataFrame([("they were [charged](https://a.b/c) today [sic] (2024)",), (None,)], "s string").select(searching.plain_text(F.col("s"))).collect()
     assert [r[0] for r in said] == ["they were charged today [sic] (2024)", ""]
+
+
+def test_the_index_is_made_in_one_pass_without_a_shuffle(spark, folder):
+    """A text of half a million characters, two bytes each, and one trigram in all rows: looked up by number each, they took minutes."""
+    rows = spark.createDataFrame([(0, "é" * 300_000 + "äöü" + "é" * 200_000), (1, "ab\n😀c"), (2, "aaa")] + [(i, "the") for i in range(3, 300)], "k long, t string").repartition(3)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    began = time.monotonic()
+    searching.write_index(rows, "k", "t", path)
+    assert time.monotonic() - began < 60
+    index = spark.read.parquet(path)
+    assert sorted(r.gram for r in index.where("k = 0").collect()) == ["äöü", "éäö", "ééä", "ééé", "öüé", "üéé"]
+    assert sorted(r.gram for r in index.where("k = 1").collect()) == ["\n😀c", "ab\n", "b\n😀"] and index.count() == 307
+    assert len(index.inputFiles()) == 3 and max(r["count"] for r in index.where("gram = 'the'").groupBy(F.input_file_name()).count().collect()) < 200
+    assert [r.k for r in searching.found(rows, index, "k", "t", ["éÄÖ"]).collect()] == [0]
