@@ -16,6 +16,8 @@ HEARING = {
     "status": "string", "local_date": "date", "local_hour": "int", "significance": "string", "duration_minutes": "int", "location": "string", "judge": "string", "dial_in": "string", **_SHARED,
 }
 DEADLINE = {"status": "string", "due_date": "date", "due_hour": "int", "significance": "string", "deadline_type": "string", **_SHARED}
+#: The lineage; ``Fold.advanced`` makes its entries distinct.
+_IDS = "source_entry_ids"
 #: What every step reads of the state, whichever columns are asked for.
 _ALWAYS = ("local_date", "docket_id", "court_id", "n")
 #: Columns that actions may lack; they are null then.
@@ -55,10 +57,6 @@ def _foreign(s: Column, a: Column) -> Column:
     return (s["n"] > 0) & F.coalesce(other, F.lit(False))
 
 
-def _sources(s: Column, a: Column) -> Column:
-    return F.when(F.array_contains(s["source_entry_ids"], a["entry_id"]), s["source_entry_ids"]).otherwise(F.array_append(s["source_entry_ids"], a["entry_id"]))
-
-
 def _home(s: Column, a: Column) -> dict[str, Callable[[], Column]]:
     """Zone, docket and court stay those of the first action."""
     return {c: lambda c=c: F.when(s["n"] == 0, a[c]).otherwise(s[c]) for c in ("timezone", "docket_id", "court_id")}
@@ -113,7 +111,7 @@ def next_hearing(s: Column, a: Column, wanted: dict[str, str] = HEARING) -> Colu
         "dial_in": newest("dial_in"),
         "title": lambda: F.when(keeps, s["title"]).otherwise(F.coalesce(_text(a["title"]), F.when(there, s["title"]).otherwise(a["fallback_title"]))),
         "notes": notes,
-        "source_entry_ids": lambda: _sources(s, a),
+        _IDS: lambda: F.array_append(s[_IDS], a["entry_id"]),
         "n": lambda: s["n"] + 1,
         **_home(s, a),
     }
@@ -142,7 +140,7 @@ def next_deadline(s: Column, a: Column, wanted: dict[str, str] = DEADLINE) -> Co
         "deadline_type": lambda: F.when(keeps, s["deadline_type"]).otherwise(F.coalesce(_text(a["deadline_type"]), s["deadline_type"])),
         "title": lambda: F.when(keeps, s["title"]).otherwise(F.coalesce(_text(a["title"]), F.when(there, s["title"]).otherwise(a["fallback_title"]))),
         "notes": lambda: F.when(kind == "MARK_FILED", s["notes"]).otherwise(F.coalesce(_text(a["notes"]), s["notes"])),
-        "source_entry_ids": lambda: _sources(s, a),
+        _IDS: lambda: F.array_append(s[_IDS], a["entry_id"]),
         "n": lambda: s["n"] + 1,
         **_home(s, a),
     }
@@ -188,9 +186,24 @@ class Fold:
         return F.from_json(F.lit(json.dumps(empty)), "struct<" + ",".join(f"{c}:{kind}" for c, kind in wanted.items()) + ">")
 
     def advanced(self, start: Column, columns: list[str] | None = None) -> Column:
-        """The state after ``steps``."""
+        """The state after ``steps``; lineage has each entry once, where it came first.
+
+        Every step copies its state, so a lineage that grew with the steps would cost
+        their square.  They are taken in parts of about the root of their number, each with a lineage of its own.
+        """
         wanted = self.wanted(columns)
-        return F.aggregate("steps", start, lambda s, a: self.step(s, a, wanted))
+        step = lambda s, a: self.step(s, a, wanted)
+        if _IDS not in wanted:
+            return F.aggregate("steps", start, step)
+        row = lambda s, ids, *more: F.struct(*[(ids if c == _IDS else s[c]).cast(kind).alias(c) for c, kind in wanted.items()], *more)
+        size = F.ceil(F.sqrt(F.size("steps"))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("steps") / size).cast("int") - 1), lambda i: F.slice("steps", i * size + 1, size))
+
+        def taken(s: Column, part: Column) -> Column:
+            return F.aggregate(part, row(s, F.array()), step, lambda t: row(t, F.array(), F.array_append(s["parts"], t[_IDS]).alias("parts")))
+
+        first = row(start, F.array(), F.array(start[_IDS]).cast("array<array<bigint>>").alias("parts"))
+        return F.aggregate(parts, first, taken, lambda s: row(s, F.array_distinct(F.flatten(s["parts"]))))
 
     def rows(self, actions: DataFrame, columns: list[str] | None = None) -> DataFrame:
         """The rows that ``actions`` leave, with the columns asked for."""
