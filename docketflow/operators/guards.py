@@ -107,7 +107,8 @@ def _iso(month: Column, day: Column, year: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """The sentences of a text: split before a capital, quote or bracket, not after an abbreviation."""
-    kept = F.regexp_replace(text, rf"(?<=(?i:{NO_END}))(?U:\s+)(?={OPENING})", " ")
+    # A full stop ends every abbreviation; asked first, the abbreviations are not tried at every character.
+    kept = F.regexp_replace(text, rf"(?<=\.)(?<=(?i:{NO_END}))(?U:\s+)(?={OPENING})", " ")
     return F.split(kept, rf"(?<=[.!?])(?<!(?i:{NO_END}))(?U:\s+)(?={OPENING})")
 
 

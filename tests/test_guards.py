@@ -1,5 +1,7 @@
 """Hand-written summaries, what the guards find in them, and their repair."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,14 @@ def test_links(spark):
     urls = F.create_map(F.lit("D1"), F.lit("https://x/1"), F.lit("D2"), F.lit(None).cast("string"))
     df = spark.createDataFrame(rows, "t string, want string")
     assert [(r.got, r.want) for r in df.withColumn("got", G.resolved_links(F.col("t"), urls)).collect()] == [(w, w) for _, w in rows]
+
+
+def test_sentences_of_long_texts(spark):
+    """Ten million characters; abbreviations tried at every one of them took half a minute."""
+    rows = spark.range(1000).select(F.expr("repeat('the motion of Mr. Doe v. U.S. Bank is denied without any more words here. ', 133) || 'No. 7 is open. \"So\" it ends.'").alias("t"))
+    rows = rows.coalesce(1).localCheckpoint()
+    G_sentences = rows.select(F.size(G.sentences(F.col("t"))).alias("n"))
+    G_sentences.limit(1).collect()
+    began = time.monotonic()
+    assert [(r.n, r["count"]) for r in G_sentences.groupBy("n").count().collect()] == [(3, 1000)]
+    assert time.monotonic() - began < 8
