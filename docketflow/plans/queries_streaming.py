@@ -57,11 +57,11 @@ def debounced_users(spark: SparkSession, sf_dir: str):
     return alerts.debounced(events, "user_id", "ts", "3600 seconds").select("user_id", F.unix_micros("quiet_at").alias("quiet_us"), "n")
 
 
-def _in_batches(rows, folder: str, batch, parts: int):
-    """``rows`` written as ``parts`` files, by the number ``batch`` gives each row, and read back as a stream of a file a batch."""
-    for i in range(parts):  # one after the other: a stream takes files in order of their times
-        rows.where(batch == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+def _in_batches(rows, folder: str, batch, parts: int, run) -> None:
+    """``rows`` written as ``parts`` deliveries, by the number ``batch`` gives each row, and ``run`` on the stream of them after each: all files there are one delivery."""
+    for i in range(parts):
+        rows.where(batch == i).write.mode("append").parquet(f"{folder}/in")
+        run(rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in"))
 
 
 _SEQ = "struct<entry_date:date,event_id:bigint>"
@@ -73,7 +73,7 @@ def stream_hearings(spark: SparkSession, sf_dir: str):
     folder = _folder(spark)
     actions = folds.HEARINGS.actions(events_sql.as_steps(view(spark, sf_dir, "actions_v"))).withColumn("clock_us", F.lit(0).cast("long"))
     state = KeyedStream(spark, f"{folder}/fold", folds.HEARINGS, _SEQ, buckets=8)
-    state.run(_in_batches(actions, folder, F.pmod(F.xxhash64("entry_id"), F.lit(3)), 3), "clock_us", f"{folder}/state")
+    _in_batches(actions, folder, F.pmod(F.xxhash64("entry_id"), F.lit(3)), 3, lambda s: state.run(s, "clock_us", f"{folder}/state"))
     sources = F.array_join(F.col("source_entry_ids").cast("array<string>"), ",").alias("sources")
     return state.rows().select("case_id", "hearing_key", "status", F.col("local_date").cast("string").alias("local_date"), "local_hour", "title", "notes", "docket_id", sources)
 
@@ -86,20 +86,20 @@ def stream_past_due(spark: SparkSession, sf_dir: str):
     rows = folds.DEADLINES.actions(actions).withColumn("clock_us", clock)
     state = KeyedStream(spark, f"{folder}/fold", folds.DEADLINES, _SEQ, buckets=8, due=_DUE)
     months = F.least((F.dayofyear("seq.entry_date") / 10).cast("int"), F.lit(2))
-    state.run(_in_batches(rows, folder, months, 3), "clock_us", f"{folder}/state")
+    _in_batches(rows, folder, months, 3, lambda s: state.run(s, "clock_us", f"{folder}/state"))
     return state.rows().select("case_id", "deadline_key", "status", F.col("due_date").cast("string").alias("due_date"), F.size("source_entry_ids").cast("long").alias("sources"))
 
 
 def stream_debounced(spark: SparkSession, sf_dir: str):
-    """``debounced_users`` on a stream of four files in order of time, each burst given out once; a last row moves the clock past all of them."""
+    """``debounced_users`` on a stream of four deliveries in order of time, each burst given out once; a last row moves the clock past all of them."""
     folder = _folder(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     end = spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.timestamp_micros(F.lit(high + 10 * 3_600_000_000)).alias("ts"))
     quarter = F.least(F.floor((F.unix_micros("ts") - low) * 4 / F.lit(max(high - low, 1))), F.lit(4)).cast("int")
-    stream = _in_batches(events.unionByName(end), folder, quarter, 5).withWatermark("ts", "0 seconds")
-    quiet = alerts.run_appended(alerts.debounced(stream, "user_id", "ts", "3600 seconds"), folder)
-    return quiet.select("user_id", F.unix_micros("quiet_at").alias("quiet_us"), "n")
+    quiet = lambda stream: alerts.run_appended(alerts.debounced(stream.withWatermark("ts", "0 seconds"), "user_id", "ts", "3600 seconds"), folder)
+    _in_batches(events.unionByName(end), folder, quarter, 5, quiet)
+    return spark.read.schema("user_id long, quiet_at timestamp, n long").parquet(f"{folder}/out").select("user_id", F.unix_micros("quiet_at").alias("quiet_us"), "n")
 
 
 def stream_delivery_stats(spark: SparkSession, sf_dir: str):
@@ -107,8 +107,9 @@ def stream_delivery_stats(spark: SparkSession, sf_dir: str):
     folder = _folder(spark)
     entries = view(spark, sf_dir, "entries_v").select("docket_id", "entry_id", "description", F.quarter("date_filed").alias("quarter"))
     routes = view(spark, sf_dir, "dockets_v").select("docket_id", "case_id").where("case_id <> 'case-1'")
-    stream = _in_batches(entries, folder, F.col("quarter") - 1, 4)
-    counts = alerts.run_counted(alerts.counted(stream, routes, T.is_hearing(F.col("description")), "deliveries"), "deliveries", folder)
+    count = lambda stream: alerts.run_counted(alerts.counted(stream, routes, T.is_hearing(F.col("description")), "deliveries"), "deliveries", folder)
+    _in_batches(entries, folder, F.col("quarter") - 1, 4, count)
+    counts = spark.read.schema("received long, processed long, relevant long, unknown long, batch long").parquet(f"{folder}/metrics")
     return counts.select((F.col("batch") + 1).alias("quarter"), "received", "processed", "relevant", "unknown")
 
 

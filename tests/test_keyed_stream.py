@@ -103,3 +103,18 @@ def test_deadlines_with_a_clock_equal_the_batch(spark, folder):
     want = rows.withColumn("status", F.when((F.col("status") == "pending") & (F.expr(DUE.at_us) < now), "passed").otherwise(F.col("status")))
     assert same(state.rows(), want.select("case_id", "deadline_key", *folds.DEADLINE))
     assert state.rows().where("status = 'passed'").count() > 0
+
+
+def test_a_delivery_of_many_files(spark, folder):
+    """What one delivery brings is written by many tasks and read by many, and stays one delivery."""
+    from docketflow.plans.queries_streaming import _in_batches
+
+    path, seen = f"{folder}/{uuid.uuid4().hex}", {}
+
+    def run(stream):
+        keep = lambda batch, n: seen.setdefault(n, (len(batch.inputFiles()), [r.id for r in batch.orderBy("id").collect()]))
+        stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+    _in_batches(spark.range(0, 400, 1, 4), path, F.col("id") % 3, 3, run)
+    assert {n: ids for n, (_, ids) in seen.items()} == {i: list(range(i, 400, 3)) for i in range(3)}
+    assert len(spark.read.parquet(f"{path}/in").inputFiles()) == 12
