@@ -550,3 +550,14 @@ def test_successors_of_many_keys(spark):
     keys = sorted({(i * i * 7919) % 10_000_019 - 5000 for i in range(12_000)})
     got = {r.key: r.above for r in fingerprints.next_above(spark.createDataFrame([(k,) for k in keys], "key long")).collect()}
     assert got == dict(zip(keys, keys[1:] + [None]))
+
+
+def test_repeated_rows_leave_room_for_equal_vectors(spark):
+    """A row that is there thirty times counts once, so others of its vector are still found."""
+    from docketflow.llm.curves import nearest
+
+    rows = [(5, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in range(6, 40)] + [(99, [0.5, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = nearest(vectors, spark.createDataFrame([(20,), (99,)], "vec_id long"), 20).collect()
+    got = {q: [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] for q in (20, 99)}
+    assert got == {20: [i for i in range(5, 26) if i != 20], 99: list(range(5, 25))}
