@@ -64,10 +64,13 @@ def recovered_plan(wanted: DataFrame, published: DataFrame) -> DataFrame:
     later = w.select("id").distinct().join(known.select("id").hint("merge"), "id", "left_anti").join(free.hint("merge"), "id")
     matched = known.select("id", "push_id").unionByName(later.select("id", "push_id"))
     have = published.select("push_id", F.struct("title", "start_date").alias("have"))
-    both = w.drop("push_id").join(matched.hint("merge"), "id", "left").join(have.hint("merge"), "push_id", "left")
+    # What is published joins the matches, which all have a push_id: rows without one would meet in one task.
+    both = w.drop("push_id").join(matched.join(have.hint("merge"), "push_id", "left").hint("merge"), "id", "left")
     live, there = F.col("status") != "cancelled", F.col("push_id").isNotNull()
     op = F.when(live & ~there, "insert").when(live & (F.struct("title", "start_date") == F.col("have")), "keep").when(live, "patch").when(there, "cancel")
-    told = published.join(matched.select("push_id").hint("merge"), "push_id", "left_anti").join(w.select(F.col("id").alias("correlation"), F.lit(True).alias("ours")).distinct().hint("merge"), "correlation", "left")
+    left = published.join(matched.select("push_id").hint("merge"), "push_id", "left_anti").select("correlation", "push_id")
+    ours = w.select(F.col("id").alias("correlation"), F.lit(True).alias("ours")).distinct()
+    told = left.where("correlation IS NOT NULL").join(ours.hint("merge"), "correlation", "left").unionByName(left.where("correlation IS NULL").withColumn("ours", F.lit(None).cast("boolean")))
     told = told.select(F.col("correlation").alias("id"), "push_id", F.when(F.col("ours"), "duplicate").otherwise("orphan").alias("op"))
     return both.select("id", "push_id", op.alias("op")).where("op IS NOT NULL").unionByName(told)
 

@@ -111,3 +111,17 @@ def test_the_index_is_made_in_one_pass_without_a_shuffle(spark, folder):
     assert sorted(r.gram for r in index.where("k = 1").collect()) == ["\n😀c", "ab\n", "b\n😀"] and index.count() == 307
     assert len(index.inputFiles()) == 3 and max(r["count"] for r in index.where("gram = 'the'").groupBy(F.input_file_name()).count().collect()) < 200
     assert [r.k for r in searching.found(rows, index, "k", "t", ["éÄÖ"]).collect()] == [0]
+
+
+def test_push_recovery_deals_out_rows_without_a_match(spark):
+    """Inserts, and published rows without a correlation key, are many: no task gets all of them."""
+    w = spark.range(4000).select(F.lit("c").alias("case_id"), F.col("id").cast("string").alias("event_key"), F.lit("T").alias("title"), F.lit("d").alias("start_date"), F.lit("scheduled").alias("status"), F.lit(None).cast("string").alias("push_id"))
+    p = spark.range(4000).select(F.concat(F.lit("p"), "id").alias("push_id"), F.lit(None).cast("string").alias("correlation"), F.lit("T").alias("title"), F.lit("d").alias("start_date"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = feed.recovered_plan(w, p).select("op", F.spark_partition_id().alias("part")).groupBy("op", "part").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for op in ("insert", "orphan"):
+        sizes = [r["count"] for r in out if r.op == op]
+        assert sum(sizes) == 4000 and max(sizes) < 2000
