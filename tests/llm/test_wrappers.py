@@ -147,3 +147,32 @@ def test_too_many_elements(monkeypatch):
     rules = Wrapper.unpacked(w.shrunk().packed()).rules()
     assert wrappers._elements(w.root) <= 30
     assert all(f"own {i}" in main_text(events(p, by_name), rules) for i, p in enumerate(pages))
+
+
+@pytest.mark.parametrize("forms", [False, True])
+def test_wide_wrappers(spark, monkeypatch, forms):
+    """Hosts of more elements than a wrapper may have in one piece get the texts that the whole wrapper gives."""
+    rows, want = [], {}
+    for k, name in enumerate(sorted(SITES)):
+        whole, mine = Wrapper(), []
+        for i, (page, _) in enumerate(site(SITES[name], 12)):
+            # What only the wrapper tells: lists of links in elements of one page, a notice of all, a header out of the article.
+            name_of = "".join(RNG.choice("qwxyz") for _ in range(12))
+            links = f"<div class={name_of}>" + "".join(f"<ul><li><a>{words(3)}</a></li></ul>" for _ in range(3)) + "</div>"
+            page = page.replace("<p>", f"{links}<p>", 1) + "<div class=yy>Read our terms first</div>"
+            if forms:
+                page = f"<form class=f{k}><header>{words(3)}</header>{page}</form>"
+            rows.append((100 * k + i, f"http://w{k}.org/{i}", page))
+            mine.append((100 * k + i, events(page, by_name)))
+            whole.read(mine[-1][1])
+        rules = whole.rules()
+        want.update({key: main_text(stream, rules) for key, stream in mine})
+    rows += [(-1, "http://w1.org/x", None), (-2, None, "<p>a</p>"), rows[0]]
+    monkeypatch.setattr(wrappers, "MOST_ELEMENTS", 8 if forms else 20)
+    monkeypatch.setattr(wrappers, "FAN", 2)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = wrappers.extracted(pages).collect()
+    found = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and {k: found[k] for k in want} == want and (found[-1], found[-2]) == ("", "a")
+    counts = {r.host: (r.n, r.wrapper) for r in wrappers.wrappers(pages).collect()}
+    assert [counts[f"w{k}.org"][0] for k in range(3)] == [13, 13, 12] and any(w is None for _, w in counts.values())
