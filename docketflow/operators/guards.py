@@ -32,8 +32,11 @@ CUSTODY = [
     r"\bis\s+a\s+fugitive\b",
     r"\b(?:remain|remains|remaining|appears?\s+to\s+remain)\s+at\s+large\b",
 ]
+# What every text that a pattern of ABSENCE or CUSTODY hits has in it.
+ABSENCE_HAS = ["no", "not", "been", "remains pending", "cannot be", "unknown whether", "status", "if ", "if a ", "the court impose"]
+CUSTODY_HAS = ["fugitive", "fugitive", "large"]
 CUSTODY_GROUND = r"\b(?:fugitive|at large|apprehend|in custody|remains? abroad|not been arrested)\b"
-DATE = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
+DATE = r"\b(?=[jfmasond])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
 MONEY = r"\$\s?\d[\d,]*(?:\.\d{1,2})?(?:\s*(?:million|billion))?"
 FORFEIT = r"\[?forfeiture\s+money\s+judgment\]?(?:\(doc:[^)]*\))?"
 AMOUNT = r"\$\s?(\d[\d,]*(?:\.\d{1,2})?)"
@@ -50,6 +53,7 @@ CLAIM = (
     r"\b(?:(?:re)?scheduled|set|continued)\s+(?:for|to|until)\s+(?:begin\s+)?(?:on\s+)?"
     r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
 )
+EVENT_WORDS = {"jury trial": "trial", "oral argument": "argument", "change of plea": "plea"}
 PAST = r"\b(?:was|were|had\s+been|previously|originally|initially|earlier|then)\b"
 CREDIT = (
     r"(?:the\s+)?(?:operator(?:'s)?(?:[-\s]provided)?\s+note[sd]?|aggregation\s+note)"
@@ -82,9 +86,34 @@ def _part(raw: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(raw, _I + pattern, group)
 
 
-def _first(text: Column, patterns: list[str]) -> Column:
-    """The first hit of each pattern that hits."""
-    return F.filter(F.array(*[_part(text, p, 0) for p in patterns]), lambda x: x != "")
+def _first(text: Column, patterns: list[str], words: list[str] | None = None) -> Column:
+    """The first hit of each pattern that hits; ``words``: what a text must have for each."""
+    if words is None:
+        return F.filter(F.array(*[_part(text, p, 0) for p in patterns]), lambda x: x != "")
+
+    def hits(low: Column) -> Column:
+        return F.filter(F.array(*[F.when(_may(low, w), _part(text, p, 0)).otherwise("") for p, w in zip(patterns, words, strict=True)]), lambda x: x != "")
+
+    return _let(_low(text), hits)
+
+
+def _low(text: Column) -> Column:
+    """A text of ASCII in small letters; null for others, whose letters fold in more ways."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text))
+
+
+def _may(low: Column, *words: str) -> Column:
+    """Whether a text may have all ``words``: so says its ``_low``, or it has none."""
+    has = [F.contains(low, F.lit(w)) for w in words]
+    out = has[0]
+    for h in has[1:]:
+        out = out & h
+    return F.coalesce(out, F.lit(True))
+
+
+def _groups(raw: Column, pattern: str, n: int) -> Column:
+    """The first ``n`` groups of a pattern's hit, by one search."""
+    return F.split(F.regexp_replace(raw, _I + pattern, _MARK.join(f"${i}" for i in range(1, n + 1))), _MARK)
 
 
 def _nothing() -> Column:
@@ -101,7 +130,8 @@ def _spaced(text: Column) -> Column:
 
 
 def _iso(month: Column, day: Column, year: Column) -> Column:
-    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.left(month, F.lit(3))))
+    # The place in one text: an array of names would be made and searched for each date.
+    number = F.floor((F.instr(F.lit("".join(MONTHS)), F.lower(F.left(month, F.lit(3)))) + 2) / 3)
     return F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
 
 
@@ -114,8 +144,9 @@ def sentences(text: Column) -> Column:
 
 def record_claims(text: Column, source: Column) -> Column:
     """Claims about what the record lacks, and of flight or custody that the source text does not speak of."""
-    flight = F.when(_has(source, CUSTODY_GROUND), _nothing()).otherwise(_first(text, CUSTODY))
-    return F.when(_speaks(text), F.concat(_first(text, ABSENCE), flight)).otherwise(_nothing())
+    # The source is read only for a text that speaks of flight.
+    flight = _let(_first(text, CUSTODY, CUSTODY_HAS), lambda hits: F.when(F.size(hits) == 0, hits).when(_has(source, CUSTODY_GROUND), _nothing()).otherwise(hits))
+    return F.when(_speaks(text), F.concat(_first(text, ABSENCE, ABSENCE_HAS), flight)).otherwise(_nothing())
 
 
 def _let(value: Column, use) -> Column:
@@ -134,7 +165,7 @@ def ungrounded(text: Column, known_dates: Column, given: Column) -> Column:
 
     def unknown(raw: Column) -> Column:
         def missing(iso: Column) -> Column:
-            m, d, y = (F.element_at(F.split(iso, "-"), i) for i in (2, 3, 1))
+            m, d, y = F.substring(iso, 6, 2), F.substring(iso, 9, 2), F.left(iso, F.lit(4))
             bare = lambda c: c.cast("int").cast("string")
             forms = [F.concat_ws("/", bare(m), bare(d), y), F.concat_ws("/", bare(m), bare(d), F.right(y, F.lit(2))), F.concat_ws("/", m, d, y), iso]
             found = F.coalesce(F.array_contains(known_dates, iso), F.lit(False)) | F.contains(given["low"], F.lower(_spaced(raw)))
@@ -142,7 +173,7 @@ def ungrounded(text: Column, known_dates: Column, given: Column) -> Column:
                 found = found | F.contains(given["text"], form)
             return ~found
 
-        return _let(_iso(*[_part(raw, DATE, g) for g in (1, 2, 3)]), missing)
+        return _let(_groups(raw, DATE, 3), lambda g: _let(_iso(g[0], g[1], g[2]), missing))
 
     def unpaid(raw: Column) -> Column:
         return ~_has(raw, "million|billion") & ~F.contains(given["plain"], F.replace(F.trim(F.replace(raw, F.lit("$"), F.lit(""))), F.lit(","), F.lit("")))
@@ -159,18 +190,23 @@ def _money(text: Column, patterns: list[str]) -> Column:
 
 def doubled_forfeitures(text: Column) -> Column:
     """Forfeiture money judgments of an amount that is owed in restitution too."""
-    return F.array_sort(F.array_intersect(_money(text, RESTITUTIONS), _money(text, FORFEITURES)))
+    both = F.array_sort(F.array_intersect(_money(text, RESTITUTIONS), _money(text, FORFEITURES)))
+    return F.when(_may(_low(text), "forfeiture", "restitution") | text.isNull(), both).otherwise(_nothing())
 
 
 def stale_events(text: Column, scheduled: Column) -> Column:
     """Claims of a scheduled date that no scheduled row of that kind has; ``scheduled`` is array<struct<title, dates array<string>>>."""
 
     def stale(raw: Column) -> Column:
-        event = F.regexp_replace(F.lower(_part(raw, CLAIM, 1)), r"(?U)\s+", " ")
-        word = F.when(event == "jury trial", "trial").when(event == "oral argument", "argument").when(event == "change of plea", "plea").otherwise(event)
-        claimed = _iso(_part(raw, CLAIM, 3), _part(raw, CLAIM, 4), _part(raw, CLAIM, 5))
-        rows = F.filter(scheduled, lambda h: F.contains(F.lower(h["title"]), word))
-        return ~_has(_part(raw, CLAIM, 2), PAST) & (F.size(rows) > 0) & ~F.exists(rows, lambda h: F.array_contains(h["dates"], claimed))
+        def old(g: Column) -> Column:
+            event = F.regexp_replace(F.lower(g[0]), r"(?U)\s+", " ")
+            words = F.create_map(*[F.lit(x) for pair in EVENT_WORDS.items() for x in pair])
+            told = F.struct(F.coalesce(F.try_element_at(words, event), event).alias("word"), _iso(g[2], g[3], g[4]).alias("day"))
+            kind = lambda t: F.filter(scheduled, lambda h: F.contains(F.lower(h["title"]), t["word"]))
+            gone = lambda t: _let(kind(t), lambda rows: (F.size(rows) > 0) & ~F.exists(rows, lambda h: F.array_contains(h["dates"], t["day"])))
+            return ~_has(g[1], PAST) & _let(told, gone)
+
+        return _let(_groups(raw, CLAIM, 5), old)
 
     return F.when(_speaks(text) & scheduled.isNotNull(), F.filter(_all(text, CLAIM), stale)).otherwise(_nothing())
 
@@ -239,18 +275,31 @@ def resolved_links(text: Column, urls: Column) -> Column:
     return tidy_links(F.aggregate(F.array_distinct(raw), text, put))
 
 
-def findings(text: Column, source: Column, given: Column, known_dates: Column, scheduled: Column) -> Column:
+#: The guards whose findings ask for another draft, in their order.
+GUARDS = ("record", "ungrounded", "doubled", "stale")
+
+
+def findings(text: Column, source: Column, given: Column, known_dates: Column, scheduled: Column) -> dict[str, Column]:
     """The findings that ask for another draft, by guard, in the order of the guards; ``given`` is the source's ``corpus``."""
-    return F.struct(
-        record_claims(text, source).alias("record"), ungrounded(text, known_dates, given).alias("ungrounded"),
-        doubled_forfeitures(text).alias("doubled"), stale_events(text, scheduled).alias("stale"),
-    )
+    return {
+        "record": record_claims(text, source), "ungrounded": ungrounded(text, known_dates, given),
+        "doubled": doubled_forfeitures(text), "stale": stale_events(text, scheduled),
+    }
+
+
+def found(drafts: DataFrame, guards: tuple[str, ...] = GUARDS) -> DataFrame:
+    """``drafts`` with the findings of ``guards`` in ``found``; the corpus is made once a row."""
+    rows = drafts.withColumn("given", corpus(F.col("source")))
+    by = findings(F.col("text"), F.col("source"), F.col("given"), F.col("known_dates"), F.col("scheduled"))
+    return rows.withColumn("found", F.struct(*[by[g].alias(g) for g in guards])).drop("given")
 
 
-def found(drafts: DataFrame) -> DataFrame:
-    """``drafts`` with their findings in ``found``; the corpus is made once a row."""
+def dirty(drafts: DataFrame) -> DataFrame:
+    """``drafts`` with ``dirty``: whether any guard finds something; the guards after one that does are not asked."""
     rows = drafts.withColumn("given", corpus(F.col("source")))
-    return rows.withColumn("found", findings(F.col("text"), F.col("source"), F.col("given"), F.col("known_dates"), F.col("scheduled"))).drop("given")
+    by = findings(F.col("text"), F.col("source"), F.col("given"), F.col("known_dates"), F.col("scheduled"))
+    some = [F.size(by[g]) > 0 for g in ("doubled", "ungrounded", "stale", "record")]
+    return rows.withColumn("dirty", some[0] | some[1] | some[2] | some[3]).drop("given")
 
 
 def repaired(rows: DataFrame) -> DataFrame:
@@ -275,8 +324,7 @@ def guarded(drafts: DataFrame) -> DataFrame:
     Credits are cut from any.  Drafts of a key meet once, and the repair is
     computed for the chosen row alone.
     """
-    rows = found(drafts)
-    rows = rows.withColumn("dirty", F.expr("size(found.record) + size(found.ungrounded) + size(found.doubled) + size(found.stale) > 0"))
+    rows = dirty(drafts)
     # false before true; among clean drafts the first, among others the last.
     rank = F.struct("dirty", F.when(F.col("dirty"), -F.col("attempt")).otherwise(F.col("attempt")).alias("n"))
     row = F.struct("attempt", "text", "source", "known_dates", "scheduled", "dirty")

@@ -21,7 +21,7 @@ def _facts(d):
 @query("drafts_v", "SELECT docket_id, attempt, CASE WHEN bad AND k9 AND k5 THEN 1 WHEN bad AND k9 THEN 2 ELSE 0 END AS ungrounded, CASE WHEN bad AND docket_id % 4 = 1 THEN 1 ELSE 0 END AS doubled, CASE WHEN bad AND k5 THEN 1 ELSE 0 END AS stale FROM (SELECT docket_id, attempt, attempt = 1 OR docket_id % 2 = 1 AS bad, docket_id % 9 = 0 AS k9, docket_id % 5 = 0 AS k5 FROM drafts_v) x")
 def guard_findings(d):
     """How many findings each draft has, by guard."""
-    return guards.found(_facts(d)).selectExpr("key AS docket_id", "attempt", "size(found.ungrounded) AS ungrounded", "size(found.doubled) AS doubled", "size(found.stale) AS stale")
+    return guards.found(_facts(d), ("ungrounded", "doubled", "stale")).selectExpr("key AS docket_id", "attempt", "size(found.ungrounded) AS ungrounded", "size(found.doubled) AS doubled", "size(found.stale) AS stale")
 
 
 @query("drafts_v", f"""SELECT k AS docket_id, CASE WHEN dirty THEN 2 ELSE 1 END AS attempt, dirty AND k % 2 = 1 AS repaired, trim(

@@ -62,3 +62,14 @@ def test_sentences_of_long_texts(spark):
     began = time.monotonic()
     assert [(r.n, r["count"]) for r in G_sentences.groupBy("n").count().collect()] == [(3, 1000)]
     assert time.monotonic() - began < 8
+
+
+def test_clean_texts_cost_little(spark):
+    """A source is not searched for grounds of flight, nor a text by patterns whose words it lacks; other letters than ASCII fold as before."""
+    rows = [("NO ſcheduling order. He is a fugitive.", "x", ["NO ſcheduling order", "is a fugitive"]), ("It iſ unKnown whether he left.", "x", ["It iſ unKnown whether"]), ("IT IS UNKNOWN WHETHER he left.", None, ["IT IS UNKNOWN WHETHER"]), (None, "x", [])]
+    df = spark.createDataFrame(rows, "t string, s string, want array<string>")
+    assert [r.got for r in df.withColumn("got", G.record_claims(F.col("t"), F.col("s"))).collect()] == [r[2] for r in rows]
+    drafts = spark.createDataFrame([(1, 1, "He left on May 3, 2024; trial is set for May 3, 2024.", "", [], [("Trial", ["2024-06-01"])])], SCHEMA)
+    plan = G.found(drafts, ("stale",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "imprisonment" not in plan and plan.count("change") <= 5
+    assert G.found(drafts).first().found.asDict() == {"record": [], "ungrounded": ["May 3, 2024", "May 3, 2024"], "doubled": [], "stale": ["trial is set for May 3, 2024"]}
