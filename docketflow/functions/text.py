@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns of the gates.  Matching is Unicode-aware, as the entries are.
@@ -98,12 +98,25 @@ def entry_text(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*[F.coalesce(blank_to_null(p), F.lit("")) for p in parts]), lambda x: x != ""), " | ")
 
 
+def _hits(text: Column, pattern: str) -> Column:
+    """``rlike``; a text of ASCII is searched by the same pattern without the tables of Unicode, which cost more."""
+    flags, rest = pattern.split(")", 1)
+    return F.when(F.length(text) == F.octet_length(text), text.rlike(flags.replace("U", "") + ")" + rest)).otherwise(text.rlike(pattern))
+
+
 def is_hearing(text: Column) -> Column:
-    return F.coalesce(text.rlike(HEARING), F.lit(False))
+    return F.coalesce(_hits(text, HEARING), F.lit(False))
 
 
 def is_deadline(text: Column) -> Column:
-    return F.coalesce(text.rlike(DEADLINE) | text.rlike(DEADLINE_FORMS), F.lit(False))
+    return F.coalesce(_hits(text, DEADLINE) | _hits(text, DEADLINE_FORMS), F.lit(False))
+
+
+def gated(rows: DataFrame, body: Column, *kept: str) -> DataFrame:
+    """``kept`` and the ``body`` of rows that are about a hearing or a deadline, with both flags; a body is made and searched once."""
+    # As a generated row: a filter on computed columns would be pushed below them, and compute them twice.
+    flags = F.transform(F.array(body), lambda b: F.struct(b.alias("body"), is_hearing(b).alias("hearing"), is_deadline(b).alias("deadline")))
+    return rows.select(*kept, F.inline(flags)).where("hearing OR deadline")
 
 
 def is_primary(head: Column) -> Column:

@@ -100,3 +100,11 @@ def compact_documents(documents: DataFrame) -> DataFrame:
     kept = F.struct("id", "document_number", "attachment_number", blank("description"), flag("is_available"), flag("is_sealed"), path("filepath_ia"), path("filepath_local"), blank("plain_text"))
     rows = documents.select("entry_id", F.struct(number("document_number").alias("d"), number("attachment_number").alias("a"), F.col("id").alias("i"), kept.alias("kept")).alias("row"))
     return rows.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["kept"]).alias("documents"))
+
+
+def worklist(entries: DataFrame, wanted: Column, fetchable: DataFrame) -> DataFrame:
+    """(entry_id, doc_id) of the ``fetchable`` documents of entries that are ``wanted``; asked only of entries that have such documents."""
+    listed = fetchable.groupBy("entry_id").agg(F.collect_list(F.struct("doc_id")).alias("docs"))
+    some = F.size("docs") > 0
+    # A condition on both sides stays above the join, so that no text is searched for nothing.
+    return entries.join(listed.hint("merge"), "entry_id").where(F.when(some, wanted).otherwise(some)).select("entry_id", F.inline("docs"))

@@ -68,8 +68,7 @@ def case_aggregates(d, e):
 
 @query("entries_v", f"SELECT entry_id, {_TEXT} AS body, coalesce({_hit(_TEXT, 'HEARING')}, false) AS hearing, coalesce({_due(_TEXT)}, false) AS deadline FROM entries_v WHERE {_hit(_TEXT, 'HEARING')} OR {_due(_TEXT)}")
 def extractable_entries(e):
-    e = e.withColumn("body", _body(e))
-    return e.select("entry_id", "body", T.is_hearing(F.col("body")).alias("hearing"), T.is_deadline(F.col("body")).alias("deadline")).where("hearing OR deadline")
+    return T.gated(e, _body(e), "entry_id")
 
 
 @query("entries_v", f"SELECT {_hit('description', 'PRIMARY')} AS is_primary, {_disposition('description')} AS disposition, {_ruling('description')} AS ruling, count(*) AS n FROM entries_v GROUP BY ALL")
@@ -80,8 +79,8 @@ def classified_entries(e):
 
 @query("entries_v docs_v", f"SELECT e.entry_id, d.doc_id FROM entries_v e JOIN docs_v d ON e.entry_id = d.entry_id WHERE CASE WHEN {_hit(_NOTICE, 'TRANSCRIPT')} THEN false WHEN {_hit(_NOTICE, 'SETS_DATES')} OR {_hit(_NOTICE, 'ORDER')} THEN true ELSE NOT {_hit(_NOTICE, 'DETAIL')} END AND CASE WHEN d.is_sealed THEN false WHEN coalesce(d.plain_text, '') <> '' THEN true ELSE d.is_available END")
 def attachment_worklist(e, d):
-    wanted = e.where(T.needs_attachment(T.notice(F.col("description"), F.col("short_description")))).select("entry_id")
-    return wanted.join(d.where(T.fetchable(F.col("is_sealed"), F.col("plain_text"), F.col("is_available"))), "entry_id").select("entry_id", "doc_id")
+    fetchable = d.where(T.fetchable(F.col("is_sealed"), F.col("plain_text"), F.col("is_available")))
+    return documents.worklist(e, T.needs_attachment(T.notice(F.col("description"), F.col("short_description"))), fetchable)
 
 
 # Every third document without an upload has no text yet.

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docketflow.functions import text as T
 from docketflow.operators import documents, feed, runs, titles
 
 
@@ -38,3 +39,17 @@ def test_decisions(spark):
     lines = ["x decisions extract docket=1 entry=2 \"a\" -> ADD_HEARING(minor, 2024-02-01, 2024-01-01), MARK_HELD(), NOTHING(k)", "noise", ""]
     out = [tuple(r) for r in runs.decisions(spark.createDataFrame([(x,) for x in lines], "value string")).orderBy("pos").collect()]
     assert out == [(1, 2, 0, "ADD_HEARING", "", ["2024-01-01", "2024-02-01"]), (1, 2, 1, "MARK_HELD", "", [])]
+
+
+def test_gates_search_a_text_once(spark):
+    """Texts are made and searched once, attachments' notices only where there are documents; other letters than ASCII fold as before."""
+    rows = [(1, "Hearing set", True, False), (2, "STATUſ of the case", True, False), (3, "brief due by 5/1/2024", False, True), (4, "\u00e9 hearing_ only", False, False), (5, None, False, False), (6, "Summons", False, False)]
+    df = spark.createDataFrame([r[:2] for r in rows], "entry_id int, t string")
+    out = T.gated(df, F.concat(F.col("t"), F.lit("")), "entry_id")
+    assert {r.entry_id: (r.hearing, r.deadline) for r in out.collect()} == {r[0]: r[2:] for r in rows if r[2] or r[3]}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("concat(") == 1
+    docs = spark.createDataFrame([(1, 10), (1, 11), (3, None), (9, 12)], "entry_id int, doc_id int")
+    found = documents.worklist(df, F.col("t").rlike("Hear|brief"), docs)
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 10), (1, 11), (3, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and not any("RLIKE" in line for line in plan.splitlines() if "Filter" in line)
