@@ -64,8 +64,11 @@ def extraction_prompts(entries: DataFrame, dockets: DataFrame, known: DataFrame,
     texts = _lines(texts, ["entry_id"], ["place"], F.left("text", F.lit(most_document)), "texts", "\n---\n")
     heads = related.where(F.trim(F.coalesce("ref_text", F.lit(""))) != "")
     heads = _lines(heads, ["entry_id"], ["ref_number"], F.concat(F.lit("- ["), said(F.col("ref_number")), F.lit("] "), F.left(F.trim("ref_text"), F.lit(most_related))), "heads")
-    both = entries.join(own.hint("merge"), "docket_id", "left").withColumn("canonical", F.coalesce("canonical", "docket_id"))
-    both = both.join(rows.hint("merge"), "canonical", "left").join(texts.hint("merge"), "entry_id", "left").join(heads.hint("merge"), "entry_id", "left")
+    # The parts of an entry meet by its id; then the known rows come by its docket, found for dockets before.  So an
+    # entry is shuffled twice, and the known rows never with it.
+    known_here = own.join(rows.hint("merge"), "canonical", "left").select("docket_id", "canonical", "rows")
+    both = entries.join(texts.hint("merge"), "entry_id", "left").join(heads.hint("merge"), "entry_id", "left")
+    both = both.join(known_here.hint("merge"), "docket_id", "left").withColumn("canonical", F.coalesce("canonical", "docket_id"))
     block = lambda title, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(title + "\n"), F.col(c)))
     head = F.concat(F.lit("ENTRY "), said(F.col("entry_number")), F.lit(" of docket "), said(F.col("canonical")), F.lit(" filed "), said(F.col("date_filed")))
     return both.select("entry_id", F.concat_ws("\n", F.lit("KNOWN ROWS"), F.coalesce("rows", none), head, F.coalesce("text", F.lit("")), block("ATTACHED TEXTS", "texts"), block("RELATED ENTRIES", "heads")).alias("prompt"))

@@ -125,3 +125,21 @@ def test_push_recovery_deals_out_rows_without_a_match(spark):
     for op in ("insert", "orphan"):
         sizes = [r["count"] for r in out if r.op == op]
         assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_prompts_take_known_rows_last(spark):
+    """The known rows of a docket's group come to an entry last, by its docket, so they are shuffled for dockets alone."""
+    from docketflow.operators import infer
+
+    entries = spark.createDataFrame([(1, 7, 1, "d", "a"), (2, 8, 2, "d", "b"), (3, 9, 3, "d", None)], "entry_id int, docket_id int, entry_number int, date_filed string, text string")
+    dockets = spark.createDataFrame([(7, "n", "c"), (8, "n", "c")], "docket_id int, docket_number string, court_id string")
+    known = spark.createDataFrame([(8, "hearing", "k", "held", "t", "x")], "docket_id int, kind string, key string, status string, title string, at string")
+    texts = spark.createDataFrame([(1, 1, "long text")], "entry_id int, place int, text string")
+    related = spark.createDataFrame([(2, 1, "a")], "entry_id int, ref_number int, ref_text string")
+    out = infer.extraction_prompts(entries, dockets, known, texts, related, 4, 9)
+    row = "KNOWN ROWS\n- hearing k held t at x docket 7\nENTRY "
+    assert {r.entry_id: r.prompt for r in out.collect()} == {
+        1: row + "1 of docket 7 filed d\na\nATTACHED TEXTS\nlong", 2: row + "2 of docket 7 filed d\nb\nRELATED ENTRIES\n- [1] a", 3: "KNOWN ROWS\n(none)\nENTRY 3 of docket 9 filed d\n",
+    }
+    top = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    assert "docket_id" in top and "entry_id" not in top
