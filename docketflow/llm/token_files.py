@@ -29,65 +29,212 @@ from pyspark.sql import functions as F
 
 from docketflow.llm import range_coder
 from docketflow.llm.range_coder import BLOCK, LANES
-from docketflow.llm.shared import chunks, new_path, ranges, table
+from docketflow.llm.shared import _BASE, _INVERSE, CHUNK, chunks, mix, new_path, powers, ranges, table, trim
 
-#: Distinct pieces a worker remembers before it starts anew.
-MEMORY = 150_000
+#: Distinct pieces a worker remembers (and a sixteenth of their characters) before it starts anew, and bits of the slots it finds them by.
+MEMORY, _SLOTS = 1_500_000, 21
 _FILE = "part int, block long, first long, n_ids int, payload binary, crc long, runs array<struct<ordinal:long,doc_id:long,n:int>>"
 
 
+#: Classes of characters: white space, letters, numbers, others.
+_CLASSES = (r"\s+", r"\p{L}+", r"\p{N}+")
+#: The splitter that ``Splitter`` does in arrays.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_SUMMED = "part int, ordinal long, doc_id long, first long, n long, crc long"
+
+
+class Splitter:
+    """Where the matches of ``BYTE_LEVEL`` begin in texts that stand one behind the other."""
+
+    def __init__(self):
+        every = "".join(map(chr, range(0x110000)))
+        self.kind = np.full(len(every), 3, np.uint8)
+        for k, c in enumerate(_CLASSES):
+            for m in regex.finditer(c, every):
+                self.kind[m.start() : m.end()] = k
+
+    def starts(self, chars: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Flags of the matches' first characters; ``first`` flags those of texts."""
+        kind = self.kind.take(chars)
+        start = first.copy()
+        start[1:] |= kind[1:] != kind[:-1]
+        # The last of some white space before another character stands alone, or goes with it if it is a space.
+        last = (kind[:-1] == 0) & (kind[1:] != 0) & ~first[1:]
+        start[:-1] |= last
+        start[1:] &= ~(last & (chars[:-1] == 32))
+        at = np.flatnonzero((chars == 39) & start)
+        after = [np.append(chars, np.uint32(0)).take(np.minimum(at + k, len(chars))) * ~np.append(first, True).take(np.minimum(at + k, len(chars))) for k in (1, 2)]
+        after[1] *= after[0] > 0
+        one = np.isin(after[0], [ord(c) for c in "stmd"])
+        two = np.isin(after[0] * 256 + after[1] * (after[1] < 256), [ord(x) * 256 + ord(y) for x, y in ("re", "ve", "ll")]) & (after[0] < 256)
+        at, size = at[one | two], np.where(one, 2, 3)[one | two]
+        start[at + 1] = False
+        rest = at + size
+        start[rest[rest < len(start)]] = True
+        return start
+
+
+class Grown:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.all, self.size = np.zeros(1024, dtype), 0
+
+    def append(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.all):
+            self.all = np.concatenate((self.all, np.zeros(self.size + len(values), self.all.dtype)))
+        self.all[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+
 class LibraryEncoder:
     """The tokenizers library's ids of texts, asked once for each distinct piece its byte-level splitter makes.
 
     With ``added``, the strings of the vocabulary's added tokens are cut out of
     a text before the splitter sees it and become those tokens, as the library
-    does by default; without it, they are ordinary text.
+    does by default; without it, they are ordinary text.  Known pieces are
+    found by a hash of their characters and compared whole.
     """
 
     def __init__(self, path: str, pattern: str, added: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.find = regex.compile(pattern).findall
+        self.lines = Tokenizer.from_file(path)
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.find = regex.compile(pattern).finditer
+        self.splitter = Splitter() if pattern == BYTE_LEVEL else None
+        self.added: list[str] = []
         if added:
             tokens = list(self.model.get_added_tokens_decoder().values())
             if any(t.single_word or t.lstrip or t.rstrip or (t.normalized and self.model.normalizer) for t in tokens):
                 raise ValueError("added tokens that take more than their own string are not supported")
-            strings = sorted((t.content for t in tokens), key=len, reverse=True)
-            if strings:
-                cut = regex.compile("(" + "|".join(map(regex.escape, strings)) + ")").split
-                plain = self.find
-                # Every second part is an added token, which the library knows by itself.
-                self.find = lambda text: [p for i, part in enumerate(cut(text)) for p in ([part] if i % 2 else plain(part))]
+            self.added = sorted((t.content for t in tokens if t.content), key=len, reverse=True)
+            self.cut = regex.compile("|".join(map(regex.escape, self.added))).finditer
         else:
-            self.model.encode_special_tokens = True
+            self.model.encode_special_tokens = self.lines.encode_special_tokens = True
+        line = self.model.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 and self.splitter else -1
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.counts, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.hashes, self.sizes, self.chars_at, self.chars = Grown(np.uint64), Grown(np.int32), Grown(np.int32), Grown(np.uint32)
+        self.counts, self.ids_at, self.ids = Grown(np.int32), Grown(np.int32), Grown(np.int32)
+        self.slots = np.zeros(1 << _SLOTS, np.int32)
+        self.others: dict[int, int] = {}  # pieces whose slot another one has
+
+    def pieces(self, texts: list[str], joined: str, chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Flags of the first characters of pieces."""
+        first = np.zeros(len(chars) + 1, bool)
+        first[0] = True
+        first[ends] = True
+        tokens = []
+        if any(x in joined for x in self.added):
+            for text, end in zip(texts, ends.tolist(), strict=True):
+                tokens += [(end - len(text) + m.start(), end - len(text) + m.end()) for m in self.cut(text)]
+            for i, j in tokens:
+                first[[i, j]] = True
+        first = first[:-1]
+        if self.splitter:
+            start = self.splitter.starts(chars, first)
+        else:
+            start = first.copy()
+            borders = [*np.flatnonzero(first).tolist(), len(chars)]
+            for i, j in zip(borders[:-1], borders[1:], strict=True):
+                start[[m.start() for m in self.find(joined, i, j)]] = True
+        for i, j in tokens:
+            start[i + 1 : j] = False
+        return start
+
+    def asked(self, pieces: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of pieces in one array, and how many each has. The ``plain`` ones, without white space but a leading space, are put in lines, as a result object costs more than its ids."""
+        lines = np.flatnonzero(plain)
+        bound = list(range(0, len(lines), 64))
+        counts = np.zeros(len(pieces), np.int64)
+        parts = []
+        for a in range(0, len(bound), 64):  # the library's results are large objects
+            groups = [lines[i : i + 64] for i in bound[a : a + 64]]
+            for group, e in zip(groups, self.lines.encode_batch_fast(["\n".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                end = np.append(np.flatnonzero(ids == self.line), len(ids))
+                if len(end) == len(group):
+                    parts.append((group, ids[ids != self.line]))
+                    counts[group] = np.diff(end, prepend=-1) - 1
+        left = np.flatnonzero(counts == 0)
+        for a in range(0, len(left), 4096):
+            group = left[a : a + 4096]
+            lists = [e.ids for e in self.model.encode_batch_fast([pieces[i] for i in group], add_special_tokens=False)]
+            parts.append((group, np.array([i for x in lists for i in x], np.int32)))
+            counts[group] = [len(x) for x in lists]
+        ids = np.zeros(counts.sum(), np.int32)
+        at = np.cumsum(counts) - counts
+        for group, found in parts:
+            ids[ranges(at[group], counts[group])] = found
+        return ids, counts
+
+    def learn(self, joined: str, chars: np.ndarray, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        """Takes up new pieces, each once."""
+        mine = chars[ranges(begin, size)]
+        plain = np.zeros(len(begin), bool)
+        if self.line >= 0:
+            at = np.cumsum(size) - size
+            space = np.concatenate(([0], np.cumsum(self.splitter.kind.take(mine) == 0)))
+            plain = (space[at + size] - space[at] == (mine[at] == 32)) & (size > (mine[at] == 32))
+        ids, counts = self.asked([joined[i : i + n] for i, n in zip(begin.tolist(), size.tolist(), strict=True)], plain)
+        number = np.arange(self.hashes.size, self.hashes.size + len(begin))
+        self.ids_at.append(np.cumsum(counts) - counts + self.ids.size)
+        self.ids.append(ids)
+        self.chars_at.append(np.cumsum(size) - size + self.chars.size)
+        self.chars.append(mine)
+        for grown, values in ((self.hashes, hashes), (self.sizes, size), (self.counts, counts)):
+            grown.append(values)
+        slot = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        free = self.slots[slot] == 0
+        self.slots[slot[free]] = number[free] + 1
+        lost = self.slots[slot] != number + 1
+        self.others.update(zip(hashes[lost].tolist(), number[lost].tolist(), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
-        if len(self.place) > MEMORY:
+        if self.hashes.size > MEMORY or self.chars.size > 16 * MEMORY:
             self.clear()
-        found, place = [self.find(t) for t in texts], self.place
-        fresh = list({p: None for pieces in found for p in pieces if p not in place})
-        if fresh:
-            lists = []
-            for i in range(0, len(fresh), 4096):  # the library's results are large objects
-                lists += [e.ids for e in self.model.encode_batch_fast(fresh[i : i + 4096], add_special_tokens=False)]
-            place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-            self.ids = np.concatenate((self.ids, np.array([i for x in lists for i in x], np.int32)))
-            self.counts = np.concatenate((self.counts, np.array([len(x) for x in lists], np.int64)))
-            self.starts = np.cumsum(self.counts) - self.counts
-        index = np.array([place[p] for pieces in found for p in pieces], np.int64)
-        total = np.concatenate(([0], np.cumsum(self.counts[index]) if len(index) else []))
-        bounds = np.concatenate(([0], np.cumsum([len(p) for p in found]))).astype(np.int64)
-        return self.ids[ranges(self.starts[index], self.counts[index])] if len(index) else np.zeros(0, np.int32), np.diff(total[bounds]).astype(np.int64)
+        joined, ends = "".join(texts), np.cumsum([len(t) for t in texts]).astype(np.int64)
+        if not joined:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        begin = np.flatnonzero(self.pieces(texts, joined, chars, ends))
+        size = np.diff(begin, append=len(chars))
+        index = self.numbers(joined, chars, begin, size)
+        if index is None:
+            lists = [self.model.encode(t, add_special_tokens=False).ids for t in texts]
+            return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
+        counts = self.counts.all.take(index)
+        ids = self.ids.all.take(ranges(self.ids_at.all.take(index), counts))
+        total = np.concatenate(([0], np.cumsum(counts)))
+        return ids, np.diff(total[np.searchsorted(begin, ends)], prepend=0)
+
+    def numbers(self, joined: str, chars: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray | None:
+        """Which known piece each piece is; new ones are learnt. None if different pieces have one hash."""
+        total = np.zeros(len(chars) + 1, np.uint64)
+        np.cumsum(chars * powers(_BASE, len(chars)), out=total[1:])
+        hashes = mix((total[begin + size] - total[begin]) * powers(_INVERSE, len(chars)).take(begin) + size.astype(np.uint64))
+        index = self.slots.take((hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)).astype(np.int64) - 1
+        miss = np.flatnonzero((index < 0) | (self.hashes.all.take(index) != hashes))
+        if len(miss):
+            unique, at, inverse = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            number = np.array([self.others.get(h, -1) for h in unique.tolist()], np.int64)
+            new = np.flatnonzero(number < 0)
+            number[new] = np.arange(self.hashes.size, self.hashes.size + len(new))
+            at = miss[at[new]]
+            self.learn(joined, chars, unique[new], begin[at], size[at])
+            index[miss] = number[inverse]
+        if not np.array_equal(self.sizes.all.take(index), size) or not np.array_equal(self.chars.all.take(ranges(self.chars_at.all.take(index), size)), chars):
+            return None
+        return index
 
 
 @lru_cache(maxsize=2)
@@ -119,11 +266,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, end: int
         model, part = library(path, pattern, added), TaskContext.get().partitionId()
         block, ordinal, filled, runs = 0, 0, 0, [[]]
         held: list[np.ndarray] = []
+        last = np.array([end], np.int32)
         for batch in batches:
-            for piece in chunks(batch):
+            for piece in chunks(batch, size=CHUNK // 4):
                 ids, counts = model.encode(piece.column("text").fill_null("").to_pylist())
-                place = np.cumsum(counts)
-                held.append(np.insert(ids, place, end))
+                for one in np.split(ids, np.cumsum(counts)[:-1]):
+                    held += [one, last]
                 for doc_id, n in zip(piece.column("doc_id").to_pylist(), (counts + 1).tolist(), strict=True):
                     while n:
                         if filled == BLOCK:
@@ -140,11 +288,13 @@ def write_tokens(docs: DataFrame, folder: str, path: str, pattern: str, end: int
                     yield _rows(part, block, ids, runs[:LANES])
                     block, runs = block + LANES, runs[LANES:]
         ids = np.concatenate(held) if held else np.zeros(0, np.int32)
+        held.clear()
         while len(ids):
             n = min(LANES * BLOCK, len(ids))
             full = -(-n // BLOCK)
             yield _rows(part, block, ids[:n], runs[:full])
             block, ids, runs = block + full, ids[n:], runs[full:]
+        trim()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _FILE).write.parquet(folder)
@@ -179,31 +329,45 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, ordinal, doc_id, first, ids) of each run of a document in a block; runs of one document follow by ``first``."""
+def read_tokens(spark: SparkSession, folder: str, summed: bool = False) -> DataFrame:
+    """(part, ordinal, doc_id, first, ids) of each run of a document in a block; runs of one document follow by ``first``.  ``summed``: n and crc of the ids in their place."""
     files = spark.read.schema(_FILE).parquet(folder)
+    if summed:
+        return files.mapInArrow(lambda batches: _checksums(_decoded(batches)), _SUMMED)
     return files.mapInArrow(_decoded, "part int, ordinal long, doc_id long, first long, ids array<int>")
 
 
+@lru_cache(maxsize=1)
+def _zeros() -> np.ndarray:
+    """What 1, 2, 4 ... zero bytes behind a text make of its crc32: for each count, that of each byte value of the crc in each of its places."""
+    bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+    step = np.concatenate((np.array([0xEDB88320], np.uint32), bits[:-1]))  # of one zero bit, for each bit of a crc
+    values = np.arange(256)
+    tables = np.zeros((40, 4, 256), np.uint32)
+    for k in range(-3, 40):
+        table = np.zeros((4, 256), np.uint32)
+        for i in range(32):
+            table[i // 8] ^= np.where(values >> (i % 8) & 1, step[i], 0).astype(np.uint32)
+        if k >= 0:
+            tables[k] = table
+        step = table[0, step & 255] ^ table[1, step >> 8 & 255] ^ table[2, step >> 16 & 255] ^ table[3, step >> 24]
+    return tables
+
+
+def crcs_before(crcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What crc32s (uint32) add, by exclusive or, to those of texts that go on for ``sizes`` further bytes."""
+    out = crcs.copy()
+    for k, table in enumerate(_zeros()):
+        who = np.flatnonzero((sizes >> k) & 1)
+        if len(who):
+            x = out[who]
+            out[who] = table[0, x & 255] ^ table[1, x >> 8 & 255] ^ table[2, x >> 16 & 255] ^ table[3, x >> 24]
+    return out
+
+
 def crc_joined(first: int, second: int, size: int) -> int:
-    """crc32 of A + B from those of A and of B and the length of B, by squaring the matrix of a zero bit."""
-
-    def times(matrix: list[int], vector: int) -> int:
-        total = 0
-        for row in matrix:
-            if vector & 1:
-                total ^= row
-            vector >>= 1
-        return total
-
-    operator = [0xEDB88320] + [1 << i for i in range(31)]
-    bits = size * 8
-    while bits:
-        if bits & 1:
-            first = times(operator, first)
-        operator = [times(operator, row) for row in operator]
-        bits >>= 1
-    return first ^ second
+    """crc32 of A + B from those of A and of B and the length of B."""
+    return int(crcs_before(np.array([first], np.uint32), np.array([size]))[0]) ^ second
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,18 +382,19 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for runs in batch.column("runs").to_pylist():
-            crc = runs[0]["crc"]
-            for r in runs[1:]:
-                crc = crc_joined(crc, r["crc"], 4 * r["n"])
-            out.append(crc)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("part", "doc_id", "first", "n")] + [pa.array(out, pa.int64())], ["part", "doc_id", "first", "n", "crc"])
+        runs = batch.column("runs")
+        start = np.asarray(runs.offsets).astype(np.int64)
+        start, flat = start - start[0], runs.flatten()
+        end = np.cumsum(np.asarray(flat.field("n")))
+        after = np.repeat(end[start[1:] - 1], np.diff(start)) - end
+        parts = crcs_before(np.asarray(flat.field("crc")).astype(np.uint32), 4 * after)
+        out = np.bitwise_xor.reduceat(parts, start[:-1]) if len(parts) else parts
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("part", "doc_id", "first", "n")] + [pa.array(out.astype(np.int64))], ["part", "doc_id", "first", "n", "crc"])
 
 
 def documents_of(runs: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document from its runs; the starts of parts come from one row a part."""
-    short = runs.mapInArrow(_checksums, "part int, ordinal long, doc_id long, first long, n long, crc long")
+    """(part, doc_id, first, n, crc) of each document from its runs, summed or not."""
+    short = runs if "crc" in runs.columns else runs.mapInArrow(_checksums, _SUMMED)
     whole = short.groupBy("part", "ordinal", "doc_id").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", "n", "crc"))).alias("runs"))
     return whole.select("part", "doc_id", "first", "n", "runs").mapInArrow(_joined, "part int, doc_id long, first long, n long, crc long")
 
@@ -240,7 +405,7 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
-    found = documents_of(read_tokens(spark, folder))
+    found = documents_of(read_tokens(spark, folder, summed=True))
     sizes = spark.read.schema(_FILE).parquet(folder).groupBy("part").agg(F.sum("n_ids").alias("size"))
     base = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("part", base.alias("base"))  # a row for each written file

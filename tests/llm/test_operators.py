@@ -188,6 +188,42 @@ def test_range_coder_round_trip():
     assert [np.array_equal(x, b) for x, b in zip(range_coder.decode([data[4]], [4000]), [blocks[4]])] == [True]  # without its neighbours
 
 
+def test_range_coder_costs_little():
+    """Seconds of CPU an id, as times those of a plain loop: nibble after nibble took 2.7 microseconds where this takes 0.5."""
+    import time
+
+    rng = np.random.default_rng(8)
+    blocks = list((rng.zipf(1.3, (700, range_coder.BLOCK)) % 4000).astype(np.int32))
+    start = time.thread_time()
+    sum(range(1_000_000))
+    middle = time.thread_time()
+    back = range_coder.decode(range_coder.encode(blocks), [len(b) for b in blocks])
+    end = time.thread_time()
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back))
+    assert (end - middle) / (700 * range_coder.BLOCK) < 70e-6 * (middle - start)
+
+
+def test_pieces_in_arrays_are_the_library():
+    """Random strings of all that the splitter tells apart; a splitter asked piece by piece; two pieces of one hash."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(6)
+    parts = ["'", "s", "t", "re", "ve", "ll", "d", "m", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "a", "Zz", "é", "日本", "٣", "12", "½", "!", "<|endoftext|>", "<|", "endoftext", "|>", "\U0001f600", "ſ", "\u0301"]
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in rng.integers(0, 25, 3000)]
+    for added in (True, False):
+        ref = Tokenizer.from_file(path)
+        ref.encode_special_tokens = not added
+        want = [ref.encode(t, add_special_tokens=False).ids for t in texts]
+        for pattern in (public_tokenizers.PATTERN, public_tokenizers.PATTERN + "|(?!)"):
+            model = token_files.LibraryEncoder(path, pattern, added)
+            assert (model.splitter is None) == (pattern != public_tokenizers.PATTERN)
+            ids, counts = model.encode(texts)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    model.chars.all[:20] += 1  # known pieces that differ from what has their hash
+    ids, counts = model.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def test_ids_beyond_sixteen_bits_are_refused():
     with pytest.raises(ValueError):
         range_coder.encode([np.array([1, 65536])])
@@ -217,6 +253,16 @@ def test_crc_joined():
     assert token_files.crc_joined(zlib.crc32(b"abc"), zlib.crc32(b"defgh"), 5) == zlib.crc32(b"abcdefgh")
 
 
+def test_crcs_of_many_runs():
+    """200,000 runs in one call; one by one this took some minutes."""
+    rng = np.random.default_rng(2)
+    data, sizes = rng.bytes(1_000_000), rng.integers(0, 10, 200_000)
+    ends = np.cumsum(sizes)
+    crcs = np.array([zlib.crc32(data[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist())], np.uint32)
+    total = np.bitwise_xor.reduce(token_files.crcs_before(crcs, ends[-1] - ends))
+    assert int(total) == zlib.crc32(data[: ends[-1]])
+
+
 def test_token_files(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
