@@ -7,7 +7,7 @@ two ids (order 2) and the last id (order 1) before, by adaptive tables, and
 the block's own counts of ids (order 0), which its header holds.  How far the
 first two are trusted is mixed in the logistic domain, for each pair of
 confidences, with weights that learn; chances and weights are renewed after
-16, 32, 64 ... ids.  A range coder of 48 bits takes the intervals.  Whatever
+16, 64, 256 and 1024 ids.  A range coder of 48 bits takes the intervals.  Whatever
 decides an interval is arithmetic on integers (divisions in double precision
 are of such sizes that their floors are exact), so every machine decodes alike.
 """
@@ -21,7 +21,7 @@ import numpy as np
 #: Ids in a block at most, and blocks coded side by side.
 BLOCK, LANES = 4096, 2048
 #: Cells a lane has for the last two ids and for the last one.
-_CELLS = (1024, 512)
+_CELLS = (512, 256)
 _BITS = 12
 _ONE = 1 << _BITS
 #: Size of a whole distribution. An interval has 4 at least, so that one unit of 16 bits a step fills the range again.
@@ -34,7 +34,7 @@ _TAKEN = np.array([0, 0xFFFF], np.uint16)
 _STRIPE = 128
 _PAIRS = 32  # order 2 and order 1 name one id or not, 4 degrees of trust each
 #: Steps after which chances and weights are renewed.
-_RENEWALS = {16, 64, 256, 1024, 2048}
+_RENEWALS = {16, 64, 256, 1024}
 
 _x = np.arange(_ONE) + 0.5
 _STRETCH = np.round(np.log(_x / (_ONE - _x)) * 256).astype(np.int64)
@@ -296,8 +296,9 @@ def decode(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
             at += move
             grid[t, :m] = ids
             model.learn(ids, named == ids, t < _COUNTED or not t & _EVERY)
-        ids = np.concatenate([np.cumsum(p[0] + (p[2] << 8)) for p in planes]).astype(np.int32)
-        whole = np.ascontiguousarray(grid.T)
-        for k, i in enumerate(group):
-            out[i] = ids[offset[k] : offset[k] + kinds[k]].take(whole[k, : lengths[k]])
+        ids = [np.cumsum(p[0] + (p[2] << 8)).astype(np.int32) for p in planes]
+        for a in range(0, n, 128):
+            whole = grid[:, a : a + 128].T.astype(np.int64, order="C")
+            for k, places in enumerate(whole, a):
+                out[group[k]] = ids[k].take(places[: lengths[k]])
     return out

@@ -43,6 +43,9 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 
 _SUMMED = "part int, ordinal long, doc_id long, first long, n long, crc long"
 
+#: Characters by which a byte-level vocabulary writes bytes; the line feed, which parts pieces here, stays.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173]) if b != 10}
+
 
 class Splitter:
     """Where the matches of ``BYTE_LEVEL`` begin in texts that stand one behind the other."""
@@ -104,8 +107,6 @@ class LibraryEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        self.lines = Tokenizer.from_file(path)
-        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.find = regex.compile(pattern).finditer
         self.splitter = Splitter() if pattern == BYTE_LEVEL else None
         self.added: list[str] = []
@@ -116,9 +117,9 @@ class LibraryEncoder:
             self.added = sorted((t.content for t in tokens if t.content), key=len, reverse=True)
             self.cut = regex.compile("|".join(map(regex.escape, self.added))).finditer
         else:
-            self.model.encode_special_tokens = self.lines.encode_special_tokens = True
-        line = self.model.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 and self.splitter else -1
+            self.model.encode_special_tokens = True
+        step = self.model.pre_tokenizer
+        self.plain = bool(self.splitter) and self.model.normalizer is None and isinstance(step, pre_tokenizers.ByteLevel) and not step.add_prefix_space
         self.clear()
 
     def clear(self) -> None:
@@ -151,36 +152,24 @@ class LibraryEncoder:
         return start
 
     def asked(self, pieces: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The library's ids of pieces in one array, and how many each has. The ``plain`` ones, without white space but a leading space, are put in lines, as a result object costs more than its ids."""
-        lines = np.flatnonzero(plain)
-        bound = list(range(0, len(lines), 64))
-        counts = np.zeros(len(pieces), np.int64)
-        parts = []
-        for a in range(0, len(bound), 64):  # the library's results are large objects
-            groups = [lines[i : i + 64] for i in bound[a : a + 64]]
-            for group, e in zip(groups, self.lines.encode_batch_fast(["\n".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, np.int32)
-                end = np.append(np.flatnonzero(ids == self.line), len(ids))
-                if len(end) == len(group):
-                    parts.append((group, ids[ids != self.line]))
-                    counts[group] = np.diff(end, prepend=-1) - 1
-        left = np.flatnonzero(counts == 0)
-        for a in range(0, len(left), 4096):
-            group = left[a : a + 4096]
-            lists = [e.ids for e in self.model.encode_batch_fast([pieces[i] for i in group], add_special_tokens=False)]
-            parts.append((group, np.array([i for x in lists for i in x], np.int32)))
-            counts[group] = [len(x) for x in lists]
-        ids = np.zeros(counts.sum(), np.int32)
-        at = np.cumsum(counts) - counts
-        for group, found in parts:
-            ids[ranges(at[group], counts[group])] = found
-        return ids, counts
+        """The library's ids of pieces in one array, and how many each has. The ``plain`` ones, without white space but a leading space, go to its model at once, written as its byte-level step writes them."""
+        lists: list = [None] * len(pieces)
+        mine = [i for i in np.flatnonzero(plain).tolist() if pieces[i] not in self.added]
+        tokenize = self.model.model.tokenize
+        for i, word in zip(mine, "\n".join([pieces[i] for i in mine]).encode().decode("latin-1").translate(_BYTES).split("\n"), strict=False):
+            lists[i] = [t.id for t in tokenize(word)]
+        left = [i for i, x in enumerate(lists) if x is None]
+        for a in range(0, len(left), 4096):  # the library's results are large objects
+            part = left[a : a + 4096]
+            for i, e in zip(part, self.model.encode_batch_fast([pieces[i] for i in part], add_special_tokens=False), strict=True):
+                lists[i] = e.ids
+        return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
 
     def learn(self, joined: str, chars: np.ndarray, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
         """Takes up new pieces, each once."""
         mine = chars[ranges(begin, size)]
         plain = np.zeros(len(begin), bool)
-        if self.line >= 0:
+        if self.plain:
             at = np.cumsum(size) - size
             space = np.concatenate(([0], np.cumsum(self.splitter.kind.take(mine) == 0)))
             plain = (space[at + size] - space[at] == (mine[at] == 32)) & (size > (mine[at] == 32))
